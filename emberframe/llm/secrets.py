@@ -1,0 +1,235 @@
+"""Secret scans: patterns, and a character convolutional network over every candidate in its context.
+
+The network reads the characters from BEFORE in front of a candidate to AFTER behind its start
+with a channel that marks the candidate itself: embedding, one convolution, maxima over the
+candidate and means over the window, a small dense layer. It is trained in numpy, on the driver, on
+labelled findings that ``labelled_findings`` writes from a seed. Platt scaling on held-out findings
+calibrates it, and the threshold is the largest at which their recall is still ``recall``.
+
+Candidates are runs of token characters of ``MIN_TOKEN`` or more with a letter and a digit. Pattern
+findings stay whatever the network says; the network adds those that no pattern covers.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+import string
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from emberframe.llm.workspace import doc_rows, ship
+
+KINDS = ("assign", "access", "hex", "model")
+_ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"[0-9a-f]{32,}")
+MIN_TOKEN = 20
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % MIN_TOKEN)
+BEFORE, AFTER, SYMBOLS = 32, 64, 130
+SCHEMA = "doc_id long, findings array<struct<kind:string,start:long,end:long,score:double>>"
+
+
+def pattern_findings(text: str) -> list[tuple[str, int, int]]:
+    """Base findings of every kind, leftmost and non-overlapping within a kind; a match that fails its length is dropped."""
+    out = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
+    out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
+    return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Token runs with a letter and a digit; a sentence's trailing dots and equals signs in front are not part."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        run = m[0].rstrip(".-_")
+        if len(run) >= MIN_TOKEN and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+            out.append((m.start(), m.start() + len(run)))
+    return out
+
+
+def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (0: outside the text) and candidate marks of each span's window."""
+    sym = np.zeros((len(spans), BEFORE + AFTER), np.int64)
+    mark = np.zeros(sym.shape, np.float32)
+    for i, (a, b) in enumerate(spans):
+        low = max(0, a - BEFORE)
+        part = text[low : a + AFTER]
+        at = BEFORE - (a - low)
+        sym[i, at : at + len(part)] = [min(ord(c), SYMBOLS - 2) + 1 for c in part]
+        mark[i, BEFORE : BEFORE + min(b - a, AFTER)] = 1
+    return sym, mark
+
+
+def labelled_findings(n: int, seed: int = 11) -> list[tuple[str, tuple[int, int], int]]:
+    """n findings (text, span, 1 for a secret): credentials of many forms, and tokens that only look like them."""
+    r = random.Random(seed)
+    low, alnum, hexd = string.ascii_lowercase, string.ascii_letters + string.digits, "0123456789abcdef"
+    some = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
+    word = lambda: "".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "ti", "es", "or", "st", "en", "at", "is", "ou", "ea", "ng", "al", "it", "que", "des", "sch", "ung", "ci", "as")) for _ in range(r.randint(1, 4)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    secrets = [
+        lambda: ("", some(hexd, 32, 64)), lambda: ("", some(alnum, 24, 48)), lambda: ("", some(alnum + "+/", 40, 60) + "=" * r.randint(0, 2)),
+        lambda: ("Bearer ", some(alnum + "-_", 24, 60)), lambda: (r.choice(("key: ", "auth=", "pwd=", "credential ", "private_key = ", "Authorization: ")), some(alnum, 20, 44)),
+        lambda: ("", r.choice(("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza")) + some(alnum, 24, 40)),
+        lambda: ("", "eyJ" + some(alnum, 16, 30) + "." + some(alnum, 20, 40) + "." + some(alnum + "-_", 20, 43)), lambda: (r.choice(("token = \"", "secret: ", "password=")), some(alnum, 20, 44)),
+    ]
+    others = [
+        lambda: ("", f"{word()}{r.randint(0, 99)}.{word()}.example.{r.choice(('com', 'org', 'net'))}"), lambda: (f"{word()}.{r.randint(0, 99)}@", f"mail{r.randint(0, 99)}.{word()}{word()}.example.com"),
+        lambda: ("https:", f"//www.{word()}.com/{word()}/{r.randint(1, 9999)}/{word()}-{word()}"), lambda: ("", f"{word()}-{word()}-{word()}-{r.randint(1, 2030)}-{word()}"),
+        lambda: ("", f"{word()}_{word()}_{r.randint(1, 99)}_{word()}.{r.choice(('txt', 'html', 'tar.gz', 'py'))}"), lambda: ("", f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}.{r.randint(10, 59)}.{r.randint(10, 59)}.{r.randint(100, 999)}Z"),
+        lambda: ("", word() + word() + word() + str(r.randint(1, 99)) + word() + word() + word()), lambda: ("", r.choice("-=_.") * r.randint(18, 40) + r.choice("a1x2") + "3"),
+        lambda: ("", (word() + str(r.randint(0, 9))) * r.randint(6, 9)), lambda: ("", f"v{r.randint(1, 9)}.{r.randint(0, 99)}.{r.randint(0, 99)}-{word()}.{word()}+{word()}"),
+        lambda: ("", ".".join(word() + word() for _ in range(4)) + str(r.randint(0, 9))), lambda: ("", f"{word()}/{word()}/{word()}/{word()}{r.randint(1, 500)}/{word()}"), lambda: ("", f"{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}-{word()}{word()}"),
+    ]
+    out = []
+    while len(out) < n:
+        y = r.random() < 0.5
+        lead, tok = r.choice(secrets if y else others)()
+        if len(tok) < MIN_TOKEN or not any(c.isdigit() for c in tok):
+            continue
+        head = prose(r.randint(0, 6)) + r.choice((" ", "\n", " | ", "### ", " ")) + lead
+        out.append((head + tok + r.choice((" ", ".\n", '"', ",", "")) + prose(r.randint(0, 5)), (len(head), len(head) + len(tok)), int(y)))
+    return out
+
+
+_SHAPES = (("emb", (SYMBOLS, 8)), ("conv", (5 * 9, 24)), ("cb", (24,)), ("d1", (48, 16)), ("b1", (16,)), ("d2", (16,)), ("b2", ()))
+
+
+@dataclass
+class Network:
+    """Weights, calibration and threshold."""
+
+    w: dict
+    slope: float = 1.0
+    shift: float = 0.0
+    threshold: float = 0.5
+
+    def forward(self, sym: np.ndarray, mark: np.ndarray) -> tuple:
+        w = self.w
+        x = np.concatenate([w["emb"][sym], mark[..., None]], axis=2)
+        cols = np.concatenate([x[:, i : x.shape[1] - 4 + i] for i in range(5)], axis=2)
+        a = cols @ w["conv"] + w["cb"]
+        h = np.maximum(a, 0)
+        inside = mark[:, 2:-2, None]
+        top = (h * inside).argmax(axis=1)
+        pooled = np.concatenate([np.take_along_axis(h * inside, top[:, None], 1)[:, 0], h.mean(axis=1)], axis=1)
+        z = pooled @ w["d1"] + w["b1"]
+        g = np.maximum(z, 0)
+        return cols, a, h, inside, top, pooled, z, g, g @ w["d2"] + w["b2"]
+
+    def scores(self, sym: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Calibrated probabilities."""
+        return 1 / (1 + np.exp(-(self.slope * self.forward(sym, mark)[-1] + self.shift)))
+
+    def gradients(self, sym: np.ndarray, mark: np.ndarray, y: np.ndarray) -> dict:
+        w = self.w
+        cols, a, h, inside, top, pooled, z, g, out = self.forward(sym, mark)
+        d = (1 / (1 + np.exp(-out)) - y) / len(y)
+        grad = {"d2": g.T @ d, "b2": d.sum()}
+        dz = np.outer(d, w["d2"]) * (z > 0)
+        grad |= {"d1": pooled.T @ dz, "b1": dz.sum(0)}
+        dp = dz @ w["d1"].T
+        dh = np.repeat(dp[:, None, 24:] / h.shape[1], h.shape[1], axis=1)
+        at = np.zeros_like(h)
+        np.put_along_axis(at, top[:, None], dp[:, None, :24], 1)
+        da = (dh + at * inside) * (a > 0)
+        grad |= {"conv": np.einsum("nlc,nlf->cf", cols, da, optimize=True), "cb": da.sum((0, 1))}
+        dx = da @ w["conv"].T
+        de = np.zeros((*sym.shape, 8))
+        for i in range(5):
+            de[:, i : sym.shape[1] - 4 + i] += dx[..., i * 9 : i * 9 + 8]
+        emb = np.zeros_like(w["emb"])
+        np.add.at(emb, sym.ravel(), de.reshape(-1, 8))
+        return grad | {"emb": emb}
+
+
+def train(findings: list[tuple[str, tuple[int, int], int]], recall: float = 0.98, epochs: int = 5, seed: int = 3) -> Network:
+    """Fits on four fifths of the findings by Adam; calibrates and sets the threshold on the rest."""
+    rng = np.random.default_rng(seed)
+    parts = [windows(t, [s]) for t, s, _ in findings]
+    sym, mark = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    y = np.array([f[2] for f in findings], np.float64)
+    fold = np.arange(len(y)) % 5 == 0
+    net = Network({k: rng.normal(0, 0.5 if k == "emb" else 1 / np.sqrt(max(1, s[0] if s else 1)), s) * (k not in ("cb", "b1", "b2")) for k, s in _SHAPES})
+    m, v, step = {k: 0.0 for k in net.w}, {k: 0.0 for k in net.w}, 0
+    rows = np.flatnonzero(~fold)
+    for _ in range(epochs):
+        for part in np.array_split(rng.permutation(rows), max(1, len(rows) // 64)):
+            step += 1
+            for k, g in net.gradients(sym[part], mark[part], y[part]).items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                net.w[k] = net.w[k] - 0.006 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+    out, t = net.forward(sym[fold], mark[fold])[-1], y[fold]
+    for _ in range(300):  # Platt scaling
+        p = 1 / (1 + np.exp(-(net.slope * out + net.shift)))
+        net.slope -= 0.05 * float(np.mean((p - t) * out))
+        net.shift -= 0.05 * float(np.mean(p - t))
+    found = np.sort(net.scores(sym[fold], mark[fold])[t == 1])
+    net.threshold = float(found[int((1 - recall) * len(found))])
+    return net
+
+
+def default_network(findings: int = 3000, recall: float = 0.98) -> Network:
+    return train(labelled_findings(findings), recall)
+
+
+def findings(text: str | None, net: Network) -> list[tuple[str, int, int, float]]:
+    """All findings of a text by start and kind: (kind, start, end, calibrated score); offsets in code points."""
+    if not text:
+        return []
+    base = pattern_findings(text)
+    taken = sorted((a, b) for _, a, b in base)
+    more = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, b in taken)] if taken else candidates(text)
+    if not base and not more:
+        return []
+    spans = [(a, b) for _, a, b in base] + more
+    score = np.concatenate([net.scores(*windows(text, spans[i : i + 512])) for i in range(0, len(spans), 512)])
+    out = [(k, a, b, float(s)) for (k, a, b), s in zip(base, score, strict=False)]
+    out += [("model", a, b, float(s)) for (a, b), s in zip(more, score[len(base) :], strict=True) if s >= net.threshold]
+    return sorted(out, key=lambda f: (f[1], KINDS.index(f[0])))
+
+
+def find_secrets(docs: DataFrame, net: Network | None = None) -> DataFrame:
+    """doc_id and findings (array of kind, start, end, score) of every row.
+
+    Null and empty texts have none. Rows that repeat an id keep a row each, null ids stay null,
+    extra columns are ignored, an empty table gives no rows.
+    """
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(net or default_network())
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[dict(zip(("kind", "start", "end", "score"), f, strict=True)) for f in findings(t.as_py(), sent.value)] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "findings"])
+
+    return doc_rows(docs).mapInArrow(run, SCHEMA)
+
+
+def redact(docs: DataFrame, net: Network | None = None, mask: str = "[SECRET]") -> DataFrame:
+    """docs with every finding in ``text`` replaced by the mask (n_chars follows, if there); rows and columns stay."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(net or default_network())
+    at = docs.columns.index("text")
+
+    def clean(text: str | None) -> str | None:
+        out, end = [], 0
+        for _, a, b, _ in findings(text, sent.value):
+            if a >= end:
+                out += [text[end:a], mask]
+            end = max(end, b)
+        return "".join(out) + text[end:] if end else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(at, batch.schema.field(at), pa.array([clean(t.as_py()) for t in batch.column(at)], batch.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
