@@ -28,9 +28,9 @@ def span_list(findings: Column) -> Column:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from emberframe.llm import secrets
+    from emberframe.llm import secretscan
 
-    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    found = secretscan.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
     base = F.filter("findings", lambda f: f["kind"] != "model")
     return found.select(
