@@ -23,6 +23,16 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberframe.llm import repeats
+
+    found = repeats.repeated(table(spark, sf_dir, "documents"), length=400)
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def span_list(findings: Column) -> Column:
     return F.concat_ws(",", F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))))
 
@@ -51,6 +61,19 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberframe.llm import lmscore
+
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lmscore.score(table(spark, sf_dir, "documents"), good)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberframe.llm import annpq
+
+    return annpq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberframe.llm import langid
 
@@ -65,5 +88,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination, op10_language_id, pipeline)}
+_ALL = (
+    op1_harmonic_packing, op2_repeated_bytes, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination,
+    op7_cross_entropy_difference, op8_embedding_near_dedup, op10_language_id, pipeline,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
