@@ -77,24 +77,30 @@ class Model:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_arrays(x: np.ndarray, y: np.ndarray, languages: list[str], landmarks: int = 256, ridge: float = 1e-3, seed: int = 7) -> Model:
-    """Nyström ridge regression; sharpness of the probabilities is set on a fifth of the rows that a first fit leaves out."""
-    z = normalised(x)
+def unpacked(bits: list[bytes]) -> np.ndarray:
+    """Presence sets from their packed bits."""
+    return np.unpackbits(np.frombuffer(b"".join(bits), np.uint8)).reshape(-1, ORDERS, SLOTS)
+
+
+def fit_arrays(bits: list[bytes], y: np.ndarray, languages: list[str], landmarks: int = 256, ridge: float = 1e-3, seed: int = 7) -> Model:
+    """Nyström ridge regression on packed presence sets, which are opened a few at a time.
+
+    Sharpness of the probabilities is set on a fifth of the rows that a first fit leaves out.
+    """
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(z))
-    marks = z[order[:landmarks]]
+    marks = normalised(unpacked([bits[i] for i in rng.permutation(len(bits))[:landmarks]]))
     w, v = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = w > w.max() * 1e-7
     root = v[:, good] / np.sqrt(w[good])
-    feats = (z @ marks.T) @ root
+    feats = np.concatenate([normalised(unpacked(bits[i : i + 64])) @ marks.T for i in range(0, len(bits), 64)]) @ root
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
 
     def solve(rows: np.ndarray) -> np.ndarray:
         a = feats[rows]
         return np.linalg.solve(a.T @ a + ridge * len(rows) * np.eye(a.shape[1]), a.T @ target[rows])
 
-    part = rng.permutation(len(z))
-    held, rest = part[: len(z) // 5], part[len(z) // 5 :]
+    part = rng.permutation(len(bits))
+    held, rest = part[: len(bits) // 5], part[len(bits) // 5 :]
     best = (np.inf, 4.0)
     if len(held) and len(languages) > 1:
         f = feats[held] @ solve(rest)
@@ -102,7 +108,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, languages: list[str], landmarks: in
             g = f * s
             loss = float(np.mean(np.log(np.exp(g - g.max(1, keepdims=True)).sum(1)) + g.max(1) - g[np.arange(len(held)), y[held]]))
             best = min(best, (loss, s))
-    beta = root @ solve(np.arange(len(z)))
+    beta = root @ solve(np.arange(len(bits)))
     return Model(languages, (marks.T @ beta).astype(np.float32), best[1])
 
 
@@ -123,13 +129,12 @@ def fit(docs: DataFrame, per_language: int = 1000, landmarks: int = 256, max_lan
             got = [(lang, p) for lang, t in zip(batch.column(1).to_pylist(), batch.column(0), strict=True) if (p := presence(t.as_py())) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([np.packbits(g[1]).tobytes() for g in got], pa.binary())], names=["lang", "bits"])
 
-    got = rows.where(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "lang string, bits binary").collect()
+    got = rows.where(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "lang string, bits binary").toLocalIterator()
     got = sorted((r["lang"], bytes(r["bits"])) for r in got)
     if not got:
         return None
     languages = sorted({g[0] for g in got})
-    x = np.stack([np.unpackbits(np.frombuffer(g[1], np.uint8)).reshape(ORDERS, SLOTS) for g in got]).astype(bool)
-    return fit_arrays(x, np.array([languages.index(g[0]) for g in got]), languages, landmarks)
+    return fit_arrays([g[1] for g in got], np.array([languages.index(g[0]) for g in got]), languages, landmarks)
 
 
 def predict(docs: DataFrame, model: Model | None, batch_rows: int = 64) -> DataFrame:
