@@ -1,6 +1,6 @@
 """Exact repeated byte strings across a corpus by prefix-free parsing.
 
-A rolling hash over WINDOW bytes sets triggers, and the triggers cut every text into phrases that
+A rolling hash over WINDOW bytes sets triggers (its local minima), and the triggers cut every text into phrases that
 are the same wherever the same bytes stand. As in prefix-free parsing, a string that starts inside a
 phrase is given by the rest of that phrase (a dictionary suffix) and what the parse has next. Strings
 of a fixed length need only the ties of the suffix order, not the order itself, so grouping by
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.workspace import Workspace, doc_rows, row_key
 
-WINDOW, MEAN_PHRASE = 16, 64
+WINDOW, RADIUS = 16, 28  # a trigger is a least rolling hash among the RADIUS on either side
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.array([(i + 1) * 0xD1B54A32D192ED03 % (1 << 64) ^ (i + 1) ** 9 % (1 << 64) for i in range(256)], np.uint64)
@@ -104,8 +104,21 @@ class Parse:
         return np.searchsorted(self.triggers, at), np.searchsorted(self.triggers, at + self.reach, side="right")
 
 
-def parse(data: bytes, length: int, mean_phrase: int = MEAN_PHRASE) -> Parse:
-    """The parse of a text; a text shorter than ``length`` has no triggers."""
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` neighbours, by doubling."""
+    out, have = h, 1
+    while have < width:
+        step = min(have, width - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def parse(data: bytes, length: int) -> Parse:
+    """The parse of a text; a text shorter than ``length`` has no triggers.
+
+    A trigger stands at the first byte that its choice depends on.
+    """
     n = len(data)
     if n < length:
         return Parse(length, n, np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.int64))
@@ -113,10 +126,10 @@ def parse(data: bytes, length: int, mean_phrase: int = MEAN_PHRASE) -> Parse:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values, out=sums[1:])
     out = Parse(length, n, sums, _powers(_INVERSE, n + 1), np.zeros(0, np.int64))
-    at = np.arange(n - out.inner + 1)
-    rolling = (sums[WINDOW : WINDOW + len(at)] - sums[: len(at)]) * out.inverse[: len(at)]
+    rolling = (sums[WINDOW:] - sums[:-WINDOW]) * out.inverse[: n - WINDOW + 1]
     rolling = (rolling ^ (rolling >> np.uint64(31))) * np.uint64(0xCA5A826395121157)
-    out.triggers = np.flatnonzero(rolling < np.uint64((1 << 64) // mean_phrase))
+    least = _least(rolling, 2 * RADIUS + 1) == rolling[RADIUS : len(rolling) - RADIUS]
+    out.triggers = np.flatnonzero(least[: n - out.inner + 1])
     return out
 
 
