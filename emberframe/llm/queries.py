@@ -61,6 +61,13 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberframe.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberframe.llm import lmscore
 
@@ -74,6 +81,12 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annpq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberframe.llm import htmltext
+
+    return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberframe.llm import langid
 
@@ -90,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_harmonic_packing, op2_repeated_bytes, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination,
-    op7_cross_entropy_difference, op8_embedding_near_dedup, op10_language_id, pipeline,
+    op6_quality_cotraining, op7_cross_entropy_difference, op8_embedding_near_dedup, op9_html_main_text, op10_language_id, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
