@@ -1,4 +1,6 @@
 """All queries by name, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from emberframe.plans import model_queries
+
+QUERIES = dict(model_queries.Q)
+ORACLE_SQL = dict(model_queries.SQL)
