@@ -106,4 +106,36 @@ _ALL = (
     op6_quality_cotraining, op7_cross_entropy_difference, op8_embedding_near_dedup, op9_html_main_text, op10_language_id, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL: dict[str, str] = {}
+#: Tokenisers, XXH64, match positions and learnt models have no SQL; tests/llm hold those queries to brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op2_repeated_bytes": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, unnest(range(0, greatest(0, length(h) // 2 - 399))) AS i, h FROM d),
+k AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 800)) AS g FROM s),
+r AS (SELECT doc_id, i FROM k WHERE g IN (SELECT g FROM k GROUP BY g HAVING count(*) > 1)),
+b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 400 THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM b),
+u AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM n GROUP BY 1, 2),
+c AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM u),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS tail FROM u GROUP BY 1),
+p AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM c JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN p USING (doc_id)""",
+    "op5_benchmark_decontamination": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+n AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM n)),
+dg AS (SELECT DISTINCT doc_id, k, array_to_string(w[j:j + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM n) WHERE len(w) >= k)),
+t AS (SELECT item_id, count(*) AS item_shingles FROM ig GROUP BY 1)
+SELECT doc_id, item_id, item_shingles, count(*) AS shared_shingles, count(*) / item_shingles AS containment
+FROM ig JOIN dg USING (k, g) JOIN t USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles - 1e-9""",
+    "op8_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+}
