@@ -4,7 +4,7 @@ The network reads the characters from BEFORE in front of a candidate to AFTER be
 with a channel that marks the candidate itself: embedding, one convolution, maxima over the
 candidate and means over the window, a small dense layer. It is trained in numpy, on the driver, on
 labelled findings that ``labelled_findings`` writes from a seed. Platt scaling on held-out findings
-calibrates it, and the threshold is the largest at which their recall is still ``recall``.
+calibrates it, and the threshold is the largest, up to even odds, at which their recall is still ``recall``.
 
 Candidates are runs of token characters of ``MIN_TOKEN`` or more with a letter and a digit. Pattern
 findings stay whatever the network says; the network adds those that no pattern covers.
@@ -171,7 +171,7 @@ def train(findings: list[tuple[str, tuple[int, int], int]], recall: float = 0.98
         net.slope -= 0.05 * float(np.mean((p - t) * out))
         net.shift -= 0.05 * float(np.mean(p - t))
     found = np.sort(net.scores(sym[fold], mark[fold])[t == 1])
-    net.threshold = float(found[int((1 - recall) * len(found))])
+    net.threshold = min(0.5, float(found[int((1 - recall) * len(found))]))
     return net
 
 
