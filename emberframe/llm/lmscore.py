@@ -64,7 +64,7 @@ def losses(front: np.ndarray, pair: np.ndarray, counts: np.ndarray, own: bool, s
 
 def pair_slots_for(chars: int, most: int = 1 << 24) -> int:
     """A power of two near one slot for 256 characters of corpus, from 2**16 to ``most``."""
-    return min(most, max(1 << 16, 1 << int(np.ceil(np.log2(max(1, chars) / 256)))))
+    return min(most, max(1 << 16, 1 << (max(0, chars - 1) // 256).bit_length()))
 
 
 def _count(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -118,7 +118,8 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
             texts = [z.compress(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), batch.column(2)], names=["doc_id", "z", "chars"])
 
-    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("t", F.lit(1))
+    # labels grow with the corpus: the same merge join at every size, never a broadcast that a larger input outgrows
+    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("t", F.lit(1)).hint("merge")
     packed = doc_rows(docs).withColumn("chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).mapInArrow(pack, "doc_id long, z binary, chars long")
     texts = ws.save(packed.join(wanted, "doc_id", "left").select("doc_id", "z", "chars", F.col("t").isNotNull().alias("target")), "texts")
     amount = {r["target"]: r["n"] or 0 for r in texts.groupBy("target").agg(F.sum("chars").alias("n")).collect()}
