@@ -35,7 +35,7 @@ _SLOTS: dict[str, int] = {}
 
 def word_slots(text: str) -> np.ndarray:
     """Vocabulary slot of each word; words are split at white space and lower-cased. Slot 0 marks the beginning."""
-    if len(_SLOTS) > 500_000:
+    if len(_SLOTS) > 150_000:
         _SLOTS.clear()
     known, digest, out = _SLOTS, xxhash.xxh32_intdigest, [0]
     for w in text.lower().split():
@@ -62,7 +62,7 @@ def losses(front: np.ndarray, pair: np.ndarray, counts: np.ndarray, own: bool, s
     return float(-(np.log(scale * c + ALPHA) - np.log(scale * f + ALPHA * VOCABULARY)).sum())
 
 
-def pair_slots_for(chars: int, most: int = 1 << 24) -> int:
+def pair_slots_for(chars: int, most: int = 1 << 23) -> int:
     """A power of two near one slot for 256 characters of corpus, from 2**16 to ``most``."""
     return min(most, max(1 << 16, 1 << (max(0, chars - 1) // 256).bit_length()))
 
