@@ -36,7 +36,7 @@ def words(text: str | None) -> list[str]:
 
 def word_hashes(ws: list[str]) -> np.ndarray:
     """64-bit hashes; those of words seen lately are kept."""
-    if len(_KNOWN) > 500_000:
+    if len(_KNOWN) > 150_000:
         _KNOWN.clear()
     known, digest = _KNOWN, xxhash.xxh64_intdigest
     out = []

@@ -36,7 +36,7 @@ def text_view(text: str | None) -> np.ndarray:
     if not words:
         out[-1] = 1
         return out
-    if len(_SLOT) > 500_000:
+    if len(_SLOT) > 150_000:
         _SLOT.clear()
     known, digest, slots = _SLOT, xxhash.xxh32_intdigest, []
     for w in words:
