@@ -161,16 +161,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = 2
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "annpq")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    item = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{item}>").alias("v"), F.col("label").cast("string").alias("label"))
     sound = (
         F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
         & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     )
     sound = F.coalesce(sound, F.lit(False))
-    # a common power of two keeps squares in range; it changes no bit of a cosine
-    top = F.array_max(F.transform("v", F.abs))
-    v = F.when((top > 1e100) | (top < 1e-100), F.transform("v", lambda c: c / top)).otherwise(F.col("v"))
-    good = rows.where(sound).select("vec_id", "label", F.transform(v, lambda c: c + F.lit(0.0)).alias("v"))
+    v = F.col("v")
+    if item == "double":  # keep squares in range
+        top = F.array_max(F.transform("v", lambda c: F.abs(c)))
+        v = F.when((top > 1e100) | (top < 1e-100), F.transform("v", lambda c: c / top)).otherwise(v)
+    good = rows.where(sound).select("vec_id", "label", F.transform(v, lambda c: c + F.lit(0).cast(item)).alias("v"))
     nodes = ws.save(good.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")), "nodes")
     sizes = {r[0]: r[1] for r in nodes.groupBy(F.size("v").alias("d")).count().collect()}
     edges = None
@@ -212,7 +214,7 @@ def _links(ws: Workspace, nodes: DataFrame, book: Codebook, threshold: float, bl
             home, lists = probes(x / np.sqrt((x**2).sum(1))[:, None], sent.value, reach)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["label", "v", "node", "mult", "home", "lists"])
 
-    placed = ws.save(nodes.select("label", "v", "node", "mult").mapInArrow(place, "label string, v array<double>, node long, mult long, home long, lists array<long>"), f"placed{d}")
+    placed = ws.save(nodes.select("label", "v", "node", "mult").mapInArrow(place, f"label string, v {dict(nodes.dtypes)['v']}, node long, mult long, home long, lists array<long>"), f"placed{d}")
     full = placed.groupBy("label", F.col("home").alias("list")).agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     index = placed.join(full.withColumnRenamed("list", "home"), ["label", "home"]).select(
         "label", F.col("home").alias("list"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).cast("long").alias("role"), "node", "mult", "v"
