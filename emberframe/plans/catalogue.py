@@ -1,6 +1,7 @@
 """All queries by name, with the SQL that checks them."""
 
-from emberframe.plans import model_queries
+from emberframe.plans import model_queries, workflow_queries  # noqa: F401  (they register themselves)
+from emberframe.plans.metric_queries import SQL, Q
 
-QUERIES = dict(model_queries.Q)
-ORACLE_SQL = dict(model_queries.SQL)
+QUERIES = dict(Q)
+ORACLE_SQL = dict(SQL)
