@@ -1,7 +1,8 @@
 """Rate-of-spread kernels as columns, in m/s. All arguments are columns or numbers.
 
-``let`` binds intermediate values once a row, so that an expression stays small
-however often its parts are used.
+``let`` names intermediate values; Catalyst computes equal parts of a projection once, as long as they stand
+outside conditional branches, so kernels choose between finished values with ``either``. ``bind``
+computes values once a row by itself; the fixed point needs that, since a lambda's body is interpreted.
 """
 
 from __future__ import annotations
@@ -20,7 +21,16 @@ def col(x: Value) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+def let(values: dict[str, Column], body: Callable[[dict[str, Column]], Column]) -> Column:
+    return body({k: v.cast("double") for k, v in values.items()})
+
+
+def either(condition: Column, yes: Column, no: Column) -> Column:
+    """yes or no, both computed; NULL where the condition is."""
+    return F.get(F.array(no, yes), condition.cast("int"))
+
+
+def bind(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
     """body of a struct of values, each computed once."""
     bound = F.array(F.struct(*[v.cast("double").alias(k) for k, v in values.items()]))
     return F.element_at(F.transform(bound, body), 1)
@@ -65,7 +75,7 @@ def rothermel(fuel_load, height, density, savr, extinction, mineral_total, miner
             return still * (1 + by_wind + by_slope) * 0.00508
 
         brush = clamp(F.pow(clamp(v["u"], 0.0), F.lit(1.41)) * 1.2974, 0.03333)
-        return F.least(F.when(v["ch"] == 0, let(second, spread)).otherwise(brush), F.lit(ROS_CAP))
+        return F.least(either(v["ch"] == 0, let(second, spread), brush), F.lit(ROS_CAP))
 
     return let(first, surface)
 
@@ -103,25 +113,26 @@ def balbi(dead_ratio, fuel_load, height, density, savr, wind, slope, moisture, i
             }
 
             def solve(c: Column) -> Column:
-                fourth = {"view": 1 - F.sin(c["g"]) + F.cos(c["g"]), "den": F.cos(c["g"]) / (v["s"] * R00), "k2": c["tilt"] * F.tan(c["g"]), "ex": -v["bt"] / v["front"], "u": v["u"], "rb": c["rb"], "a": c["a"], "k1": c["k1"]}
+                fourth = {"den": F.cos(c["g"]) / (v["s"] * R00), "lean": c["a"] * (1 - F.sin(c["g"]) + F.cos(c["g"])), "kt": c["k1"] * c["tilt"] * F.tan(c["g"]), "ku": c["k1"] * v["u"], "ex": -v["bt"] / v["front"], "rb": c["rb"]}
 
                 def iterate(k: Column) -> Column:
+                    near = lambda state: F.abs(state["r"] - state["before"]) < tolerance
+
                     def step(state: Column, _: Column) -> Column:
                         r = state["r"]
-                        nxt = k["rb"] + F.greatest(F.lit(0.0), k["k1"] * (k["k2"] + k["u"] * F.exp(k["ex"] * r))) + k["a"] * r * k["view"] / (1 + r * k["den"])
-                        moved = F.struct(nxt.alias("r"), (F.abs(nxt - r) < tolerance).alias("done"))
-                        return F.when(state["done"], state).otherwise(moved)
+                        nxt = k["rb"] + F.greatest(F.lit(0.0), k["kt"] + k["ku"] * F.exp(k["ex"] * r)) + k["lean"] * r / (1 + r * k["den"])
+                        return F.when(near(state), state).otherwise(F.struct(r.alias("before"), nxt.alias("r")))
 
-                    start = F.struct(k["rb"].alias("r"), F.lit(False).alias("done"))
-                    return F.aggregate(F.sequence(F.lit(1), F.lit(max_iterations)), start, step, lambda s: F.when(s["done"], F.least(s["r"], F.lit(ROS_CAP))).when(s["r"].isNotNull(), 0.0))
+                    start = F.struct(F.lit(float("inf")).alias("before"), k["rb"].alias("r"))
+                    return F.aggregate(F.sequence(F.lit(1), F.lit(max_iterations)), start, step, lambda s: F.when(near(s), F.least(s["r"], F.lit(ROS_CAP))).when(s["r"].isNotNull(), 0.0))
 
-                return let(fourth, iterate)
+                return bind(fourth, iterate)
 
-            return let(third, solve)
+            return bind(third, solve)
 
-        return let(second, speed)
+        return bind(second, speed)
 
-    return let(first, front)
+    return bind(first, front)
 
 
 def santoni(fuel_load, dead_ratio, height, density_dead, density_live, savr_dead, savr_live, wind, slope, moisture_dead, moisture_live, ignition_temperature=600.0, air_temperature=300.0, air_density=1.125) -> Column:
@@ -151,7 +162,7 @@ def santoni(fuel_load, dead_ratio, height, density_dead, density_live, savr_dead
             def tilted(c: Column) -> Column:
                 lean = c["rs"] / F.cos(c["g"])
                 rt = c["r0"] + c["a"] * lean * (1 + F.sin(c["g"]) - F.cos(c["g"])) - lean
-                return F.least(F.when(c["g"] > 0, 0.5 * (rt + F.sqrt(rt * rt + 4 * lean * c["r0"]))).otherwise(c["r0"]), F.lit(ROS_CAP))
+                return F.least(either(c["g"] > 0, 0.5 * (rt + F.sqrt(rt * rt + 4 * lean * c["r0"])), c["r0"]), F.lit(ROS_CAP))
 
             return let(third, tilted)
 
@@ -186,7 +197,7 @@ def hamada_1(side, separation, wind_u, wind_v, normal_x, normal_y, resistant=0.6
             e = (r["down"] - r["across"]) / r["down"]
             ahead = r["down"] * r["down"] / (2 * r["down"] - r["across"]) * (1 - e * e) / (1 - e * r["k"])
             behind = r["across"] * r["up"] / F.sqrt(r["up"] * r["up"] * (1 - r["k"] * r["k"]) + F.pow(r["across"] * r["k"], F.lit(2.0)))
-            return F.when(r["k"] >= 0, ahead).otherwise(behind) / 60
+            return either(r["k"] >= 0, ahead, behind) / 60
 
         return let(second, ellipse)
 
