@@ -133,6 +133,17 @@ def parse(data: bytes, length: int) -> Parse:
     return out
 
 
+def parses(data: bytes, length: int, core: int = 1 << 20) -> Iterator[tuple[int, int, int, Parse]]:
+    """Parses of a text's stretches, so that memory does not follow its length: where the stretch begins,
+    the part of it (from, to) that is its own, and its parse. Margins hold all that an own trigger or string
+    depends on, and keys do not depend on where a stretch begins."""
+    n = len(data)
+    for low in range(0, n if n >= length else 0, core):
+        high = min(low + core, n)
+        begin = max(0, low - 2 * length)
+        yield begin, low - begin, high - begin, parse(data[begin : min(n, high + 3 * length)], length)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
@@ -148,46 +159,54 @@ def _text_bytes(value) -> bytes:
 
 
 def _parses(docs: DataFrame, length: int, schema: str, rows):
-    """rows(parse) -> columns of one text, put before the text's key ``k``."""
+    """rows(parse) -> columns by trigger, put before the text's key ``k``; the column ``b`` holds places."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                p = parse(_text_bytes(text), length)
-                got = rows(p)
-                if len(got[0]):
-                    for c, v in zip(columns, [*got, np.full(len(got[0]), k, np.int64)], strict=True):
-                        c.append(v)
+                for begin, low, high, p in parses(_text_bytes(text), length):
+                    own = (p.triggers >= low) & (p.triggers < high)
+                    if own.any():
+                        got = [v[own] + begin if name == "b" else v[own] for name, v in zip(names, rows(p), strict=False)]
+                        for c, v in zip(columns, [*got, np.full(len(got[0]), k, np.int64)], strict=True):
+                            c.append(v)
             yield _batch(" ".join(names), *columns)
 
     return doc_rows(docs).select(row_key().alias("k"), "text").mapInArrow(run, schema)
 
 
-def _singles(p: Parse, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _singles(p: Parse, low: int, high: int, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From the flags of the triggers (0: unique, else bit 1: seen, bit 2: repeats, bit 4: write its strings):
-    starts known to repeat, starts to be counted, and the weight of these."""
+    starts from low to high known to repeat, starts to be counted, and the weight of these."""
     first, end = p.owners()
     none = first == end
     unique = np.concatenate([[0], np.cumsum(flags == 0)])
     open_ = ~none & (unique[end] == unique[first])
     own = flags[np.minimum(first, max(0, len(flags) - 1))] if len(flags) else np.zeros(len(first), np.int64)
-    repeats = open_ & (own & 2 > 0)
-    count = none | (open_ & (own & 4 > 0))
+    own_part = np.arange(len(first))
+    own_part = (own_part >= low) & (own_part < high)
+    repeats = own_part & open_ & (own & 2 > 0)
+    count = own_part & (none | (open_ & (own & 4 > 0)))
     starts = np.flatnonzero(count)
     return np.flatnonzero(repeats), starts, np.where(repeats[starts], 2, 1)
 
 
-def _flags(p: Parse, packed: list[int] | None) -> np.ndarray:
+def _flags(p: Parse, begin: int, packed: np.ndarray) -> np.ndarray:
+    """Flags of a stretch's triggers from place * 8 + flag of the whole text."""
     out = np.zeros(len(p.triggers), np.int64)
-    if packed:
-        v = np.array(packed, np.int64)
-        at = np.searchsorted(p.triggers, v >> 3)
-        np.bitwise_or.at(out, at, v & 7)
+    place = (packed >> 3) - begin
+    inside = np.isin(place, p.triggers)
+    np.bitwise_or.at(out, np.searchsorted(p.triggers, place[inside]), packed[inside] & 7)
     return out
 
 
+def _longs(value) -> np.ndarray:
+    """An Arrow list (or null) as an array."""
+    return np.asarray(value.values, np.int64) if value.is_valid else np.zeros(0, np.int64)
+
+
 def _compressed(docs: DataFrame) -> DataFrame:
     """doc_id, k, and the text's bytes compressed for the shuffle."""
 
@@ -242,13 +261,12 @@ def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
         for batch in batches:
             cols: list[list] = [[], [], [], []]
             for k, z, fl in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                p = parse(_unpack(z), length)
-                if not p.strings():
-                    continue
-                _, starts, weight = _singles(p, _flags(p, fl.as_py()))
-                if len(starts):
-                    for c, v in zip(cols, (p.string_keys(starts), weight, np.full(len(starts), k, np.int64), starts), strict=True):
-                        c.append(v)
+                packed = _longs(fl)
+                for begin, low, high, p in parses(_unpack(z), length):
+                    _, starts, weight = _singles(p, low, high, _flags(p, begin, packed))
+                    if len(starts):
+                        for c, v in zip(cols, (p.string_keys(starts), weight, np.full(len(starts), k, np.int64), starts + begin), strict=True):
+                            c.append(v)
             yield _batch("g w k s", *cols)
 
     texts = _compressed(docs).join(by_doc, "k", "left")
@@ -270,13 +288,13 @@ def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
                     spans.append([])
                     kept.append(data)
                     continue
-                p = parse(data, length)
-                edge = np.zeros(len(data) + 1, np.int64)
-                known, _, _ = _singles(p, _flags(p, fl.as_py()))
-                starts = np.union1d(known, np.array(hit.as_py() or [], np.int64))
+                packed = _longs(fl)
+                known = [_singles(p, low, high, _flags(p, begin, packed))[0] + begin for begin, low, high, p in parses(data, length)]
+                starts = np.unique(np.concatenate([*known, _longs(hit)]))
+                edge = np.zeros(len(data) + 1, np.int8)
                 edge[starts] += 1
                 edge[starts + length] -= 1
-                covered = np.cumsum(edge[:-1]) > 0
+                covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
                 spans.append([{"start": int(a), "end": int(b)} for a, b in turn.reshape(-1, 2)])
                 kept.append(np.frombuffer(data, np.uint8)[~covered].tobytes())

@@ -57,6 +57,25 @@ def test_other_length_and_empty(spark):
     assert repeats.repeated(df.limit(0)).count() == 0
 
 
+def test_stretches_of_long_texts(monkeypatch):
+    """A text parsed in stretches has the triggers, keys and strings of the whole."""
+    import numpy as np
+
+    r = random.Random(8)
+    data = bytes(r.choice(b"abcd ") for _ in range(9000)) + b"x" * 1500 + bytes(r.choice(b"ab") for _ in range(2500))
+    whole = repeats.parse(data, 400)
+    want = list(zip(whole.triggers.tolist(), whole.inner_keys().tolist(), whole.reach_keys().tolist(), strict=True))
+    got, starts = [], []
+    for begin, low, high, p in repeats.parses(data, 400, core=1000):
+        own = (p.triggers >= low) & (p.triggers < high)
+        got += zip((p.triggers[own] + begin).tolist(), p.inner_keys()[own].tolist(), p.reach_keys()[own].tolist(), strict=True)
+        _, s, _ = repeats._singles(p, low, high, repeats._flags(p, begin, whole.triggers * 8 + 5))
+        starts += zip((s + begin).tolist(), p.string_keys(s).tolist(), strict=True)
+    assert got == want
+    _, s, _ = repeats._singles(whole, 0, len(data), np.full(len(whole.triggers), 5))
+    assert starts == list(zip(s.tolist(), whole.string_keys(s).tolist(), strict=True)) and len(starts) == len(data) - 399
+
+
 def test_triggers_are_local():
     import numpy as np
 
