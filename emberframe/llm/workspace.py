@@ -41,8 +41,15 @@ class Workspace:
         if not base:
             base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path, fs = self._path()
+        fs.deleteOnExit(path)
         ship(spark)
 
+    def _path(self, name: str = ""):
+        """Hadoop path of a table (or of all), and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -50,8 +57,8 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = self._path(name)
+            fs.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
