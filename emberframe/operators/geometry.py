@@ -116,6 +116,48 @@ def polygon_overlap(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b", proj
     return out.withColumns({"jaccard": F.try_divide(F.col("area_both"), union), "dice": F.try_divide(2 * F.col("area_both"), F.col("area_a") + F.col("area_b"))})
 
 
+def shape_overlap(rings: DataFrame, *key: str, projection: str = "EPSG:5070") -> DataFrame:
+    """Overlap of shapes of several parts and holes: key, area_a, area_b, area_both, jaccard, dice.
+
+    rings: the key, side ('a' or 'b'), hole (true for a hole) and ring. Rings of one key meet pairwise, and areas add
+    up with a minus for each hole, so a shape's pairs are spread over tasks. A key without one side shares nothing.
+    """
+    signed = rings.select(*key, "side", F.when(F.col("hole"), -1.0).otherwise(1.0).alias("sign"), project_ring(F.col("ring"), projection).alias("ring"))
+    side = F.col("side")
+    area = ring_area(F.col("ring")) * F.col("sign")
+    areas = signed.groupBy(*key).agg(*[F.coalesce(F.sum(F.when(side == s, area)), F.lit(0.0)).alias(f"area_{s}") for s in "ab"])
+
+    @F.pandas_udf("double")
+    def shared(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([overlap_area([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(first, second, strict=True)])
+
+    a, b = (signed.where(side == s).select(*key, F.col("sign").alias(f"sign_{s}"), F.col("ring").alias(f"ring_{s}")) for s in "ab")
+    both = a.join(b, list(key)).groupBy(*key).agg(F.sum(F.col("sign_a") * F.col("sign_b") * shared("ring_a", "ring_b")).alias("area_both"))
+    out = areas.join(both, list(key), "left").fillna(0.0, ["area_both"])
+    union = F.col("area_a") + F.col("area_b") - F.col("area_both")
+    return out.withColumns({"jaccard": F.try_divide(F.col("area_both"), union), "dice": F.try_divide(2 * F.col("area_both"), F.col("area_a") + F.col("area_b"))})
+
+
+def smooth(grid: DataFrame, sigma: float, grid_id: str = "grid_id", row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
+    """grid with Gaussian-smoothed values: mirrored edges, kernel cut at four sigma; missing values spread as far as the kernel reaches.
+
+    One pass a direction: every pixel sends its weighted value to its neighbours on the line, and an aggregate adds them up.
+    """
+    radius = int(4 * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    total = sum(weights)
+    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / total).alias("w")) for k, w in zip(range(-radius, radius + 1), weights, strict=True)])
+    sizes = grid.groupBy(grid_id).agg((F.max(row) + 1).alias("_rows"), (F.max(col) + 1).alias("_cols"))
+    cells = grid.select(grid_id, row, col, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v")).join(F.broadcast(sizes), grid_id)
+    for at, n in ((row, "_rows"), (col, "_cols")):
+        mirrored = F.explode(F.array(F.col(at), -1 - F.col(at), 2 * F.col(n) - 1 - F.col(at)))
+        sent = cells.withColumn("_s", mirrored).withColumn("_k", F.explode(kernel)).withColumn("_t", F.col("_s") + F.col("_k.k")).where((F.col("_t") >= 0) & (F.col("_t") < F.col(n)))
+        keep = [c for c in (grid_id, row, col, "_rows", "_cols") if c != at]
+        summed = F.when(F.count_if(F.col("v").isNull()) == 0, F.sum(F.col("v") * F.col("_k.w"))).alias("v")
+        cells = sent.groupBy(*keep, F.col("_t").alias("_at")).agg(summed).withColumnRenamed("_at", at)
+    return grid.drop(value).join(cells.select(grid_id, row, col, F.col("v").alias(value)), [grid_id, row, col])
+
+
 def _cell_pieces(corners: list[tuple[float, float, float]], level: float) -> list[tuple[float, float]]:
     """The part of a triangle where the value is at most level; values run linearly along its sides."""
     out = []

@@ -78,5 +78,18 @@ def gpg_sign(data: bytes, key_id: str) -> str:
     return subprocess.run(["gpg", "--batch", "--armor", "--detach-sign", "--local-user", key_id], input=data, capture_output=True, check=True).stdout.decode()
 
 
+def gpg_verify(data: bytes, signature: str, public_key: str) -> bool:
+    """Whether a detached signature of data verifies with a public key, in a key ring of its own."""
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as home:
+        Path(home, "data").write_bytes(data)
+        Path(home, "sig").write_text(signature, encoding="ascii")
+        gpg = ["gpg", "--homedir", home, "--batch"]
+        if subprocess.run([*gpg, "--import"], input=public_key.encode(), capture_output=True, check=False).returncode:
+            return False
+        return not subprocess.run([*gpg, "--verify", f"{home}/sig", f"{home}/data"], capture_output=True, check=False).returncode
+
+
 def write_results(value: dict, path: str) -> None:
     Path(path).write_text(json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False), encoding="utf-8")

@@ -38,6 +38,23 @@ def provider_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PROVIDER_HEIGHTS), "provider string, source string, height double")
 
 
+def read_heights(spark: SparkSession, path: str) -> DataFrame:
+    """station_id, provider, source, height from JSON of the form {station: {variable: height, "provider": name}}."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,map<string,string>>")).alias("station_id", "m"))
+    rows = raw.select("station_id", F.element_at("m", "provider").alias("provider"), F.explode(F.map_filter("m", lambda k, _: k != "provider")).alias("source", "height"))
+    return rows.withColumn("height", F.col("height").try_cast("double"))
+
+
+def trusted_heights(heights: DataFrame) -> DataFrame:
+    """The heights that came with the stations' own data: the history of the next import."""
+    return heights.where("height_source = 'from_data'").select("station_id", "provider", "source", "height")
+
+
+def height_statistics(heights: DataFrame) -> DataFrame:
+    """Variables by source of their sensor height, and how many of these are trusted."""
+    return heights.groupBy("height_source").agg(F.count("*").alias("variables"), F.count_if(F.col("trust") == TRUST_HIGHEST).alias("trusted"))
+
+
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     """One row per station of JSON files of the station service."""
     return spark.read.schema(_STATION).json(path, multiLine=True).select(F.inline("STATION"))

@@ -180,3 +180,30 @@ def test_contour(spark):
     assert area == pytest.approx(math.pi * (8**2 - 3**2 + 1), rel=5e-3)
     hole = grid.withColumn("value", F.when((F.col("row") == 60) & (F.col("col") == 60), None).otherwise(F.lit(-1.0)))
     assert geometry.filled_area(hole, 0.0).first().area == pytest.approx(400 - 4 / 36)
+
+
+def test_shapes_with_holes(spark):
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    rows = [(1, "a", False, square(0.0, 0.0, 4.0)), (1, "a", True, square(1.0, 1.0, 1.0)), (1, "b", False, square(0.0, 0.0, 2.0)), (1, "b", False, square(3.0, 3.0, 2.0)), (2, "a", False, square(0.0, 0.0, 1.0))]
+    df = spark.createDataFrame(rows, "id int, side string, hole boolean, ring array<struct<x:double,y:double>>")
+    got = {r.id: r for r in geometry.shape_overlap(df, "id", projection="EPSG:6933").collect()}
+    assert got[1].area_a / got[1].area_both == pytest.approx(15 / 4, rel=2e-2) and got[2].jaccard == 0 and got[2].area_b == 0
+
+
+def test_smooth(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(9, 7))
+    df = spark.createDataFrame([(1, r, c, float(z[r, c])) for r in range(9) for c in range(7)], "grid_id int, row int, col int, value double")
+    sigma, radius = 0.8, 3
+    w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    w /= w.sum()
+    want = z
+    for axis in (0, 1):
+        padded = np.pad(want, [(radius, radius) if k == axis else (0, 0) for k in (0, 1)], mode="symmetric")
+        want = sum(x * np.take(padded, range(i, i + want.shape[axis]), axis) for i, x in enumerate(w))
+    for r in geometry.smooth(df, sigma).collect():
+        assert r.value == pytest.approx(want[r.row, r["col"]])
+    hole = geometry.smooth(df.withColumn("value", F.when((F.col("row") != 0) | (F.col("col") != 0), F.col("value"))), sigma)
+    assert hole.where("value is null").count() == 16

@@ -44,6 +44,17 @@ def test_stations(spark, tmp_path):
     assert sorted((r.source, r.height, r.height_source, r.trust) for r in heights.collect()) == [("air_temp_set_1", 3.0, "from_data", 2), ("wind_speed_set_1", 6.1, "provider_default", 1)]
 
 
+def test_height_tables(spark, tmp_path):
+    (tmp_path / "h.json").write_text(json.dumps({"S1": {"air_temp_set_1": "2.0", "provider": "P"}, "S2": {"provider": "Q", "wind_speed_set_1": "6.1", "wind_gust_set_1": "6.1"}}))
+    history = stations.read_heights(spark, str(tmp_path / "h.json"))
+    assert sorted(map(tuple, history.collect())) == [("S1", "P", "air_temp_set_1", 2.0), ("S2", "Q", "wind_gust_set_1", 6.1), ("S2", "Q", "wind_speed_set_1", 6.1)]
+    sensors = spark.createDataFrame([("S1", "P", "air_temp_set_1", None), ("S3", "P", "air_temp_set_1", 3.0)], "station_id string, provider string, source string, data_height double")
+    none = history.limit(0)
+    heights = stations.sensor_heights(sensors, none, history, stations.provider_table(spark), stations.variable_table(spark))
+    assert {r.height_source: (r.variables, r.trusted) for r in stations.height_statistics(heights).collect()} == {"trusted_history": (1, 1), "from_data": (1, 1)}
+    assert [tuple(r) for r in stations.trusted_heights(heights).collect()] == [("S3", "P", "air_temp_set_1", 3.0)]
+
+
 def test_rasters(spark, tmp_path):
     np.save(tmp_path / "a.npy", np.array([[0, 1, 2], [3, 4, 0]], np.uint8))
     grid = rasters.standardize(rasters.read_npy(spark, str(tmp_path / "a.npy")), "mtbs", (10.0, 50.0), (1.0, -1.0))
