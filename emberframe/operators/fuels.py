@@ -56,12 +56,12 @@ def closest_class(observations: DataFrame, classes: DataFrame, properties: list[
 
     The default weight is 1 / |target|, and 1 for a target of 0. A missing distance wins over any
     other, ties go to the smaller class. Units of both sides are aligned by column metadata.
-    The class table is folded into one array value (its rows are the fuel classes, tens of them), so
-    nothing is shuffled and every observation stays one row.
+    The class table is folded into one array (its rows are the fuel classes, tens of them), which a scalar
+    subquery hands to every row: no join, no shuffle.
     """
     packed = classes.select(
         F.struct(F.col(class_column).alias("c"), *[units.convert(F.col(p).cast("double"), units.units_of(classes, p), units.units_of(observations, p)).alias(p) for p in properties]).alias("s")
-    ).agg(F.array_sort(F.collect_list("s")).alias("_classes"))
+    ).agg(F.array_sort(F.collect_list("s")).alias("c"))
 
     def distance(c: Column) -> Column:
         parts = []
@@ -73,12 +73,16 @@ def closest_class(observations: DataFrame, classes: DataFrame, properties: list[
         return F.struct(F.when(total.isNull() | F.isnan(total), 0).otherwise(1).alias("known"), F.coalesce(total, F.lit(0.0)).alias("d"), c["c"].alias("c"))
 
     best = F.array_min(F.transform("_classes", distance))["c"]
-    return observations.crossJoin(F.broadcast(packed)).withColumn("closest_class", best).drop("_classes")
+    return observations.withColumn("_classes", packed.scalar()).withColumn("closest_class", best).drop("_classes")
 
 
 def sample_classes(samples: DataFrame, fuel: DataFrame) -> DataFrame:
-    """Every sample with every fuel class; the class table (one row a class) is sent to all tasks."""
-    return samples.join(F.broadcast(fuel))
+    """Every sample with every fuel class: the class table, folded into an array, is unfolded at each sample."""
+    packed = fuel.agg(F.array_sort(F.collect_list(F.struct(*fuel.columns))).alias("c"))
+    out = samples.select("*", F.inline(packed.scalar()))
+    for c in fuel.columns:
+        out = out.withMetadata(c, fuel.schema[c].metadata)
+    return out
 
 
 def value_by_category(values: Column, category: Column) -> Column:
