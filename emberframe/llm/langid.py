@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.workspace import doc_rows, ship
+from emberframe.llm.workspace import Workspace, doc_rows, ship
 
 ORDERS, SLOTS = 4, 8192
 _LETTER: list[np.ndarray] = []
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, per_language: int = 1000, landmarks: int = 256, max_lan
 
     The rows are reduced to their presence sets (4 KB each) where they lie. None if there is nothing to learn.
     """
-    rows = doc_rows(docs, "lang").where("lang is not null and text is not null")
+    rows = doc_rows(docs, "lang").where("lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
     if not counts:
         return None
@@ -129,8 +129,9 @@ def fit(docs: DataFrame, per_language: int = 1000, landmarks: int = 256, max_lan
             got = [(lang, p) for lang, t in zip(batch.column(1).to_pylist(), batch.column(0), strict=True) if (p := presence(t.as_py())) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([np.packbits(g[1]).tobytes() for g in got], pa.binary())], names=["lang", "bits"])
 
-    got = rows.where(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "lang string, bits binary").toLocalIterator()
-    got = sorted((r["lang"], bytes(r["bits"])) for r in got)
+    ws = Workspace(docs.sparkSession, "langid")
+    sample = ws.save(rows.where(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(run, "lang string, bits binary"), "sample")
+    got = sorted((r["lang"], bytes(r["bits"])) for r in sample.toLocalIterator())
     if not got:
         return None
     languages = sorted({g[0] for g in got})

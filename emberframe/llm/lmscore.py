@@ -130,7 +130,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     parts = texts.select("z", "target").mapInArrow(lambda b: _count(b, size), "block long, z binary")
     sums = parts.repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_add, "block long, z binary")
     counts = np.zeros((2, size), np.int64)
-    for r in sums.toLocalIterator():
+    for r in ws.save(sums, "sums").toLocalIterator():
         counts[:, r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["z"])), np.int64).reshape(2, BLOCK)
     sent = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
 

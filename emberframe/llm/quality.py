@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.workspace import doc_rows, ship
+from emberframe.llm.workspace import Workspace, doc_rows, ship
 
 WORD_SLOTS, SHAPES = 1024, 24
 META_SLOTS = 256
@@ -164,9 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 60
     rows = doc_rows(docs, "source", "lang").where("doc_id is not null")
     some = known.where(draw("labelled", labelled / n)).limit(2 * labelled)
     mine = rows.join(F.broadcast(some), "doc_id").select("text", "source", "lang", "y")
-    others = rows.where(draw("pool", pool / max(1, total - n) if total > n else 0)).join(known.select("doc_id"), "doc_id", "left_anti").limit(2 * pool)
+    others = rows.where(draw("pool", pool / max(1, total - n) if total > n else 0)).join(known.select("doc_id"), "doc_id", "left_anti")
     both = mine.unionByName(others.select("text", "source", "lang", F.lit(None).cast("int").alias("y")))
-    got = sorted(((r["y"], bytes(r["t"]), bytes(r["m"])) for r in both.mapInArrow(_features, "t binary, m binary, y int").toLocalIterator()), key=lambda r: (-1 if r[0] is None else r[0], xxhash.xxh64_intdigest(r[1] + r[2])))
+    sample = Workspace(docs.sparkSession, "quality").save(both.mapInArrow(_features, "t binary, m binary, y int"), "sample")
+    got = sorted(((r["y"], bytes(r["t"]), bytes(r["m"])) for r in sample.toLocalIterator()), key=lambda r: (-1 if r[0] is None else r[0], xxhash.xxh64_intdigest(r[1] + r[2])))
     matrix = lambda part, i: np.stack([np.frombuffer(r[i], np.float16) for r in part]).astype(np.float32)
     lab, free = [r for r in got if r[0] is not None], [r for r in got if r[0] is None]
     lab.sort(key=lambda r: xxhash.xxh64_intdigest(r[1] + r[2]))
