@@ -30,17 +30,20 @@ def encoder(path: str):
 
     Where the same vocabulary lies beside it as ranks (.tiktoken), ordinary texts go through the
     faster byte-pair code; the tests hold both to the same ids. A text that spells a special token
-    always takes ``tokenizers``.
+    always takes ``tokenizers``, which is loaded for the first such text.
     """
     if path not in _LOADED:
         import base64
         import json
         import os
 
-        from tokenizers import Tokenizer
+        def plain(text: str) -> list[int]:
+            if (path, "plain") not in _LOADED:
+                from tokenizers import Tokenizer
+
+                _LOADED[path, "plain"] = Tokenizer.from_file(path)
+            return _LOADED[path, "plain"].encode(text, add_special_tokens=False).ids
 
-        slow = Tokenizer.from_file(path)
-        plain = lambda text: slow.encode(text, add_special_tokens=False).ids
         ranks_file = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks_file):
             import public_tokenizers
@@ -49,7 +52,7 @@ def encoder(path: str):
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            with open(path) as f:
+            with open(path, encoding="utf-8") as f:
                 special = [x["content"] for x in json.load(f).get("added_tokens", [])]
             _LOADED[path] = lambda text: plain(text) if any(s in text for s in special) else fast.encode_ordinary(text)
         else:

@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers started outside the repository folder."""
+    """Readies a session for Python tasks: Arrow batches of BATCH_BYTES at most, which bound what a task holds
+    beside its own state, and the package on the path of workers started outside the repository folder."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
     known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT in known or os.getcwd() == _ROOT or getattr(spark.sparkContext, "_emberframe_shipped", False):
         return
