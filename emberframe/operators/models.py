@@ -45,11 +45,7 @@ class Model:
         if missing:
             raise ValueError(f"{self.name}: missing inputs {missing}")
         args = {p.arg: F.col(p.std_name) if p.std_name in df.columns else F.lit(p.default) for p in self.params}
-        return df.withColumn(self.output, self.kernel(**args, **options), ).withMetadata(self.output, {"units": self.output_units, "std_name": self.output})
-
-
-def _ros(*params: Param) -> tuple[Param, ...]:
-    return params
+        return df.withColumn(self.output, self.kernel(**args, **options)).withMetadata(self.output, {"units": self.output_units, "std_name": self.output})
 
 
 _WIND = Param("wind", "wind_speed", "m s-1")

@@ -10,8 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# What each level needs, best first.
-_RUN, _OBSERVED, _MODEL, _INPUTS = "fb-benchmark-run-internal", "obs-fb-verified-obs-dataset", "model-fb-model-run-internal", "model-fb-verified-input-requirements"
+# Certificates of a run, its observations, its model run and the model's inputs; and what each level needs, best first.
+_RUN, _OBSERVED, _MODEL, _INPUTS = "benchmark-run-internal", "obs-verified-obs-dataset", "model-model-run-internal", "model-verified-input-requirements"
 LEVELS = (("VL-A+", (_RUN, _OBSERVED, _MODEL, _INPUTS)), ("VL-A", (_RUN, _OBSERVED, _MODEL)), ("VL-B", (_RUN, _OBSERVED)))
 DEFAULT_LEVEL = "VL-C"
 
@@ -47,10 +47,10 @@ def catalog_digest(catalog: DataFrame, payload_sha: str | None = None) -> DataFr
     return nodes.groupBy("file_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda s: s["node"]), "\n"), 256).alias("digest"))
 
 
-def verification_level(certificates: Column) -> Column:
+def verification_level(certificates: Column, levels=LEVELS) -> Column:
     """Level of an array of certificate names: the first rule whose names are all there. Validity is not looked at."""
     out = F.lit(DEFAULT_LEVEL)
-    for level, names in reversed(LEVELS):
+    for level, names in reversed(levels):
         out = F.when(F.size(F.array_except(F.array(*[F.lit(n) for n in names]), certificates)) == 0, level).otherwise(out)
     return out
 

@@ -203,9 +203,6 @@ def r_gate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(met, "c_custkey", "left_anti").select("c_custkey")
 
 
-_BIN = 50000
-
-
 @query("""
 WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), p AS (SELECT (hi - lo) / 20 AS w, 10 ** floor(log10((hi - lo) / 20)) AS b FROM r),
 s AS (SELECT b * k AS width FROM p, (VALUES (1), (2), (5), (10)) t(k) ORDER BY abs(w - b * k), k LIMIT 1)
