@@ -138,15 +138,15 @@ def fit(docs: DataFrame, per_language: int = 1000, landmarks: int = 256, max_lan
     return fit_arrays([g[1] for g in got], np.array([languages.index(g[0]) for g in got]), languages, landmarks)
 
 
-def predict(docs: DataFrame, model: Model | None, batch_rows: int = 64) -> DataFrame:
-    """All columns of docs, then lang_pred string and score double (columns of those names are replaced).
+def predict(docs: DataFrame, model: Model | None, batch_rows: int = 64, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of docs, then a language (string) and its score (double) by ``names`` (columns of those names are replaced).
 
     ``und`` with score 0: the text is null, empty, has no letter, or the model is None. Repeated
     rows get the same answer; null ids do no harm; an empty table stays empty.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -163,11 +163,11 @@ def predict(docs: DataFrame, model: Model | None, batch_rows: int = 64) -> DataF
                     for i, row in zip(has, p, strict=True):
                         k = int(row.argmax())
                         lang[i], score[i] = m.languages[k], float(row[k])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, *names])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -13,11 +13,12 @@ DIR = "/root/testdata/sf0.001"
 
 
 def test_stages_keep_columns(spark):
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("*", "doc_id * 2 AS score", "'kept' AS lang_pred", "1 AS item_id", "2 AS component_id")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "mask_secrets", "pack"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DIR)
         assert out.columns == docs.columns and out.count() > 0
+        assert out.where("score <> doc_id * 2 or lang_pred <> 'kept'").count() == 0
         assert stage(spark, docs.limit(0), DIR).count() == 0
 
 
