@@ -207,3 +207,17 @@ def test_smooth(spark):
         assert r.value == pytest.approx(want[r.row, r["col"]])
     hole = geometry.smooth(df.withColumn("value", F.when((F.col("row") != 0) | (F.col("col") != 0), F.col("value"))), sigma)
     assert hole.where("value is null").count() == 16
+
+
+def test_overlap_of_contours(spark):
+    import math
+
+    n = 81
+    cells = spark.range(n * n).select(F.lit("g").alias("grid_id"), F.floor(F.col("id") / n).alias("row"), (F.col("id") % n).alias("col"))
+    grid = cells.withColumns({"lon": F.col("col") / 10 - 4, "lat": F.col("row") / 10 - 4})
+    disk = lambda x: grid.withColumn("value", F.hypot(F.col("lon") - x, "lat"))
+    got = geometry.filled_overlap(disk(-0.5), disk(0.5), 2.0).first()
+    lens = 2 * 4 * math.acos(1 / 4) - 0.5 * math.sqrt(16 - 1)
+    assert got.area_a == pytest.approx(4 * math.pi, rel=2e-3) and got.area_both == pytest.approx(lens, rel=3e-3)
+    same = geometry.filled_overlap(disk(0), disk(0), 2.0).first()
+    assert (same.jaccard, same.dice) == pytest.approx((1, 1))
