@@ -132,7 +132,7 @@ def score(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     counts = np.zeros((2, size), np.int64)
     for r in ws.save(sums, "sums").toLocalIterator():
         counts[:, r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r["z"])), np.int64).reshape(2, BLOCK)
-    sent = spark.sparkContext.broadcast(np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32))
+    sent = spark.sparkContext.broadcast(counts.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         background, target = sent.value
