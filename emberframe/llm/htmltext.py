@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -199,6 +200,10 @@ def features(nodes: list[Node]) -> np.ndarray:
     order = np.zeros(n)
     total = max(1.0, words[0])
     before = 0.0
+    place = np.zeros(n, np.int64)
+    alike = [Counter(nodes[c].tag for c in x.children) for x in nodes]
+    for x in nodes:
+        place[x.children] = np.arange(len(x.children))
     for i, x in enumerate(nodes):
         order[i] = before / total
         before += chars[i]
@@ -208,13 +213,13 @@ def features(nodes: list[Node]) -> np.ndarray:
             in_article[i] = in_article[p] or x.tag in ("article", "main")
             in_chrome[i] = in_chrome[p] or x.tag in ("nav", "footer", "aside", "form", "dialog") or (x.tag == "header" and not in_article[p])
             kids = nodes[p].children
-            k = kids.index(i) if len(kids) < 64 else 0
+            k = int(place[i])
             near = [c for c in kids[max(0, k - 2) : k + 3] if c != i]
             out[i, 10] = np.log1p(np.mean([words[c] for c in near])) if near else -1
             out[i, 11] = np.mean([sub_link[c] / max(1, words[c]) for c in near]) if near else -1
             out[i, 12], out[i, 13] = k, len(kids) - 1 - k
             out[i, 14] = words[i] / max(1, words[p])
-            out[i, 15] = sum(nodes[c].tag == x.tag for c in kids) / len(kids)
+            out[i, 15] = alike[p][x.tag] / len(kids)
             out[i, 16] = np.log1p(words[p])
             out[i, 17] = sub_link[p] / max(1, words[p])
     out[:, 0], out[:, 1], out[:, 2] = np.log1p(words), np.log1p(chars), sub_link / np.maximum(1, words)
@@ -224,12 +229,12 @@ def features(nodes: list[Node]) -> np.ndarray:
     out[:, 20], out[:, 21], out[:, 22], out[:, 23] = above_g, above_b, in_article, in_chrome
     out[:, 24], out[:, 25], out[:, 26] = [x.hidden for x in nodes], [len(x.tokens) for x in nodes], [x.inline for x in nodes]
     out[:, 27] = link / np.maximum(1, chars)
-    place = {t: i for i, t in enumerate(TAGS)}
+    tags = {t: i for i, t in enumerate(TAGS)}
     for i, x in enumerate(nodes):
-        if x.tag in place:
-            out[i, 30 + place[x.tag]] = 1
-        if i and nodes[x.parent].tag in place:
-            out[i, 30 + len(TAGS) + place[nodes[x.parent].tag]] = 1
+        if x.tag in tags:
+            out[i, 30 + tags[x.tag]] = 1
+        if i and nodes[x.parent].tag in tags:
+            out[i, 30 + len(TAGS) + tags[nodes[x.parent].tag]] = 1
     return out
 
 
@@ -322,8 +327,8 @@ def blocks(nodes: list[Node], chosen: np.ndarray) -> list[str]:
     return [t for _, t in runs if t]
 
 
-def training_page(seed: int) -> tuple[str, list[str]]:
-    """A page and its main-text blocks. Containers, class names, chrome and sloppy markup vary with the seed."""
+def training_page(seed: int, things: int = 0) -> tuple[str, list[str]]:
+    """A page and its main-text blocks. Containers, class names, chrome and sloppy markup vary with the seed; things: parts of the main text, if not as dealt."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("th er on an re he in ed ti es or st en at is ou que des la sch ung ci as do".split()) for _ in range(r.randint(1, 3)))
     line = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
@@ -386,7 +391,8 @@ def training_page(seed: int) -> tuple[str, list[str]]:
     heading = f"<h1>{say(line(2, 8))}</h1>" if r.random() < 0.9 else ""
     if heading and r.random() < 0.2 and tag == "article":
         heading = f"<header>{heading}</header>"
-    inner = heading + "".join(thing() for _ in range(r.choice((1, 2, 2, 4, 8, 14, 22))))
+    dealt = r.choice((1, 2, 2, 4, 8, 14, 22))
+    inner = heading + "".join(thing() for _ in range(things or dealt))
     if r.random() < 0.2:
         inner = f"<div>{inner}</div>"
     inner += comments() if r.random() < 0.12 else ""
@@ -435,7 +441,9 @@ def labelled_nodes(page: str, text: list[str]) -> tuple[list[Node], np.ndarray]:
 
 
 def train(pages: int = 800, seed: int = 17) -> Forest:
+    """Trees from ``pages`` pages, and a fortieth as many with 65 to 400 parts under one parent."""
     parts = [labelled_nodes(*training_page(seed * 100_000 + i)) for i in range(pages)]
+    parts += [labelled_nodes(*training_page(seed * 100_000 + pages + i, 65 + i * 83 % 336)) for i in range(pages // 40)]
     return boost(np.concatenate([features(n) for n, _ in parts]), np.concatenate([y for _, y in parts]).astype(float))
 
 

@@ -69,3 +69,22 @@ def test_odd_rows(spark, forest):
     assert got[0] == (1, "u", "") and got[1] == (2, None, "") and got[2] == (None, "u", "T\n\nSome words. And more of them here.")
     assert len(got) == 5 and got[3] == got[4]
     assert H.extract(df.limit(0), forest).count() == 0
+
+
+def test_places_among_hundreds_of_siblings():
+    nodes = H.dom("<article>" + "".join(f"<p>{'w' * (j + 1)}</p>" for j in range(300)) + "</article>")
+    x = H.features(nodes)
+    at = nodes[1].children
+    assert len(at) == 300 and x[at, 12].tolist() == list(range(300)) and x[at, 13].tolist() == list(range(299, -1, -1))
+    assert x[at[200], 10] == pytest.approx(np.log1p(201), rel=1e-6)
+
+
+def test_long_held_out_pages(forest):
+    """Blocks of main text on pages with hundreds of siblings that training has not seen."""
+    pages = [H.training_page(88_000_000 + i, 70 + 10 * i) for i in range(30)]
+    right = wrong = 0
+    for got, (_, text) in zip(H.main_text([p for p, _ in pages], forest), pages, strict=True):
+        a, b = set(got.split("\n\n")), set(text)
+        right += len(a & b)
+        wrong += len(a ^ b)
+    assert wrong / (right + wrong) < 0.02
