@@ -132,6 +132,23 @@ dg AS (SELECT DISTINCT doc_id, k, array_to_string(w[j:j + k - 1], ' ') AS g
 t AS (SELECT item_id, count(*) AS item_shingles FROM ig GROUP BY 1)
 SELECT doc_id, item_id, item_shingles, count(*) AS shared_shingles, count(*) / item_shingles AS containment
 FROM ig JOIN dg USING (k, g) JOIN t USING (item_id) GROUP BY doc_id, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles - 1e-9""",
+    "op7_cross_entropy_difference": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS t, regexp_extract_all(lower(coalesce(text, '')), '[^\s]+') AS w FROM documents),
+p AS (SELECT r, t, i, w[i] AS word, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS front FROM (SELECT r, t, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+op AS (SELECT r, t, front, word, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY ALL),
+ow AS (SELECT r, t, word, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY ALL UNION ALL SELECT r, t, '', 1 FROM p WHERE i = 1),
+tp AS (SELECT front, word, coalesce(sum(n) FILTER (t), 0) AS ct, coalesce(sum(n) FILTER (NOT t), 0) AS cb FROM op GROUP BY ALL),
+tw AS (SELECT word, coalesce(sum(n) FILTER (t), 0) AS ct, coalesce(sum(n) FILTER (NOT t), 0) AS cb FROM ow GROUP BY ALL),
+a AS (SELECT coalesce(sum(ct), 0) AS nt, coalesce(sum(cb), 0) AS nb, count(*) AS v FROM tw WHERE word <> ''),
+s AS (SELECT *, CASE WHEN nt > 0 AND nb > 0 THEN least(1, nb / nt) ELSE 1 END AS st, CASE WHEN nt > 0 AND nb > 0 THEN least(1, nt / nb) ELSE 1 END AS sb FROM a),
+x AS (SELECT op.r, op.n, len(d.w) AS words, st, sb, v, nt, nb, op.t,
+    tp.ct - if(op.t, op.n, 0) AS pt, tp.cb - if(op.t, 0, op.n) AS pb, f.ct - if(op.t, fo.n, 0) AS ft, f.cb - if(op.t, 0, fo.n) AS fb, u.ct - if(op.t, uo.n, 0) AS ut, u.cb - if(op.t, 0, uo.n) AS ub
+  FROM op JOIN d USING (r) JOIN tp USING (front, word) JOIN tw f ON f.word = op.front JOIN tw u ON u.word = op.word
+  JOIN ow fo ON fo.r = op.r AND fo.word = op.front JOIN ow uo ON uo.r = op.r AND uo.word = op.word, s),
+l AS (SELECT r,
+    sum(-n * ln((st * pt + (st * ut + 0.5) / (st * (nt - if(t, words, 0)) + 0.5 * (v + 1))) / (st * ft + 1))) AS lt,
+    sum(-n * ln((sb * pb + (sb * ub + 0.5) / (sb * (nb - if(t, 0, words)) + 0.5 * (v + 1))) / (sb * fb + 1))) AS lb FROM x GROUP BY r)
+SELECT doc_id, t AS in_target, CAST(len(w) AS BIGINT) AS n_tokens, lt / len(w) AS target_loss, lb / len(w) AS background_loss, lt / len(w) - lb / len(w) AS ce_difference FROM d LEFT JOIN l USING (r)""",
     "op8_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),

@@ -67,40 +67,64 @@ def test_quality_odd_inputs(spark, docs):
     assert quality.score(docs, None).where("keep and score is null").count() == docs.count()
 
 
-def brute_losses(rows, target, slots):
-    """Losses from dictionaries of counts, each document's own counts left out."""
-    texts = {i: lmscore.places(lmscore.word_slots(t or ""), slots) for i, (_, t) in enumerate(rows)}
-    out, chars = [], {True: 0, False: 0}
-    for d, t in rows:
-        chars[d in target] += len(t or "")
-    scale = chars[True] / chars[False]
-    for i, (d, _) in enumerate(rows):
-        sums = {}
+def brute_losses(rows, target):
+    """Losses from dictionaries of words and pairs of words, each document's own counts left out."""
+    from collections import Counter
+    from math import log
+
+    texts = [["<s>", *(t or "").lower().split()] for _, t in rows]
+    side = [d in target for d, _ in rows]
+    vocabulary = len({w for t in texts for w in t[1:]})
+    amount = {m: sum(len(t) - 1 for t, s in zip(texts, side, strict=True) if s == m) for m in (True, False)}
+    least = min(amount.values()) or max(amount.values())
+    out = []
+    for i, text in enumerate(texts):
+        loss = {}
         for model in (True, False):
-            counts = {}
-            for j, (e, _) in enumerate(rows):
-                if j != i and (e in target) == model:
-                    for place in (*texts[j][0], *texts[j][1]):
-                        counts[place] = counts.get(place, 0) + 1
-            s = 1.0 if model else scale
-            sums[model] = -sum(np.log(s * counts.get(p, 0) + lmscore.ALPHA) - np.log(s * counts.get(f, 0) + lmscore.ALPHA * lmscore.VOCABULARY) for f, p in zip(*texts[i], strict=True))
-        n = len(texts[i][0])
-        out.append((d, d in target, n, *([sums[True] / n, sums[False] / n] if n else [None, None])))
+            others = [t for j, t in enumerate(texts) if j != i and side[j] == model]
+            word, pair = Counter(w for t in others for w in t), Counter(p for t in others for p in zip(t, t[1:], strict=False))
+            s = min(1.0, least / amount[model]) if amount[model] else 1.0
+            n = sum(len(t) - 1 for t in others)
+            loss[model] = 0.0
+            for v, w in zip(text, text[1:], strict=False):
+                seen = (s * word[w] + lmscore.ALPHA) / (s * n + lmscore.ALPHA * (vocabulary + 1))
+                front = word[v] if v != "<s>" else sum(len(t) > 1 for t in others)
+                loss[model] -= log((s * pair[v, w] + lmscore.PRIOR * seen) / (s * front + lmscore.PRIOR))
+        n = len(text) - 1
+        out.append((rows[i][0], side[i], n, *([loss[True] / n, loss[False] / n] if n else [None, None])))
     return out
 
 
 def test_cross_entropy_against_brute_force(spark):
+    import random
+
+    r = random.Random(4)
     rows = [(i, t) for i, t in enumerate(["a b c a b", "a b d", "x y z x y", "x y a b", "q r", "a b c", "x y x y z", "", None, "A  B\nc"])]
-    rows += [(3, "x y a b"), (None, "a b c")]
+    rows += [(3, "x y a b"), (None, "a b c"), *((100 + i, " ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(r.randint(0, 60)))) for i in range(60))]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, chars int")
-    ids = spark.createDataFrame([(0,), (1,), (5,), (5,), (None,), (77,), (9,)], "doc_id long")
-    got = sorted((tuple(r) for r in lmscore.score(df, ids).collect()), key=str)
-    want = sorted((tuple(w) for w in brute_losses(rows, {0, 1, 5, 9}, lmscore.pair_slots_for(10))), key=str)
-    for g, w in zip(got, want, strict=True):
-        assert g[:3] == w[:3] and (w[3] is None or g[3:5] == pytest.approx(w[3:5], rel=1e-9))
-        assert g[5] is None if w[3] is None else g[5] == pytest.approx(w[3] - w[4], abs=1e-9)
+    ids = spark.createDataFrame([(0,), (1,), (5,), (5,), (None,), (77,), (9,), *((100 + i,) for i in range(0, 60, 3))], "doc_id long")
+    want = sorted((tuple(w) for w in brute_losses(rows, {0, 1, 5, 9, *range(100, 160, 3)})), key=str)
+    for size in (10, 300, 8_000_000):  # any number of blocks
+        got = sorted((tuple(r) for r in lmscore.score(df, ids, size).collect()), key=str)
+        for g, w in zip(got, want, strict=True):
+            assert g[:3] == w[:3] and (w[3] is None or g[3:5] == pytest.approx(w[3:5], rel=1e-9))
+            assert g[5] is None if w[3] is None else g[5] == pytest.approx(w[3] - w[4], abs=1e-9)
     assert lmscore.score(df.limit(0), ids).count() == 0
-    assert lmscore.score(df, ids.limit(0)).count() == len(rows)
+    none = [(r[0], None, *r[2:]) for r in brute_losses(rows, set())]
+    got = sorted(((r[0], None, *r[2:5]) for r in lmscore.score(df, ids.limit(0)).collect()), key=str)
+    assert [g[3] for g in got if g[3]] == pytest.approx([w[3] for w in sorted(none, key=str) if w[3]])
+
+
+def test_cross_entropy_sets_copies_apart(spark):
+    """A document that another repeats has seen pairs; one whose pairs are its own has none."""
+    import random
+
+    r = random.Random(2)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(40))
+    twice = [text() for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate([*twice, *twice, *(text() for _ in range(40))])]
+    got = {x.doc_id: x.background_loss for x in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(200,)], "doc_id long")).collect()}
+    assert max(got[i] for i in range(40)) < min(got[i] for i in range(40, 80))
 
 
 def test_cross_entropy_tells_domains_apart(spark):
