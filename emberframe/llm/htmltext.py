@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from emberframe.llm.workspace import ship
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template title textarea select option svg math iframe object canvas head button".split())
-RAW = frozenset("script style textarea title noscript iframe xmp".split())
+RAW = frozenset("script style textarea title noscript iframe xmp".split())  # no tags inside
+UNSEEN = frozenset("template object canvas".split())  # what they hold is not shown
+WIDGET = frozenset("button select svg math".split())  # nor these, which a block ends
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -42,7 +44,11 @@ BAD = (
     "comment comments disqus reply respond cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login search share sharing social tags meta toolbar pagination pager copyright legal skip"
 ).split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_HEAD = re.compile(r"</head\s*>|<body", re.IGNORECASE)
+_LISTS = ("ul", "ol", "dl", "table")
+_CELLS = ("tr", "td", "th", "tbody")
 _ATTR = re.compile(r"([\w:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -61,12 +67,91 @@ class Node:
     label: bool = False
 
 
+def _markup(page: str) -> Iterator[tuple[str, re.Match | None, int]]:
+    """(text, tag behind it or None, where the tag ends); send(place) goes on from there. Linear in the page's length.
+
+    Comments are left out. A tag ends at the first ``>`` outside quotes; once one has none to the end of the page,
+    quotes no longer count, and where no ``>`` is left the rest is text.
+    """
+    at = scan = 0
+    size, tag = len(page), _TAG
+    while at < size:
+        lt = page.find("<", scan)
+        if lt < 0:
+            break
+        nxt = page[lt + 1 : lt + 3]
+        name = nxt[1:] if nxt[:1] == "/" else nxt[:1]
+        if name.isascii() and name.isalpha():
+            m = tag.match(page, lt)
+            if m is None:
+                tag = _BARE
+                m = tag.match(page, lt)
+            if m is None:
+                break
+            moved = yield page[at:lt], m, m.end()
+            at = scan = m.end() if moved is None else moved
+            if moved is not None:
+                yield "", None, at
+            continue
+        if nxt[:1] in ("!", "?"):
+            close = "-->" if page.startswith("<!--", lt) else "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            end = page.find(close, lt + 2)
+            if end < 0 and close == ">":
+                break
+            yield page[at:lt], None, lt
+            at = scan = end + len(close) if end >= 0 else size
+            continue
+        scan = lt + 1
+    if at < size:
+        yield page[at:], None, size
+
+
+class _Open:
+    """The open elements, with the places of each name, so that any start or end tag is settled without a walk down the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = [("#root", 0)]  # element and the node it writes to
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = [0]
+        self.links = self.unseen = 0
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.links += tag == "a"
+        self.unseen += tag in UNSEEN or tag in WIDGET
+        self.stack.append((tag, node))
+
+    def pop_to(self, index: int) -> None:
+        while len(self.stack) > index:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+            self.links -= tag == "a"
+            self.unseen -= tag in UNSEEN or tag in WIDGET
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these names; 0 if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    @property
+    def node(self) -> int:
+        return self.stack[-1][1]
+
+
 def dom(page: str) -> list[Node]:
-    """Nodes in page order, the first a root. Text of silent elements is left out; end tags may be missing."""
+    """Nodes in page order, the first a root. Text that is not shown is left out; end tags may be missing.
+
+    An element that is not shown ends with its end tag or with the element around it, a widget also where a block begins; without any
+    end tag behind it its start tag is ignored. Only an open script or style takes the rest of the page.
+    """
     nodes = [Node("#root", -1, 0, [])]
-    stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and the node each writes to
-    order, at, links = 0, 0, 0
+    open_, order = _Open(), 0
     buffer: list[str] = []
+    ends: dict[str, int] = {}  # last end tag of a name, as far as looked for
+    lost: set[str] = set()  # what was looked for in vain
 
     def flush() -> None:
         nonlocal order
@@ -74,105 +159,100 @@ def dom(page: str) -> list[Node]:
             text = "".join(buffer)
             buffer.clear()
             if text.strip():
-                nodes[stack[-1][1]].runs.append((order, text))
+                nodes[open_.node].runs.append((order, text))
                 order += 1
 
     def write(text: str) -> None:
-        if not text:
-            return
-        buffer.append(html.unescape(text))
-        if links:
-            nodes[stack[-1][1]].link += len(text.strip())
+        if text and not open_.unseen:
+            buffer.append(html.unescape(text))
+            if open_.links:
+                nodes[open_.node].link += len(text.strip())
 
     def pop_to(index: int) -> None:
-        nonlocal links
-        if stack[-1][1] != stack[index - 1][1]:
+        if open_.node != open_.stack[index - 1][1]:
             flush()
-        links -= sum(s[0] == "a" for s in stack[index:])
-        del stack[index:]
-
-    size = len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
-            write(page[at:])
-            break
-        write(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        open_.pop_to(index)
+
+    def find(name: str, pattern: re.Pattern, at: int) -> re.Match | None:
+        m = None if name in lost else pattern.search(page, at)
+        if m is None:
+            lost.add(name)
+        return m
+
+    def closes_later(tag: str, at: int) -> bool:
+        if tag not in ends:
+            ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.IGNORECASE)), default=-1)
+        return ends[tag] >= at
+
+    def add(tag: str, words: list[str], hidden: bool = False) -> None:
+        flush()
+        parent = open_.node
+        nodes.append(Node(tag, parent, nodes[parent].depth + 1, words, hidden))
+        nodes[parent].children.append(len(nodes) - 1)
+        open_.push(tag, len(nodes) - 1)
+
+    marks = _markup(page)
+    for text, m, at in marks:
+        write(text)
+        if m is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag in BLOCK:
-                        flush()
-                    pop_to(i)
-                    break
-                if stack[i][0] in SCOPE and tag not in BLOCK:
-                    break
-            else:
-                if tag == "p" or tag == "br":
+            place = open_.last(tag)
+            if place and (tag in BLOCK or place > open_.scopes[-1]):
+                if tag in BLOCK:
                     flush()
+                pop_to(place)
+            elif tag == "p" or tag == "br":
+                flush()
             continue
+        bare = m[3].rstrip().endswith("/")
         if tag == "br":
-            buffer.append("\n")
+            if not open_.unseen:
+                buffer.append("\n")
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
             continue
-        if tag in RAW or tag in ("svg", "math", "template", "object", "canvas", "select", "button"):
-            if not m[3].rstrip().endswith("/") or tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else size
+        if tag in RAW:
+            end = find(tag, re.compile(rf"</{tag}\s*>", re.IGNORECASE), at)
+            if end:
+                marks.send(end.end())
+            elif tag in ("script", "style"):
+                break
             continue
         if tag == "head":
-            end = re.compile(r"</head\s*>|<body", re.IGNORECASE).search(page, at)
+            end = find(tag, _HEAD, at)
             if end:
-                at = end.end() if end[0][1] == "/" else end.start()
+                marks.send(end.end() if end[0][1] == "/" else end.start())
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    flush()
-                    pop_to(i)
-                    break
-                if stack[i][0] in SCOPE:
-                    break
+        if tag in UNSEEN or tag in WIDGET:
+            if not bare and (tag in WIDGET or closes_later(tag, at)):
+                open_.push(tag, open_.node)
+            continue
+        if open_.unseen and tag in BLOCK and not open_.last("foreignobject"):
+            while (place := open_.last(*WIDGET)) > open_.last(*UNSEEN) and (tag != "div" or open_.stack[place][0] != "button"):
+                pop_to(place)
+        if tag in CLOSES_P and (place := open_.last("p")) > open_.scopes[-1]:
+            flush()
+            pop_to(place)
         if tag in CLOSED_BY:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in CLOSED_BY[tag]:
-                    flush()
-                    pop_to(i)
-                elif stack[i][0] in ("ul", "ol", "dl", "table") or (stack[i][0] in SCOPE and tag not in ("tr", "td", "th", "tbody")):
-                    break
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3].strip() else {}
-        own = tag in BLOCK or any(k in attrs for k in ("class", "id", "role"))
-        if own:
-            words = [t for k in ("class", "id", "role", "aria-label") if k in attrs for t in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs[k]).lower()) if t]
-            if tag in BLOCK:
-                flush()
-                parent = stack[-1][1]
-                hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", "")))
-                nodes.append(Node(tag, parent, nodes[parent].depth + 1, words, hidden))
-                nodes[parent].children.append(len(nodes) - 1)
-                stack.append((tag, len(nodes) - 1))
-            elif tag != "a" and set(words) & set(BAD):  # an inline widget: its text stands apart
+            wall = open_.last(*_LISTS) if tag in _CELLS else open_.scopes[-1]
+            while (place := open_.last(*CLOSED_BY[tag])) > wall:
                 flush()
-                parent = stack[-1][1]
-                nodes.append(Node(tag, parent, nodes[parent].depth + 1, words))
-                nodes[parent].children.append(len(nodes) - 1)
-                stack.append((tag, len(nodes) - 1))
-            else:
-                stack.append((tag, stack[-1][1]))
+                pop_to(place)
+        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3].strip() else {}
+        words = [t for k in ("class", "id", "role", "aria-label") if k in attrs for t in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs[k]).lower()) if t]
+        if tag in BLOCK:
+            add(tag, words, "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))))
+        elif tag != "a" and set(words) & set(BAD) and any(k in attrs for k in ("class", "id", "role")):  # an inline widget: its text stands apart
+            add(tag, words)
         else:
-            nodes[stack[-1][1]].inline += 1
-            stack.append((tag, stack[-1][1]))
-        if tag == "a":
-            links += 1
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
-            pop_to(len(stack) - 1)
+            nodes[open_.node].inline += not any(k in attrs for k in ("class", "id", "role"))
+            open_.push(tag, open_.node)
+        if bare and tag not in BLOCK:
+            pop_to(len(open_.stack) - 1)
     flush()
     return nodes
 
@@ -183,58 +263,68 @@ FEATURES = 30 + 2 * len(TAGS) + 8
 def features(nodes: list[Node]) -> np.ndarray:
     """A row for each node: subtree sizes and densities, attribute tokens, depth, siblings, tags of the node and its parent."""
     n = len(nodes)
+    parent = np.array([x.parent for x in nodes])
+    parent[0] = 0
+    up = parent.tolist()
     chars = np.array([sum(len(t.strip()) for _, t in x.runs) for x in nodes], np.float64)
-    link = np.array([x.link for x in nodes], np.float64)
-    count, blocks, words = np.ones(n), np.array([len(x.runs) for x in nodes], np.float64), chars.copy()
-    stops = np.array([sum(t.count(".") + t.count("!") + t.count("?") for _, t in x.runs) for x in nodes], np.float64)
-    sub_link = link.copy()
+    link, runs = np.array([x.link for x in nodes], np.float64), np.array([len(x.runs) for x in nodes], np.float64)
+    marks = np.array([sum(t.count(".") + t.count("!") + t.count("?") for _, t in x.runs) for x in nodes], np.float64)
+    below = [a.tolist() for a in (chars, link, np.ones(n), runs, marks)]
     for i in range(n - 1, 0, -1):
-        p = nodes[i].parent
-        for a in (words, sub_link, count, blocks, stops):
+        p = up[i]
+        for a in below:
             a[p] += a[i]
-    out = np.zeros((n, FEATURES), np.float32)
+    words, sub_link, count, blocks, stops = (np.array(a) for a in below)
     good, bad = set(GOOD), set(BAD)
-    g = np.array([len(good & set(x.tokens)) for x in nodes], np.float64)
-    b = np.array([len(bad & set(x.tokens)) for x in nodes], np.float64)
-    above_g, above_b, in_article, in_chrome = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    order = np.zeros(n)
-    total = max(1.0, words[0])
-    before = 0.0
-    place = np.zeros(n, np.int64)
-    alike = [Counter(nodes[c].tag for c in x.children) for x in nodes]
-    for x in nodes:
-        place[x.children] = np.arange(len(x.children))
+    g, b = ([len(known & set(x.tokens)) if x.tokens else 0 for x in nodes] for known in (good, bad))
+    above_g, above_b, in_article, in_chrome = [0] * n, [0] * n, [False] * n, [False] * n
+    place, alike = np.zeros(n, np.int64), np.zeros(n)
     for i, x in enumerate(nodes):
-        order[i] = before / total
-        before += chars[i]
         if i:
-            p = x.parent
+            p = up[i]
             above_g[i], above_b[i] = above_g[p] + g[i], above_b[p] + b[i]
             in_article[i] = in_article[p] or x.tag in ("article", "main")
             in_chrome[i] = in_chrome[p] or x.tag in ("nav", "footer", "aside", "form", "dialog") or (x.tag == "header" and not in_article[p])
-            kids = nodes[p].children
-            k = int(place[i])
-            near = [c for c in kids[max(0, k - 2) : k + 3] if c != i]
-            out[i, 10] = np.log1p(np.mean([words[c] for c in near])) if near else -1
-            out[i, 11] = np.mean([sub_link[c] / max(1, words[c]) for c in near]) if near else -1
-            out[i, 12], out[i, 13] = k, len(kids) - 1 - k
-            out[i, 14] = words[i] / max(1, words[p])
-            out[i, 15] = alike[p][x.tag] / len(kids)
-            out[i, 16] = np.log1p(words[p])
-            out[i, 17] = sub_link[p] / max(1, words[p])
-    out[:, 0], out[:, 1], out[:, 2] = np.log1p(words), np.log1p(chars), sub_link / np.maximum(1, words)
+        if x.children:
+            place[x.children] = np.arange(len(x.children))
+            tags = Counter(nodes[c].tag for c in x.children)
+            alike[x.children] = [tags[nodes[c].tag] for c in x.children]
+    total = max(1.0, words[0])
+    kids = np.array([len(x.children) for x in nodes])[parent]
+    out = np.zeros((n, FEATURES), np.float32)
+    density = sub_link / np.maximum(1, words)
+    # neighbours: two on either side among the children of the same parent
+    row = np.lexsort((place, parent))
+    row = row[row > 0]
+    near, near_words, near_links = np.zeros(n), np.zeros(n), np.zeros(n)
+    for lag in (1, 2):
+        for one, other in ((row[:-lag], row[lag:]), (row[lag:], row[:-lag])):
+            same = parent[one] == parent[other]
+            one, other = one[same], other[same]
+            near[one] += 1
+            near_words[one] += words[other]
+            near_links[one] += density[other]
+    has = near > 0
+    out[:, 10] = np.where(has, np.log1p(near_words / np.maximum(1, near)), -1)
+    out[:, 11] = np.where(has, near_links / np.maximum(1, near), -1)
+    out[:, 12], out[:, 13] = place, kids - 1 - place
+    out[:, 14], out[:, 15] = words / np.maximum(1, words[parent]), alike / np.maximum(1, kids)
+    out[:, 16], out[:, 17] = np.log1p(words[parent]), density[parent]
+    out[0, 10:18] = 0
+    out[:, 0], out[:, 1], out[:, 2] = np.log1p(words), np.log1p(chars), density
     out[:, 3], out[:, 4], out[:, 5] = words / count, words / np.maximum(1, blocks), stops / np.maximum(1, words) * 50
     out[:, 6], out[:, 7], out[:, 8] = np.log1p(count), [x.depth for x in nodes], words / total
-    out[:, 9], out[:, 18], out[:, 19] = order, g, b
+    out[:, 9], out[:, 18], out[:, 19] = (np.cumsum(chars) - chars) / total, g, b
     out[:, 20], out[:, 21], out[:, 22], out[:, 23] = above_g, above_b, in_article, in_chrome
     out[:, 24], out[:, 25], out[:, 26] = [x.hidden for x in nodes], [len(x.tokens) for x in nodes], [x.inline for x in nodes]
     out[:, 27] = link / np.maximum(1, chars)
     tags = {t: i for i, t in enumerate(TAGS)}
-    for i, x in enumerate(nodes):
-        if x.tag in tags:
-            out[i, 30 + tags[x.tag]] = 1
-        if i and nodes[x.parent].tag in tags:
-            out[i, 30 + len(TAGS) + tags[nodes[x.parent].tag]] = 1
+    kind = np.array([tags.get(x.tag, -1) for x in nodes])
+    known = np.flatnonzero(kind >= 0)
+    out[known, 30 + kind[known]] = 1
+    known = np.flatnonzero(kind[parent] >= 0)
+    known = known[known > 0]
+    out[known, 30 + len(TAGS) + kind[parent[known]]] = 1
     return out
 
 
@@ -249,7 +339,10 @@ class Forest:
     leaf: np.ndarray
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        """Log-odds of rows."""
+        """Log-odds of rows, some thousands at a time."""
+        return np.concatenate([self._odds(x[i : i + 8192]) for i in range(0, len(x), 8192)] or [np.zeros(0)])
+
+    def _odds(self, x: np.ndarray) -> np.ndarray:
         out, rows = np.full(len(x), self.start), np.arange(len(x))
         for f, lim, leaf in zip(self.feature, self.limit, self.leaf, strict=True):
             at = np.zeros(len(x), np.int64)
@@ -300,8 +393,8 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: f
 def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     """True for the nodes in main text: the best consistent choice of above, in and out."""
     p = np.clip(odds, -12, 12)
-    yes, no = -np.log1p(np.exp(-p)), -np.log1p(np.exp(p))
-    above, inside, out = no.copy(), yes.copy(), no.copy()
+    yes, no = (-np.log1p(np.exp(-p))).tolist(), (-np.log1p(np.exp(p))).tolist()
+    above, inside, out = no[:], yes, no[:]
     for i in range(len(nodes) - 1, 0, -1):
         q = nodes[i].parent
         if nodes[i].hidden:
@@ -440,22 +533,33 @@ def labelled_nodes(page: str, text: list[str]) -> tuple[list[Node], np.ndarray]:
     return nodes, y
 
 
+@lru_cache
 def train(pages: int = 800, seed: int = 17) -> Forest:
-    """Trees from ``pages`` pages, and a fortieth as many with 65 to 400 parts under one parent."""
+    """Trees from ``pages`` pages, and a fortieth as many with 65 to 400 parts under one parent. Trained once in a process."""
     parts = [labelled_nodes(*training_page(seed * 100_000 + i)) for i in range(pages)]
     parts += [labelled_nodes(*training_page(seed * 100_000 + pages + i, 65 + i * 83 % 336)) for i in range(pages // 40)]
     return boost(np.concatenate([features(n) for n, _ in parts]), np.concatenate([y for _, y in parts]).astype(float))
 
 
 def main_text(pages: list[str | None], forest: Forest) -> list[str]:
-    """Main text of each page; all their nodes are scored together."""
-    trees = [dom(p) if p else None for p in pages]
-    rows = [features(t) for t in trees if t]
-    if not rows:
-        return [""] * len(pages)
-    odds = np.split(forest.odds(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1])
-    got = iter(odds)
-    return ["\n\n".join(blocks(t, decode(t, next(got)))) if t else "" for t in trees]
+    """Main text of each page. Small pages are scored together, a large one by itself."""
+    out, trees = [], []
+
+    def score() -> None:
+        rows = [features(t) for t in trees if t]
+        odds = iter(np.split(forest.odds(np.concatenate(rows)), np.cumsum([len(r) for r in rows])[:-1]) if rows else [])
+        out.extend("\n\n".join(blocks(t, decode(t, next(odds)))) if t else "" for t in trees)
+        trees.clear()
+
+    size = 0
+    for p in pages:
+        trees.append(dom(p) if p else None)
+        size += len(trees[-1] or ())
+        if size > 20_000:
+            score()
+            size = 0
+    score()
+    return out
 
 
 def extract(pages: DataFrame, forest: Forest | None = None, batch_rows: int = 200) -> DataFrame:

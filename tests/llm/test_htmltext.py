@@ -88,3 +88,26 @@ def test_long_held_out_pages(forest):
         right += len(a & b)
         wrong += len(a ^ b)
     assert wrong / (right + wrong) < 0.02
+
+
+def test_unclosed_elements_lose_no_text(forest):
+    long = "This is a paragraph of the main text, long enough to be told from a menu."
+    for bit in ("<button>Go", "<select><option>One", "<svg><path d='x'>", "<math><mi>x", "<canvas>", "<object data='x'>", "<template>", "<textarea>", "<noscript>", "<iframe src='x'>", "<div><canvas></div>", "<span><button>Go</span>"):
+        text = H.main_text([f"<html><body><nav><a href='/'>home</a></nav><article><h1>Title</h1><p>{long}</p>{bit}<p>{long} Again.</p><p>{long}</p></article></body></html>"], forest)[0]
+        assert [p for p in text.split("\n\n") if p.startswith("This")] == [long, f"{long} Again.", long], bit
+        assert "Go" not in text and "One" not in text
+    kept = H.main_text([f"<article><p>{long}</p><button><div>Go</div></button><object><object>a</object>b</object><p>{long}</p></article>"], forest)[0]
+    assert kept == f"{long}\n\n{long}"
+
+
+def test_time_follows_length(forest):
+    """Hostile markup of a megabyte: each case took hours or its square when tags were rescanned."""
+    import time
+
+    n = 100_000
+    cases = ["<a " * (3 * n), '<a "' * n, "<!" * n, "<" * n, "<a&eacute;é" * n, "<button>" * n, "<canvas>" * n + "</canvas>", "<style>" * n, "<head>" * n, "<p>x" * n, "<div>" * n + "</b>" * n, "<ul>" + "<i>" * n + "<li>x" * n, "<b><div>" + "<i>" * n + "</b>" * n]
+    for page in cases:
+        t = time.process_time()
+        H.main_text([page], forest)
+        assert time.process_time() - t < 30, page[:20]
+    assert H.main_text(["<article>" + "<p>Some words of the text. And some more of it." * n + "</article>"], forest)[0].count("\n\n") == n - 1
