@@ -21,17 +21,59 @@ def test_language_held_out(spark):
     assert n > 100 and rate > 0.97
 
 
-def test_language_kernel_is_exact():
-    """Scores through the folded table equal the kernel expansion over landmarks."""
-    texts = ["the and of this", "le la des que", "der die und das", "el la que con"] * 6
-    x = np.stack([langid.presence(f"{t} {'abcdef'[i % 6]}") for i, t in enumerate(texts)])
-    z = langid.normalised(x)
-    kernel = z @ z.T
-    sets = [[set(np.flatnonzero(r[n])) for n in range(langid.ORDERS)] for r in x]
-    want = np.mean([len(sets[0][n] & sets[1][n]) / np.sqrt(len(sets[0][n]) * len(sets[1][n])) for n in range(langid.ORDERS)])
-    assert kernel[0, 1] == pytest.approx(want, rel=1e-5)
-    model = langid.fit_arrays([np.packbits(r).tobytes() for r in x], np.arange(24) % 4, list("abcd"), 24)
-    assert (model.scores(x).argmax(1) == np.arange(24) % 4).all()
+def plain_grams(text):
+    """Sets of substrings: letters, with one space for anything between them."""
+    import re
+
+    t = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+    return [{t[i : i + n] for i in range(len(t) - n + 1)} for n in range(1, langid.ORDERS + 1)]
+
+
+def plain_kernel(a, b):
+    return np.mean([len(x & y) / np.sqrt(len(x) * len(y)) if x and y else 0 for x, y in zip(a, b, strict=True)])
+
+
+def test_language_against_plain_kernels():
+    """The folded table gives the kernel expansion of ridge regression over landmarks, from sets of substrings."""
+    texts = [f"{t} {'abcdef'[i % 6]} {'xyz' * i}" for i, t in enumerate(["the and of this", "le la des que", "der die und das", "el la que con"] * 6)]
+    y, marks = np.arange(24) % 4, list(range(0, 24, 2)) + [1, 3]
+    plain = [plain_grams(t) for t in texts]
+    sets = [langid.grams(t) for t in texts]
+    some = langid.Landmarks([sets[i] for i in marks])
+    k = np.array([[plain_kernel(a, plain[j]) for j in marks] for a in plain])
+    assert np.allclose([some.kernel(s) for s in sets], k)
+    model = langid.fit_kernel(some, k[marks], k, y, list("abcd"))
+    w, v = np.linalg.eigh(k[marks])
+    good = w > w.max() * 1e-7
+    root = v[:, good] / np.sqrt(w[good])
+    f = k @ root
+    want = f @ np.linalg.solve(f.T @ f + 1e-3 * 24 * np.eye(f.shape[1]), f.T @ np.where(y[:, None] == np.arange(4), 1.0, -1.0))
+    assert np.allclose(model.margins(sets), want, atol=1e-4)
+    assert (model.scores(sets).argmax(1) == y).all()
+
+
+def test_language_of_very_long_texts(spark, docs):
+    """Texts of 200,000 characters and more are told apart, and probabilities do not fade with length."""
+    model = langid.fit(docs.where("length(text) < 10000"))
+    long = docs.where("lang is not null").groupBy("lang").agg(F.substring(F.concat_ws(" ", F.collect_list("text")), 1, 400_000).alias("text"))
+    got = langid.predict(long, model).select("lang", "lang_pred", "score", F.length("text").alias("n")).collect()
+    assert len(got) == 4 and all(r.lang == r.lang_pred and r.score > 0.6 for r in got) and max(r.n for r in got) > 200_000
+
+
+def test_every_language_is_learned(spark):
+    """Three hundred languages of their own letters."""
+    rows = [(i * 3 + j, " ".join(chr(0x4E00 + 40 * i + (7 * j + k) % 40) * 2 for k in range(30)), f"l{i:03}") for i in range(300) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.languages) == 300
+    assert langid.predict(df, model).where("lang <> lang_pred").count() == 0
+
+
+def test_stretches_do_not_change_sets(monkeypatch):
+    text = "Ünd the quick brown-fox 12 jumps " * 50
+    want = langid.grams(text)
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    assert np.array_equal(langid.grams(text), want)
 
 
 def test_language_odd_inputs(spark, docs):

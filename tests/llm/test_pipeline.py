@@ -32,8 +32,8 @@ def test_against_plain_decisions(spark):
     net, index = secretscan.default_network(), decontam.Index(items, 0.8, 5)
     kept = {}
     for d, r in rows.items():
-        p = langid.presence(r.text)
-        if p is not None and float(model.scores(p[None]).max()) >= corpus_pipeline.MIN_LANGUAGE_SCORE:
+        p = langid.grams(r.text)
+        if p is not None and float(model.scores([p]).max()) >= corpus_pipeline.MIN_LANGUAGE_SCORE:
             kept[d] = r.text
     fps = {d: simhash.fingerprint(t) for d, t in kept.items()}
     root = {d: d for d in kept}
