@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from emberframe.llm import decontam, langid, secretscan, simhash
+from emberframe.llm import decontam, langid, secretscan
 from emberframe.llm.queries import tokenizer_path
 
 DIR = "/root/testdata/sf0.001"
@@ -35,7 +35,8 @@ def test_against_plain_decisions(spark):
         p = langid.grams(r.text)
         if p is not None and float(model.scores([p]).max()) >= corpus_pipeline.MIN_LANGUAGE_SCORE:
             kept[d] = r.text
-    fps = {d: simhash.fingerprint(t) for d, t in kept.items()}
+    words = {d: t.lower().split() for d, t in kept.items()}
+    sets = {d: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for d, w in words.items() if (k := min(5, len(w)))}
     root = {d: d for d in kept}
 
     def find(x):
@@ -45,7 +46,7 @@ def test_against_plain_decisions(spark):
 
     for a in sorted(kept):
         for b in sorted(kept):
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 3:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     kept = {d: t for d, t in kept.items() if find(d) == d and not index.search(t)}
