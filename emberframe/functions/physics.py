@@ -1,8 +1,8 @@
 """Rate-of-spread kernels as columns, in m/s. All arguments are columns or numbers.
 
 ``let`` names intermediate values; Catalyst computes equal parts of a projection once, as long as they stand
-outside conditional branches, so kernels choose between finished values with ``either``. ``bind``
-computes values once a row by itself; the fixed point needs that, since a lambda's body is interpreted.
+outside conditional branches, so kernels choose between finished values with ``either``. Only the fixed point of
+``balbi`` runs as an array function.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +32,6 @@ def either(condition: Column, yes: Column, no: Column) -> Column:
     return F.get(F.array(no, yes), condition.cast("int"))
 
 
-def bind(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
-    """body of a struct of values, each computed once."""
-    bound = F.array(F.struct(*[v.cast("double").alias(k) for k, v in values.items()]))
-    return F.element_at(F.transform(bound, body), 1)
-
-
 def clamp(x: Column, low: float, high: float | None = None) -> Column:
     out = F.greatest(x, F.lit(low))
     return out if high is None else F.least(out, F.lit(high))
@@ -87,52 +83,55 @@ HEAT_YIELD, RESIDENCE, STEFAN_BOLTZMANN, R00 = 1.7433e7, 75591.0, 5.670373e-8, 2
 def balbi(dead_ratio, fuel_load, height, density, savr, wind, slope, moisture, ignition_length=50.0, ignition_temperature=600.0, air_temperature=300.0, air_density=1.125, max_iterations: int = 20, tolerance: float = 1e-4) -> Column:
     """Balbi 2022 front speed: a fixed point from the base radiation term; 0 if it does not settle in max_iterations.
 
-    Load kg/m2, height m, density kg/m3, savr 1/m, wind m/s, slope degrees, moisture %, length m, temperatures K.
+    Load kg/m2, height m, density kg/m3, savr 1/m, wind m/s, slope degrees, moisture %, length m, temperatures K. NULL where an
+    argument is. The iteration is one array function over Arrow batches: as a lambda of built-in functions it is interpreted row by
+    row, as twenty projections it outgrows what the JVM compiles.
     """
-    dead_ratio, fuel_load, height, density, savr, wind, slope, moisture, ignition_length, ignition_temperature, air_temperature, air_density = map(
-        col, (dead_ratio, fuel_load, height, density, savr, wind, slope, moisture, ignition_length, ignition_temperature, air_temperature, air_density)
-    )
-    pi, st = math.pi, 17.0
-    m, ta, rho_a = moisture * 0.01, air_temperature, air_density
-    total = fuel_load * (1 + m)
-    first = {"m": m, "beta": total * dead_ratio / (height * density), "bt": total / (height * density), "h": height, "rho": density, "s": savr, "u": wind, "ta": ta, "ra": rho_a, "tan": F.tan(F.radians(slope)), "front": F.least(ignition_length / 50, F.lit(1.0)), "ti": ignition_temperature}
-
-    def front(v: Column) -> Column:
-        lai, lai_t = v["s"] * v["h"] * v["beta"], v["s"] * v["h"] * v["bt"]
-        q = 1200 * (v["ti"] - v["ta"]) + v["m"] * (2.3e6 + 4180 * (373.15 - v["ta"]))
-        second = {"lai": lai, "lt": lai_t, "q": q, "tf": v["ta"] + HEAT_YIELD * (1 - 0.3) / (1150 * (1 + st))}
-
-        def speed(p: Column) -> Column:
-            u0 = 2 * (1 + st) * v["rho"] * p["tf"] * F.least(p["lai"], 2 * pi * p["lai"] / p["lt"]) / (RESIDENCE * v["ra"] * v["ta"])
-            third = {
-                "g": F.greatest(F.lit(0.0), F.atan(v["tan"] + v["u"] / u0)),
-                "rb": F.least(p["lt"] / (2 * pi), F.lit(1.0)) * F.pow(p["lai"] / p["lt"], F.lit(2.0)) * STEFAN_BOLTZMANN * F.pow(p["tf"], F.lit(4.0)) / (v["beta"] * v["rho"] * p["q"]),
-                "a": F.least(p["lai"] / (2 * pi), p["lai"] / p["lt"]) * 0.3 * HEAT_YIELD / (4 * p["q"]),
-                "k1": 0.025 * v["front"] * HEAT_YIELD * v["ra"] * v["ta"] * v["s"] * F.sqrt(v["h"]) / (2 * p["q"] * (1 + st) * v["rho"] * p["tf"]),
-                "tilt": F.least(2 * pi * p["lai"] / p["lt"], p["lai"]) * (1 + st) * v["rho"] * p["tf"] / (v["ra"] * v["ta"] * RESIDENCE),
-            }
-
-            def solve(c: Column) -> Column:
-                fourth = {"den": F.cos(c["g"]) / (v["s"] * R00), "lean": c["a"] * (1 - F.sin(c["g"]) + F.cos(c["g"])), "kt": c["k1"] * c["tilt"] * F.tan(c["g"]), "ku": c["k1"] * v["u"], "ex": -v["bt"] / v["front"], "rb": c["rb"]}
-
-                def iterate(k: Column) -> Column:
-                    near = lambda state: F.abs(state["r"] - state["before"]) < tolerance
-
-                    def step(state: Column, _: Column) -> Column:
-                        r = state["r"]
-                        nxt = k["rb"] + F.greatest(F.lit(0.0), k["kt"] + k["ku"] * F.exp(k["ex"] * r)) + k["lean"] * r / (1 + r * k["den"])
-                        return F.when(near(state), state).otherwise(F.struct(r.alias("before"), nxt.alias("r")))
-
-                    start = F.struct(F.lit(float("inf")).alias("before"), k["rb"].alias("r"))
-                    return F.aggregate(F.sequence(F.lit(1), F.lit(max_iterations)), start, step, lambda s: F.when(near(s), F.least(s["r"], F.lit(ROS_CAP))).when(s["r"].isNotNull(), 0.0))
-
-                return bind(fourth, iterate)
-
-            return bind(third, solve)
-
-        return bind(second, speed)
-
-    return bind(first, front)
+    names = ("dead_ratio", "fuel_load", "height", "density", "savr", "wind", "slope", "moisture", "ignition_length", "ignition_temperature", "air_temperature", "air_density")
+    given = dict(zip(names, (dead_ratio, fuel_load, height, density, savr, wind, slope, moisture, ignition_length, ignition_temperature, air_temperature, air_density), strict=True))
+    columns = {k: v for k, v in given.items() if isinstance(v, Column)}
+    numbers = {k: float(v) for k, v in given.items() if k not in columns}
+    if not columns:
+        columns = {"wind": F.lit(numbers.pop("wind"))}
+    order = list(columns)
+
+    @F.pandas_udf("double")
+    def speed(*series: pd.Series) -> pd.Series:
+        values = dict(zip(order, (s.to_numpy(np.float64, na_value=np.nan) for s in series), strict=True))
+        return pd.Series(balbi_arrays(**values, **numbers, max_iterations=max_iterations, tolerance=tolerance))
+
+    return speed(*(c.cast("double") for c in columns.values()))
+
+
+def balbi_arrays(dead_ratio, fuel_load, height, density, savr, wind, slope, moisture, ignition_length, ignition_temperature, air_temperature, air_density, max_iterations: int, tolerance: float) -> np.ndarray:
+    """Balbi speeds of arrays (or numbers); rows leave the iteration as they settle."""
+    with np.errstate(all="ignore"):
+        st, m = 17.0, moisture * 0.01
+        total = fuel_load * (1 + m)
+        beta, beta_all = total * dead_ratio / (height * density), total / (height * density)
+        lai, lai_all = savr * height * beta, savr * height * beta_all
+        front = np.minimum(ignition_length / 50, 1.0)
+        q = 1200 * (ignition_temperature - air_temperature) + m * (2.3e6 + 4180 * (373.15 - air_temperature))
+        flame = air_temperature + HEAT_YIELD * (1 - 0.3) / (1150 * (1 + st))
+        leaves = np.minimum(lai, 2 * np.pi * lai / lai_all)
+        rise = (1 + st) * density * flame * leaves / (RESIDENCE * air_density * air_temperature)
+        angle = np.maximum(0.0, np.arctan(np.tan(np.radians(slope)) + wind / (2 * rise)))
+        base = np.minimum(lai_all / (2 * np.pi), 1.0) * (lai / lai_all) ** 2 * STEFAN_BOLTZMANN * flame**4 / (beta * density * q)
+        lean = np.minimum(lai / (2 * np.pi), lai / lai_all) * 0.3 * HEAT_YIELD / (4 * q) * (1 - np.sin(angle) + np.cos(angle))
+        draft = 0.025 * front * HEAT_YIELD * air_density * air_temperature * savr * np.sqrt(height) / (2 * q * (1 + st) * density * flame)
+        constants = (base, draft * rise * np.tan(angle), draft * wind, -beta_all / front, lean, np.cos(angle) / (savr * R00))
+        constants = [c.copy() for c in np.broadcast_arrays(*constants)]
+        r, last = constants[0].copy(), np.full_like(constants[0], np.inf)
+        left = np.arange(len(r))
+        for _ in range(max_iterations):
+            at, (rb, kt, ku, decay, pull, den) = r[left], constants
+            after = rb + np.maximum(0.0, kt + ku * np.exp(decay * at)) + pull * at / (1 + at * den)
+            last[left], r[left] = at, after
+            moving = ~(np.abs(after - at) < tolerance)
+            left, constants = left[moving], [c[moving] for c in constants]
+            if not len(left):
+                break
+        return np.where(np.abs(r - last) < tolerance, np.minimum(r, ROS_CAP), np.where(np.isnan(r), np.nan, 0.0))
 
 
 def santoni(fuel_load, dead_ratio, height, density_dead, density_live, savr_dead, savr_live, wind, slope, moisture_dead, moisture_live, ignition_temperature=600.0, air_temperature=300.0, air_density=1.125) -> Column:

@@ -34,8 +34,7 @@ def validate(observations: DataFrame, classes: DataFrame, properties: list[str],
     known = observations.dropna(subset=[*properties, observed])
     placed = fuels.closest_class(known, classes, properties, class_column)
     own = [c for c in classes.columns if c not in observations.columns and c != class_column]
-    side = F.broadcast(classes.select(F.col(class_column).alias("closest_class"), *own))
-    joined = placed.join(side, "closest_class")
+    joined = placed.join(classes.select(F.col(class_column).alias("closest_class"), *own), "closest_class")
     if wind_factor is not None:
         meta = units.units_of(joined, "wind_speed")
         joined = joined.withColumn("wind_speed", F.col("wind_speed") * wind_factor).withMetadata("wind_speed", {"units": meta})
@@ -61,10 +60,12 @@ def weather_scores(pairs: DataFrame, periods: DataFrame, m: dict[str, float], me
     """Scores of weather variables by study period: min, mean and max over stations of a station's metric, each to 0-100.
 
     pairs: station_id, variable, ts, x, ref; periods: period, start, end (an interval may overlap others); m: the
-    difference worth 50 points for each variable. ``trusted`` filters observations.
+    difference worth 50 points for each variable. ``trusted`` filters observations. Periods meet observations by day, and
+    then by time.
     """
     inside = pairs.where(trusted) if trusted is not None else pairs
-    inside = inside.join(F.broadcast(periods), (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    days = periods.withColumn("_day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
+    inside = inside.withColumn("_day", F.to_date("ts")).join(days, "_day").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))).drop("_day")
     summary = metrics.station_summary(inside, "station_id", metric, "x", "ref", "variable", "period")
     long = summary.select("variable", "period", F.explode(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(f"kpi_{s}").alias("kpi")) for s in ("min", "mean", "max")])).alias("s")).select("variable", "period", "s.*")
     score = None

@@ -13,13 +13,18 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["k_rothermel", "k_santoni", "k_balbi", "k_hamada1", "k_hamada2", "k_norms", "n_sensors", "w_wind_profiles", "p_fuel_derivations", "p_closest_class", "p_units"])
+@pytest.mark.parametrize("name", ["k_rothermel", "k_santoni", "k_hamada1", "k_hamada2", "k_norms", "n_sensors", "w_wind_profiles", "p_fuel_derivations", "p_closest_class", "p_units"])
 def test_row_queries_neither_shuffle_nor_leave_the_jvm(spark, sf_dir, name):
     text = plan(catalogue.QUERIES[name](spark, sf_dir))
     body = text.split("Subquery")[0]
     assert "Exchange" not in body and not PYTHON.search(text)
 
 
+def test_the_fixed_point_is_one_arrow_function(spark, sf_dir):
+    text = plan(catalogue.QUERIES["k_balbi"](spark, sf_dir))
+    assert "Exchange" not in text and text.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in text
+
+
 def test_metrics_shuffle_partial_sums_only(spark, sf_dir):
     text = plan(catalogue.QUERIES["m_confusion_family"](spark, sf_dir))
     assert text.count("Exchange") == 1 and "partial_" in text and not PYTHON.search(text)
@@ -42,4 +47,4 @@ def test_windows_of_rasters_reach_the_scan(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_no_cartesian_products(spark, sf_dir, name):
     text = plan(catalogue.QUERIES[name](spark, sf_dir))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text or name == "wf_weather_scores"
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
