@@ -1,13 +1,16 @@
 """Secret scans: patterns, and a character convolutional network over every candidate in its context.
 
-The network reads the characters from BEFORE in front of a candidate to AFTER behind its start
-with a channel that marks the candidate itself: embedding, one convolution, maxima over the
-candidate and means over the window, a small dense layer. It is trained in numpy, on the driver, on
-labelled findings that ``labelled_findings`` writes from a seed. Platt scaling on held-out findings
+Candidates are runs of token characters (CHARS) with a letter: all of LONG or more, shorter ones of SHORT or more that also
+hold a digit, and whatever stands where a key word announces a value. Runs longer than SPLIT are also taken apart at
+separators, so that a credential at the end of a path is judged by itself.
+
+The network reads the characters from BEFORE in front of a window's start to AFTER behind it, with a channel that marks the
+candidate itself: embedding, one convolution, maxima over the candidate and means over the window, a small dense
+layer. Candidates longer than a window are read in overlapping windows over their whole length, and the best one counts. It is trained
+in numpy, on the driver, on labelled findings that ``labelled_findings`` writes from a seed. Platt scaling on held-out findings
 calibrates it, and the threshold is the largest, up to even odds, at which their recall is still ``recall``.
 
-Candidates are runs of token characters of ``MIN_TOKEN`` or more with a letter and a digit. Pattern
-findings stay whatever the network says; the network adds those that no pattern covers.
+Pattern findings stay whatever the network says; the network adds those that no pattern covers.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,12 @@ KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-MIN_TOKEN = 20
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % MIN_TOKEN)
+CHARS = r"A-Za-z0-9+/_.=!@#$%^&*~?:\-"
+LONG, SHORT, SPLIT = 16, 8, 40
+_RUN = re.compile(rf"(?<![{CHARS}])(?=[A-Za-z]*+[^A-Za-z\s]|[{CHARS}]{{{LONG}}})[{CHARS}]{{{SHORT},}}")
+_PARTS = re.compile(r"[^./:=_?&-]+")
+_KEYED = re.compile(r"""(?:passw(?:or)?d|passphrase|passcode|pwd|pass|secret|token|key|auth[a-z]*|bearer|credentials?|private)["']?[ \t]{0,2}(?:[:=]|\bis\b|[ \t])[ \t]{0,2}["']?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
+_EDGE = ".,:;!?*#$%&=-_~^@/+"
 BEFORE, AFTER, SYMBOLS = 32, 64, 130
 SCHEMA = "doc_id long, findings array<struct<kind:string,start:long,end:long,score:double>>"
 
@@ -43,57 +52,103 @@ def pattern_findings(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Token runs with a letter and a digit; a sentence's trailing dots and equals signs in front are not part."""
-    out = []
-    for m in _TOKEN.finditer(text):
-        run = m[0].rstrip(".-_")
-        if len(run) >= MIN_TOKEN and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
-            out.append((m.start(), m.start() + len(run)))
-    return out
+    """Runs and announced values by start; marks at the edges are not part, but for a value's last ``=`` and marks inside quotes."""
+    out = set()
+    for m in _RUN.finditer(text):
+        run = m[0]
+        a = m.start() + len(run) - len(run.lstrip(_EDGE))
+        b = m.start() + len(run.rstrip(_EDGE.replace("=", "")))
+        if any(map(str.isalpha, run)) and (b - a >= LONG or (b - a >= SHORT and any(map(str.isdigit, run)))):
+            out.add((a, b))
+    for m in _KEYED.finditer(text):
+        run = m[1].rstrip(".,:;?)]}")
+        if len(run) >= 6:
+            out.add((m.start(1), m.start(1) + len(run)))
+    kept: list[tuple[int, int]] = []
+    for a, b in sorted(out, key=lambda s: (s[0], -s[1])):  # the longer of two that overlap
+        if kept and a < kept[-1][1]:
+            if b - a > kept[-1][1] - kept[-1][0]:
+                kept[-1] = (a, b)
+            continue
+        kept.append((a, b))
+    return kept
+
+
+def parts(text: str, span: tuple[int, int]) -> list[tuple[int, int]]:
+    """A long candidate's pieces between separators, those of LONG or more."""
+    a, b = span
+    if b - a <= SPLIT:
+        return []
+    return [(a + m.start(), a + m.end()) for m in _PARTS.finditer(text[a:b]) if m.end() - m.start() >= LONG]
 
 
-def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols (0: outside the text) and candidate marks of each span's window."""
+def places(span: tuple[int, int]) -> list[int]:
+    """Where windows begin that read a whole candidate, the last one with what is behind it."""
+    a, b = span
+    return [a] if b - a <= AFTER - 16 else [*range(a, b - AFTER + 16, AFTER // 2), b - AFTER + 16]
+
+
+def windows(text: str, spans: list[tuple[int, int]], starts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols (0: outside the text) and candidate marks of one window for each span, from ``starts`` (the span's own)."""
     sym = np.zeros((len(spans), BEFORE + AFTER), np.int64)
     mark = np.zeros(sym.shape, np.float32)
     for i, (a, b) in enumerate(spans):
-        low = max(0, a - BEFORE)
-        part = text[low : a + AFTER]
-        at = BEFORE - (a - low)
-        sym[i, at : at + len(part)] = [min(ord(c), SYMBOLS - 2) + 1 for c in part]
-        mark[i, BEFORE : BEFORE + min(b - a, AFTER)] = 1
+        w = starts[i] if starts else a
+        low = max(0, w - BEFORE)
+        part = np.frombuffer(text[low : w + AFTER].encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = BEFORE - (w - low)
+        sym[i, at : at + len(part)] = np.minimum(part, SYMBOLS - 2) + 1
+        mark[i, BEFORE + max(a - w, -BEFORE) : BEFORE + min(b - w, AFTER)] = 1
     return sym, mark
 
 
 def labelled_findings(n: int, seed: int = 11) -> list[tuple[str, tuple[int, int], int]]:
     """n findings (text, span, 1 for a secret): credentials of many forms, and tokens that only look like them."""
     r = random.Random(seed)
-    low, alnum, hexd = string.ascii_lowercase, string.ascii_letters + string.digits, "0123456789abcdef"
+    low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    alnum, hexd = low + up + dig, "0123456789abcdef"
     some = lambda chars, a, b: "".join(r.choice(chars) for _ in range(r.randint(a, b)))
-    word = lambda: "".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "ti", "es", "or", "st", "en", "at", "is", "ou", "ea", "ng", "al", "it", "que", "des", "sch", "ung", "ci", "as")) for _ in range(r.randint(1, 4)))
+    word = lambda: "".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed", "ti", "es", "or", "st", "en", "at", "is", "ou", "ea", "ng", "al", "it", "que", "des", "sch", "ung", "ci", "as", "ment", "ver", "pro", "com")) for _ in range(r.randint(1, 4)))
     prose = lambda k: " ".join(word() for _ in range(k))
+    number = lambda a, b: str(r.randint(a, b))
+    onsets, vowels, codas = "b br ch d f g gr h k kl l m n p pf qu r s sch schl st str t th tr tz v w z".split(), "a e i o u ei ie au eu ou io".split(), ["", "", "", *"n r s t l ng ch cht lt nd rt st tz ss pf".split()]
+    long_word = lambda a, b: "".join(r.choice(onsets) + r.choice(vowels) + r.choice(codas) for _ in range(r.randint(a, b)))
+    cased = lambda w: r.choice((w, w, w.capitalize(), w.upper()))
+    uuid = lambda: "-".join(some(hexd, k, k) for k in (8, 4, 4, 4, 12))
+    name = lambda: "_".join(word() for _ in range(r.randint(2, 4)))
+    says = lambda: r.choice(("password: ", "password=", "pwd = ", "passwd: '", "pass: ", "passphrase is ", "secret=", "token = \"", "key: ", "api key ", "auth=", "credential ", "private_key = ", "Authorization: ", "Bearer ", "the password is ", "client_secret: "))
     secrets = [
-        lambda: ("", some(hexd, 32, 64)), lambda: ("", some(alnum, 24, 48)), lambda: ("", some(alnum + "+/", 40, 60) + "=" * r.randint(0, 2)),
-        lambda: ("Bearer ", some(alnum + "-_", 24, 60)), lambda: (r.choice(("key: ", "auth=", "pwd=", "credential ", "private_key = ", "Authorization: ")), some(alnum, 20, 44)),
-        lambda: ("", r.choice(("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza")) + some(alnum, 24, 40)),
-        lambda: ("", "eyJ" + some(alnum, 16, 30) + "." + some(alnum, 20, 40) + "." + some(alnum + "-_", 20, 43)), lambda: (r.choice(("token = \"", "secret: ", "password=")), some(alnum, 20, 44)),
+        lambda: ("", some(hexd, 32, 64)), lambda: ("", some(hexd.upper(), 32, 48)), lambda: ("", some(alnum, 20, 48)), lambda: ("", some(alnum + "+/", 40, 60) + "=" * r.randint(0, 2)),
+        lambda: ("Bearer ", some(alnum + "-_", 24, 60)), lambda: (says(), some(alnum, 16, 44)), lambda: (says(), some(alnum, 16, 24)), lambda: (says(), some(low + up, 16, 44)),
+        lambda: ("", some(low + up, 28, 48)), lambda: ("", some(alnum, 16, 20)), lambda: (says(), some(alnum + "!@#$%^&*!@#$%^&*", 8, 18)), lambda: (says(), some(alnum + "!@#$", 9, 14)),
+        lambda: (says(), uuid()), lambda: (says(), some(hexd, 16, 31)), lambda: (says(), some(up + dig, 16, 32)), lambda: (says(), some(low + dig, 10, 20)),
+        lambda: ("", r.choice(("ghp_", "sk_live_", "xoxb-", "glpat-", "AIza", "pk_", "ya29.", "SG.")) + some(alnum, 20, 40)),
+        lambda: ("", "eyJ" + some(alnum, 16, 30) + "." + some(alnum, 20, 40) + "." + some(alnum + "-_", 20, 43)), lambda: ("", some(alnum + "+/", 80, 300)),
+        lambda: (f"https://{word()}.com/{word()}/", some(alnum, 20, 40)), lambda: (f"{name()}=", some(alnum, 20, 40)),
     ]
     others = [
-        lambda: ("", f"{word()}{r.randint(0, 99)}.{word()}.example.{r.choice(('com', 'org', 'net'))}"), lambda: (f"{word()}.{r.randint(0, 99)}@", f"mail{r.randint(0, 99)}.{word()}{word()}.example.com"),
-        lambda: ("https:", f"//www.{word()}.com/{word()}/{r.randint(1, 9999)}/{word()}-{word()}"), lambda: ("", f"{word()}-{word()}-{word()}-{r.randint(1, 2030)}-{word()}"),
-        lambda: ("", f"{word()}_{word()}_{r.randint(1, 99)}_{word()}.{r.choice(('txt', 'html', 'tar.gz', 'py'))}"), lambda: ("", f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{r.randint(10, 23)}.{r.randint(10, 59)}.{r.randint(10, 59)}.{r.randint(100, 999)}Z"),
-        lambda: ("", word() + word() + word() + str(r.randint(1, 99)) + word() + word() + word()), lambda: ("", r.choice("-=_.") * r.randint(18, 40) + r.choice("a1x2") + "3"),
-        lambda: ("", (word() + str(r.randint(0, 9))) * r.randint(6, 9)), lambda: ("", f"v{r.randint(1, 9)}.{r.randint(0, 99)}.{r.randint(0, 99)}-{word()}.{word()}+{word()}"),
-        lambda: ("", ".".join(word() + word() for _ in range(4)) + str(r.randint(0, 9))), lambda: ("", f"{word()}/{word()}/{word()}/{word()}{r.randint(1, 500)}/{word()}"), lambda: ("", f"{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}.{r.randint(1, 255)}-{word()}{word()}"),
+        lambda: ("", f"{word()}{number(0, 99)}.{word()}.example.{r.choice(('com', 'org', 'net'))}"), lambda: ("", f"{long_word(1, 3)}.{number(0, 99)}@mail{number(0, 9)}.{r.choice((word() + word(), 'example'))}.{r.choice(('com', 'org', 'de'))}"), lambda: ("", f"{word()}{r.choice(('.', '_', ''))}{number(0, 99)}@{word()}.{r.choice(('com', 'net', 'fr'))}"),
+        lambda: ("", f"https://www.{word()}.com/{word()}/{number(1, 9999)}/{word()}-{word()}"), lambda: ("", f"{word()}-{word()}-{word()}-{number(1, 2030)}-{word()}"),
+        lambda: ("", f"{name()}_{number(1, 99)}_{word()}.{r.choice(('txt', 'html', 'tar.gz', 'py'))}"), lambda: ("", f"20{number(10, 29)}-0{number(1, 9)}-{number(10, 28)}T{number(10, 23)}:{number(10, 59)}:{number(10, 59)}.{number(100, 999)}Z"),
+        lambda: ("", word() + word() + word() + number(1, 99) + word() + word()), lambda: ("", r.choice("-=_.*#") * r.randint(16, 90)), lambda: ("", (word() + number(0, 9)) * r.randint(3, 9)),
+        lambda: ("", f"v{number(1, 9)}.{number(0, 99)}.{number(0, 99)}-{word()}.{word()}+{word()}"), lambda: ("", ".".join(word() + word() for _ in range(4)) + number(0, 9)),
+        lambda: ("", f"/{word()}/{word()}/{word()}/{word()}{number(1, 500)}/{word()}/{word()}"), lambda: ("", f"{number(1, 255)}.{number(1, 255)}.{number(1, 255)}.{number(1, 255)}"),
+        lambda: ("", uuid()), lambda: ("id ", uuid()), lambda: ("", some(dig, 16, 16)), lambda: ("", some(dig, 16, 16)), lambda: ("", "-".join(some(dig, 4, 4) for _ in range(4))), lambda: ("", f"+{number(1, 99)}-{number(100, 999)}-{number(1000, 9999999)}"),
+        lambda: ("", "".join(word().capitalize() for _ in range(r.randint(3, 5)))), lambda: ("", word() + "".join(word().capitalize() for _ in range(r.randint(2, 4)))),
+        lambda: ("", cased(long_word(4, 9))), lambda: ("", cased(long_word(4, 7))), lambda: ("", cased("".join(r.choice((word, lambda: long_word(1, 1)))() for _ in range(r.randint(4, 8))))), lambda: (says(), long_word(2, 5)), lambda: ("", cased(long_word(2, 4)) + number(1, 99)),
+        lambda: ("", "".join(word() for _ in range(r.randint(4, 7)))), lambda: ("", "".join(word() for _ in range(r.randint(3, 5))).upper()), lambda: ("", name() + "_" + name()), lambda: ("", name().upper() + "_" + word().upper()),
+        lambda: (says(), word() + word()), lambda: (says(), r.choice(("required", "changed", "incorrect", "not-set", "none.", "optional", "forgotten", "protected", "economy", name(), "${" + name() + "}", "os.environ", "********"))),
+        lambda: ("", word() + number(1, 2030)), lambda: ("", f"{word()}{number(1, 99)}{word()}"), lambda: ("", f"978-{number(0, 9)}-{number(10, 99)}-{number(100000, 999999)}-{number(0, 9)}"),
+        lambda: ("", "/".join(word() for _ in range(r.randint(8, 30)))), lambda: ("", "".join(word() for _ in range(r.randint(20, 60)))), lambda: ("", f"{word()}={word()}&{word()}={number(1, 99)}&{word()}={word()}"), lambda: ("", "ab" * r.randint(8, 60)),
     ]
     out = []
     while len(out) < n:
         y = r.random() < 0.5
         lead, tok = r.choice(secrets if y else others)()
-        if len(tok) < MIN_TOKEN or not any(c.isdigit() for c in tok):
+        if len(tok) < 6:
             continue
-        head = prose(r.randint(0, 6)) + r.choice((" ", "\n", " | ", "### ", " ")) + lead
-        out.append((head + tok + r.choice((" ", ".\n", '"', ",", "")) + prose(r.randint(0, 5)), (len(head), len(head) + len(tok)), int(y)))
+        head = prose(r.randint(0, 6)) + r.choice((" ", "\n", " | ", "### ", " ", " (", ' "')) + lead
+        out.append((head + tok + r.choice((" ", ".\n", '"', ",", "", ")", "&&& ", "!! ")) + prose(r.randint(0, 5)), (len(head), len(head) + len(tok)), int(y)))
     return out
 
 
@@ -149,9 +204,9 @@ class Network:
 
 
 def train(findings: list[tuple[str, tuple[int, int], int]], recall: float = 0.98, epochs: int = 5, seed: int = 3) -> Network:
-    """Fits on four fifths of the findings by Adam; calibrates and sets the threshold on the rest."""
+    """Fits on four fifths of the findings by Adam; calibrates and sets the threshold on the rest. Of a long finding one window is read."""
     rng = np.random.default_rng(seed)
-    parts = [windows(t, [s]) for t, s, _ in findings]
+    parts = [windows(t, [s], [int(rng.choice(places(s)))]) for t, s, _ in findings]
     sym, mark = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     y = np.array([f[2] for f in findings], np.float64)
     fold = np.arange(len(y)) % 5 == 0
@@ -175,23 +230,54 @@ def train(findings: list[tuple[str, tuple[int, int], int]], recall: float = 0.98
     return net
 
 
-def default_network(findings: int = 3000, recall: float = 0.98) -> Network:
+@lru_cache
+def default_network(findings: int = 10000, recall: float = 0.98) -> Network:
+    """The network of ``labelled_findings``, trained once in a process."""
     return train(labelled_findings(findings), recall)
 
 
+def judged(text: str, spans: list[tuple[int, int]], net: Network) -> np.ndarray:
+    """Score of each span: the best of its windows."""
+    at = [(i, w) for i, s in enumerate(spans) for w in places(s)]
+    best = np.zeros(len(spans))
+    for k in range(0, len(at), 512):
+        some = at[k : k + 512]
+        np.maximum.at(best, [i for i, _ in some], net.scores(*windows(text, [spans[i] for i, _ in some], [w for _, w in some])))
+    return best
+
+
 def findings(text: str | None, net: Network) -> list[tuple[str, int, int, float]]:
-    """All findings of a text by start and kind: (kind, start, end, calibrated score); offsets in code points."""
+    """All findings of a text by start and kind: (kind, start, end, calibrated score); offsets in code points.
+
+    Of a long candidate the pieces that are secrets are found; all of it, if all its pieces are or it has none.
+    """
     if not text:
         return []
     base = pattern_findings(text)
-    taken = sorted((a, b) for _, a, b in base)
-    more = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, b in taken)] if taken else candidates(text)
-    if not base and not more:
+    starts, ends = [], []  # what patterns cover, joined
+    for a, b in sorted((a, b) for _, a, b in base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(span: tuple[int, int]) -> bool:
+        k = bisect_right(starts, span[0])
+        return not (k and ends[k - 1] > span[0]) and not (k < len(starts) and starts[k] < span[1])
+
+    whole = candidates(text)
+    pieces = [[p for p in parts(text, c) if free(p)] for c in whole]
+    spans = [(a, b) for _, a, b in base] + [p for ps in pieces for p in ps] + [c for c in whole if free(c)]
+    if not spans:
         return []
-    spans = [(a, b) for _, a, b in base] + more
-    score = np.concatenate([net.scores(*windows(text, spans[i : i + 512])) for i in range(0, len(spans), 512)])
-    out = [(k, a, b, float(s)) for (k, a, b), s in zip(base, score, strict=False)]
-    out += [("model", a, b, float(s)) for (a, b), s in zip(more, score[len(base) :], strict=True) if s >= net.threshold]
+    score = dict(zip(spans, judged(text, spans, net).tolist(), strict=True))
+    out = [(k, a, b, score[a, b]) for k, a, b in base]
+    for c, ps in zip(whole, pieces, strict=True):
+        good = [p for p in ps if score[p] >= net.threshold]
+        if c in score and (len(good) == len(ps) if ps else score[c] >= net.threshold) and free(c):
+            good = [c]
+        out += [("model", *p, max([score[p]] + [score[q] for q in ps if p == c])) for p in good]
     return sorted(out, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
