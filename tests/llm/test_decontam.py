@@ -9,7 +9,7 @@ def brute(docs, items, threshold=0.8, k=5):
         ws = decontam.words(t)
         for i, u in items:
             us = decontam.words(u)
-            if i is None or not us:
+            if not us:
                 continue
             n = min(k, len(us))
             grams = lambda x: {tuple(x[j : j + n]) for j in range(len(x) - n + 1)}  # noqa: E731, B023
@@ -35,7 +35,7 @@ def test_against_brute_force(spark, sf_dir):
     ddf = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int")
     idf = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
     want = brute(docs, items)
-    for chars in (8_000_000, 2000):  # one block of items, and many
+    for chars in (8_000_000, 2000):  # items sent to the workers, and items as a table
         got = sorted(((x.doc_id, x.item_id, x.item_shingles, x.shared_shingles) for x in decontam.contaminated(ddf, idf, max_chars=chars).collect()), key=str)
         assert got == want
         kept = decontam.drop_contaminated(ddf, idf, max_chars=chars)
@@ -44,3 +44,21 @@ def test_against_brute_force(spark, sf_dir):
         assert sorted((x.doc_id for x in kept.collect()), key=str) == sorted((d for d, _ in docs if d not in hit), key=str)
     assert decontam.contaminated(ddf.limit(0), idf).count() == 0 == decontam.contaminated(ddf, idf.limit(0)).count()
     assert decontam.drop_contaminated(ddf, idf.limit(0)).count() == len(docs)
+
+
+def test_common_shingles_do_not_fill_sketches():
+    """Items with one header: sketches take the shingles that few items share, so a document with the header meets none of them."""
+    r = random.Random(8)
+    header = " ".join(f"h{i}" for i in range(12))
+    items = [(i, f"{header} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(30))) for i in range(3000)]
+    index = decontam.Index(items, 0.8, 5)
+    assert max(len(t[2][t[1][i] : t[1][i + 1]]) for t in index.tables.values() for i in range(len(t[0]))) <= 3
+    assert index.search(f"{header} and more") == [] and [f[0] for f in index.search(f"x {items[7][1]} y")] == [7]
+
+
+def test_sketch_thresholds_follow_partitions():
+    for n in range(1, 400):
+        m, hits = decontam.sketch(n, 0.8)
+        lacking = n - decontam.needed(n, 0.8)
+        assert lacking < m <= n and 1 <= hits == max(1, m - lacking)
+    assert len({decontam.sketch(n, 0.8)[0] for n in range(128, 256)}) <= 2
