@@ -51,6 +51,41 @@ def project(lon: Column, lat: Column, projection: str = "EPSG:5070") -> tuple[Co
     return k * d * F.cos(b) * F.sin(dlon), k / d * (math.cos(b0) * F.sin(b) - math.sin(b0) * F.cos(b) * F.cos(dlon))
 
 
+def _albers(projection: str) -> tuple[float, float, float, float]:
+    """Cone constant, C, radius of the origin's parallel, and central meridian (Snyder 1987, 14-3 to 14-6)."""
+    kind, p1, p2, lat0, lon0 = PROJECTIONS.get(projection, ("none", 0, 0, 0, 0))
+    if kind != "albers":
+        raise ValueError(f"not an Albers projection: {projection}")
+    m = lambda d: math.cos(math.radians(d)) / math.sqrt(1 - _E2 * math.sin(math.radians(d)) ** 2)
+    q = lambda d: _authalic(math.sin(math.radians(d)))
+    n = (m(p1) ** 2 - m(p2) ** 2) / (q(p2) - q(p1))
+    c = m(p1) ** 2 + n * q(p1)
+    return n, c, _A * math.sqrt(c - n * q(lat0)) / n, lon0
+
+
+def unproject(x: Column, y: Column, projection: str = "EPSG:5070") -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of Albers coordinates; the latitude by the series of the authalic one (Snyder 1987, 3-18)."""
+    n, c, rho0, lon0 = _albers(projection)
+    rho = F.sqrt(x * x + (rho0 - y) * (rho0 - y))
+    q = (c - rho * rho * (n * n / (_A * _A))) / n
+    beta = F.asin(F.greatest(F.least(q / _authalic(1.0), F.lit(1.0)), F.lit(-1.0)))
+    e2, e4, e6 = _E2, _E2**2, _E2**3
+    lat = beta + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
+    return F.degrees(F.atan2(x, rho0 - y) / n) + lon0, F.degrees(lat)
+
+
+def projected_bounds(west: float, south: float, east: float, north: float, projection: str = "EPSG:5070", points: int = 21) -> tuple[float, float, float, float]:
+    """Least and largest x and y (x, y, x, y) of a box in degrees whose sides are projected at ``points`` inner points each."""
+    n, c, rho0, lon0 = _albers(projection)
+    steps = [k / (points + 1) for k in range(points + 2)]
+    sides = [(west + t * (east - west), lat) for t in steps for lat in (south, north)] + [(lon, south + t * (north - south)) for t in steps for lon in (west, east)]
+    at = []
+    for lon, lat in sides:
+        rho = _A * math.sqrt(c - n * _authalic(math.sin(math.radians(lat)))) / n
+        at.append((rho * math.sin(n * math.radians(lon - lon0)), rho0 - rho * math.cos(n * math.radians(lon - lon0))))
+    return min(p[0] for p in at), min(p[1] for p in at), max(p[0] for p in at), max(p[1] for p in at)
+
+
 def project_ring(ring: Column, projection: str = "EPSG:5070") -> Column:
     def point(p: Column) -> Column:
         x, y = project(p["x"], p["y"], projection)
@@ -61,10 +96,15 @@ def project_ring(ring: Column, projection: str = "EPSG:5070") -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Area of a simple ring (shoelace), whatever its direction; the ring may be open or closed."""
+    return F.abs(ring_signed_area(ring))
+
+
+def ring_signed_area(ring: Column) -> Column:
+    """Area of a ring, positive if it runs counter-clockwise."""
     n = F.size(ring)
     nxt = F.concat(F.slice(ring, 2, n), F.slice(ring, 1, 1))
     cross = F.zip_with(ring, nxt, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, v: s + v)) / 2
+    return F.aggregate(cross, F.lit(0.0), lambda s, v: s + v) / 2
 
 
 def _slabs(rings: list[list[tuple[float, float]]]) -> tuple[list[float], list[list[tuple[float, float, float, float]]]]:
@@ -148,9 +188,10 @@ def smooth(grid: DataFrame, sigma: float, grid_id: str = "grid_id", row: str = "
     total = sum(weights)
     kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / total).alias("w")) for k, w in zip(range(-radius, radius + 1), weights, strict=True)])
     sizes = grid.groupBy(grid_id).agg((F.max(row) + 1).alias("_rows"), (F.max(col) + 1).alias("_cols"))
-    cells = grid.select(grid_id, row, col, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v")).join(F.broadcast(sizes), grid_id)
+    cells = grid.select(grid_id, row, col, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v")).join(sizes, grid_id)
     for at, n in ((row, "_rows"), (col, "_cols")):
-        mirrored = F.explode(F.array(F.col(at), -1 - F.col(at), 2 * F.col(n) - 1 - F.col(at)))
+        images = F.array(F.col(at), -1 - F.col(at), 2 * F.col(n) - 1 - F.col(at))
+        mirrored = F.explode(F.filter(images, lambda k: (k >= -radius) & (k < F.col(n) + radius)))  # noqa: B023
         sent = cells.withColumn("_s", mirrored).withColumn("_k", F.explode(kernel)).withColumn("_t", F.col("_s") + F.col("_k.k")).where((F.col("_t") >= 0) & (F.col("_t") < F.col(n)))
         keep = [c for c in (grid_id, row, col, "_rows", "_cols") if c != at]
         summed = F.when(F.count_if(F.col("v").isNull()) == 0, F.sum(F.col("v") * F.col("_k.w"))).alias("v")
@@ -203,6 +244,66 @@ def filled_cells(grid: DataFrame, level: float, grid_id: str = "grid_id", row: s
     return squares.mapInPandas(pieces, f"{grid_id} {kind}, row long, col long, ring array<struct<x:double,y:double>>")
 
 
+def stitched_rings(pieces: DataFrame, digits: int = 9) -> DataFrame:
+    """Boundary rings of the pieces of ``filled_cells``: grid_id, ring_id, hole, ring (not closed).
+
+    Sides that two pieces share run in opposite directions and cancel in one aggregate, so only the region's outline is
+    left; where outlines touch in a point they part there. Outlines of one raster are followed in one task: that is a raster's edge, not
+    its area. Outer rings run counter-clockwise, holes clockwise.
+    """
+    key = pieces.columns[0]
+    area = ring_signed_area(F.col("ring"))
+    turned = F.when(area < 0, F.reverse("ring")).otherwise(F.col("ring"))
+    snapped = F.transform(turned, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+    ahead = F.concat(F.slice("r", 2, F.size("r") - 1), F.slice("r", 1, 1))
+    sides = pieces.where(area != 0).select(key, snapped.alias("r")).select(key, F.explode(F.arrays_zip(F.col("r").alias("a"), ahead.alias("b"))).alias("s")).select(key, "s.a", "s.b").where("a <> b")
+    forward = F.when(F.col("a") < F.col("b"), 1).otherwise(-1)
+    left = sides.groupBy(key, F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.sum(forward).alias("n")).where("n <> 0")
+
+    def follow(f: pd.DataFrame) -> pd.DataFrame:
+        out: dict[tuple, list] = {}
+        for low, high, n in zip(f["low"], f["high"], f["n"], strict=True):
+            a, b = ((low["x"], low["y"]), (high["x"], high["y"])) if n > 0 else ((high["x"], high["y"]), (low["x"], low["y"]))
+            out.setdefault(a, []).append(b)
+        rings = []
+        for start in sorted(out):
+            while out[start]:
+                ring, at, before = [], start, None
+                while out[at]:
+                    ways = out[at]
+                    if before is not None and len(ways) > 1:  # the sharpest turn to the left keeps touching outlines apart
+                        back = math.atan2(before[1] - at[1], before[0] - at[0])
+                        ways.sort(key=lambda p: (back - math.atan2(p[1] - at[1], p[0] - at[0])) % (2 * math.pi))
+                    ring.append(at)
+                    before, at = at, ways.pop(0)
+                rings.append(ring)
+        rows = []
+        for i, ring in enumerate(rings):
+            twice = sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True))
+            rows.append((f[key].iloc[0], i, twice < 0, [{"x": x, "y": y} for x, y in ring]))
+        return pd.DataFrame(rows, columns=[key, "ring_id", "hole", "ring"])
+
+    return left.groupBy(key).applyInPandas(follow, f"{key} {dict(pieces.dtypes)[key]}, ring_id long, hole boolean, ring array<struct<x:double,y:double>>")
+
+
+def filled_rings(grid: DataFrame, level: float, sigma: float = 0.0, **columns: str) -> DataFrame:
+    """Rings with holes of the region where a raster, smoothed if ``sigma`` is above 0, is at most ``level``."""
+    return stitched_rings(filled_cells(smooth(grid, sigma) if sigma > 0 else grid, level, **columns))
+
+
+def joined_grids(first: DataFrame, second: DataFrame, *key: str, value: str = "value") -> DataFrame:
+    """Two rasters on one grid pixel by pixel: key (grid_id, row and col by default), x of the first, ref of the second; ready for the metrics.
+
+    Rasters of different shapes fail the query, as arrays of different shapes do: a pixel on one side only is an error.
+    """
+    on = list(key) or ["grid_id", "row", "col"]
+    one = lambda g, name: g.select(*on, F.struct(F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v")).alias(name))
+    both = one(first, "_x").join(one(second, "_ref"), on, "full")
+    alone = F.col("_x").isNull() | F.col("_ref").isNull()
+    x = F.when(alone, F.raise_error(F.lit("rasters of different shapes")).cast("double")).otherwise(F.col("_x.v"))
+    return both.select(*on, x.alias("x"), F.col("_ref.v").alias("ref"))
+
+
 def filled_area(grid: DataFrame, level: float, **columns: str) -> DataFrame:
     """Area of the filled contour of each raster, in the units of its coordinates."""
     pieces = filled_cells(grid, level, **columns)

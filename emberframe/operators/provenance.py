@@ -47,6 +47,37 @@ def catalog_digest(catalog: DataFrame, payload_sha: str | None = None) -> DataFr
     return nodes.groupBy("file_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda s: s["node"]), "\n"), 256).alias("digest"))
 
 
+def add_certificate(catalog: DataFrame, name: str, key_id: str, signer: str, created_on: str, payload_sha: str | None = None) -> DataFrame:
+    """The catalog with a node /certificates/name in every file that holds the digest of the file's other nodes."""
+    fields = {"key_id": key_id, "signer": signer, "created_on": created_on}
+    attrs = F.map_from_arrays(F.array(F.lit("subject_sha256"), *[F.lit(k) for k in fields]), F.array(F.col("digest"), *[F.lit(v) for v in fields.values()]))
+    digests = catalog_digest(catalog, payload_sha)
+    nodes = digests.select("file_id", F.lit(f"/certificates/{name}").alias("path"), F.lit("group").alias("kind"), F.lit(None).cast("string").alias("dtype"), F.lit(None).cast("array<bigint>").alias("shape"), attrs.alias("attrs"))
+    return catalog.unionByName(nodes, allowMissingColumns=True)
+
+
+def check_certificates(catalog: DataFrame, keys: DataFrame | None = None, payload_sha: str | None = None) -> DataFrame:
+    """file_id, certificate, key_id, valid and reason of every certificate in the catalogs.
+
+    The digest must be that of the file as it is; with ``keys`` (a registry: key_id, signer, revoked) the key must be known, the signer's, and not revoked.
+    """
+    held = catalog.where("path like '/certificates/%'").select("file_id", F.substring_index("path", "/", -1).alias("certificate"), *[F.element_at("attrs", k).alias(k) for k in ("key_id", "signer", "subject_sha256")])
+    known = held.join(catalog_digest(catalog, payload_sha), "file_id", "left")
+    reason = F.when(~F.col("subject_sha256").eqNullSafe(F.col("digest")), "digest differs")
+    if keys is not None:
+        registry = keys.select("key_id", F.col("signer").alias("_signer"), F.coalesce("revoked", F.lit(False)).alias("_revoked"))
+        known = known.join(registry, "key_id", "left")
+        reason = reason.when(F.col("_signer").isNull(), "unknown key").when(F.col("_signer") != F.col("signer"), "not the signer's key").when(F.col("_revoked"), "revoked key")
+    return known.select("file_id", "certificate", "key_id", reason.isNull().alias("valid"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+def file_levels(catalog: DataFrame, keys: DataFrame | None = None, payload_sha: str | None = None) -> DataFrame:
+    """file_id and verification level by the valid certificates of each file."""
+    good = check_certificates(catalog, keys, payload_sha).where("valid").groupBy("file_id").agg(F.collect_set("certificate").alias("held"))
+    files = catalog.select("file_id").distinct().join(good, "file_id", "left")
+    return files.select("file_id", verification_level(F.coalesce("held", F.array().cast("array<string>"))).alias("level"))
+
+
 def verification_level(certificates: Column, levels=LEVELS) -> Column:
     """Level of an array of certificate names: the first rule whose names are all there. Validity is not looked at."""
     out = F.lit(DEFAULT_LEVEL)

@@ -120,10 +120,34 @@ def merge_two(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def merge_all(catalogs: list[DataFrame]) -> DataFrame:
-    """Left fold of merge_two; one catalog is itself, none is a ValueError."""
+    """What a left fold of merge_two gives, in two checks and one grouped pass over all catalogs; one is itself, none is a ValueError.
+
+    The first catalog that has an attribute gives its value; authors are merged in turn.
+    """
     if not catalogs:
         raise ValueError("nothing to merge")
-    return reduce(merge_two, catalogs)
+    if len(catalogs) == 1:
+        return catalogs[0]
+    nodes = reduce(DataFrame.unionByName, [c.select(F.lit(i).alias("at"), "path", "kind", "dtype", "shape", "attrs", "file_id") for i, c in enumerate(catalogs)])
+    problems = root_problems(nodes.withColumn("file_id", F.concat_ws(":", "at", "file_id"))).take(5)
+    if problems:
+        raise ValueError(f"invalid datasets: {[tuple(p) for p in problems]}")
+    values = nodes.select("at", "path", F.explode("attrs").alias("key", "value")).groupBy("path", "key").agg(F.count_distinct("value").alias("values"), F.min_by("value", "at").alias("value"))
+    free = (F.col("path") == "/") & F.col("key").isin(*FREE_AT_ROOT)
+    kinds = nodes.groupBy("path").agg(F.count_distinct("kind").alias("kinds"), F.count_if(F.col("kind") == "dataset").alias("datasets"))
+    found = values.where((F.col("values") > 1) & ~free).select("path", F.concat(F.lit("attr_mismatch "), "key").alias("why"))
+    found = found.unionByName(kinds.where("kinds > 1").select("path", F.lit("node_type").alias("why"))).unionByName(kinds.where("kinds = 1 and datasets > 1").select("path", F.lit("both sides hold it").alias("why")))
+    clashes = found.take(5)
+    if clashes:
+        raise ValueError(f"conflicts: {[tuple(c) for c in clashes]}")
+    attrs = values.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attrs"))
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.element_at("attrs", "created_by"), F.lit("")).alias("who")))), lambda s: s["who"])
+    authors = F.aggregate(lists, F.lit(""), merge_authors)
+    one = nodes.groupBy("path").agg(F.min_by("kind", "at").alias("kind"), F.min_by("dtype", "at").alias("dtype"), F.min_by("shape", "at").alias("shape"), F.when(F.col("path") == "/", authors).alias("authors"))
+    none = F.create_map().cast("map<string,string>")
+    merged = F.coalesce("attrs", none)
+    merged = F.when(F.col("path") == "/", F.map_concat(F.map_filter(merged, lambda k, _: k != "created_by"), F.create_map(F.lit("created_by"), F.col("authors")))).otherwise(merged)
+    return one.join(attrs, "path", "left").select(F.lit("merged").alias("file_id"), "path", "kind", "dtype", "shape", merged.alias("attrs"))
 
 
 def numeric_attribute(attrs: Column, name: str) -> Column:

@@ -193,11 +193,11 @@ def s_benchmark_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecard.benchmark_groups(spark).where(F.col("group").isin(some)).groupBy(F.col("group").alias("grp")).agg(F.count("*").cast("int").alias("benchmarks"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def r_gate_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requirement gating: customers whose orders are not there."""
+    """Requirement gating: customers without a large order."""
     c = load(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("requirement"))
-    catalog = load(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("path")).distinct()
+    catalog = load(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").cast("string").alias("path")).distinct()
     requirements = c.select("requirement", F.col("requirement").alias("path"))
     met = scorecard.runnable(c, requirements, catalog)
     return c.join(met, "c_custkey", "left_anti").select("c_custkey")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,3 +33,13 @@ def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
 def require(condition: Column, message: str, value: Column) -> Column:
     """value where condition holds; the query fails with message where it is false."""
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message)).cast("double"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which a cluster shares; only a local master gets one of this machine's when it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
