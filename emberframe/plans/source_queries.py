@@ -205,12 +205,13 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("f"), F.col("s_nationkey").cast("string"))
     nodes = s.select(name.alias("file_id"), F.concat(F.lit("/points/s"), F.col("s_suppkey").cast("string")).alias("path"), F.lit("dataset").alias("kind"), F.lit("float64").alias("dtype"), F.array(F.col("s_nationkey").cast("long")).alias("shape"), F.create_map(F.lit("units"), F.lit("m")).alias("attrs"))
     root = F.create_map(F.lit("io_version"), F.lit("1.0"), F.lit("created_on"), F.lit("2024-01-01T00:00:00Z"), F.lit("created_by"), F.concat(F.lit("Author "), F.col("file_id"), F.lit("; Both")))
-    roots = nodes.select("file_id").distinct().select("file_id", F.lit("/").alias("path"), F.lit("group").alias("kind"), F.lit(None).cast("string").alias("dtype"), F.lit(None).cast("array<bigint>").alias("shape"), root.alias("attrs"))
+    files = load(spark, sf_dir, "nation").select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("file_id"))
+    roots = files.select("file_id", F.lit("/").alias("path"), F.lit("group").alias("kind"), F.lit(None).cast("string").alias("dtype"), F.lit(None).cast("array<bigint>").alias("shape"), root.alias("attrs"))
     return nodes.unionByName(roots)
 
 
 _TEXTS = """(SELECT 'f' || s_nationkey AS file_id, '/points/s' || s_suppkey AS path, sha256('{"path":"/points/s' || s_suppkey || '","kind":"dataset","dtype":"float64","shape":[' || s_nationkey || '],"attrs":["units=m"]}') AS node FROM supplier
-UNION ALL SELECT DISTINCT 'f' || s_nationkey, '/', sha256('{"path":"/","kind":"group","dtype":"","attrs":["created_by=Author f' || s_nationkey || '; Both","created_on=2024-01-01T00:00:00Z","io_version=1.0"]}') FROM supplier)"""
+UNION ALL SELECT 'f' || n_nationkey, '/', sha256('{"path":"/","kind":"group","dtype":"","attrs":["created_by=Author f' || n_nationkey || '; Both","created_on=2024-01-01T00:00:00Z","io_version=1.0"]}') FROM nation)"""
 
 
 @query(f"SELECT file_id, sha256(string_agg(node, chr(10) ORDER BY path)) AS digest FROM {_TEXTS} GROUP BY 1")
@@ -220,8 +221,8 @@ def v_catalog_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT 'f' || s_nationkey AS file_id, CASE WHEN s_nationkey % 5 = 1 THEN 'digest differs' WHEN s_nationkey % 5 = 2 THEN 'unknown key' WHEN s_nationkey % 5 = 3 THEN 'revoked key' ELSE '' END AS reason,
- CASE WHEN s_nationkey % 5 IN (1, 2, 3) THEN 'VL-C' ELSE 'VL-B' END AS level FROM supplier""")
+SELECT 'f' || n_nationkey AS file_id, CASE WHEN n_nationkey % 5 = 1 THEN 'digest differs' WHEN n_nationkey % 5 = 2 THEN 'unknown key' WHEN n_nationkey % 5 = 3 THEN 'revoked key' ELSE '' END AS reason,
+ CASE WHEN n_nationkey % 5 IN (1, 2, 3) THEN 'VL-C' ELSE 'VL-B' END AS level FROM nation""")
 def v_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certificates in datasets, checked against what the datasets hold now and against a key registry; levels follow."""
     files = _files(spark, sf_dir)
