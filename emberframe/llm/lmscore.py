@@ -133,7 +133,7 @@ def _open(rows: dict[int, list]) -> Block:
     return Block(texts, np.array([k in marked for k, _, _ in rows[_DOC]], np.int64))
 
 
-def score(docs: DataFrame, target_ids: DataFrame, block_bytes: int = 8_000_000) -> DataFrame:
+def score(docs: DataFrame, target_ids: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
     """One row per document: doc_id, in_target, n_tokens, target_loss and background_loss (per token, nats), ce_difference.
 
     Low differences are close to the target. Null, empty and blank texts have no token: losses and
