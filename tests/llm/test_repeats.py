@@ -64,16 +64,52 @@ def test_stretches_of_long_texts(monkeypatch):
     r = random.Random(8)
     data = bytes(r.choice(b"abcd ") for _ in range(9000)) + b"x" * 1500 + bytes(r.choice(b"ab") for _ in range(2500))
     whole = repeats.parse(data, 400)
-    want = list(zip(whole.triggers.tolist(), whole.inner_keys().tolist(), whole.reach_keys().tolist(), strict=True))
-    got, starts = [], []
+    want = list(zip(whole.triggers.tolist(), whole.inner_keys().tolist(), *(c.tolist() for c in repeats._class_digests(whole, data)), strict=True))
+    got, known, loose = [], [], []
     for begin, low, high, p in repeats.parses(data, 400, core=1000):
         own = (p.triggers >= low) & (p.triggers < high)
-        got += zip((p.triggers[own] + begin).tolist(), p.inner_keys()[own].tolist(), p.reach_keys()[own].tolist(), strict=True)
-        _, s, _ = repeats._singles(p, low, high, repeats._flags(p, begin, whole.triggers * 8 + 5))
-        starts += zip((s + begin).tolist(), p.string_keys(s).tolist(), strict=True)
+        digests = [c[own].tolist() for c in repeats._class_digests(p, data[begin : begin + p.n])]
+        got += zip((p.triggers[own] + begin).tolist(), p.inner_keys()[own].tolist(), *digests, strict=True)
+        a, b = repeats._settled(p, low, high, repeats._flags(p, begin, whole.triggers * 8 + 3))
+        known += (a + begin).tolist()
+        loose += (b + begin).tolist()
     assert got == want
-    _, s, _ = repeats._singles(whole, 0, len(data), np.full(len(whole.triggers), 5))
-    assert starts == list(zip(s.tolist(), whole.string_keys(s).tolist(), strict=True)) and len(starts) == len(data) - 399
+    a, b = repeats._settled(whole, 0, len(data), np.full(len(whole.triggers), 3))
+    assert known == a.tolist() and loose == b.tolist() and len(known) + len(loose) == len(data) - 399
+
+
+def test_suffix_orders_against_brute_force():
+    """Random representatives over two letters: every string of every group, counted plainly."""
+    import numpy as np
+
+    for seed in range(12):
+        r = random.Random(seed)
+        n, length, inner = r.randint(1, 40), 12, 5
+        bit = lambda k: bytes(r.choice(b"ab") for _ in range(k))
+        group = np.sort([r.randrange(3) for _ in range(n)])
+        core = [bit(inner) for _ in range(3)]
+        back, ahead = [bit(r.choice((7, 7, 7, 2, 0))) for _ in range(n)], [core[g] + bit(r.choice((7, 7, 3))) for g in group]
+        weight = np.array([r.choice((1, 1, 2)) for _ in range(n)])
+        strings = {(i, a): back[i][len(back[i]) - a :] + ahead[i][: length - a] for i in range(n) for a in range(8) if len(back[i]) >= a and len(ahead[i]) >= length - a}
+        count = collections.Counter()
+        for (i, a), x in strings.items():
+            count[group[i], a, x] += weight[i]
+        again, alone = repeats.repeated_starts(group, back, ahead, weight, length, inner)
+        assert {tuple(t) for t in again.T.tolist()} == {(i, a) for (i, a), x in strings.items() if count[group[i], a, x] > 1}
+        assert {tuple(t) for t in alone.T.tolist()} == {(i, a) for (i, a), x in strings.items() if count[group[i], a, x] == 1}
+
+
+def test_inner_keys_with_many_classes_are_dealt_out(spark, monkeypatch):
+    """A passage shorter than a string with other text on both sides in every document, in parts of three."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = word(330)
+    docs = [(i, f"{word(300)}{passage}{word(300)}") for i in range(25)]
+    docs += [(100 + i, docs[i][1][:60] + "!" + docs[i][1][150:800]) for i in range(8)]
+    df = spark.createDataFrame([(*d, 0, "") for d in docs], SCHEMA)
+    for part in (4096, 3):
+        monkeypatch.setattr(repeats, "PART", part)
+        assert got(df, 400) == brute(docs, 400)
 
 
 def test_triggers_are_local():
