@@ -1,19 +1,21 @@
 """Embedding near-duplicates by product quantisation with sufficient probes.
 
-Different vectors of a label are scaled to length one and put into the inverted list of their nearest coarse
-centroid; the residual is coded by one codeword in each subspace. Cosine >= t means distance <= d =
+Different vectors of a label are scaled to length one and put into an inverted list: the nearest coarse centroid, and
+the nearest of a second set of centroids for what is left. The residual is coded by one codeword in each subspace. Lists grow with the
+number of vectors (the second set does), so a list holds about ``block`` of them. Cosine >= t means distance <= d =
 sqrt(2 - 2t), and three bounds keep every such pair:
 
-* probes: a vector within d of x, in list c, puts x within d of the plane between c and x's own
-  list, so x probes exactly the lists with |x-c|^2 - |x-own|^2 <= 2 d |c-own|;
+* probes: of two vectors within d of each other, x with centroid own and y with centroid c, x lies within d of the plane
+  between c and own: |x-c|^2 - |x-own|^2 <= 2 d |c-own|. So x probes exactly these coarse centroids, and below each of them, by the same
+  bound on the residuals, second ones;
 * table lookup: the asymmetric distance misses the true one by at most the coded vector's own
   error, so a candidate must have adc <= d + error;
 * rerank: the cosine of what is left, in double precision, decides.
 
 Centroids and codewords are fitted on a bounded sample; they move only the cost, not the result.
-Equal vectors are grouped first. A list's vectors are dealt into blocks of bounded size, every query
-meets every block of a list it probes, and a block reports a count for each query and a spanning
-forest of its links: never all pairs.
+Equal vectors are grouped first. A list's vectors are dealt into blocks of bounded size. First only ids and codes travel to the blocks of the lists
+that they probe; a code that no vector of a block is near by table lookup goes no further. Vectors follow the rest, and a
+block reports a count for each of them and a spanning forest of its links: never all pairs.
 """
 
 from __future__ import annotations
@@ -54,12 +56,17 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Codebook:
-    """Coarse centroids and, for each subspace, codewords of residuals."""
+    """Coarse centroids, second ones for their residuals, and for each subspace codewords of what is left."""
 
     coarse: np.ndarray
+    second: np.ndarray
     words: list[np.ndarray]
     cuts: list[int]
 
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        """Centroids of lists by number (coarse * number of second ones + second)."""
+        return self.coarse[lists // len(self.second)] + self.second[lists % len(self.second)]
+
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return np.split(x, self.cuts, axis=1)
 
@@ -77,22 +84,35 @@ class Codebook:
         return out
 
 
-def fit(sample: np.ndarray, lists: int, subspaces: int = 8, words: int = 64) -> Codebook:
-    coarse = kmeans(sample, lists)
-    residual = sample - coarse[nearest(sample, coarse)]
+def fit(sample: np.ndarray, coarse: int, second: int = 1, subspaces: int = 8, words: int = 64) -> Codebook:
+    first = kmeans(sample, coarse)
+    residual = sample - first[nearest(sample, first)]
+    rest = kmeans(residual, second) if second > 1 else np.zeros((1, sample.shape[1]))
+    residual = residual - rest[nearest(residual, rest)]
     cuts = [len(p) for p in np.array_split(np.arange(sample.shape[1]), min(subspaces, sample.shape[1]))]
     cuts = np.cumsum(cuts)[:-1].tolist()
-    return Codebook(coarse, [kmeans(p, words, 8) for p in np.split(residual, cuts, axis=1)], cuts)
+    return Codebook(first, rest, [kmeans(p, words, 8) for p in np.split(residual, cuts, axis=1)], cuts)
+
+
+def reachable(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centroid of each vector, and which centroids may be nearest to a vector within reach of it."""
+    d = squared(x, centroids)
+    home, at = d.argmin(1), np.arange(len(x))
+    ok = d - d[at, home][:, None] <= 2 * reach * np.sqrt(squared(centroids, centroids))[home] + SLACK
+    ok[at, home] = True
+    return home, ok
 
 
 def probes(x: np.ndarray, book: Codebook, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
     """Home list of each vector, and all lists that may hold vectors within reach of it."""
-    d = squared(x, book.coarse)
-    home = d.argmin(1)
-    between = np.sqrt(squared(book.coarse, book.coarse))[home]
-    ok = d - d[np.arange(len(x)), home][:, None] <= 2 * reach * between + SLACK
-    ok[np.arange(len(x)), home] = True
-    return home, [np.flatnonzero(r) for r in ok]
+    k = len(book.second)
+    home, ok = reachable(x, book.coarse, reach)
+    who, c = np.nonzero(ok)
+    second, below = reachable(x[who] - book.coarse[c], book.second, reach)
+    own = np.flatnonzero(c == home[who])
+    row, s = np.nonzero(below)
+    found = np.split(c[row] * k + s, np.searchsorted(who[row], np.arange(1, len(x))))
+    return home * k + second[own], found
 
 
 def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,7 +131,7 @@ class Cell:
     """One block of a list: its vectors, then the queries that probe the list."""
 
     def __init__(self, book: Codebook, threshold: float, list_no: int, rows: pa.Table):
-        self.book, self.threshold, self.centre = book, threshold, book.coarse[list_no]
+        self.book, self.threshold, self.centre = book, threshold, book.centre(np.array([list_no]))
         self.node, self.mult = rows["node"].to_numpy(), rows["mult"].to_numpy()
         self.x = matrix(rows["v"])
         self.unit = self.x / np.sqrt((self.x**2).sum(1))[:, None]
@@ -151,13 +171,25 @@ def _edges(node, other, links) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(other, pa.int64()), pa.array(links, pa.int64())], names=["node", "other", "links"])
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = 20_000, block: int = 4096, max_lists: int = 1024) -> DataFrame:
+def wanted(book: Codebook, reach: float, node: np.ndarray, unit: np.ndarray, entry: np.ndarray, home: np.ndarray, codes: np.ndarray, err: np.ndarray) -> np.ndarray:
+    """Which entries (id, list, code, error) have another vector of a block near enough by table lookup."""
+    out = np.zeros(len(entry), bool)
+    for h in np.unique(home).tolist():
+        at = np.flatnonzero(home == h)
+        for s in range(0, len(at), 512):
+            part = at[s : s + 512]
+            near = np.sqrt(book.lookup(unit - book.centre(np.array([h])), codes[part])) <= reach + err[part] + SLACK
+            out[part] = (near & (node[:, None] != entry[part])).any(axis=0)
+    return out
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = 20_000, block: int = 4096, coarse: int = 1024) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors with cosine >= threshold and the same label), component_id, kept.
 
     Vectors that are null, zero, without a label or an id, or that hold null or non-finite
     components link with nothing, and so do vectors of different lengths. component_id is the
-    smallest vec_id reachable, the row's own included. Equal rows are vectors of their own. Extra
-    columns are ignored; an empty table gives no rows.
+    smallest vec_id reachable, the row's own included. Equal rows are vectors of their own. A row without an id has a null
+    component and is kept. Extra columns are ignored; an empty table gives no rows. ``coarse`` bounds the first level of centroids only.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "annpq")
@@ -183,7 +215,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = 2
         if not len(x):
             x = np.eye(1, d)
         x = x / np.sqrt((x**2).sum(1))[:, None]
-        found = _links(ws, part, fit(x, max(1, min(max_lists, int(np.sqrt(n) / 2)))), threshold, block, d)
+        lists = max(1, min(coarse, int(np.sqrt(n) / 2)))
+        found = _links(ws, part, fit(x, lists, min(len(x), -(-n // (lists * block)))), threshold, block, d)
         edges = found if edges is None else edges.unionByName(found)
     if edges is None:
         edges = spark.createDataFrame([], "node long, other long, links long")
@@ -197,7 +230,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, sample: int = 2
     known = ws.save(known, "known")
     members = good.withColumn("h", F.xxhash64("label", "v")).join(known, ["h", "label", "v"]).select("vec_id", "n_links", "component_id")
     others = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return members.unionByName(others).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return members.unionByName(others).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _links(ws: Workspace, nodes: DataFrame, book: Codebook, threshold: float, block: int, d: int) -> DataFrame:
@@ -211,18 +244,52 @@ def _links(ws: Workspace, nodes: DataFrame, book: Codebook, threshold: float, bl
             if not batch.num_rows:
                 continue
             x = matrix(batch.column(1))
-            home, lists = probes(x / np.sqrt((x**2).sum(1))[:, None], sent.value, reach)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["label", "v", "node", "mult", "home", "lists"])
-
-    placed = ws.save(nodes.select("label", "v", "node", "mult").mapInArrow(place, f"label string, v {dict(nodes.dtypes)['v']}, node long, mult long, home long, lists array<long>"), f"placed{d}")
+            unit = x / np.sqrt((x**2).sum(1))[:, None]
+            home, lists = probes(unit, sent.value, reach)
+            codes, err = sent.value.encode(unit - sent.value.centre(home))
+            new = [pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=["label", "v", "node", "mult", "home", "lists", "code", "err"])
+
+    kind = dict(nodes.dtypes)["v"]
+    placed = ws.save(nodes.select("label", "v", "node", "mult").mapInArrow(place, f"label string, v {kind}, node long, mult long, home long, lists array<long>, code binary, err double"), f"placed{d}")
     full = placed.groupBy("label", F.col("home").alias("list")).agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     index = placed.join(full.withColumnRenamed("list", "home"), ["label", "home"]).select(
-        "label", F.col("home").alias("list"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).cast("long").alias("role"), "node", "mult", "v"
+        "label", F.col("home").alias("list"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).cast("long").alias("role"), "node", "mult", "v", "home", "code", "err"
     )
-    asks = placed.select("label", "node", "mult", "v", F.explode("lists").alias("list")).join(full, ["label", "list"])
-    asks = asks.select("label", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).cast("long").alias("role"), "node", "mult", "v")
     key = ["label", "list", "block"]
-    cells = index.unionByName(asks).repartition(partitions(spark), *key).sortWithinPartitions(*key, "role")
+    copies = placed.select("label", "node", "home", "code", "err", F.explode("lists").alias("list")).join(full, ["label", "list"])
+    copies = copies.select("label", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).cast("long").alias("role"), "node", F.lit(0).cast("long").alias("mult"), F.lit(None).cast(kind).alias("v"), "home", "code", "err")
+    dealt = lambda df: df.repartition(partitions(spark), *key).sortWithinPartitions(*key, "role")
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gathered, cell = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            names = list(zip(*(table[c].to_pylist() for c in (*key, "role")), strict=True))
+            starts = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(names)], strict=True):
+                part = table.slice(a, b - a)
+                if names[a][:3] != at:
+                    at, gathered, cell = names[a][:3], [], None
+                if names[a][3] == 0:
+                    gathered.append(part.select(["node", "v"]))
+                    continue
+                if cell is None:
+                    if not gathered:
+                        continue
+                    own = pa.concat_tables(gathered)
+                    x = matrix(own["v"])
+                    cell = own["node"].to_numpy(), x / np.sqrt((x**2).sum(1))[:, None]
+                codes = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                entry = part["node"].to_numpy()
+                keep = entry[wanted(sent.value, reach, *cell, entry, part["home"].to_numpy(), codes, part["err"].to_numpy())]
+                label, list_no, block_no = at
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(keep), pa.string()), pa.array([list_no] * len(keep), pa.int64()), pa.array([block_no] * len(keep), pa.int64()), pa.array(keep, pa.int64())], names=[*key, "node"])
+
+    asks = ws.save(dealt(index.unionByName(copies)).mapInArrow(screen, "label string, list long, block long, node long"), f"asks{d}")
+    asks = asks.join(placed.select("node", "mult", "v"), "node").select(*key, F.lit(1).cast("long").alias("role"), "node", "mult", "v")
+    met = index.select(*key, "node", "mult", "v").join(asks.select(*key).distinct(), key, "left_semi").select(*key, F.lit(0).cast("long").alias("role"), "node", "mult", "v")
+    cells = dealt(met.unionByName(asks))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, gathered, cell = None, [], None

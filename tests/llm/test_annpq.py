@@ -34,7 +34,7 @@ def brute(rows, threshold=0.98):
     out = []
     for i, r in enumerate(rows):
         c = low.get(find(i)) if r[0] is not None else None
-        out.append((r[0], links[i], c, None if r[0] is None else r[0] == c))
+        out.append((r[0], links[i], c, r[0] == c))  # a row without an id is kept
     return collections.Counter(out)
 
 
@@ -49,16 +49,17 @@ def rows(seed, n=400, d=16):
     return out
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 4096), (2, 25)])
-def test_against_brute_force(spark, seed, block):
+@pytest.mark.parametrize(("seed", "block", "coarse"), [(1, 4096, 1024), (2, 25, 1024), (3, 25, 3)])
+def test_against_brute_force(spark, seed, block, coarse):
     data = rows(seed)
     df = spark.createDataFrame([(*r, "x", "y") for r in data], SCHEMA).repartition(3)
-    got = collections.Counter(tuple(r) for r in annpq.near_duplicates(df, block=block).collect())
+    got = collections.Counter(tuple(r) for r in annpq.near_duplicates(df, block=block, coarse=coarse).collect())
     assert got == brute(data)
     assert annpq.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_bounds_lose_nothing():
+@pytest.mark.parametrize("second", [1, 9])
+def test_bounds_lose_nothing(second):
     """Probes and table lookup keep every pair within reach."""
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 24))
@@ -67,11 +68,30 @@ def test_bounds_lose_nothing():
     y /= np.linalg.norm(y, axis=1)[:, None]
     reach = math.sqrt(0.04)
     near = np.linalg.norm(x - y, axis=1) <= reach
-    book = annpq.fit(x, 12)
+    book = annpq.fit(x, 12, second)
     home, _ = annpq.probes(y, book, reach)
     _, lists = annpq.probes(x, book, reach)
     assert near.sum() > 50 and all(home[i] in lists[i] for i in np.flatnonzero(near))
     for i in np.flatnonzero(near)[:50]:
-        centre = book.coarse[home[i]]
+        centre = book.centre(home[i : i + 1])
         codes, err = book.encode(y[i : i + 1] - centre)
         assert math.sqrt(book.lookup(x[i : i + 1] - centre, codes)[0, 0]) <= reach + err[0] + annpq.SLACK
+        assert annpq.wanted(book, reach, np.array([1]), x[i : i + 1], np.array([2]), home[i : i + 1], codes, err).all()
+    assert not annpq.wanted(book, reach, np.array([1]), x[:1], np.array([2]), home[:1], book.encode(-x[:1] - book.centre(home[:1]))[0], np.array([0.0])).any()
+    assert len({int(h) for h in home}) > (12 if second > 1 else 1)
+
+
+def test_screen_sends_few_vectors(spark):
+    """On vectors without near ones, what is asked after the table lookup is a small part of what probes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    book = annpq.fit(unit, 20)
+    home, lists = annpq.probes(unit, book, 0.2)
+    codes, err = book.encode(unit - book.centre(home))
+    sent = kept = 0
+    for c in range(20):
+        inside, entry = np.flatnonzero(home == c), np.array([i for i, ls in enumerate(lists) if c in ls])
+        sent += len(entry)
+        kept += int(annpq.wanted(book, 0.2, inside, unit[inside], entry, home[entry], codes[entry], err[entry]).sum())
+    assert kept < 0.3 * sent
