@@ -98,6 +98,91 @@ def test_quality_held_out(spark, docs):
     assert area > 0.95 and got.keep[good].mean() > 0.95
 
 
+def plain_text_view(text):
+    """The text view from dictionaries of words."""
+    from collections import Counter
+    from math import log1p, sqrt
+
+    import xxhash
+
+    words = (text or "").split()
+    out = [0.0] * (quality.WORD_SLOTS + quality.SHAPES)
+    out[-1] = 1.0
+    if not words:
+        return out
+    for slot, n in Counter(xxhash.xxh32_intdigest(w.lower().strip(".,;:!?").encode(), 5) % quality.WORD_SLOTS for w in words).items():
+        out[slot] = sqrt(n / len(words))
+    lines = [x for x in text.split("\n") if x.strip()]
+    marks = sum(not (c.isalnum() or c == "_" or c.isspace()) for c in text) / len(text)
+    share = lambda test: sum(map(test, words)) / len(words)
+    upper, bare, stops = share(str.isupper), share(lambda w: not any(map(str.isalnum, w))), share(lambda w: w[-1] in ".!?")
+    odd, repeated, distinct = len(quality._ODD.findall(text)) / len(words), 1 - len(set(lines)) / max(1, len(lines)), len(set(words)) / len(words)
+    shape = [upper, 5 * sum(map(str.isdigit, text)) / len(text), 4 * marks, odd, distinct, repeated, max(map(len, words)) / 60, len(text) / len(words) / 12, 2 * bare, 4 * stops, log1p(len(words)) / 10, log1p(len(lines)) / 8]
+    shape = [min(1, v) if i not in (4, 5) else v for i, v in enumerate(shape)]
+    out[quality.WORD_SLOTS : quality.WORD_SLOTS + 19] = [*shape, upper > 0.3, odd > 0.2, marks > 0.15, bare > 0.15, repeated > 0.2, distinct < 0.3, len(words) < 5]
+    return out
+
+
+def plain_cotrain(xt, xm, y, pool_t, pool_m, rounds, share):
+    """Rounds, picks, calibration and combination in double precision, document by document."""
+
+    def logistic(x, t, w, ridge=1e-3, steps=200):
+        x, t, w = np.asarray(x, float), np.asarray(t, float), np.asarray(w, float) / np.sum(w)
+        size = 1 / (0.25 * sum(wi * (xi @ xi) for wi, xi in zip(w, x, strict=True)) + ridge)
+        a = b = np.zeros(x.shape[1])
+        for i in range(steps):
+            p = np.array([1 / (1 + np.exp(-(xi @ b))) for xi in x])
+            new = b - size * (sum((wi * (pi - ti)) * xi for wi, pi, ti, xi in zip(w, p, t, x, strict=True)) + ridge * b)
+            a, b = new, new + (i / (i + 3)) * (new - a)
+        return a
+
+    train, held = [i for i in range(len(y)) if i % 4], [i for i in range(len(y)) if i % 4 == 0]
+    base = np.mean([y[i] for i in train])
+    given = {"t": [], "m": []}
+    model = lambda v, x, pool: logistic([*(x[i] for i in train), *(pool[j] for j, _ in given[v])], [*(float(y[i]) for i in train), *(s for _, s in given[v])], [1.0] * len(train) + [0.3] * len(given[v]))
+    wt, wm = model("t", xt, pool_t), model("m", xm, pool_m)
+    for _ in range(rounds):
+        k = int(share * len(pool_t))
+        for mine, own, other in ((wt, pool_t, "m"), (wm, pool_m, "t")):
+            z, taken = own @ mine, {j for j, _ in given[other]}
+            for sign, n in ((1, round(k * base)), (-1, k - round(k * base))):
+                best = sorted((j for j in range(len(z)) if j not in taken and sign * z[j] > 0), key=lambda j: (-sign * z[j], j))[:n]
+                given[other] += [(j, float(sign > 0)) for j in best]
+                taken |= set(best)
+        wt, wm = model("t", xt, pool_t), model("m", xm, pool_m)
+    yh = [float(y[i]) for i in held]
+    ones = lambda z: np.stack([z, np.ones(len(z))], 1)
+    pt, pm = (logistic(ones(x[held] @ w), yh, np.ones(len(yh)), 1e-4, 400) for x, w in ((xt, wt), (xm, wm)))
+    views = lambda a, b: (pt[0] * (a @ wt) + pt[1], pm[0] * (b @ wm) + pm[1])
+    both = logistic(np.stack([*views(xt[held], xm[held]), np.ones(len(held))], 1), yh, np.ones(len(yh)), 1e-3, 400)
+    return given, lambda a, b: 1 / (1 + np.exp(-(both[0] * views(a, b)[0] + both[1] * views(a, b)[1] + both[2])))
+
+
+def test_quality_against_plain_cotraining(spark, docs):
+    """Views, rounds, picks and the combined score of a small table, recomputed plainly."""
+    rows = docs.orderBy("doc_id").limit(150).collect()
+    texts = [r.text for r in rows] + ["", None, "A!! 99", "one\none\ntwo"]
+    assert np.allclose([quality.text_view(t) for t in texts], [plain_text_view(t) for t in texts], atol=1e-6)
+    quick = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    lab, free = [r for r in rows if r.doc_id in quick], [r for r in rows if r.doc_id not in quick]
+    views = lambda some: (np.stack([quality.text_view(r.text) for r in some]), np.stack([quality.meta_view(r.source, r.lang, len(r.text or "")) for r in some]))
+    (xt, xm), (pt, pm), y = views(lab), views(free), np.array([quick[r.doc_id] > 0 for r in lab])
+    model = quality.cotrain(xt, xm, y, pt, pm, rounds=2)
+    given, score = plain_cotrain(xt.astype(float), xm.astype(float), y, pt.astype(float), pm.astype(float), 2, 0.08)
+    train = int(sum(i % 4 > 0 for i in range(len(y))))
+    assert model.rounds[-1] == (train + len(given["t"]), train + len(given["m"])) and len(given["t"]) > 5
+    assert np.allclose(model.scores(pt, pm)[2], score(pt, pm), atol=0.02)
+    got = {r.doc_id: r.score for r in quality.score(docs.where(f"doc_id in ({', '.join(str(r.doc_id) for r in free)})"), model).collect()}
+    assert all(abs(got[r.doc_id] - s) < 0.02 for r, s in zip(free, score(pt, pm), strict=True))
+
+
+def test_quality_pool_size_changes_little(spark, docs):
+    """A pool of 200 and all 800 unlabelled documents keep the same documents (ranks among scores beyond 0.9999 do differ)."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    small, large = (quality.score(docs, quality.fit(docs, labels, pool=n)).select("doc_id", F.col("keep").alias(f"k{n}")) for n in (200, 6000))
+    assert small.join(large, "doc_id").where("k200 <> k6000").count() <= 0.01 * docs.count()
+
+
 def test_quality_odd_inputs(spark, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     odd_labels = labels.unionByName(spark.createDataFrame([(None, 1, 0), (5, None, 0), (7, 1, 1)], labels.schema))
