@@ -17,6 +17,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens; null texts are the closing token alone."""
     from emberframe.llm import packing
 
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -24,6 +25,7 @@ def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 400-byte strings standing twice cover, and the digest of the rest; null texts are empty."""
     from emberframe.llm import repeats
 
     found = repeats.repeated(table(spark, sf_dir, "documents"), length=400)
@@ -38,6 +40,7 @@ def span_list(findings: Column) -> Column:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern findings of every document, and the spans that the network adds; null texts have none."""
     from emberframe.llm import secretscan
 
     found = secretscan.find_secrets(table(spark, sf_dir, "documents"))
@@ -50,18 +53,21 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; documents without a word have fingerprint zero and link like any other."""
     from emberframe.llm import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and benchmark items at containment 0.8 or more; rows without a word have none."""
     from emberframe.llm import decontam
 
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated scores of every document by co-trained views; null texts are scored by their shape and metadata."""
     from emberframe.llm import quality
 
     docs = table(spark, sf_dir, "documents")
@@ -69,6 +75,7 @@ def op6_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of every document under models of good documents and of the rest; documents without a word have null losses."""
     from emberframe.llm import lmscore
 
     good = table(spark, sf_dir, "labels").where("quality = 1")
@@ -76,18 +83,21 @@ def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and whether it is kept, for every vector; vectors that are null, zero or not finite link with nothing."""
     from emberframe.llm import annpq
 
     return annpq.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null and empty pages have an empty text."""
     from emberframe.llm import htmltext
 
     return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document by a model of the folds that are not held out; null texts and texts without a letter are und."""
     from emberframe.llm import langid
 
     docs = table(spark, sf_dir, "documents")
@@ -96,6 +106,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline over documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

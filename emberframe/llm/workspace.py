@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberframe.session import scratch
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -25,7 +28,9 @@ def ship(spark: SparkSession) -> None:
     known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT in known or os.getcwd() == _ROOT or getattr(spark.sparkContext, "_emberframe_shipped", False):
         return
-    path = os.path.join(tempfile.mkdtemp(), "emberframe.zip")
+    folder = tempfile.mkdtemp()  # on the driver, which serves the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "emberframe.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(os.path.join(_ROOT, "emberframe")):
             for n in names:
@@ -39,15 +44,13 @@ def ship(spark: SparkSession) -> None:
 class Workspace:
     """Tables written under ``spark.checkpoint.dir``: they cut lineage and outlive lost executors.
 
-    The folder is read from the session. Only where it is unset (tests, one machine) a
-    temporary folder takes its place.
+    The folder is read from the session. Only where it is unset and the master is local (tests) a
+    temporary folder takes its place; a cluster without it is an error. Tables are dropped by their users as soon as
+    nothing reads them, and the rest when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
-        self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, scratch(spark, name)
         path, fs = self._path()
         fs.deleteOnExit(path)
         ship(spark)
