@@ -51,6 +51,15 @@ def dead_ratio_13(df: DataFrame, only_1h: bool = False, overwrite: bool = False)
     return _add(df, "fuel_load_dead_ratio", F.try_divide(a if only_1h else a + b + c, a + b + c + live), overwrite)
 
 
+MOST_CLASSES = 10_000  # of a class table that is folded into an array
+
+
+def _folded(classes: DataFrame, row: Column) -> DataFrame:
+    """The rows of a class table as one array; a table of more than MOST_CLASSES is no class table and fails the query."""
+    small = F.when(F.count("*") <= MOST_CLASSES, F.lit(True)).otherwise(F.raise_error(F.lit(f"more than {MOST_CLASSES} classes")).cast("boolean"))
+    return classes.limit(MOST_CLASSES + 1).agg(F.array_sort(F.collect_list(row)).alias("c"), small.alias("ok")).where("ok").select("c")
+
+
 def closest_class(observations: DataFrame, classes: DataFrame, properties: list[str], class_column: str = "fuel_class", weights: dict[str, float] | None = None) -> DataFrame:
     """observations and the class with the least weighted distance sum |class - target| * weight.
 
@@ -59,9 +68,8 @@ def closest_class(observations: DataFrame, classes: DataFrame, properties: list[
     The class table is folded into one array (its rows are the fuel classes, tens of them), which a scalar
     subquery hands to every row: no join, no shuffle.
     """
-    packed = classes.select(
-        F.struct(F.col(class_column).alias("c"), *[units.convert(F.col(p).cast("double"), units.units_of(classes, p), units.units_of(observations, p)).alias(p) for p in properties]).alias("s")
-    ).agg(F.array_sort(F.collect_list("s")).alias("c"))
+    row = F.struct(F.col(class_column).alias("c"), *[units.convert(F.col(p).cast("double"), units.units_of(classes, p), units.units_of(observations, p)).alias(p) for p in properties])
+    packed = _folded(classes, row)
 
     def distance(c: Column) -> Column:
         parts = []
@@ -78,7 +86,7 @@ def closest_class(observations: DataFrame, classes: DataFrame, properties: list[
 
 def sample_classes(samples: DataFrame, fuel: DataFrame) -> DataFrame:
     """Every sample with every fuel class: the class table, folded into an array, is unfolded at each sample."""
-    packed = fuel.agg(F.array_sort(F.collect_list(F.struct(*fuel.columns))).alias("c"))
+    packed = _folded(fuel, F.struct(*fuel.columns))
     out = samples.select("*", F.inline(packed.scalar()))
     for c in fuel.columns:
         out = out.withMetadata(c, fuel.schema[c].metadata)

@@ -7,6 +7,7 @@ needs no driver-side array.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,19 +34,32 @@ def directions(dimension: int) -> list[int]:
     return v
 
 
-def sobol_point(index: Column, dimension: int) -> Column:
-    """Coordinate in [0, 1) of the index-th point (from 0) of the unscrambled sequence."""
+def scrambled(dimensions: int, seed: int) -> tuple[list[list[int]], list[int]]:
+    """Direction numbers of every dimension under random lower triangular bit matrices (Matousek 1998), and random digital shifts."""
+    rng = np.random.default_rng(seed)
+    shifts = [int(x) for x in rng.integers(0, 1 << BITS, dimensions)]
+    out = []
+    for dimension in range(dimensions):
+        lower = rng.integers(0, 2, (BITS, BITS))
+        masks = [sum(int(lower[p, q]) << (BITS - 1 - q) for q in range(p)) | 1 << (BITS - 1 - p) for p in range(BITS)]  # of output bit p, the highest first
+        out.append([sum(((v & m).bit_count() & 1) << (BITS - 1 - p) for p, m in enumerate(masks)) for v in directions(dimension)])
+    return out, shifts
+
+
+def sobol_point(index: Column, dimension: int, numbers: list[int] | None = None, shift: int = 0) -> Column:
+    """Coordinate in [0, 1) of the index-th point (from 0): unscrambled, or by the numbers and shift of ``scrambled``."""
     gray = index.bitwiseXOR(F.shiftright(index, 1))
-    total = F.lit(0).cast("long")
-    for k, v in enumerate(directions(dimension)):
+    total = F.lit(shift).cast("long")
+    for k, v in enumerate(numbers or directions(dimension)):
         total = total.bitwiseXOR(F.shiftright(gray, k).bitwiseAND(F.lit(1).cast("long")) * F.lit(v))
     return total / float(1 << BITS)
 
 
-def saltelli(spark: SparkSession, n: int, bounds: dict[str, tuple[float, float]], skip: int = 1) -> DataFrame:
+def saltelli(spark: SparkSession, n: int, bounds: dict[str, tuple[float, float]], skip: int = 1, seed: int | None = None) -> DataFrame:
     """N (2 D + 2) rows: point_id, block ('A', 'B', 'AB_j', 'BA_j') and the scaled variables.
 
-    AB_j is A with variable j from B, BA_j the other way. At most 8 variables.
+    AB_j is A with variable j from B, BA_j the other way. At most 8 variables. With a ``seed`` the sequence is scrambled (another seed,
+    another design of the same kind; scrambles of other libraries are not reproduced), and ``skip`` may be 0.
     """
     names = list(bounds)
     if 2 * len(names) > len(JOE_KUO) + 1:
@@ -53,7 +67,8 @@ def saltelli(spark: SparkSession, n: int, bounds: dict[str, tuple[float, float]]
     d = len(names)
     base = spark.range(n).withColumnRenamed("id", "point_id")
     at = F.col("point_id") + skip
-    base = base.select("point_id", *[sobol_point(at, i).alias(f"_{i}") for i in range(2 * d)])
+    numbers, shifts = scrambled(2 * d, seed) if seed is not None else ([None] * 2 * d, [0] * 2 * d)
+    base = base.select("point_id", *[sobol_point(at, i, numbers[i], shifts[i]).alias(f"_{i}") for i in range(2 * d)])
     kinds = ["A", "B", *[f"AB_{v}" for v in names], *[f"BA_{v}" for v in names]]
     rows = base.withColumn("block", F.explode(F.array(*[F.lit(k) for k in kinds])))
     out = []

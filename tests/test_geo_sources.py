@@ -139,7 +139,7 @@ def test_kml_without_polygons_and_with_heights(spark, tmp_path):
 
 
 def test_merge_all_is_the_fold(spark, sf_dir):
-    files = source_queries._files(spark, sf_dir)
+    files = source_queries._files(spark, "/root/testdata/sf0.01")
     ids = sorted(r.file_id for r in files.select("file_id").distinct().collect())[:4]
     some = [files.where(F.col("file_id") == k) for k in ids]
     text = lambda df: sorted(map(str, df.select("path", "kind", "dtype", "shape", F.array_sort(F.map_entries("attrs"))).collect()))
@@ -169,3 +169,14 @@ def test_scratch_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         scratch(Session, "x")
+
+
+def test_scrambled_designs_stay_balanced(spark):
+    from emberframe.operators import sensitivity
+
+    names = {"a": (0.0, 1.0), "b": (0.0, 1.0), "c": (0.0, 1.0)}
+    one, same, other = (sensitivity.saltelli(spark, 256, names, skip=0, seed=s).where("block = 'A'").orderBy("point_id").toPandas() for s in (5, 5, 6))
+    assert one.equals(same) and not one.equals(other)
+    for c in names:  # one point in every 256th
+        assert sorted((one[c] * 256).astype(int)) == list(range(256)) == sorted((other[c] * 256).astype(int))
+    assert len(set(zip((one.a * 16).astype(int), (one.b * 16).astype(int)))) == 256  # and in every square of a 16th
