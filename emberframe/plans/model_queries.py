@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.functions import physics, sensors, timefmt, units, wind
-from emberframe.operators import fuels, geometry, models, provenance, sensitivity, standard
+from emberframe.operators import fuels, geometry, models, provenance, sensitivity, standard, workflows
 from emberframe.plans.metric_queries import Q, SQL, query
 from emberframe.session import load, scratch
 from emberframe.sources import stations
@@ -201,12 +201,21 @@ def d_sobol_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d_model_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensitivity study of two models over fuel classes: samples x classes, indices per class and variable, with intervals."""
-    fuel = spark.createDataFrame([(k, 0.3 + 0.2 * k, 0.2 + 0.1 * k, 1000.0 + 150 * k) for k in range(1, 8)], "fuel_class int, load double, height double, savr double")
-    runs = fuels.sample_classes(sensitivity.saltelli(spark, 1024, _DESIGN), fuel)
-    ros = physics.rothermel(F.col("load"), F.col("height"), 32, F.col("savr"), 0.3, 0.0555, 0.01, 0, F.col("wind"), F.col("slope"), F.col("moisture"))
-    out = sensitivity.sobol_indices(runs.withColumn("ros", ros), list(_DESIGN), "ros", "fuel_class", resamples=20)
-    return out.select("fuel_class", "variable", *[F.round(c, 6).alias(c) for c in ("s1", "st", "s1_conf", "st_conf")])
+    """Sensitivity studies of two models over thirteen fuel classes, 1,024 base points each: indices per model, class and variable, with intervals."""
+    names = {"wind_speed": _DESIGN["wind"], "slope_angle": _DESIGN["slope"], "fuel_moisture_content": _DESIGN["moisture"]}
+    fuel = spark.createDataFrame([(k, 0.3 + 0.2 * k, 0.2 + 0.1 * k, 1000.0 + 150 * k) for k in range(1, 14)], "fuel_class int, fuel_load_dry_total double, fuel_height double, fuel_surface_area_volume_ratio double")
+    given = {
+        "rothermel": {"fuel_density": 32.0, "fuel_moisture_extinction": 0.3, "fuel_mineral_content_total": 0.0555, "fuel_mineral_content_effective": 0.01, "fuel_chaparral_flag": 0.0},
+        "balbi": {"fuel_density": 500.0, "fuel_load_dead_ratio": 0.8},
+    }
+    out = None
+    for name, values in given.items():
+        table = fuel.withColumns({k: F.lit(v) for k, v in values.items()})
+        if name == "balbi":
+            table = table.withColumn("fuel_surface_area_volume_ratio", F.col("fuel_surface_area_volume_ratio") * 3)
+        one = workflows.sensitivity_study(spark, table, models.REGISTRY[name], names, 1024, resamples=10).select(F.lit(name).alias("model"), "fuel_class", "variable", *[F.round(c, 6).alias(c) for c in ("s1", "st", "s1_conf", "st_conf")])
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("""

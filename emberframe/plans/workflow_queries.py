@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.operators import fuels, models, workflows
-from emberframe.plans.metric_queries import PERIODS, query
+from emberframe.operators import fuels, metrics, models, workflows
+from emberframe.plans import model_queries  # noqa: F401  (its SQL checks the contracts)
+from emberframe.plans.metric_queries import PERIODS, SQL, Q, query
 from emberframe.session import load
+from emberframe.sources import rasters
 
 _HALF = {"click": 40.0, "view": 60.0, "purchase": 80.0, "signup": 50.0, "error": 70.0}
 
@@ -65,3 +67,72 @@ def wf_weather_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     periods = spark.createDataFrame(list(PERIODS), "period string, start string, end string").select("period", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")])
     out = workflows.weather_scores(pairs, periods, _HALF, trusted=F.col("station_id") % 4 != 0)
     return out.select("variable", "period", "statistic", F.round("kpi", 6).alias("kpi"), F.round("score", 6).alias("score"))
+
+
+def _contract(name: str, kernel_query: str, columns) -> None:
+    """A model's contract over all lineitems, by standard names; the kernel's SQL checks it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from emberframe.plans.model_queries import _IN, inputs
+
+        c = {k: F.col(k) for k in _IN}
+        df = inputs(spark, sf_dir).select("l_orderkey", "l_linenumber", *[v.cast("double").alias(k) for k, v in columns(c).items()])
+        return models.REGISTRY[name].apply(df).select("l_orderkey", "l_linenumber", F.round("rate_of_spread", 6).alias("ros"))
+
+    Q[f"c_{name}"], SQL[f"c_{name}"] = run, SQL[kernel_query]
+
+
+_contract("rothermel", "k_rothermel", lambda c: {
+    "fuel_load_dry_total": c["load"], "fuel_height": c["height"], "fuel_density": F.lit(32), "fuel_surface_area_volume_ratio": c["savr"], "fuel_moisture_extinction": F.lit(0.3), "fuel_mineral_content_total": F.lit(0.0555),
+    "fuel_mineral_content_effective": F.lit(0.01), "fuel_chaparral_flag": F.lit(0), "wind_speed": c["wind"], "slope_angle": c["slope"], "fuel_moisture_content": c["moisture"],
+})
+_contract("balbi", "k_balbi", lambda c: {
+    "fuel_load_dead_ratio": c["dead"], "fuel_load_dry_total": c["load"], "fuel_height": c["height"], "fuel_density": F.lit(500), "fuel_surface_area_volume_ratio": c["savr"] * 3, "wind_speed": c["wind"], "slope_angle": c["slope"],
+    "fuel_moisture_content": c["moisture"],
+})
+_contract("santoni", "k_santoni", lambda c: {
+    "fuel_load_dry_total": c["load"], "fuel_load_dead_ratio": c["dead"], "fuel_height": c["height"], "fuel_density_dead": F.lit(500), "fuel_density_live": F.lit(480), "fuel_surface_area_volume_ratio_dead": c["savr"] * 3,
+    "fuel_surface_area_volume_ratio_live": c["savr"] * 2, "wind_speed": c["wind"], "slope_angle": c["slope"], "fuel_moisture_content_dead": c["moisture"], "fuel_moisture_content_live": c["moisture"] * 3,
+})
+_contract("hamada_1", "k_hamada1", lambda c: {
+    "building_length_side": 10 + c["slope"] / 2, "building_length_separation": 3 + c["height"], "wind_speed_u": c["wind"], "wind_speed_v": c["load"], "normal_spread_dir_x": F.lit(0.8), "normal_spread_dir_y": F.lit(0.6),
+})
+
+_DAMAGE = ("No Damage", "Affected (1-9%)", "Major (26-50%)", "Destroyed (>50%)", "Inaccessible")
+
+
+@query("""
+WITH d AS (SELECT s_nationkey % 5 AS region, CASE s_suppkey % 5 WHEN 4 THEN NULL ELSE s_suppkey % 5 IN (2, 3) END AS observed, s_acctbal > 4000 AS burnt FROM supplier)
+SELECT region, count(*) FILTER (burnt AND observed) AS tp, count(*) FILTER (NOT burnt AND observed) AS fn, count(*) FILTER (burnt AND NOT observed) AS fp, count(*) FILTER (NOT burnt AND NOT observed) AS tn,
+ round(count(*) FILTER (burnt = observed) / count(observed), 6) AS accuracy FROM d GROUP BY 1""")
+def wf_structure_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Building damage reports as burnt or not, against a model's burnt buildings; inaccessible ones drop out."""
+    damage = F.element_at(F.array(*[F.lit(d) for d in _DAMAGE]), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    df = load(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("region"), rasters.damage_burnt(damage).alias("observed"), (F.col("s_acctbal") > 4000).alias("burnt"))
+    c = metrics.Confusion(F.col("burnt"), F.col("observed"))
+    return df.groupBy("region").agg(c.tp.alias("tp"), c.fn.alias("fn"), c.fp.alias("fp"), c.tn.alias("tn"), F.round(c.accuracy(), 6).alias("accuracy"))
+
+
+@query("""
+WITH p AS (SELECT o_orderkey % 7 AS grid_id, o_custkey % 6 AS severity, o_orderkey % 4 AS a, o_orderkey % 5 AS b, o_totalprice > 200000 AS modelled FROM orders),
+m AS (SELECT grid_id, modelled, CASE WHEN a > 0 AND b > 0 AND severity = 5 THEN 1 WHEN a > 0 AND b > 0 AND severity BETWEEN 1 AND 4 THEN 0 END AS lost FROM p)
+SELECT grid_id, count(lost) AS pixels, sum(lost) AS lost, round(count(*) FILTER (modelled AND lost = 1) / count(*) FILTER (lost IS NOT NULL AND (modelled OR lost = 1)), 6) AS jaccard FROM m GROUP BY 1""")
+def wf_canopy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canopy lost where vegetation layers are positive, against a model's mask."""
+    k = F.col("o_orderkey")
+    lost = rasters.canopy_loss(F.col("o_custkey") % 6, k % 4, k % 5)
+    df = load(spark, sf_dir, "orders").select((k % 7).alias("grid_id"), lost.alias("lost"), (F.col("o_totalprice") > 200000).alias("modelled"))
+    known = F.col("lost").isNotNull()
+    return df.groupBy("grid_id").agg(F.count("lost").alias("pixels"), F.sum("lost").alias("lost"), F.round(metrics.jaccard(F.col("modelled") & known, F.coalesce(F.col("lost") == 1, F.lit(False))), 6).alias("jaccard"))
+
+
+@query("""
+WITH p AS (SELECT o_orderkey % 7 AS grid_id, nullif(o_custkey % 6, 0) = 4 AS observed, o_totalprice > 200000 AS modelled FROM orders)
+SELECT grid_id, count(observed) AS pixels, round(count(*) FILTER (modelled AND observed) / count(*) FILTER (modelled AND observed IS NOT NULL), 6) AS precision, round(count(*) FILTER (modelled AND observed) / count(*) FILTER (observed), 6) AS recall FROM p GROUP BY 1""")
+def wf_high_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """High burn severity (class 4 of the catalogue, no data left out) against a model's mask."""
+    classes = spark.createDataFrame(list(metrics.SEVERITY_CLASSES), "severity int, name string")
+    df = load(spark, sf_dir, "orders").select((F.col("o_orderkey") % 7).alias("grid_id"), (F.col("o_custkey") % 6).cast("int").alias("severity"), (F.col("o_totalprice") > 200000).alias("modelled"))
+    named = df.join(classes, "severity").where("name <> 'no data'").withColumn("observed", F.col("name") == "high")
+    c = metrics.Confusion(F.col("modelled"), F.col("observed"))
+    return named.groupBy("grid_id").agg(F.count("*").alias("pixels"), F.round(c.precision(), 6).alias("precision"), F.round(c.recall(), 6).alias("recall"))
