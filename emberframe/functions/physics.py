@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberframe.session import portable
+
+portable(__name__)
 ROS_CAP = 6.0
 Value = Column | float | int
 

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.session import portable
+
+portable(__name__)
 # Ellipsoid and parameters of the equal-area projections (standard parallels or latitude of origin, central meridian).
 _A, _F = 6378137.0, 1 / 298.257222101
 PROJECTIONS = {

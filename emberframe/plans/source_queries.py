@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from emberframe.functions import timefmt, units
 from emberframe.operators import fuels, geometry, metrics, models, provenance, scorecard, sensitivity, standard
 from emberframe.plans.metric_queries import query
-from emberframe.session import load, scratch
+from emberframe.session import load, portable, scratch
 from emberframe.sources import geotiff, kml, rasters, stations, tables
+from emberframe.sources.geotiff import encode as encode_tiff
+
+portable(__name__)
 
 
 def put(spark: SparkSession, path: str, text: str) -> str:
@@ -38,7 +41,7 @@ def _rasters(spark: SparkSession, sf_dir: str, folder: str, dtype: str, epsg: in
     def encode(f: pd.DataFrame) -> pd.DataFrame:
         q = f.sort_values("o_orderkey")["q"].to_numpy()[: len(f) // 50 * 50].reshape(-1, 50).astype(dtype)
         n = int(f["line"].iloc[0])
-        data = geotiff.encode(q, -2_000_000.0 if epsg == 5070 else -120.0, 30.0 if epsg == 5070 else 0.25, 2_000_000.0 if epsg == 5070 else 40.0, -30.0 if epsg == 5070 else -0.25, epsg, 7, compress, 16)
+        data = encode_tiff(q, -2_000_000.0 if epsg == 5070 else -120.0, 30.0 if epsg == 5070 else 0.25, 2_000_000.0 if epsg == 5070 else 40.0, -30.0 if epsg == 5070 else -0.25, epsg, 7, compress, 16)
         return pd.DataFrame({"name": [f"line{n}.tif"], "content": [data]})
 
     rows = load(spark, sf_dir, "orders").selectExpr("o_orderkey % 7 AS line", "o_orderkey", "o_custkey % 200 AS q").where("o_orderkey <= 50000")

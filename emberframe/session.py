@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,11 @@ def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> S
     )
 
 
+def portable(module: str) -> None:
+    """Functions of a module travel to workers by value: workers need not have the package on their path."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberframe.session import portable
+
+portable(__name__)
 # Products, the standard name of their values, and the fill value that the product itself names.
 PRODUCTS = {
     "mtbs": ("fire_burn_severity", 0), "landfire": ("fuel_class", None), "ravg_cc": ("ravg_canopy_cover_loss", 0),

@@ -48,3 +48,16 @@ def test_windows_of_rasters_reach_the_scan(spark, tmp_path):
 def test_no_cartesian_products(spark, sf_dir, name):
     text = plan(catalogue.QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_workers_need_no_package_on_their_path(tmp_path):
+    """A query with an array function, from a session whose working folder is not the repository."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r}); from emberframe.session import local_session; from emberframe.plans import catalogue; s = local_session('1', 1, '1g'); print('rows', catalogue.QUERIES['k_balbi'](s, '/root/testdata/sf0.001').count(), catalogue.QUERIES['k_balbi'](s, '/root/testdata/sf0.001').agg({{'ros': 'max'}}).first()[0] > 0)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240, check=False)
+    assert "rows" in out.stdout and out.stdout.strip().endswith("True"), out.stderr[-2000:]
