@@ -7,7 +7,6 @@ outside conditional branches, so kernels choose between finished values with ``e
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
