@@ -38,7 +38,7 @@ CHARS = r"A-Za-z0-9+/_.=!@#$%^&*~?:\-"
 LONG, SHORT, SPLIT = 16, 8, 40
 _RUN = re.compile(rf"(?<![{CHARS}])(?=[A-Za-z]*+[^A-Za-z\s]|[{CHARS}]{{{LONG}}})[{CHARS}]{{{SHORT},}}")
 _PARTS = re.compile(r"[^./:=_?&-]+")
-_KEYED = re.compile(r"""(?:passw(?:or)?d|passphrase|passcode|pwd|pass|secret|token|key|auth[a-z]*|bearer|credentials?|private)["']?[ \t]{0,2}(?:[:=]|\bis\b|[ \t])[ \t]{0,2}["']?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
+_KEYED = re.compile(r"""(?:passw(?:or)?d|passphrase|passcode|pwd|pass|secret|token|key|auth[a-z]{0,12}|bearer|credentials?|private)["']?[ \t]{0,2}(?:[:=]|\bis\b|[ \t])[ \t]{0,2}["']?([^\s"'<>,;]{6,})""", re.IGNORECASE | re.ASCII)
 _EDGE = ".,:;!?*#$%&=-_~^@/+"
 BEFORE, AFTER, SYMBOLS = 32, 64, 130
 SCHEMA = "doc_id long, findings array<struct<kind:string,start:long,end:long,score:double>>"

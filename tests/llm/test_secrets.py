@@ -103,6 +103,7 @@ def test_time_follows_the_number_of_findings(net):
     assert time.process_time() - t < 60
     secretscan.findings("aB3-" * 500_000, net)
     secretscan.findings("token " * 200_000, net)
+    secretscan.findings("auth" * 300_000, net)
 
 
 def test_query_and_redaction(spark, net):
