@@ -172,14 +172,23 @@ def _edges(node, other, links) -> pa.RecordBatch:
 
 
 def wanted(book: Codebook, reach: float, node: np.ndarray, unit: np.ndarray, entry: np.ndarray, home: np.ndarray, codes: np.ndarray, err: np.ndarray) -> np.ndarray:
-    """Which entries (id, list, code, error) have another vector of a block near enough by table lookup."""
+    """Which entries (id, list, code, error) have another vector of a block near enough by table lookup.
+
+    With centroid c and codeword w, |x - c - w|^2 = |x - c|^2 - 2 x.w + (2 c.w + |w|^2): the first is a number for each x and list,
+    the second a table for each x, the third a number for each entry.
+    """
     out = np.zeros(len(entry), bool)
-    for h in np.unique(home).tolist():
-        at = np.flatnonzero(home == h)
-        for s in range(0, len(at), 512):
-            part = at[s : s + 512]
-            near = np.sqrt(book.lookup(unit - book.centre(np.array([h])), codes[part])) <= reach + err[part] + SLACK
-            out[part] = (near & (node[:, None] != entry[part])).any(axis=0)
+    lists, which = np.unique(home, return_inverse=True)
+    first = squared(unit, book.centre(lists))
+    tables = [-2 * p @ w.T for p, w in zip(book.parts(unit), book.words, strict=True)]
+    for s in range(0, len(entry), 1024):
+        part = slice(s, s + 1024)
+        word = np.concatenate([w[codes[part, i]] for i, w in enumerate(book.words)], axis=1)
+        adc = first[:, which[part]] + (word * (2 * book.centre(home[part]) + word)).sum(1)
+        for i, t in enumerate(tables):
+            adc += t[:, codes[part, i]]
+        near = np.sqrt(np.maximum(adc, 0)) <= reach + err[part] + SLACK
+        out[part] = (near & (node[:, None] != entry[part])).any(axis=0)
     return out
 
 

@@ -81,6 +81,21 @@ def test_bounds_lose_nothing(second):
     assert len({int(h) for h in home}) > (12 if second > 1 else 1)
 
 
+def test_screen_is_the_table_lookup():
+    """Which entries are near enough, by the distances of single lookups."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 20))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[200:] = x[:100] + 0.02 * rng.normal(size=(100, 20))
+    book = annpq.fit(x, 6, 3, 5, 16)
+    home, _ = annpq.probes(x, book, 0.2)
+    codes, err = book.encode(x - book.centre(home))
+    inside = np.flatnonzero(home == home[0])
+    adc = np.stack([book.lookup(x[inside] - book.centre(home[j : j + 1]), codes[j : j + 1])[:, 0] for j in range(300)], axis=1)
+    want = ((np.sqrt(adc) <= 0.2 + err + annpq.SLACK) & (inside[:, None] != np.arange(300))).any(axis=0)
+    assert (annpq.wanted(book, 0.2, inside, x[inside], np.arange(300), home, codes, err) == want).all() and 0 < want.sum() < 300
+
+
 def test_screen_sends_few_vectors(spark):
     """On vectors without near ones, what is asked after the table lookup is a small part of what probes."""
     rng = np.random.default_rng(4)
