@@ -104,13 +104,13 @@ _DAMAGE = ("No Damage", "Affected (1-9%)", "Major (26-50%)", "Destroyed (>50%)",
 @query("""
 WITH d AS (SELECT s_nationkey % 5 AS region, CASE s_suppkey % 5 WHEN 4 THEN NULL ELSE s_suppkey % 5 IN (2, 3) END AS observed, s_acctbal > 4000 AS burnt FROM supplier)
 SELECT region, count(*) FILTER (burnt AND observed) AS tp, count(*) FILTER (NOT burnt AND observed) AS fn, count(*) FILTER (burnt AND NOT observed) AS fp, count(*) FILTER (NOT burnt AND NOT observed) AS tn,
- round(count(*) FILTER (burnt = observed) / count(observed), 6) AS accuracy FROM d GROUP BY 1""")
+ round(count(*) FILTER (burnt = observed) / count(observed), 6) AS accuracy FROM d GROUP BY 1 HAVING count(observed) > 0""")
 def wf_structure_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Building damage reports as burnt or not, against a model's burnt buildings; inaccessible ones drop out."""
+    """Building damage reports as burnt or not, against a model's burnt buildings; inaccessible ones drop out, and regions without any other."""
     damage = F.element_at(F.array(*[F.lit(d) for d in _DAMAGE]), (F.col("s_suppkey") % 5 + 1).cast("int"))
     df = load(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("region"), rasters.damage_burnt(damage).alias("observed"), (F.col("s_acctbal") > 4000).alias("burnt"))
     c = metrics.Confusion(F.col("burnt"), F.col("observed"))
-    return df.groupBy("region").agg(c.tp.alias("tp"), c.fn.alias("fn"), c.fp.alias("fp"), c.tn.alias("tn"), F.round(c.accuracy(), 6).alias("accuracy"))
+    return df.where("observed is not null").groupBy("region").agg(c.tp.alias("tp"), c.fn.alias("fn"), c.fp.alias("fp"), c.tn.alias("tn"), F.round(c.accuracy(), 6).alias("accuracy"))
 
 
 @query("""
