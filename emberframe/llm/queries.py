@@ -105,6 +105,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens under two tokenizers; texts that either does not spell, null and empty ones are zeros."""
+    from emberframe.llm import crosstok
+
+    a, b = tokenizer_path(), tokenizer_path("piece_bpe_32k.model")
+    rows = crosstok.align(table(spark, sf_dir, "documents"), lambda: crosstok.byte_level(a), lambda: crosstok.sentence_pieces(b), digest=True)
+    return rows.withColumnRenamed("groups", "groups_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -114,7 +123,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_harmonic_packing, op2_repeated_bytes, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination,
-    op6_quality_cotraining, op7_cross_entropy_difference, op8_embedding_near_dedup, op9_html_main_text, op10_language_id, pipeline,
+    op6_quality_cotraining, op7_cross_entropy_difference, op8_embedding_near_dedup, op9_html_main_text, op10_language_id,
+    op11_token_alignment, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 #: Tokenisers, XXH64, match positions and learnt models have no SQL; tests/llm hold those queries to brute force.
