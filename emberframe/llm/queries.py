@@ -114,6 +114,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped as repeated, and the digest of the rest; null and empty texts are one empty line."""
+    from emberframe.llm import linededup
+
+    cleaned = linededup.dedup(table(spark, sf_dir, "documents"), min_docs=3, min_chars=20)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -124,7 +132,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_harmonic_packing, op2_repeated_bytes, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination,
     op6_quality_cotraining, op7_cross_entropy_difference, op8_embedding_near_dedup, op9_html_main_text, op10_language_id,
-    op11_token_alignment, pipeline,
+    op11_token_alignment, op12_line_dedup, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 #: Tokenisers, XXH64, match positions and learnt models have no SQL; tests/llm hold those queries to brute force.
@@ -176,4 +184,12 @@ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label
 r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
 c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY 1)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op12_line_dedup": r"""
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (SELECT doc_id, lines, list_transform(lines, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM l),
+u AS (SELECT DISTINCT doc_id, key FROM (SELECT doc_id, unnest(keys) AS key FROM k) WHERE length(key) >= 20),
+h AS (SELECT key, max(doc_id) AS last FROM u GROUP BY key HAVING count(*) >= 3),
+g AS (SELECT doc_id, list(key) AS gone FROM u JOIN h USING (key) WHERE doc_id <> last GROUP BY doc_id),
+s AS (SELECT doc_id, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, lambda x, i: NOT list_contains(gone, keys[i])) END AS stay FROM k LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(stay) AS BIGINT) AS n_dropped, sha256(array_to_string(stay, chr(10))) AS kept_sha256 FROM s""",
 }
