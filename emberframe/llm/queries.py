@@ -122,6 +122,13 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of all documents; null and empty texts have no words."""
+    from emberframe.llm import spelling
+
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -132,7 +139,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_harmonic_packing, op2_repeated_bytes, op3_secret_scan, op4_simhash_near_dedup, op5_benchmark_decontamination,
     op6_quality_cotraining, op7_cross_entropy_difference, op8_embedding_near_dedup, op9_html_main_text, op10_language_id,
-    op11_token_alignment, op12_line_dedup, pipeline,
+    op11_token_alignment, op12_line_dedup, op13_spelling_variants, pipeline,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 #: Tokenisers, XXH64, match positions and learnt models have no SQL; tests/llm hold those queries to brute force.
