@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.llm.workspace import Workspace, doc_rows, ship
+from emberframe.llm.workspace import Workspace, doc_rows, map_rows, ship, spare
 
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -260,8 +260,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     ship(spark)
     items = _small(benchmark, max_chars)
     if items is None:
-        found = _joined(docs, benchmark, threshold, shingle).select(F.col("t").alias("_text_hash")).distinct()
-        return docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string"))).join(found, "_text_hash", "left_anti").select(docs.columns)
+        (name,) = spare(docs.columns, "_text_hash")
+        found = _joined(docs, benchmark, threshold, shingle).select(F.col("t").alias(name)).distinct()
+        return docs.withColumn(name, F.xxhash64(F.col("text").cast("string"))).join(found, name, "left_anti").select([f"`{c}`" for c in docs.columns])
     at, sent = docs.columns.index("text"), spark.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,4 +270,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         for batch in batches:
             yield batch.filter(pa.array([not index.search(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberframe.llm.workspace import Workspace, doc_rows, ship
+from emberframe.llm.workspace import Workspace, doc_rows, map_rows, ship
 
 ORDERS, STRETCH = 4, 1 << 20
 _LETTER: list[np.ndarray] = []
@@ -182,9 +183,8 @@ def fit(docs: DataFrame, per_language: int = 1000, landmarks: int = 256) -> Mode
     if not counts:
         return None
     shares = spark.createDataFrame([(k, min(1.0, per_language / n)) for k, n in counts.items()], "lang string, share double")
-    draw = F.pmod(F.xxhash64(F.lit("landmark"), F.coalesce("doc_id", F.xxhash64("text"))), F.lit(1_000_000)) / 1_000_000.0
     ws = Workspace(spark, "langid")
-    drawn = rows.join(F.broadcast(shares), "lang").withColumn("draw", draw).where("draw < share").select("lang", "text", "draw")
+    drawn = rows.join(F.broadcast(shares), "lang").withColumn("draw", F.rand(10)).where("draw < share").select("lang", "text", "draw")
     sample = ws.save(drawn.where(F.col("text").rlike(r"\p{L}")), "sample")
 
     each = max(2, -(-landmarks // len(counts)))
@@ -235,10 +235,7 @@ def predict(docs: DataFrame, model: Model | None, batch_rows: int = 64, names: t
                         lang[i], score[i] = m.languages[k], float(row[k])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, *names])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()))
 
 
 def held_out(folds: int = 5):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.workspace import doc_rows, ship
+from emberframe.llm.workspace import doc_rows, map_rows, ship
 
 KINDS = ("assign", "access", "hex", "model")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -317,5 +317,5 @@ def redact(docs: DataFrame, net: Network | None = None, mask: str = "[SECRET]")
         for batch in batches:
             yield batch.set_column(at, batch.schema.field(at), pa.array([clean(t.as_py()) for t in batch.column(at)], batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_rows(docs, run)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -10,6 +10,7 @@ import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberframe.session import scratch
 
@@ -85,6 +86,44 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def spare(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``taken`` has it (in any case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def map_rows(docs: DataFrame, run, *more: T.StructField) -> DataFrame:
+    """docs.mapInArrow(run) with the columns of docs and then those of ``more``, whatever their names: mapInArrow itself cannot take dotted ones."""
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+    out = docs.toDF(*[f.name for f in fields]).mapInArrow(run, T.StructType([*fields, *more]))
+    return out.toDF(*docs.columns, *[f.name for f in more])
+
+
+def hashable(column: Column, kind: T.DataType) -> Column:
+    """A column of any type in a form that Spark's hash functions take: maps as sorted entries (by hash), variants as JSON."""
+    if isinstance(kind, T.MapType):
+        entry = lambda e: F.xxhash64(hashable(e["key"], kind.keyType), hashable(e["value"], kind.valueType), e["value"].isNull())
+        return F.array_sort(F.transform(F.map_entries(column), entry))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: hashable(x, kind.elementType)) if _holds_map(kind) else column
+    if isinstance(kind, T.StructType):
+        return F.struct(*[hashable(column[f.name], f.dataType).alias(f"c{i}") for i, f in enumerate(kind.fields)]) if _holds_map(kind) else column
+    return F.to_json(column) if isinstance(kind, T.VariantType) else column
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def components(ws: Workspace, edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges (a, b)``: one row (node, root) for each node that is not its own root.
 

@@ -22,6 +22,35 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs.limit(0), DIR).count() == 0
 
 
+def test_stages_keep_columns_named_like_helpers(spark, monkeypatch):
+    """Columns with the names that stages and their helpers use inside come out as they went in, maps and structs of maps too."""
+    names = ["_row", "_ROW2", "_words", "_text", "t", "node", "bands", "own0", "group", "_text_hash", "_language_found", "_language_score", "draw", "h", "key", "a.b"]
+    extra = [f"concat('mine ', doc_id) AS `{n}`" for n in names]
+    maps = ["map('k', doc_id, 'l', null) AS m", "named_struct('x', array(map(doc_id, 'v'))) AS s"]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("*", *extra, *maps)
+    for path in ("map", "join"):
+        if path == "join":
+            monkeypatch.setattr(decontam, "_small", lambda *_: None)
+        for name, stage in corpus_pipeline.STAGES[:-1] if path == "map" else [corpus_pipeline.STAGES[2]]:
+            out = stage(spark, docs, DIR)
+            assert out.columns == docs.columns and [f.dataType for f in out.schema.fields] == [f.dataType for f in docs.schema.fields], name
+            wrong = " or ".join([*(f"`{n}` <> concat('mine ', doc_id)" for n in names), "m['k'] <> doc_id", "s.x[0][doc_id] <> 'v'"])
+            plain = stage(spark, spark.read.parquet(f"{DIR}/documents.parquet"), DIR)
+            assert out.count() == plain.count() > 0 and out.where(wrong).count() == 0, name
+
+
+def test_rows_that_differ_in_a_map_stay_apart(spark):
+    """Map entries in another order are the same row; another value is not (both are copies of one text: one stays)."""
+    df = spark.sql("SELECT 1L AS doc_id, 'one text of five words or more' AS text, map('a', 1, 'b', 2) AS m UNION ALL SELECT 1L, 'one text of five words or more', map('b', 2, 'a', 1)")
+    assert corpus_pipeline.near_duplicates(spark, df, DIR).count() == 1
+
+
+def test_one_id_on_all_rows_still_teaches_every_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("doc_id", F.lit(7).cast("long"))
+    model = langid.fit(docs, per_language=100)
+    assert set(model.languages) == {r.lang for r in docs.select("lang").distinct().collect() if r.lang}
+
+
 def test_against_plain_decisions(spark):
     from tokenizers import Tokenizer
 
