@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from emberframe.functions import timefmt, units
 from emberframe.operators import fuels, geometry, metrics, models, provenance, scorecard, sensitivity, standard
 from emberframe.plans.metric_queries import query
 from emberframe.session import load, portable, scratch
-from emberframe.sources import geotiff, kml, rasters, stations, tables
+from emberframe.sources import files, geotiff, kml, rasters, stations, tables
 from emberframe.sources.geotiff import encode as encode_tiff
 
 portable(__name__)
@@ -24,61 +25,84 @@ def put(spark: SparkSession, path: str, text: str) -> str:
     return path
 
 
-def put_files(df: DataFrame, folder: str) -> None:
-    """Writes rows (name, content) as files, from the tasks that hold them, through Hadoop's file system by way of binary rows."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
-    for r in df.toLocalIterator():  # a handful of test rasters
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['name']}"), True)
-        out.write(bytearray(r["content"]))
-        out.close()
+#: Orders by key in rasters of 50 x 50 pixels; a key without an order is missing. A raster's number gives it a place in a mosaic of ten a line.
+_SIDE, _MISSING = 50, 7
 
 
-def _rasters(spark: SparkSession, sf_dir: str, folder: str, dtype: str, epsg: int, compress: bool) -> str:
-    """Seven rasters of orders by key, in rows of 50: customer keys below 200 as pixels."""
+def _rasters(spark: SparkSession, sf_dir: str, dtype: str, epsg: int, compress: bool) -> str:
+    """A folder of rasters of all orders, encoded and written by the tasks that hold them: the customer key's last three digits below 200 as pixels."""
+    folder, n = scratch(spark, "tif"), _SIDE * _SIDE
 
     def encode(f: pd.DataFrame) -> pd.DataFrame:
-        q = f.sort_values("o_orderkey")["q"].to_numpy()[: len(f) // 50 * 50].reshape(-1, 50).astype(dtype)
-        n = int(f["line"].iloc[0])
-        data = encode_tiff(q, -2_000_000.0 if epsg == 5070 else -120.0, 30.0 if epsg == 5070 else 0.25, 2_000_000.0 if epsg == 5070 else 40.0, -30.0 if epsg == 5070 else -0.25, epsg, 7, compress, 16)
-        return pd.DataFrame({"name": [f"line{n}.tif"], "content": [data]})
-
-    rows = load(spark, sf_dir, "orders").selectExpr("o_orderkey % 7 AS line", "o_orderkey", "o_custkey % 200 AS q").where("o_orderkey <= 50000")
-    put_files(rows.groupBy("line").applyInPandas(encode, "name string, content binary"), folder)
+        q = np.full(n, _MISSING)
+        q[f["k"]] = f["q"]
+        g = int(f["g"].iloc[0])
+        at, step = (-2_000_000.0, 30.0) if epsg == 5070 else (-120.0, 0.25)
+        data = encode_tiff(q.reshape(_SIDE, _SIDE).astype(dtype), at + g % 10 * _SIDE * step, step, -at / 3 - g // 10 * _SIDE * step, -step, epsg, _MISSING, compress, 16)
+        return pd.DataFrame({"name": [f"g{g}.tif"], "content": [data]})
+
+    rows = load(spark, sf_dir, "orders").select((F.col("o_orderkey") / n).cast("long").alias("g"), (F.col("o_orderkey") % n).alias("k"), (F.col("o_custkey") % 200).alias("q"))
+    files.write_files(rows.groupBy("g").applyInPandas(encode, "name string, content binary"), folder)
     return folder
 
 
-_PIXELS = """(SELECT CAST(line AS INT) AS line, (k - 1) // 50 AS r, (k - 1) % 50 AS c, q FROM (SELECT o_orderkey % 7 AS line, o_custkey % 200 AS q,
- row_number() OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderkey % 7) AS n FROM orders WHERE o_orderkey <= 50000) WHERE k <= n // 50 * 50)"""
+_PIXELS = """(SELECT g, k // 50 AS r, k % 50 AS c, coalesce(q, 7) AS q FROM (SELECT g, k FROM (SELECT DISTINCT o_orderkey // 2500 AS g FROM orders), (SELECT unnest(range(2500)) AS k))
+ LEFT JOIN (SELECT o_orderkey // 2500 AS g, o_orderkey % 2500 AS k, o_custkey % 200 AS q FROM orders) USING (g, k))"""
+
 
+def _g():
+    return F.regexp_extract("grid_id", r"g(\d+)\.tif", 1).cast("int").alias("g")
 
-def _line():
-    return F.regexp_extract("grid_id", r"line(\d+)", 1).cast("int").alias("line")
 
 
-@query(f"SELECT line, count(*) AS pixels, count(q) FILTER (q <> 7) AS known, round(sum(q * (r + 2 * c)) FILTER (q <> 7), 3) AS weighted, max(r) + 1 AS height FROM {_PIXELS} GROUP BY 1")
+@query(f"SELECT g, count(*) AS pixels, count(q) FILTER (q <> 7) AS known, round(sum(q * (r + 2 * c)) FILTER (q <> 7), 3) AS weighted, max(r) + 1 AS height FROM {_PIXELS} GROUP BY 1")
 def i_geotiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deflated unsigned rasters, read back pixel by pixel with their missing value."""
-    g = geotiff.grid(geotiff.read_geotiff(spark, _rasters(spark, sf_dir, scratch(spark, "tif"), "u2", 4326, True)))
-    return g.groupBy(_line()).agg(F.count("*").alias("pixels"), F.count("value").alias("known"), F.round(F.sum(F.col("value") * (F.col("row") + 2 * F.col("col"))), 3).alias("weighted"), (F.max("row") + 1).alias("height"))
+    """Deflated unsigned rasters of all orders, scanned pixel by pixel with their missing value."""
+    g = geotiff.grid(geotiff.scan_geotiff(spark, _rasters(spark, sf_dir, "u2", 4326, True)))
+    return g.groupBy(_g()).agg(F.count("*").alias("pixels"), F.count("value").alias("known"), F.round(F.sum(F.col("value") * (F.col("row") + 2 * F.col("col"))), 3).alias("weighted"), (F.max("row") + 1).alias("height"))
+
+
+def _windowed(g: DataFrame) -> DataFrame:
+    return g.groupBy(_g()).agg(F.count("*").alias("pixels"), F.round(F.min("x"), 6).alias("west"), F.round(F.max("y"), 6).alias("north"), F.round(F.sum("value"), 3).alias("total"))
 
 
-@query(f"SELECT line, count(*) AS pixels, round(min(-120 + 0.25 * c), 6) AS west, round(max(40 - 0.25 * r), 6) AS north, round(sum(q), 3) AS total FROM {_PIXELS} WHERE c >= 8 AND c < 20 AND r >= 4 AND r < 12 GROUP BY 1")
+@query(f"""SELECT g, count(*) AS pixels, round(CAST(min(x) AS DOUBLE), 6) AS west, round(CAST(max(y) AS DOUBLE), 6) AS north, round(sum(q), 3) AS total
+FROM (SELECT g, q, -120 + 0.25 * (g % 10 * 50 + c) AS x, 40 - 0.25 * (g // 10 * 50 + r) AS y FROM {_PIXELS}) WHERE x >= -110 AND x < -80.25 AND y > 22.5 AND y <= 36.5 GROUP BY 1""")
 def i_geotiff_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain floating-point rasters, a box of 12 columns and 8 rows."""
-    rows = geotiff.read_geotiff(spark, _rasters(spark, sf_dir, scratch(spark, "tif"), "f4", 4326, False))
-    g = geotiff.grid(geotiff.window(rows, -118.0, 37.0, -115.0, 39.0), fill=-1)
-    return g.groupBy(_line()).agg(F.count("*").alias("pixels"), F.round(F.min("x"), 6).alias("west"), F.round(F.max("y"), 6).alias("north"), F.round(F.sum("value"), 3).alias("total"))
-
-
-@query(f"SELECT line, count(*) AS pixels, count(*) FILTER (q = 0) AS missing, 0 AS moved FROM {_PIXELS} GROUP BY 1")
-def i_burn_severity_etl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Albers rasters as a product with its own missing value; coordinates in degrees project back to the pixel."""
-    out = geotiff.standardize(geotiff.read_geotiff(spark, _rasters(spark, sf_dir, scratch(spark, "tif"), "u1", 5070, True)), "mtbs")
-    x, y = geometry.project(F.col("lon"), F.col("lat"), "EPSG:5070")
-    moved = (F.abs(x - F.col("x")) > 0.01) | (F.abs(y - F.col("y")) > 0.01)
-    return out.groupBy(_line()).agg(F.count("*").alias("pixels"), F.count_if(F.col("fire_burn_severity").isNull()).alias("missing"), F.count_if(moved).cast("int").alias("moved"))
+    """A box in degrees over plain floating-point rasters that tile a plane: strips outside the box are not read."""
+    rows = geotiff.scan_geotiff(spark, _rasters(spark, sf_dir, "f4", 4326, False))
+    return _windowed(geotiff.grid(geotiff.window(rows, -110.0, 22.5, -80.25, 36.5), fill=-1))
+
+
+#: A box in degrees; its projected bounds are columns 99 to 219 and lines 22 to 150 of the mosaic.
+_BOX = (-116.173, 27.112, -116.143, 27.142)
+
+
+@query(f"""SELECT g, count(*) AS pixels, round(CAST(min(-2000000.0 + 30 * x) AS DOUBLE), 6) AS west, round(CAST(max(2000000 / 3.0 - 30 * y) AS DOUBLE), 6) AS north, round(sum(q), 3) AS total
+FROM (SELECT g, q, g % 10 * 50 + c AS x, g // 10 * 50 + r AS y FROM {_PIXELS}) WHERE x >= 99 AND x < 219 AND y >= 22 AND y < 150 GROUP BY 1""")
+def i_geotiff_projected_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box in degrees over Albers rasters: its projected bounds, in whole pixels."""
+    rows = geotiff.scan_geotiff(spark, _rasters(spark, sf_dir, "u1", 5070, True))
+    return _windowed(geotiff.grid(geotiff.window(rows, *_BOX, projection="EPSG:5070"), fill=-1))
+
+
+def _product(product: str, name: str, fill: int):
+    sql = f"SELECT g, count(*) AS pixels, count(*) FILTER (q = {fill}) AS missing, coalesce(sum(q) FILTER (q <> {fill}), 0) AS total, 0 AS moved FROM {_PIXELS} GROUP BY 1"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = geotiff.standardize(geotiff.scan_geotiff(spark, _rasters(spark, sf_dir, "u1", 5070, True)), product)
+        x, y = geometry.project(F.col("lon"), F.col("lat"), "EPSG:5070")
+        moved = (F.abs(x - F.col("x")) > 0.01) | (F.abs(y - F.col("y")) > 0.01)
+        value = [c for c in out.columns if c not in ("grid_id", "row", "col", "lon", "lat", "x", "y")][0]
+        return out.groupBy(_g()).agg(F.count("*").alias("pixels"), F.count_if(F.col(value).isNull()).alias("missing"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("total"), F.count_if(moved).cast("int").alias("moved"))
+
+    run.__name__, run.__doc__ = name, f"Albers rasters as the product {product} with its own missing value, or the file's; coordinates in degrees project back to the pixel."
+    query(sql)(run)
+
+
+_product("mtbs", "i_burn_severity_etl", 0)
+_product("landfire", "i_fuel_model_etl", _MISSING)
+_product("ravg_cc", "i_canopy_loss_etl", 0)
 
 
 @query("SELECT n_name AS name, 2 AS rings, round(CAST(1 + n_nationkey AS DOUBLE) * 0.02 - 0.0004, 6) AS area FROM nation")

@@ -180,3 +180,75 @@ def test_scrambled_designs_stay_balanced(spark):
     for c in names:  # one point in every 256th
         assert sorted((one[c] * 256).astype(int)) == list(range(256)) == sorted((other[c] * 256).astype(int))
     assert len(set(zip((one.a * 16).astype(int), (one.b * 16).astype(int)))) == 256  # and in every square of a 16th
+
+
+def big_tiled(path, blocks):
+    """A sparse BigTIFF of 4.3 GB: 65536 x 65536 bytes in plain tiles of 256, zero but for ``blocks`` ((line, column) -> value)."""
+    import struct
+
+    n, tile = 1 << 16, 256
+    count = (n // tile) ** 2
+    head = 16 + 8 + 20 * 13 + 8
+    offsets_at, sizes_at, geo_at = head, head + 8 * count, head + 16 * count
+    data_at = geo_at + 200
+    geo = struct.pack("<3d6d", 0.01, 0.01, 0.0, 0.0, 0.0, 0.0, -120.0, 60.0, 0.0)
+    keys = struct.pack("<8H", 1, 1, 0, 1, 2048, 0, 1, 4326)
+    fields = [(256, 4, 1, n), (257, 4, 1, n), (258, 3, 1, 8), (259, 3, 1, 1), (262, 3, 1, 1), (277, 3, 1, 1), (322, 3, 1, tile), (323, 3, 1, tile), (324, 16, count, offsets_at), (325, 16, count, sizes_at), (33550, 12, 3, geo_at), (33922, 12, 6, geo_at + 24), (34735, 3, 8, geo_at + 72)]
+    with open(path, "wb") as f:
+        f.write(struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(fields)))
+        for tag, kind, c, v in fields:
+            f.write(struct.pack("<HHQQ", tag, kind, c, v))
+        f.seek(offsets_at)
+        f.write((data_at + tile * tile * np.arange(count, dtype="<u8")).tobytes())
+        f.write(np.full(count, tile * tile, "<u8").tobytes())
+        f.write(geo + keys)
+        for (r, c), value in blocks.items():
+            f.seek(data_at + tile * tile * (r * (n // tile) + c))
+            f.write(bytes([value]) * (tile * tile))
+        f.truncate(data_at + tile * tile * count)
+
+
+def test_a_window_of_a_large_file_reads_its_tiles_only(spark, tmp_path, monkeypatch):
+    from pyspark.sql import datasource as ds
+
+    from emberframe.sources import files
+
+    path = str(tmp_path / "big.tif")
+    big_tiled(path, {(100, 50): 1, (100, 51): 2, (101, 50): 3, (101, 51): 4, (200, 200): 9})
+    x = lambda c: -120 + 0.01 * c
+    y = lambda r: 60 - 0.01 * r
+    box = (x(50 * 256 + 200), y(101 * 256 + 30), x(51 * 256 + 20), y(100 * 256 + 250))
+    rows = geotiff.scan_geotiff(spark, path)
+    assert rows.rdd.getNumPartitions() == 65
+    got = geotiff.grid(geotiff.window(rows, *box)).groupBy("value").count().collect()
+    assert {r.value: r["count"] for r in got} == {1.0: 6 * 56, 2.0: 6 * 20, 3.0: 30 * 56, 4.0: 30 * 20}
+    # the same reader, with its bytes counted
+    read = []
+    plain = files.Ranges.read
+    monkeypatch.setattr(files.Ranges, "read", lambda self, at, size: read.append(size) or plain(self, at, size))
+    reader = geotiff.GeoTiffReader({"path": path})
+    filters = [ds.GreaterThanOrEqual(("east",), box[0]), ds.LessThanOrEqual(("west",), box[2]), ds.GreaterThanOrEqual(("north",), box[1]), ds.LessThanOrEqual(("south",), box[3])]
+    assert list(reader.pushFilters(filters)) == filters
+    shares = reader.partitions()
+    tiles = [sum(b.num_rows for b in reader.read(s)) // 256 for s in shares]
+    assert sum(tiles) == 4 and max(tiles) == 1 and sum(read) < 4 * 65536 + len(shares) * 1000
+
+
+@pytest.mark.parametrize("split", [1 << 30, 2000])
+def test_scan_gives_what_whole_files_give(spark, tmp_path, split):
+    r = np.random.default_rng(2)
+    for i, (h, w) in enumerate(((70, 31), (5, 300), (1, 1))):
+        a = r.integers(0, 20, (h, w))
+        (tmp_path / f"{i}.tif").write_bytes(geotiff.encode(a.astype("u2"), -120, 0.5, 40, -0.25, 4326, 9, rows_per_strip=16))
+        (tmp_path / f"{i}t.tif").write_bytes(tiled(a.astype("i2"), "<", 1, bytes))
+        (tmp_path / f"{i}f.tif").write_bytes(geotiff.encode(a.astype("f4"), -120, 0.5, 40, -0.25, 4326, 9, compress=False, rows_per_strip=1000))
+    name = F.substring_index("grid_id", "/", -1).alias("name")
+    pixels = lambda rows: {tuple(x) for x in geotiff.grid(rows).select(name, "epsg", "row", "col", "x", "y", "value").collect()}
+    whole, scan = geotiff.read_geotiff(spark, f"file://{tmp_path}"), geotiff.scan_geotiff(spark, str(tmp_path), split_bytes=split)
+    assert pixels(whole) == pixels(scan) and len(pixels(scan)) == 3 * (70 * 31 + 5 * 300 + 1)
+    for box in ((-119.2, 30.1, -110, 39.3), (0, 0, 1, 1), (-200, -90, 200, 90), (-119.25, 39.125, -118.75, 39.875)):
+        assert pixels(geotiff.window(whole, *box)) == pixels(geotiff.window(scan, *box))
+    some = scan.where(F.col("row").between(20, 40) & (F.col("grid_id") == str(tmp_path / "0.tif")))
+    assert pixels(some) == {p for p in pixels(scan) if 20 <= p[2] <= 40 and p[0] == "0.tif"}
+    with pytest.raises(Exception, match="nothing.tif"):
+        geotiff.scan_geotiff(spark, str(tmp_path / "nothing.tif")).count()
