@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.operators import overlay
 from emberframe.session import portable
 
 portable(__name__)
@@ -110,75 +111,35 @@ def ring_signed_area(ring: Column) -> Column:
     return F.aggregate(cross, F.lit(0.0), lambda s, v: s + v) / 2
 
 
-def _slabs(rings: list[list[tuple[float, float]]]) -> tuple[list[float], list[list[tuple[float, float, float, float]]]]:
-    edges = [[(a[0], a[1], b[0], b[1]) for a, b in zip(r, r[1:] + r[:1], strict=True) if a[1] != b[1]] for r in rings]
-    return sorted({p[1] for r in rings for p in r}), edges
-
-
 def overlap_area(first: list[tuple[float, float]], second: list[tuple[float, float]]) -> float:
-    """Area that two simple polygons share, convex or not.
+    """Area that two simple polygons share, convex or not."""
+    return float(overlay.shared_areas([(first, second)])[0])
 
-    Between consecutive heights of vertices and edge crossings the edges are straight and do not cross, so
-    the shared width is linear: the sum of trapezoids is exact.
-    """
-    heights, (e1, e2) = _slabs([first, second])
-    ys = set(heights)
-    for ax, ay, bx, by in e1:
-        for cx, cy, dx, dy in e2:
-            den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
-            if den:
-                t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den
-                u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
-                if 0 <= t <= 1 and 0 <= u <= 1:
-                    ys.add(ay + t * (by - ay))
-    levels, total = sorted(ys), 0.0
-    for y0, y1 in zip(levels, levels[1:], strict=False):
-        mid = (y0 + y1) / 2
-        inside = []
-        for edges in (e1, e2):
-            xs = sorted(ax + (mid - ay) / (by - ay) * (bx - ax) for ax, ay, bx, by in edges if min(ay, by) <= mid < max(ay, by))
-            inside.append(list(zip(xs[::2], xs[1::2], strict=False)))
-        total += (y1 - y0) * sum(max(0.0, min(b, d) - max(a, c)) for a, b in inside[0] for c, d in inside[1])
-    return total
+
+@F.pandas_udf("double")
+def _shared(first: pd.Series, second: pd.Series) -> pd.Series:
+    points = lambda ring: [(p["x"], p["y"]) for p in ring]
+    return pd.Series(overlay.shared_areas([(points(x), points(y)) for x, y in zip(first, second, strict=True)]))
 
 
 def polygon_overlap(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b", projection: str = "EPSG:5070") -> DataFrame:
     """pairs with area_a, area_b, area_both (m2), jaccard and dice of two simple rings in degrees.
 
     Projection and areas are columns; only the shared area of pairs runs in Python. A ring may be
-    concave; parts and holes of one shape are rows of their own whose areas add up.
+    concave; shapes of several parts and holes are for ``shape_overlap``.
     """
     projected = pairs.withColumn("_a", project_ring(F.col(a), projection)).withColumn("_b", project_ring(F.col(b), projection))
 
-    @F.pandas_udf("double")
-    def shared(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series([overlap_area([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(first, second, strict=True)])
-
-    out = projected.withColumns({"area_a": ring_area(F.col("_a")), "area_b": ring_area(F.col("_b")), "area_both": shared("_a", "_b")}).drop("_a", "_b")
-    union = F.col("area_a") + F.col("area_b") - F.col("area_both")
-    return out.withColumns({"jaccard": F.try_divide(F.col("area_both"), union), "dice": F.try_divide(2 * F.col("area_both"), F.col("area_a") + F.col("area_b"))})
+    areas = projected.withColumns({"area_a": ring_area(F.col("_a")), "area_b": ring_area(F.col("_b")), "area_both": _shared("_a", "_b")}).drop("_a", "_b")
+    return overlay.with_scores(areas)
 
 
 def shape_overlap(rings: DataFrame, *key: str, projection: str = "EPSG:5070") -> DataFrame:
-    """Overlap of shapes of several parts and holes: key, area_a, area_b, area_both, jaccard, dice.
+    """Overlap of shapes of several parts and holes in degrees: key, area_a, area_b, area_both, area_union (m2), jaccard, dice.
 
-    rings: the key, side ('a' or 'b'), hole (true for a hole) and ring. Rings of one key meet pairwise, and areas add
-    up with a minus for each hole, so a shape's pairs are spread over tasks. A key without one side shares nothing.
+    rings: the key, side ('a' or 'b'), hole (true for a hole) and ring; see ``overlay.overlay``. Parts of one shape that overlap count once.
     """
-    signed = rings.select(*key, "side", F.when(F.col("hole"), -1.0).otherwise(1.0).alias("sign"), project_ring(F.col("ring"), projection).alias("ring"))
-    side = F.col("side")
-    area = ring_area(F.col("ring")) * F.col("sign")
-    areas = signed.groupBy(*key).agg(*[F.coalesce(F.sum(F.when(side == s, area)), F.lit(0.0)).alias(f"area_{s}") for s in "ab"])
-
-    @F.pandas_udf("double")
-    def shared(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series([overlap_area([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(first, second, strict=True)])
-
-    a, b = (signed.where(side == s).select(*key, F.col("sign").alias(f"sign_{s}"), F.col("ring").alias(f"ring_{s}")) for s in "ab")
-    both = a.join(b, list(key)).groupBy(*key).agg(F.sum(F.col("sign_a") * F.col("sign_b") * shared("ring_a", "ring_b")).alias("area_both"))
-    out = areas.join(both, list(key), "left").fillna(0.0, ["area_both"])
-    union = F.col("area_a") + F.col("area_b") - F.col("area_both")
-    return out.withColumns({"jaccard": F.try_divide(F.col("area_both"), union), "dice": F.try_divide(2 * F.col("area_both"), F.col("area_a") + F.col("area_b"))})
+    return overlay.overlay(rings.select(*key, "side", "hole", project_ring(F.col("ring"), projection).alias("ring")), *key)
 
 
 def smooth(grid: DataFrame, sigma: float, grid_id: str = "grid_id", row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
@@ -324,13 +285,7 @@ def filled_overlap(first: DataFrame, second: DataFrame, level: float, projection
     if projection:
         a, b = (g.withColumn("ring", project_ring(F.col("ring"), projection)) for g in (a, b))
     key = a.columns[0]
-
-    @F.pandas_udf("double")
-    def shared(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([overlap_area([(p["x"], p["y"]) for p in s], [(p["x"], p["y"]) for p in t]) for s, t in zip(x, y, strict=True)])
-
     area = lambda g, name: g.groupBy(key).agg(F.sum(ring_area(F.col("ring"))).alias(name))
-    both = a.withColumnRenamed("ring", "ra").join(b.withColumnRenamed("ring", "rb"), [key, "row", "col"]).groupBy(key).agg(F.sum(shared("ra", "rb")).alias("area_both"))
+    both = a.withColumnRenamed("ring", "ra").join(b.withColumnRenamed("ring", "rb"), [key, "row", "col"]).groupBy(key).agg(F.sum(_shared("ra", "rb")).alias("area_both"))
     out = area(a, "area_a").join(area(b, "area_b"), key, "full").join(both, key, "left").fillna(0.0, ["area_a", "area_b", "area_both"])
-    union = F.col("area_a") + F.col("area_b") - F.col("area_both")
-    return out.withColumns({"jaccard": F.try_divide(F.col("area_both"), union), "dice": F.try_divide(2 * F.col("area_both"), F.col("area_a") + F.col("area_b"))})
+    return overlay.with_scores(out)
