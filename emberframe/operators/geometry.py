@@ -116,10 +116,14 @@ def overlap_area(first: list[tuple[float, float]], second: list[tuple[float, flo
     return float(overlay.shared_areas([(first, second)])[0])
 
 
-@F.pandas_udf("double")
-def _shared(first: pd.Series, second: pd.Series) -> pd.Series:
-    points = lambda ring: [(p["x"], p["y"]) for p in ring]
-    return pd.Series(overlay.shared_areas([(points(x), points(y)) for x, y in zip(first, second, strict=True)]))
+def _shared(a: str, b: str) -> Column:
+    """Area that two columns of simple rings share."""
+
+    def areas(first: pd.Series, second: pd.Series) -> pd.Series:
+        points = lambda ring: [(p["x"], p["y"]) for p in ring]
+        return pd.Series(overlay.shared_areas([(points(x), points(y)) for x, y in zip(first, second, strict=True)]))
+
+    return F.pandas_udf(areas, "double")(a, b)
 
 
 def polygon_overlap(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b", projection: str = "EPSG:5070") -> DataFrame:

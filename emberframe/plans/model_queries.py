@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberframe.functions import physics, sensors, timefmt, units, wind
-from emberframe.operators import fuels, geometry, models, provenance, sensitivity, standard, workflows
+from emberframe.operators import fuels, models, provenance, sensitivity, standard, workflows
 from emberframe.plans.metric_queries import Q, SQL, query
 from emberframe.session import load, scratch
 from emberframe.sources import stations
@@ -314,24 +314,6 @@ def t_iso_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", timefmt.sanitize(F.substring(iso, 1, 19)).alias("safe"), iso.alias("iso"))
 
 
-@query("SELECT i AS id, round(greatest(0, 4 - i) / (8.0 - greatest(0, 4 - i)), 3) AS jaccard, round(greatest(0, 4 - i) / 4.0, 3) AS dice FROM range(13) t(i)")
-def g_polygon_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of unit-degree squares at shifted longitudes; sides become chords of the projection, so shares hold to three digits."""
-    square = lambda x: F.array(*[F.struct((F.lit(float(a)) + x).alias("x"), F.lit(float(b)).alias("y")) for a, b in ((-100, 40), (-99, 40), (-99, 41), (-100, 41))])
-    pairs = spark.range(13).select(F.col("id"), square(F.lit(0.0)).alias("ring_a"), square(F.col("id") / 4).alias("ring_b"))
-    return geometry.polygon_overlap(pairs).select("id", F.round("jaccard", 3).alias("jaccard"), F.round("dice", 3).alias("dice"))
-
-
-@query("SELECT 0 AS grid_id, round(pi(), 2) AS area")
-def g_filled_contour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area of the contour x^2 + y^2 <= level on a 200 x 200 raster."""
-    n = 200
-    cells = spark.range(n * n).select(F.lit(0).alias("grid_id"), (F.col("id") / n).cast("long").alias("row"), (F.col("id") % n).alias("col"))
-    xy = cells.withColumn("lon", F.col("col") / (n / 4) - 2).withColumn("lat", F.col("row") / (n / 4) - 2)
-    grid = xy.withColumn("value", F.col("lon") * F.col("lon") + F.col("lat") * F.col("lat"))
-    return geometry.filled_area(grid, 1.0).select("grid_id", F.round("area", 2).alias("area"))
-
-
 @query("""
 SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, event_type, round(sqrt(avg((value - 100) * (value - 100))), 6) AS kpi, count(*) AS n FROM events GROUP BY 1, 2""")
 def z_windowed_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:

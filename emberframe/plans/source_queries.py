@@ -120,24 +120,6 @@ def i_kml_perimeters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rings.groupBy("name").agg(F.count("*").cast("int").alias("rings"), F.round(F.sum(geometry.ring_area(F.col("ring")) * F.when(F.col("hole"), -1).otherwise(1)), 6).alias("area"))
 
 
-def _rings(spark: SparkSession) -> DataFrame:
-    n = 60
-    cells = spark.range(2 * n * n).select((F.col("id") / (n * n)).cast("long").alias("grid_id"), (F.col("id") / n).cast("long").alias("k"), (F.col("id") % n).alias("col"))
-    xy = cells.select("grid_id", (F.col("k") % n).alias("row"), "col").withColumn("lon", F.col("col") / (n / 4) - 2).withColumn("lat", F.col("row") / (n / 4) - 2)
-    r2 = F.col("lon") * F.col("lon") + F.col("lat") * F.col("lat")
-    return xy.withColumn("value", F.when(F.col("grid_id") == 0, r2).otherwise(F.abs(r2 - 1.6)))
-
-
-@query("SELECT * FROM (VALUES (0, 1, 0, 1.0), (1, 1, 1, 1.0)) t(grid_id, outer_rings, holes, same_area)")
-def g_filled_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A disc and an annulus as stitched rings: their signed areas are those of the pieces."""
-    grid = _rings(spark)
-    rings = geometry.filled_rings(grid, 1.0)
-    whole = rings.groupBy("grid_id").agg(F.count_if(~F.col("hole")).cast("int").alias("outer_rings"), F.count_if("hole").cast("int").alias("holes"), F.sum(geometry.ring_signed_area(F.col("ring"))).alias("a"))
-    both = whole.join(geometry.filled_area(grid, 1.0), "grid_id")
-    return both.select(F.col("grid_id").cast("int").alias("grid_id"), "outer_rings", "holes", F.round(F.col("a") / F.col("area"), 6).alias("same_area"))
-
-
 @query("""
 WITH p AS (SELECT o_orderkey % 7 AS g, o_totalprice AS x, o_custkey * 100.0 AS ref FROM orders)
 SELECT g AS grid_id, count(*) AS n, round(sqrt(avg((x - ref) * (x - ref))), 6) AS rmse, round(avg(x) - avg(ref), 6) AS bias FROM p GROUP BY 1""")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberframe.operators import geometry, provenance, standard
-from emberframe.plans import source_queries
+from emberframe.plans import layer_queries, source_queries
 from emberframe.sources import geotiff, kml
 
 
@@ -109,8 +109,8 @@ def test_albers_there_and_back(spark):
         geometry.unproject(F.lit(0.0), F.lit(0.0), "EPSG:6933")
 
 
-def test_outlines_of_a_ring_and_of_touching_corners(spark):
-    disc = {r.grid_id: r for r in geometry.filled_rings(source_queries._rings(spark).where("grid_id = 1"), 1.0).groupBy("grid_id").agg(F.count("*").alias("n"), F.count_if("hole").alias("holes")).collect()}
+def test_outlines_of_a_ring_and_of_touching_corners(spark, sf_dir):
+    disc = {r.grid_id: r for r in geometry.filled_rings(layer_queries.rings_grid(spark, sf_dir).where("grid_id = 1"), 1.0).groupBy("grid_id").agg(F.count("*").alias("n"), F.count_if("hole").alias("holes")).collect()}
     assert disc[1].n == 2 and disc[1].holes == 1
     square = lambda x, y: [{"x": float(x), "y": float(y)}, {"x": x + 1.0, "y": float(y)}, {"x": x + 1.0, "y": y + 1.0}, {"x": float(x), "y": y + 1.0}]
     pieces = [(7, square(0, 0)), (7, square(1, 0)), (7, square(2, 1)), (8, square(5, 5)[::-1])]
