@@ -8,12 +8,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberframe.operators import overlay
-from emberframe.session import portable
+from emberframe.session import portable, scratch
 
 portable(__name__)
 # Ellipsoid and parameters of the equal-area projections (standard parallels or latitude of origin, central meridian).
@@ -146,25 +149,48 @@ def shape_overlap(rings: DataFrame, *key: str, projection: str = "EPSG:5070") ->
     return overlay.overlay(rings.select(*key, "side", "hole", project_ring(F.col("ring"), projection).alias("ring")), *key)
 
 
-def smooth(grid: DataFrame, sigma: float, grid_id: str = "grid_id", row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
+def reflected(at: np.ndarray, n: int) -> np.ndarray:
+    """Places of a line of n pixels mirrored at both ends, as often as needed."""
+    at = np.mod(at, 2 * n)
+    return np.where(at < n, at, 2 * n - 1 - at)
+
+
+def smooth(grid: DataFrame, sigma: float, grid_id: str = "grid_id", row: str = "row", col: str = "col", value: str = "value", tile: int = 256) -> DataFrame:
     """grid with Gaussian-smoothed values: mirrored edges, kernel cut at four sigma; missing values spread as far as the kernel reaches.
 
-    One pass a direction: every pixel sends its weighted value to its neighbours on the line, and an aggregate adds them up.
+    Rasters are cut into tiles, each of which gets the pixels around it that the kernel reaches: only these are sent twice. A tile is smoothed in
+    its task, one direction after the other. Pixels that are not in the table count as missing, and have no row in the result.
     """
     radius = int(4 * sigma + 0.5)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    total = sum(weights)
-    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w / total).alias("w")) for k, w in zip(range(-radius, radius + 1), weights, strict=True)])
-    sizes = grid.groupBy(grid_id).agg((F.max(row) + 1).alias("_rows"), (F.max(col) + 1).alias("_cols"))
-    cells = grid.select(grid_id, row, col, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v")).join(sizes, grid_id)
-    for at, n in ((row, "_rows"), (col, "_cols")):
-        images = F.array(F.col(at), -1 - F.col(at), 2 * F.col(n) - 1 - F.col(at))
-        mirrored = F.explode(F.filter(images, lambda k: (k >= -radius) & (k < F.col(n) + radius)))  # noqa: B023
-        sent = cells.withColumn("_s", mirrored).withColumn("_k", F.explode(kernel)).withColumn("_t", F.col("_s") + F.col("_k.k")).where((F.col("_t") >= 0) & (F.col("_t") < F.col(n)))
-        keep = [c for c in (grid_id, row, col, "_rows", "_cols") if c != at]
-        summed = F.when(F.count_if(F.col("v").isNull()) == 0, F.sum(F.col("v") * F.col("_k.w"))).alias("v")
-        cells = sent.groupBy(*keep, F.col("_t").alias("_at")).agg(summed).withColumnRenamed("_at", at)
-    return grid.drop(value).join(cells.select(grid_id, row, col, F.col("v").alias(value)), [grid_id, row, col])
+    side = max(tile, radius)
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    weights /= weights.sum()
+    sizes = grid.groupBy(grid_id).agg((F.max(row) + 1).cast("long").alias("_rows"), (F.max(col) + 1).cast("long").alias("_cols"))
+    tiles = lambda c, n: F.sequence(F.greatest(F.floor((F.col(c) - radius) / side), F.lit(0)), F.least(F.floor((F.col(c) + radius) / side), F.floor((F.col(n) - 1) / side)))
+    sent = grid.withColumn(value, F.col(value).cast("double")).join(sizes, grid_id).withColumn("_tr", F.explode(tiles(row, "_rows"))).withColumn("_tc", F.explode(tiles(col, "_cols")))
+    home = (F.floor(F.col(row) / side) == F.col("_tr")) & (F.floor(F.col(col) / side) == F.col("_tc"))
+    # pixels from around a tile bring their value alone
+    names = grid.columns
+    others = [c for c in names if c not in (grid_id, row, col, value)]
+    sent = sent.withColumn("_home", home).withColumns({c: F.when(F.col("_home"), F.col(f"`{c}`")) for c in others})
+
+    def convolve(t: pa.Table) -> pa.Table:
+        at = {c: t.column(c).to_numpy() for c in (row, col)}
+        (tr, tc, rows, cols), own = (t.column(c)[0].as_py() for c in ("_tr", "_tc", "_rows", "_cols")), t.column("_home").to_numpy()
+        r, c = (np.arange(k * side - radius, min((k + 1) * side, n) + radius) for k, n in ((tr, rows), (tc, cols)))
+        low = [max(0, v[0]) for v in (r, c)]
+        held = np.full((min(r[-1] + 1, rows) - low[0], min(c[-1] + 1, cols) - low[1]), np.nan)
+        held[at[row] - low[0], at[col] - low[1]] = t.column(value).to_numpy()
+        line = held[:, reflected(c, cols) - low[1]]
+        line = sum(w * line[:, k : line.shape[1] - 2 * radius + k] for k, w in enumerate(weights))
+        line = line[reflected(r, rows) - low[0]]
+        line = sum(w * line[k : len(line) - 2 * radius + k] for k, w in enumerate(weights))
+        out = t.filter(t.column("_home")).select(names)
+        done = line[at[row][own] - tr * side, at[col][own] - tc * side]
+        return out.set_column(out.schema.get_field_index(value), value, pa.array(done, pa.float64(), mask=np.isnan(done)))
+
+    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name == value else f.dataType) for f in grid.schema.fields])
+    return sent.groupBy(grid_id, "_tr", "_tc").applyInArrow(convolve, schema)
 
 
 def _cell_pieces(corners: list[tuple[float, float, float]], level: float) -> list[tuple[float, float]]:
@@ -212,12 +238,12 @@ def filled_cells(grid: DataFrame, level: float, grid_id: str = "grid_id", row: s
     return squares.mapInPandas(pieces, f"{grid_id} {kind}, row long, col long, ring array<struct<x:double,y:double>>")
 
 
-def stitched_rings(pieces: DataFrame, digits: int = 9) -> DataFrame:
+def stitched_rings(pieces: DataFrame, digits: int = 9, alone: int = 1 << 16) -> DataFrame:
     """Boundary rings of the pieces of ``filled_cells``: grid_id, ring_id, hole, ring (not closed).
 
     Sides that two pieces share run in opposite directions and cancel in one aggregate, so only the region's outline is
-    left; where outlines touch in a point they part there. Outlines of one raster are followed in one task: that is a raster's edge, not
-    its area. Outer rings run counter-clockwise, holes clockwise.
+    left; where outlines touch in a point they part there. Rasters whose outline has at most ``alone`` sides are followed in a task each; longer
+    outlines are ranked by pointer doubling over all tasks. Outer rings run counter-clockwise, holes clockwise; ring_id tells a raster's rings apart.
     """
     key = pieces.columns[0]
     area = ring_signed_area(F.col("ring"))
@@ -227,12 +253,15 @@ def stitched_rings(pieces: DataFrame, digits: int = 9) -> DataFrame:
     sides = pieces.where(area != 0).select(key, snapped.alias("r")).select(key, F.explode(F.arrays_zip(F.col("r").alias("a"), ahead.alias("b"))).alias("s")).select(key, "s.a", "s.b").where("a <> b")
     forward = F.when(F.col("a") < F.col("b"), 1).otherwise(-1)
     left = sides.groupBy(key, F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.sum(forward).alias("n")).where("n <> 0")
+    left = left.select(key, F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("high")).alias("a"), F.when(F.col("n") > 0, F.col("high")).otherwise(F.col("low")).alias("b"))
+    left = _saved(left.withColumn("side", F.monotonically_increasing_id()), "outline")
+    sizes = left.groupBy(key).count()
+    few, many = (left.join(sizes.where(c).select(key), key, "left_semi") for c in (F.col("count") <= alone, F.col("count") > alone))
 
     def follow(f: pd.DataFrame) -> pd.DataFrame:
         out: dict[tuple, list] = {}
-        for low, high, n in zip(f["low"], f["high"], f["n"], strict=True):
-            a, b = ((low["x"], low["y"]), (high["x"], high["y"])) if n > 0 else ((high["x"], high["y"]), (low["x"], low["y"]))
-            out.setdefault(a, []).append(b)
+        for a, b in zip(f["a"], f["b"], strict=True):
+            out.setdefault((a["x"], a["y"]), []).append((b["x"], b["y"]))
         rings = []
         for start in sorted(out):
             while out[start]:
@@ -245,13 +274,46 @@ def stitched_rings(pieces: DataFrame, digits: int = 9) -> DataFrame:
                     ring.append(at)
                     before, at = at, ways.pop(0)
                 rings.append(ring)
-        rows = []
-        for i, ring in enumerate(rings):
-            twice = sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(ring, ring[1:] + ring[:1], strict=True))
-            rows.append((f[key].iloc[0], i, twice < 0, [{"x": x, "y": y} for x, y in ring]))
-        return pd.DataFrame(rows, columns=[key, "ring_id", "hole", "ring"])
+        return pd.DataFrame([(f[key].iloc[0], i, [{"x": x, "y": y} for x, y in ring]) for i, ring in enumerate(rings)], columns=[key, "ring_id", "ring"])
+
+    short = few.groupBy(key).applyInPandas(follow, f"`{key}` {dict(pieces.dtypes)[key]}, ring_id long, ring array<struct<x:double,y:double>>")
+    rings = short.unionByName(_ranked_rings(many, key)) if sizes.where(F.col("count") > alone).limit(1).count() else short
+    return rings.select(key, "ring_id", (ring_signed_area(F.col("ring")) < 0).alias("hole"), "ring")
+
 
-    return left.groupBy(key).applyInPandas(follow, f"{key} {dict(pieces.dtypes)[key]}, ring_id long, hole boolean, ring array<struct<x:double,y:double>>")
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared scratch folder, which cuts its lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _ranked_rings(sides: DataFrame, key: str) -> DataFrame:
+    """Rings of directed sides (key, a, b, side: a number of its own), by list ranking: key, ring_id, ring.
+
+    Each side points to the next one, at a touching point the one of the sharpest turn to the left. In every round a side
+    learns from the side it points to the least number ahead and how far away it is, and then points twice as far. Once
+    nothing changes, the least number names the ring, and the distance to it gives the place. Rounds grow with the logarithm of the longest ring.
+    """
+    after = sides.select(key, F.col("a").alias("b"), F.col("b").alias("to"), F.col("side").alias("next"))
+    angle = lambda p, q: F.atan2(q["y"] - p["y"], q["x"] - p["x"])
+    turn = F.pmod(angle(F.col("b"), F.col("a")) - angle(F.col("b"), F.col("to")), F.lit(2 * math.pi))
+    ways = sides.join(after, [key, "b"]).groupBy("side").agg(F.min_by("next", turn).alias("next"))
+    # each side knows the least of the ``step`` sides from itself on, and points to the one behind them
+    state, step = _saved(ways.select("side", "next", F.col("side").alias("least"), F.lit(0).cast("long").alias("far")), "ranks"), 1
+    while True:
+        on = state.select(F.col("side").alias("next"), F.col("next").alias("beyond"), F.col("least").alias("theirs"), F.col("far").alias("ahead"))
+        closer = F.col("theirs") < F.col("least")
+        new = state.join(on, "next").select("side", F.col("beyond").alias("next"), F.least("least", "theirs").alias("least"), F.when(closer, F.col("ahead") + step).otherwise(F.col("far")).alias("far"), closer.alias("changed"))
+        state, step = _saved(new, "ranks"), step * 2
+        if not state.where("changed").limit(1).count():
+            break
+        state = state.drop("changed")
+    sizes = state.groupBy("least").agg(F.count("*").alias("length"))
+    placed = sides.join(state.select("side", "least", "far"), "side").join(sizes, "least")
+    place = F.pmod(F.col("length") - F.col("far"), F.col("length"))
+    rings = placed.groupBy(key, "least").agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), "a"))).alias("at"))
+    return rings.select(key, F.col("least").alias("ring_id"), F.transform("at", lambda s: s["a"]).alias("ring"))
 
 
 def filled_rings(grid: DataFrame, level: float, sigma: float = 0.0, **columns: str) -> DataFrame:
