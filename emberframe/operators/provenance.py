@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Certificates of a run, its observations, its model run and the model's inputs; and what each level needs, best first.
+# Certificates of a run, its observations, its model run and the model's inputs; and what each level needs, best first.
 _RUN, _OBSERVED, _MODEL, _INPUTS = "benchmark-run-internal", "obs-verified-obs-dataset", "model-model-run-internal", "model-verified-input-requirements"
 LEVELS = (("VL-A+", (_RUN, _OBSERVED, _MODEL, _INPUTS)), ("VL-A", (_RUN, _OBSERVED, _MODEL)), ("VL-B", (_RUN, _OBSERVED)))
 DEFAULT_LEVEL = "VL-C"
@@ -47,12 +47,72 @@ def catalog_digest(catalog: DataFrame, payload_sha: str | None = None) -> DataFr
     return nodes.groupBy("file_id").agg(F.sha2(F.array_join(F.transform(ordered, lambda s: s["node"]), "\n"), 256).alias("digest"))
 
 
+def _row_text(df: DataFrame, names: list[str]) -> Column:
+    """A row as text: columns by name, each value with its length in front, so that no two rows have the same text."""
+    kinds = dict(df.dtypes)
+    parts = []
+    for n in sorted(names):
+        c = F.hex(f"`{n}`") if kinds[n] == "binary" else F.col(f"`{n}`").cast("string")
+        parts += [F.lit(f"{n}="), F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")), F.lit(";")]
+    return F.concat(*parts)
+
+
+def payload_slabs(payload: DataFrame, *by: str, position: str | None = None, rows: int = 4096) -> DataFrame:
+    """Digests of slabs of a payload's rows: by, slab, n (rows) and digest; equal payloads have equal slabs, however they are stored.
+
+    With ``position`` (a whole number; rows that share one are ordered by their hash) a slab is ``rows`` positions, in their order. Without one, the order of
+    rows means nothing: rows are put in 65,536 slabs by their own hash, repeated ones once with their number. Rows are hashed where they are
+    read; only hashes are shuffled.
+    """
+    row = F.sha2(_row_text(payload, [c for c in payload.columns if c not in by]), 256)
+    if position:
+        at = F.col(position).cast("long")
+        hashed = payload.select(*by, F.floor(at / rows).alias("slab"), at.alias("at"), row.alias("row"), F.lit(1).cast("long").alias("n"))
+    else:
+        hashed = payload.select(*by, row.alias("row")).groupBy(*by, "row").agg(F.count("*").alias("n"))
+        hashed = hashed.select(*by, F.conv(F.substring("row", 1, 4), 16, 10).cast("long").alias("slab"), F.lit(0).cast("long").alias("at"), F.concat("row", F.lit("x"), F.col("n").cast("string")).alias("row"), "n")
+    return _joined(hashed.groupBy(*by, "slab"), "at", "row")
+
+
+def _joined(groups, at: str, text: str) -> DataFrame:
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(text).alias("t")))), lambda s: F.concat(s["a"].cast("string"), F.lit(":"), s["t"]))
+    return groups.agg(F.sum("n").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+
+
+def payload_digest(payload: DataFrame, *by: str, position: str | None = None, rows: int = 4096, fan: int = 1024) -> DataFrame:
+    """by, payload_rows and payload_sha: the root of a Merkle tree over ``payload_slabs``, three levels of ``fan`` high.
+
+    Every level is one aggregate of at most ``fan`` hashes a node, so no task holds more of a payload than a slab's hashes. The
+    names of columns and their types count too. A payload without rows has no digest.
+    """
+    tree = payload_slabs(payload, *by, position=position, rows=rows)
+    for _ in range(3):
+        tree = _joined(tree.withColumn("at", F.col("slab")).withColumn("slab", F.floor(F.col("slab") / fan)).groupBy(*by, "slab"), "at", "digest")
+    kinds = ";".join(f"{n} {t}" for n, t in sorted(payload.dtypes) if n not in by)
+    whole = _joined(tree.withColumn("at", F.col("slab")).groupBy(*by), "at", "digest")
+    return whole.where("n > 0").select(*by, F.col("n").alias("payload_rows"), F.sha2(F.concat(F.col("n").cast("string"), F.lit(f"|{kinds}|"), F.col("digest")), 256).alias("payload_sha"))
+
+
+def with_payloads(catalog: DataFrame, digests: DataFrame) -> DataFrame:
+    """A catalog with the column payload_sha of ``payload_digest`` by file_id and path; nodes without rows have an empty one."""
+    known = digests.select("file_id", "path", "payload_sha")
+    return catalog.drop("payload_sha").join(known, ["file_id", "path"], "left").withColumn("payload_sha", F.coalesce("payload_sha", F.lit("")))
+
+
 def add_certificate(catalog: DataFrame, name: str, key_id: str, signer: str, created_on: str, payload_sha: str | None = None) -> DataFrame:
     """The catalog with a node /certificates/name in every file that holds the digest of the file's other nodes."""
-    fields = {"key_id": key_id, "signer": signer, "created_on": created_on}
-    attrs = F.map_from_arrays(F.array(F.lit("subject_sha256"), *[F.lit(k) for k in fields]), F.array(F.col("digest"), *[F.lit(v) for v in fields.values()]))
-    digests = catalog_digest(catalog, payload_sha)
-    nodes = digests.select("file_id", F.lit(f"/certificates/{name}").alias("path"), F.lit("group").alias("kind"), F.lit(None).cast("string").alias("dtype"), F.lit(None).cast("array<bigint>").alias("shape"), attrs.alias("attrs"))
+    fields = {"certificate": name, "key_id": key_id, "signer": signer, "created_on": created_on}
+    wanted = catalog.select("file_id").distinct().select("file_id", *[F.lit(v).alias(k) for k, v in fields.items()])
+    return add_certificates(catalog, wanted, payload_sha)
+
+
+def add_certificates(catalog: DataFrame, wanted: DataFrame, payload_sha: str | None = None) -> DataFrame:
+    """The catalog with a node for each row of ``wanted`` (file_id, certificate, key_id, signer, created_on). Each file is digested once, however many
+    certificates it gets."""
+    fields = ("key_id", "signer", "created_on")
+    attrs = F.map_from_arrays(F.array(*[F.lit(k) for k in ("subject_sha256", *fields)]), F.array("digest", *fields))
+    nodes = wanted.join(catalog_digest(catalog, payload_sha), "file_id")
+    nodes = nodes.select("file_id", F.concat(F.lit("/certificates/"), "certificate").alias("path"), F.lit("group").alias("kind"), F.lit(None).cast("string").alias("dtype"), F.lit(None).cast("array<bigint>").alias("shape"), attrs.alias("attrs"))
     return catalog.unionByName(nodes, allowMissingColumns=True)
 
 

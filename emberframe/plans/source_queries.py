@@ -229,24 +229,48 @@ def v_catalog_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.catalog_digest(_files(spark, sf_dir))
 
 
+_ROW = "'position=' || length(CAST(p AS VARCHAR)) || ':' || p || ';value=' || length(CAST(v AS VARCHAR)) || ':' || v || ';'"
+
+
+@query(f"""
+WITH l AS (SELECT l_returnflag AS f, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS p, CAST(l_partkey AS BIGINT) AS v FROM lineitem),
+s0 AS (SELECT f, p // 4096 AS s, count(*) AS n, sha256(string_agg(p || ':' || sha256({_ROW}), chr(10) ORDER BY p, sha256({_ROW}))) AS d FROM l GROUP BY ALL),
+s1 AS (SELECT f, s // 1024 AS t, sum(n) AS n, sha256(string_agg(s || ':' || d, chr(10) ORDER BY s)) AS d FROM s0 GROUP BY ALL),
+s2 AS (SELECT f, t // 1024 AS s, sum(n) AS n, sha256(string_agg(t || ':' || d, chr(10) ORDER BY t)) AS d FROM s1 GROUP BY ALL),
+s3 AS (SELECT f, s // 1024 AS t, sum(n) AS n, sha256(string_agg(s || ':' || d, chr(10) ORDER BY s)) AS d FROM s2 GROUP BY ALL),
+r AS (SELECT f, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(t || ':' || d, chr(10) ORDER BY t)) AS d FROM s3 GROUP BY ALL)
+SELECT f AS name, n AS payload_rows, sha256(n || '|position bigint;value bigint|' || d) AS payload_sha FROM r""")
+def v_payload_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle roots of three payloads of all line items, in the order of their positions."""
+    at = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("position")
+    rows = load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("name"), at, F.col("l_partkey").cast("long").alias("value"))
+    return provenance.payload_digest(rows, "name", position="position")
+
+
 @query("""
-SELECT 'f' || n_nationkey AS file_id, CASE WHEN n_nationkey % 5 = 1 THEN 'digest differs' WHEN n_nationkey % 5 = 2 THEN 'unknown key' WHEN n_nationkey % 5 = 3 THEN 'revoked key' ELSE '' END AS reason,
- CASE WHEN n_nationkey % 5 IN (1, 2, 3) THEN 'VL-C' ELSE 'VL-B' END AS level FROM nation""")
+SELECT 'f' || n_nationkey AS file_id, CASE WHEN n_nationkey % 5 IN (1, 4) THEN 'digest differs' WHEN n_nationkey % 5 = 2 THEN 'unknown key' WHEN n_nationkey % 5 = 3 THEN 'revoked key' ELSE '' END AS reason,
+ CASE WHEN n_nationkey % 5 > 0 THEN 'VL-C' ELSE 'VL-B' END AS level FROM nation""")
 def v_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Certificates in datasets, checked against what the datasets hold now and against a key registry; levels follow."""
-    files = _files(spark, sf_dir)
-    nation = F.substring("file_id", 2, 9).cast("int") % 5
-    parts = []
-    for k, key in ((0, "good"), (1, "good"), (2, "stranger"), (3, "old"), (4, "good")):
-        signed = provenance.add_certificate(files.where(nation == k), "benchmark-run-internal", key, "Both", "2024-01-02T00:00:00Z")
-        parts.append(provenance.add_certificate(signed, "obs-verified-obs-dataset", key, "Both", "2024-01-02T00:00:00Z"))
-    held = parts[0]
-    for p in parts[1:]:
-        held = held.unionByName(p)
+    """Certificates in datasets, checked against what the datasets and their payloads hold now and against a key registry; levels follow.
+
+    After certifying, files of one kind get another description, and in files of another kind a single value of one payload changes.
+    """
+    nation, s = F.substring("file_id", 2, 9).cast("int") % 5, load(spark, sf_dir, "supplier")
+    node = s.select("s_suppkey", F.concat(F.lit("f"), F.col("s_nationkey").cast("string")).alias("file_id"), F.concat(F.lit("/points/s"), F.col("s_suppkey").cast("string")).alias("path"))
+    items = load(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"), "l_quantity")
+    rows = items.join(node, F.col("l_suppkey") == F.col("s_suppkey")).select("file_id", "path", "position", "l_quantity")
+    one = rows.groupBy("file_id").agg(F.min("position").alias("one"))
+    later = rows.join(one, "file_id").select("file_id", "path", "position", F.when((nation == 4) & (F.col("position") == F.col("one")), F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).alias("l_quantity"))
+    digests = lambda r: provenance.payload_digest(r, "file_id", "path", position="position")
+    files, sha = provenance.with_payloads(_files(spark, sf_dir), digests(rows)), "payload_sha"
+    key = F.when(nation == 2, "stranger").when(nation == 3, "old").otherwise("good").alias("key_id")
+    names = F.explode(F.array(F.lit("benchmark-run-internal"), F.lit("obs-verified-obs-dataset"))).alias("certificate")
+    wanted = files.select("file_id").distinct().select("file_id", names, key, F.lit("Both").alias("signer"), F.lit("2024-01-02T00:00:00Z").alias("created_on"))
+    held = provenance.with_payloads(provenance.add_certificates(files, wanted, sha), digests(later))
     changed = held.withColumn("attrs", F.when((nation == 1) & (F.col("path") == "/"), F.map_concat("attrs", F.create_map(F.lit("description"), F.lit("later")))).otherwise(F.col("attrs")))
     keys = spark.createDataFrame([("good", "Both", False), ("old", "Both", True)], "key_id string, signer string, revoked boolean")
-    found = provenance.check_certificates(changed, keys).where("certificate = 'benchmark-run-internal'").select("file_id", "reason")
-    return found.join(provenance.file_levels(changed, keys), "file_id")
+    found = provenance.check_certificates(changed, keys, sha).where("certificate = 'benchmark-run-internal'").select("file_id", "reason")
+    return found.join(provenance.file_levels(changed, keys, sha), "file_id")
 
 
 @query("""
