@@ -146,6 +146,17 @@ def g_nearest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.nearest_cell(points, grid, 4.0, "c_custkey").select("c_custkey", F.round("distance", 6).alias("distance"))
 
 
+@query("""
+WITH p AS (SELECT c_custkey, c_custkey % 97 * 3.1 - 40 AS x, c_acctbal / 40 AS y FROM customer), g AS (SELECT s_suppkey, s_suppkey % 40 * 1.7 AS x, s_acctbal / 100 AS y FROM supplier),
+d AS (SELECT c_custkey, s_suppkey, CAST((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y) AS DOUBLE) AS d2 FROM p, g)
+SELECT c_custkey, round(sqrt(min(d2)), 6) AS distance FROM d GROUP BY 1""")
+def g_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest supplier of each customer on a plane, however far away."""
+    points = load(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 97 * 3.1 - 40).alias("x"), (F.col("c_acctbal") / 40).alias("y"))
+    grid = load(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 40 * 1.7).alias("x"), (F.col("s_acctbal") / 100).alias("y"), F.col("s_suppkey").alias("value"))
+    return rasters.nearest(points, grid, "c_custkey").select("c_custkey", F.round("distance", 6).alias("distance"))
+
+
 _CAT = "coalesce(nullif(p_size % 5, 0), 5)"
 
 

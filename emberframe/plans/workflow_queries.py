@@ -114,14 +114,21 @@ def wf_structure_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT o_orderkey % 7 AS grid_id, o_custkey % 6 AS severity, o_orderkey % 4 AS a, o_orderkey % 5 AS b, o_totalprice > 200000 AS modelled FROM orders),
-m AS (SELECT grid_id, modelled, CASE WHEN a > 0 AND b > 0 AND severity = 5 THEN 1 WHEN a > 0 AND b > 0 AND severity BETWEEN 1 AND 4 THEN 0 END AS lost FROM p)
+WITH p AS (SELECT o_orderkey // 2500 AS grid_id, o_orderkey % 2500 // 50 AS r, o_orderkey % 50 AS c, o_custkey % 6 AS severity, o_totalprice > 200000 AS modelled FROM orders),
+v AS (SELECT o_orderkey // 2500 AS grid_id, o_orderkey % 2500 // 20 AS r, o_orderkey % 2500 % 20 AS c, o_custkey % 4 AS a, o_custkey % 5 AS b FROM orders WHERE o_orderkey % 2500 < 400),
+m AS (SELECT p.grid_id, modelled, CASE WHEN a > 0 AND b > 0 AND severity = 5 THEN 1 WHEN a > 0 AND b > 0 AND severity BETWEEN 1 AND 4 THEN 0 END AS lost
+ FROM p LEFT JOIN v ON p.grid_id = v.grid_id AND v.r = CAST(floor((p.r + 0.5) / 2.5) AS BIGINT) AND v.c = CAST(floor((p.c + 0.5) / 2.5) AS BIGINT))
 SELECT grid_id, count(lost) AS pixels, sum(lost) AS lost, round(count(*) FILTER (modelled AND lost = 1) / count(*) FILTER (lost IS NOT NULL AND (modelled OR lost = 1)), 6) AS jaccard FROM m GROUP BY 1""")
 def wf_canopy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canopy lost where vegetation layers are positive, against a model's mask."""
+    """Canopy lost where two vegetation layers of a coarser grid are positive, against a model's mask: severity in 50 x 50 pixels, layers in 20 x 20."""
     k = F.col("o_orderkey")
-    lost = rasters.canopy_loss(F.col("o_custkey") % 6, k % 4, k % 5)
-    df = load(spark, sf_dir, "orders").select((k % 7).alias("grid_id"), lost.alias("lost"), (F.col("o_totalprice") > 200000).alias("modelled"))
+    orders = load(spark, sf_dir, "orders").withColumn("grid_id", F.floor(k / 2500)).withColumn("k", k % 2500)
+    severity = orders.select("grid_id", (F.col("k") % 50 + 0.5).alias("x"), (F.floor(F.col("k") / 50) + 0.5).alias("y"), (F.col("o_custkey") % 6).alias("severity"), (F.col("o_totalprice") > 200000).alias("modelled"))
+    coarse = orders.where("k < 400").groupBy("grid_id", F.floor(F.col("k") / 20).alias("row")).agg(F.array_sort(F.collect_list(F.struct("k", "o_custkey"))).alias("o"))
+    for name, m in (("a", 4), ("b", 5)):
+        layer = coarse.select("grid_id", *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("dx", 2.5), ("y0", 0.0), ("dy", 2.5), ("width", 20), ("height", 20))], "row", F.transform("o", lambda s: s["o_custkey"] % m).alias("values"))  # noqa: B023
+        severity = rasters.resample(severity, layer, "grid_id", value=name)
+    df = severity.select("grid_id", rasters.canopy_loss(F.col("severity"), F.col("a"), F.col("b")).alias("lost"), "modelled")
     known = F.col("lost").isNotNull()
     return df.groupBy("grid_id").agg(F.count("lost").alias("pixels"), F.sum("lost").alias("lost"), F.round(metrics.jaccard(F.col("modelled") & known, F.coalesce(F.col("lost") == 1, F.lit(False))), 6).alias("jaccard"))
 

@@ -1,17 +1,16 @@
 """Rasters as long tables: coordinates by an affine transform, windows by box, fill values as NULL.
 
-Pixels come from arrays of rows (``read_npy`` decodes NumPy files in tasks); GeoTIFF needs a reader that is not
-part of Spark and is left to the caller, who passes the same arrays on.
+Pixels come from arrays of rows: ``read_npy`` decodes NumPy files in tasks, ``geotiff`` GeoTIFF ones.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberframe.session import portable
@@ -88,3 +87,64 @@ def nearest_cell(points: DataFrame, grid: DataFrame, size: float, point_id: str
     d2 = (F.col("gx") - F.col(x)) * (F.col("gx") - F.col(x)) + (F.col("gy") - F.col(y)) * (F.col("gy") - F.col(y))
     best = p.join(g, ["bx", "by"]).where(d2 <= size * size).groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), "gx", "gy", "value")).alias("b"))
     return points.join(best.select(point_id, F.col("b.value").alias("value"), F.sqrt("b.d2").alias("distance")), point_id, "left")
+
+
+def resample(target: DataFrame, source: DataFrame, *key: str, value: str = "value", to_source: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """target (key, x, y of pixel centres, and more) with ``value``: that of the source pixel that holds the point, or of the one nearest to it at the raster's edge.
+
+    source: rows of pixels (key, x0, dx, y0, dy, width, height, row, values, and col where rows are pieces), as GeoTIFF sources give them. The
+    pixel follows from the raster's placing by arithmetic, so points meet pixels by an equi-join on row and column, however unlike the spacings are.
+    ``to_source`` projects a target's x and y into the source's coordinates. Targets whose key has no raster get NULL.
+    """
+    placing = source.groupBy(*key).agg(*[F.first(c).alias(f"_{c}") for c in ("x0", "dx", "y0", "dy", "width", "height")])
+    x, y = to_source(F.col("x"), F.col("y")) if to_source else (F.col("x"), F.col("y"))
+    place = lambda v, start, step, n: F.greatest(F.least(F.floor((v - F.col(start)) / F.col(step)), F.col(n) - 1), F.lit(0)).cast("long")
+    points = target.join(placing, list(key), "left").withColumns({"_row": place(y, "_y0", "_dy", "_height"), "_col": place(x, "_x0", "_dx", "_width")})
+    first = F.col("col") if "col" in source.columns else F.lit(0)
+    pixels = source.select(*key, F.col("row").alias("_row"), first.alias("_first"), F.posexplode("values").alias("_k", "_v")).select(*key, "_row", (F.col("_first") + F.col("_k")).cast("long").alias("_col"), F.nanvl(F.col("_v").cast("double"), F.lit(None)).alias(value))
+    return points.join(pixels, [*key, "_row", "_col"], "left").select(*target.columns, value)
+
+
+#: Cells of the coarsest grid that ``nearest`` begins with, and how much narrower those of the next are.
+_FIRST, _NARROWER = 64, 4
+
+
+def nearest(points: DataFrame, grid: DataFrame, point_id: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
+    """points and the value and distance of the nearest grid point, however far away; of equally near ones the least (x, y, value).
+
+    Grid points lie in a pyramid of cells. All points descend it at once: a point keeps the cells that are not farther away than the farthest corner of its
+    nearest one, then looks at the cells inside them that hold anything. Levels grow with the logarithm of the grid's extent over its spacing.
+    Points without coordinates, and all points where the grid is empty, have NULL. ``point_id`` tells points apart.
+    """
+    known = grid.select(F.col(x).cast("double").alias("gx"), F.col(y).cast("double").alias("gy"), "value").where("gx is not null and gy is not null")
+    e = known.agg(F.min("gx"), F.max("gx"), F.min("gy"), F.max("gy"), F.count("*")).first()
+    none = points.withColumns({"value": F.lit(None).cast(known.schema["value"].dataType), "distance": F.lit(None).cast("double")})
+    if not e[4]:
+        return none
+    extent = max(e[1] - e[0], e[3] - e[2]) or 1.0
+    sizes = [extent / (int(_FIRST**0.5) - 1)]
+    while sizes[-1] > extent / e[4] ** 0.5:
+        sizes.append(sizes[-1] / _NARROWER)
+    corner = lambda c, low, size: F.floor((F.col(c) - low) / size).cast("long")
+    cells = [known.select(corner("gx", e[0], size).alias("cx"), corner("gy", e[2], size).alias("cy")).distinct() for size in sizes]
+    # up to _FIRST cells begin, as a literal
+    first = [(int(r[0]), int(r[1])) for r in cells[0].collect()]
+    at = points.select(F.col(point_id).alias("p"), F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")).where("px is not null and py is not null")
+    held = at.withColumn("c", F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("cx"), F.lit(b).cast("long").alias("cy")) for a, b in first]))).select("p", "px", "py", "c.cx", "c.cy")
+
+    def pruned(held: DataFrame, size: float) -> DataFrame:
+        gap = lambda v, c, low: F.greatest(F.lit(low) + F.col(c) * size - F.col(v), F.col(v) - (F.lit(low) + (F.col(c) + 1) * size), F.lit(0.0))
+        far = lambda v, c, low: F.greatest(F.abs(F.lit(low) + F.col(c) * size - F.col(v)), F.abs(F.lit(low) + (F.col(c) + 1) * size - F.col(v)))
+        near2 = gap("px", "cx", e[0]) ** 2 + gap("py", "cy", e[2]) ** 2
+        bound = F.min(far("px", "cx", e[0]) ** 2 + far("py", "cy", e[2]) ** 2).over(Window.partitionBy("p"))
+        return held.withColumn("near2", near2).withColumn("bound", bound).where(F.col("near2") <= F.col("bound") * (1 + 1e-9)).drop("near2", "bound")
+
+    for k, size in enumerate(sizes):
+        held = pruned(held, size)
+        if k + 1 < len(sizes):
+            inner = cells[k + 1].select(F.floor(F.col("cx") / _NARROWER).alias("cx"), F.floor(F.col("cy") / _NARROWER).alias("cy"), F.col("cx").alias("ix"), F.col("cy").alias("iy"))
+            held = held.join(inner, ["cx", "cy"]).select("p", "px", "py", F.col("ix").alias("cx"), F.col("iy").alias("cy"))
+    inside = known.select(corner("gx", e[0], sizes[-1]).alias("cx"), corner("gy", e[2], sizes[-1]).alias("cy"), "gx", "gy", "value")
+    d2 = (F.col("gx") - F.col("px")) ** 2 + (F.col("gy") - F.col("py")) ** 2
+    best = held.join(inside, ["cx", "cy"]).groupBy("p").agg(F.min(F.struct(d2.alias("d2"), "gx", "gy", "value")).alias("b"))
+    return points.join(best.select(F.col("p").alias(point_id), F.col("b.value").alias("value"), F.sqrt("b.d2").alias("distance")), point_id, "left")

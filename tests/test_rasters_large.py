@@ -67,3 +67,46 @@ def test_one_long_outline_over_many_tasks(spark):
     assert len(rings) == 1 and not rings[0].hole and len(points) == len(set(points)) > 4 * n
     area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1], strict=True)) / 2
     assert area == 2 * n + 5 * n
+
+
+@pytest.mark.parametrize(("n", "m"), [(300, 400), (40, 1), (60, 3), (5, 0)])
+def test_nearest_without_a_radius(spark, n, m):
+    from emberframe.sources import rasters
+
+    r = np.random.default_rng(n)
+    cluster = r.normal(0, 1e-3, (m // 2, 2)) + (5, 5)
+    g = np.concatenate([cluster, r.uniform(0, 10, (m - m // 2, 2))])
+    p = np.concatenate([r.uniform(-5, 15, (n - 3, 2)), [(1e6, -1e6), (5, 5), (0, 1e4)]])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)] + [(n, None, 1.0)], "point_id int, x double, y double")
+    grid = spark.createDataFrame([(float(a), float(b), i) for i, (a, b) in enumerate(g)] + [(None, 2.0, -1)], "x double, y double, value int")
+    got = {x.point_id: (x.value, x.distance) for x in rasters.nearest(points, grid).collect()}
+    assert len(got) == n + 1 and got[n] == (None, None)
+    for i, q in enumerate(p):
+        d = np.hypot(*(g - q).T) if m else np.zeros(0)
+        assert got[i] == ((d.argmin(), pytest.approx(d.min(), rel=1e-12)) if m else (None, None))
+
+
+def test_resample_between_unlike_spacings(spark):
+    from emberframe.sources import rasters
+
+    r = np.random.default_rng(8)
+    pieces, layers = [], {}
+    for g, (h, w, x0, dx, y0, dy) in enumerate(((7, 5, 10.0, 2.5, 40.0, -1.5), (3, 9, -4.0, 0.7, 0.0, 3.0))):
+        a = r.integers(0, 100, (h, w)).astype(float)
+        a[0, 0] = np.nan
+        layers[g] = (a, x0, dx, y0, dy)
+        pieces += [(g, x0, dx, y0, dy, w, h, i, c, a[i, c : c + 3].tolist()) for i in range(h) for c in range(0, w, 3)]
+    source = spark.createDataFrame(pieces, "g int, x0 double, dx double, y0 double, dy double, width long, height long, row long, col long, values array<double>")
+    at = [(g, float(x), float(y), f"{i}") for i, (g, x, y) in enumerate(zip(r.integers(0, 3, 400), r.uniform(-10, 30, 400), r.uniform(-5, 50, 400), strict=True)) for g in [int(g)]]
+    target = spark.createDataFrame(at, "g int, x double, y double, name string")
+    turned = rasters.resample(target.select("g", F.col("y").alias("x"), F.col("x").alias("y"), "name"), source, "g", to_source=lambda x, y: (y, x))
+    for out in (rasters.resample(target, source, "g"), turned):
+        got = {x.name: x.value for x in out.collect()}
+        for g, x, y, name in at:
+            want = None
+            if g in layers:
+                a, x0, dx, y0, dy = layers[g]
+                # the nearest pixel centre, along each axis
+                v = a[np.abs(y0 + (np.arange(a.shape[0]) + 0.5) * dy - y).argmin(), np.abs(x0 + (np.arange(a.shape[1]) + 0.5) * dx - x).argmin()]
+                want = None if np.isnan(v) else v
+            assert got[name] == want
