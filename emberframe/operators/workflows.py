@@ -53,7 +53,7 @@ def accuracy(df: DataFrame, computed: str, observed: str, *group: str) -> DataFr
 def sensitivity_study(spark: SparkSession, fuel: DataFrame, model: models.Model, bounds: dict[str, tuple[float, float]], n: int, resamples: int = 0, class_column: str = "fuel_class") -> DataFrame:
     """Sobol indices of the model's output to the variables, for each fuel class: samples x classes in one job."""
     runs = model.apply(fuels.sample_classes(sensitivity.saltelli(spark, n, bounds), fuel))
-    return sensitivity.sobol_indices(runs, list(bounds), model.output, class_column, resamples=resamples)
+    return sensitivity.sobol_indices(runs, list(bounds), model.output, class_column, resamples=resamples, ordered=True)
 
 
 def weather_scores(pairs: DataFrame, periods: DataFrame, m: dict[str, float], metric: Callable[[Column, Column], Column] = metrics.rmse, trusted: Column | None = None) -> DataFrame:

@@ -73,6 +73,37 @@ def test_sobol(spark):
     assert got["b"].s1_conf > 0
 
 
+def test_designs_of_any_dimension():
+    polynomials = sensitivity.primitive_polynomials(60)
+    assert polynomials[: len(sensitivity.JOE_KUO)] == [p[:2] for p in sensitivity.JOE_KUO]
+    counts = {d: sum(p[0] == d for p in polynomials) for d in range(1, 8)}
+    assert counts == {1: 1, 2: 1, 3: 2, 4: 2, 5: 6, 6: 6, 7: 18}  # Euler's function of 2**d - 1, over d
+    for d in (0, 5, 15, 16, 17, 30, 39):
+        v, at, seen = sensitivity.directions(d), 0, set()
+        for i in range(1024):
+            seen.add(at >> (sensitivity.BITS - 10))
+            at ^= v[((i + 1) & -(i + 1)).bit_length() - 1]
+        assert len(seen) == 1024  # every dimension fills each of 1024 cells once
+
+
+def test_indices_of_twenty_variables_without_a_shuffle(spark):
+    names = [f"v{i}" for i in range(20)]
+    design = sensitivity.saltelli(spark, 512, dict.fromkeys(names, (0.0, 1.0)))
+    y = sum((i + 1) * F.col(v) for i, v in enumerate(names))
+    runs = design.select("point_id", "block", F.explode(F.array(F.lit("x"), F.lit("z"))).alias("g"), y.alias("y"))
+    one = sensitivity.sobol_indices(runs, names, "y", "g", ordered=True)
+    text = one._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "partial_sum" in text
+    got = {(r.g, r.variable): (r.s1, r.st) for r in one.collect()}
+    total = sum((i + 1) ** 2 for i in range(20))
+    assert len(got) == 40 and all(got[g, v][1] == pytest.approx((i + 1) ** 2 / total, abs=0.03) for g in "xz" for i, v in enumerate(names))
+    some = sensitivity.saltelli(spark, 64, dict.fromkeys(names[:3], (0.0, 1.0))).select("point_id", "block", (F.col("v0") * F.col("v1") + F.col("v2")).alias("y"))
+    plain, ordered = ({r.variable: tuple(r)[1:] for r in sensitivity.sobol_indices(some, names[:3], "y", resamples=5, ordered=o).collect()} for o in (False, True))
+    assert {k: pytest.approx(v, abs=1e-12) for k, v in plain.items()} == ordered
+    with pytest.raises(Exception, match="not together"):
+        sensitivity.sobol_indices(some.repartition(7, "block"), names[:3], "y", ordered=True).collect()
+
+
 def test_scores(spark):
     assert sum(map(len, scorecard.GROUPS.values())) == 362 and len(scorecard.GROUPS) == 27
     assert len(scorecard.SCHEMES["short_all"]) == 21 and len(scorecard.SCHEMES["WX_short"]) == 18
