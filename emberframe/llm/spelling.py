@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.workspace import Workspace, doc_rows
 
-CELL, LEAF, PAIRS, FLUSH = 32_768, 24, 1 << 21, 300_000
+CELL, LEAF, PAIRS, SEARCHES, FLUSH = 32_768, 24, 1 << 19, 1 << 12, 200_000
 MAX_SAMPLE, MAX_CELLS = 1_000_000, 65_536
 LETTERS = 26 + 64  # a-z, U+00C0-U+00FF
 RUN = re.compile("[a-zÀ-ÿ]+")
@@ -246,8 +246,8 @@ def _search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if cell is None and words:
                 cell, words = Cell(words, np.concatenate(numbers)), []
             if cell is not None:
-                for k in range(0, len(part), 1 << 15):
-                    yield from found(cell, part[k : k + (1 << 15)], n[i:j][k : k + (1 << 15)])
+                for k in range(0, len(part), SEARCHES):
+                    yield from found(cell, part[k : k + SEARCHES], n[i:j][k : k + SEARCHES])
 
 
 def upper_trees(words: DataFrame, cell: int = CELL) -> dict[int, Tree]:
