@@ -186,12 +186,44 @@ def s_scorecard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.join(groups, "benchmark").withColumnRenamed("group", "grp").rollup("grp", "benchmark").agg(F.round(F.avg("score"), 6).alias("score"), F.count("*").alias("n"))
 
 
-@query("""
-SELECT name || ' W' || k AS grp, n AS benchmarks FROM (VALUES ('Air temperature', 18), ('Relative humidity 10h', 18), ('Wind speed', 18), ('Wind direction', 6), ('Fuel Moisture 10h', 18), ('Fire Perimeter', 8)) t(name, n), range(1, 5) r(k)
-UNION ALL SELECT * FROM (VALUES ('Building Damage', 6), ('Burn Severity', 6), ('Canopy Cover Loss', 6)) u(a, b)""")
+_GROUPS = """g AS (SELECT name || ' W' || k AS grp, n FROM (VALUES ('Air temperature', 18), ('Relative humidity 10h', 18), ('Wind speed', 18), ('Wind direction', 6), ('Fuel Moisture 10h', 18), ('Fire Perimeter', 8)) t(name, n), range(1, 5) r(k)
+UNION ALL SELECT * FROM (VALUES ('Building Damage', 6), ('Burn Severity', 6), ('Canopy Cover Loss', 6)) u(a, b)),
+k AS (SELECT grp, n, row_number() OVER (ORDER BY grp) - 1 AS i FROM g),
+s AS (SELECT grp, CAST(n AS BIGINT) AS benchmarks, avg(o_totalprice / 5000) AS score FROM k JOIN orders ON o_orderkey % 27 = i GROUP BY 1, 2)"""
+
+
+def _group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all groups of the benchmark table, where each benchmark of a group has the mean over the orders of the group's turn."""
+    table = scorecard.benchmark_groups(spark)
+    names = sorted(scorecard.GROUPS)
+    turn = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    means = load(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % len(names)).alias("turn")).agg(F.avg(F.col("o_totalprice") / 5000).alias("score"))
+    scores = table.select("benchmark", turn[F.col("group")].alias("turn")).join(means, "turn")
+    return scorecard.group_scores(scores.select("benchmark", "score"), scorecard.with_weights(table))
+
+
+@query(f"WITH {_GROUPS} SELECT grp, benchmarks, round(score, 6) AS score FROM s")
 def s_benchmark_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of all groups of the benchmark table."""
-    return scorecard.benchmark_groups(spark).groupBy(F.col("group").alias("grp")).agg(F.count("*").cast("int").alias("benchmarks"))
+    """Sizes and scores of all groups of the benchmark table."""
+    return _group_scores(spark, sf_dir).select(F.col("group").alias("grp"), "benchmarks", F.round("group_score", 6).alias("score"))
+
+
+_FIXED_GROUPS = "grp IN ('Building Damage', 'Burn Severity', 'Canopy Cover Loss')"
+_SCHEMES = {
+    "A": "true", "B": "grp = 'Building Damage'", "CC": "grp = 'Canopy Cover Loss'", "S": "grp = 'Burn Severity'", "FP": "grp LIKE 'Fire Perimeter%'", "short_all": f"{_FIXED_GROUPS} OR grp SIMILAR TO '.* W[234]'",
+    "WX_short": f"{_FIXED_GROUPS} OR (grp SIMILAR TO '.* W[234]' AND grp NOT LIKE 'Fire%')", **{f"WX{k}": f"grp LIKE '% W{k}' AND grp NOT LIKE 'Fire%'" for k in range(1, 5)},
+}
+
+
+@query(f"WITH {_GROUPS} " + " UNION ALL ".join(f"SELECT '{n}' AS scheme, count(*) AS groups, round(avg(score), 6) AS score FROM s WHERE {c}" for n, c in _SCHEMES.items()))
+def s_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total scores by each named scheme, and how many groups it counts."""
+    groups, every = _group_scores(spark, sf_dir), None
+    for name in scorecard.SCHEMES:
+        one = scorecard.scheme_groups(spark, name)
+        every = one if every is None else every.unionByName(one)
+    sizes = every.groupBy("scheme").agg(F.count("*").alias("groups"))
+    return scorecard.total_score(groups, every).join(sizes, "scheme").select("scheme", "groups", F.round("total_score", 6).alias("score"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")

@@ -173,37 +173,37 @@ _DESIGN = {"wind": (0.0, 10.0), "moisture": (2.0, 30.0), "slope": (0.0, 30.0)}
 
 @query("""
 WITH RECURSIVE v(k, v1, v2) AS (SELECT 0, 1073741824::BIGINT, 1073741824::BIGINT UNION ALL SELECT k + 1, v1 // 2, xor(v2, v2 // 2) FROM v WHERE k < 30),
-p AS (SELECT i, bit_xor(CASE WHEN (xor(i, i // 2) >> k) & 1 = 1 THEN v1 ELSE 0 END) AS a, bit_xor(CASE WHEN (xor(i, i // 2) >> k) & 1 = 1 THEN v2 ELSE 0 END) AS b FROM range(1, 1025) t(i), v GROUP BY 1)
-SELECT i - 1 AS point_id, block, CASE WHEN block IN ('A', 'BA_wind') THEN a ELSE b END / 2147483648.0::DOUBLE * 10 AS wind FROM p, (VALUES ('A'), ('B'), ('AB_wind'), ('BA_wind')) t(block)
+b AS (SELECT min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem), n AS (SELECT row_number() OVER () AS i FROM supplier),
+p AS (SELECT i, bit_xor(CASE WHEN (xor(i, i // 2) >> k) & 1 = 1 THEN v1 ELSE 0 END) AS a, bit_xor(CASE WHEN (xor(i, i // 2) >> k) & 1 = 1 THEN v2 ELSE 0 END) AS b FROM n, v GROUP BY 1)
+SELECT i - 1 AS point_id, block, CASE WHEN block IN ('A', 'BA_wind') THEN p.a ELSE p.b END / 2147483648.0::DOUBLE * (high - low) + low AS wind FROM p, b, (VALUES ('A'), ('B'), ('AB_wind'), ('BA_wind')) t(block)
 """)
 def d_saltelli(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Design of one variable: N (2 D + 2) rows."""
-    return sensitivity.saltelli(spark, 1024, {"wind": (0.0, 10.0)})
+    """Design of one variable between the bounds of the line items' quantities, with a point for each supplier: N (2 D + 2) rows."""
+    low, high = load(spark, sf_dir, "lineitem").agg(F.min("l_quantity"), F.max("l_quantity")).first()
+    return sensitivity.saltelli(spark, load(spark, sf_dir, "supplier").count(), {"wind": (float(low), float(high))})
 
 
-_POINT = "((i * {} + 7919) % 10007) / 10007.0::DOUBLE"
-
-
-@query(f"""
-WITH p AS (SELECT i, {", ".join(f"{_POINT.format(101 * k + 37)} AS x{k}" for k in range(6))} FROM range(4096) t(i)),
+@query("""
+WITH p AS (SELECT vec_id AS i, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2, CAST(embedding[4] AS DOUBLE) AS x3, CAST(embedding[5] AS DOUBLE) AS x4, CAST(embedding[6] AS DOUBLE) AS x5 FROM embeddings),
 y AS (SELECT *, x0 + 2 * x1 * x1 + 3 * x2 * x0 AS a, x3 + 2 * x4 * x4 + 3 * x5 * x3 AS b, x3 + 2 * x1 * x1 + 3 * x2 * x3 AS c0, x0 + 2 * x4 * x4 + 3 * x2 * x0 AS c1, x0 + 2 * x1 * x1 + 3 * x5 * x0 AS c2 FROM p),
 u AS (SELECT 'u' AS variable, a, b, c0 AS ab FROM y UNION ALL SELECT 'v', a, b, c1 FROM y UNION ALL SELECT 'w', a, b, c2 FROM y)
 SELECT variable, round(avg(b * (ab - a)) / (avg(a * a + b * b) / 2 - (avg(a + b) / 2) ** 2), 6) AS s1, round(avg((a - ab) * (a - ab)) / 2 / (avg(a * a + b * b) / 2 - (avg(a + b) / 2) ** 2), 6) AS st FROM u GROUP BY 1""")
 def d_sobol_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indices of u + 2 v^2 + 3 w u from a fixed set of points."""
-    pts = spark.range(4096).select("id", *[((F.col("id") * (101 * k + 37) + 7919) % 10007 / 10007.0).alias(f"x{k}") for k in range(6)])
+    """Indices of u + 2 v^2 + 3 w u, where each vector's first components are a point of either sample."""
+    pts = load(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(6)])
     rows = pts.withColumn("block", F.explode(F.array(*[F.lit(b) for b in ("A", "B", "AB_u", "AB_v", "AB_w")])))
     pick = lambda i, v: F.when((F.col("block") == "B") | (F.col("block") == f"AB_{v}"), F.col(f"x{i + 3}")).otherwise(F.col(f"x{i}"))
     u, v, w = pick(0, "u"), pick(1, "v"), pick(2, "w")
-    results = rows.select(F.col("id").alias("point_id"), "block", (u + 2 * v * v + 3 * w * u).alias("y"))
-    return sensitivity.sobol_indices(results, ["u", "v", "w"], "y").select("variable", F.round("s1", 6).alias("s1"), F.round("st", 6).alias("st"))
+    results = rows.select(F.col("vec_id").alias("point_id"), "block", (u + 2 * v * v + 3 * w * u).alias("y"))
+    return sensitivity.sobol_indices(results, ["u", "v", "w"], "y", ordered=True).select("variable", F.round("s1", 6).alias("s1"), F.round("st", 6).alias("st"))
 
 
 @query()
 def d_model_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensitivity studies of two models over thirteen fuel classes, 1,024 base points each: indices per model, class and variable, with intervals."""
+    """Sensitivity studies of two models over thirteen fuel classes, made of the parts by size, 1,024 base points each: indices per model, class and variable, with intervals."""
     names = {"wind_speed": _DESIGN["wind"], "slope_angle": _DESIGN["slope"], "fuel_moisture_content": _DESIGN["moisture"]}
-    fuel = spark.createDataFrame([(k, 0.3 + 0.2 * k, 0.2 + 0.1 * k, 1000.0 + 150 * k) for k in range(1, 14)], "fuel_class int, fuel_load_dry_total double, fuel_height double, fuel_surface_area_volume_ratio double")
+    parts = load(spark, sf_dir, "part").groupBy((F.col("p_size") % 13 + 1).cast("int").alias("fuel_class")).agg(F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size"))
+    fuel = parts.select("fuel_class", (0.3 + F.col("price") / 1000).alias("fuel_load_dry_total"), (0.2 + F.col("size") / 40).alias("fuel_height"), (1000.0 + 20 * F.col("size")).alias("fuel_surface_area_volume_ratio"))
     given = {
         "rothermel": {"fuel_density": 32.0, "fuel_moisture_extinction": 0.3, "fuel_mineral_content_total": 0.0555, "fuel_mineral_content_effective": 0.01, "fuel_chaparral_flag": 0.0},
         "balbi": {"fuel_density": 500.0, "fuel_load_dead_ratio": 0.8},

@@ -341,17 +341,6 @@ def w_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
 
 
-@query("""
-SELECT * FROM (VALUES ('A', 27), ('B', 1), ('CC', 1), ('FP', 4), ('S', 1), ('short_all', 21), ('WX1', 5), ('WX2', 5), ('WX3', 5), ('WX4', 5), ('WX_short', 18)) t(scheme, group_count)""")
-def s_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups that each named scheme counts."""
-    every = None
-    for name in scorecard.SCHEMES:
-        one = scorecard.scheme_groups(spark, name)
-        every = one if every is None else every.unionByName(one)
-    return every.groupBy("scheme").agg(F.count("*").cast("int").alias("group_count"))
-
-
 @query("SELECT l_orderkey, l_linenumber, round((l_quantity + 273.15), 6) AS fuel_temperature_ignition, round(l_discount * 100, 6) AS fuel_moisture_content FROM lineitem")
 def p_convert_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs in a model's units by their column metadata, after checks of completeness and ranges."""
