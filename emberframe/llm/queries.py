@@ -199,4 +199,20 @@ h AS (SELECT key, max(doc_id) AS last FROM u GROUP BY key HAVING count(*) >= 3),
 g AS (SELECT doc_id, list(key) AS gone FROM u JOIN h USING (key) WHERE doc_id <> last GROUP BY doc_id),
 s AS (SELECT doc_id, lines, CASE WHEN gone IS NULL THEN lines ELSE list_filter(lines, lambda x, i: NOT list_contains(gone, keys[i])) END AS stay FROM k LEFT JOIN g USING (doc_id))
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(stay) AS BIGINT) AS n_dropped, sha256(array_to_string(stay, chr(10))) AS kept_sha256 FROM s""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE b AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY ALL),
+u AS (SELECT run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS bytes FROM c),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(bytes, lambda x: CAST(x AS BIGINT))), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM u, b),
+t AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM t WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word, x.word AS other, x.n AS m FROM v a JOIN v x ON a.rest = x.rest AND a.i = x.i AND a.word <> x.word
+ UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.rest = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+g AS (SELECT word, count(*) AS n_near, max(m) AS m FROM e GROUP BY 1),
+f AS (SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN m END AS form_n, CASE WHEN m >= 2 * w.n THEN (SELECT min(other) FROM e WHERE e.word = w.word AND e.m = g.m) END AS form FROM w LEFT JOIN g USING (word)),
+p(word, root) AS (SELECT word, word FROM f UNION ALL SELECT p.word, f.form FROM p JOIN f ON f.word = p.root WHERE f.form IS NOT NULL),
+z AS (SELECT p.word, p.root FROM p JOIN f ON f.word = p.root WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN z USING (word)""",
 }
