@@ -188,32 +188,38 @@ def i_sidecar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("key", F.when(F.col("key").isNull(), 7).otherwise(F.col("key"))).select("key", "fuel_height", "fuel_class")
 
 
+def _station_files(spark: SparkSession, sf_dir: str) -> str:
+    """Files of the weather service with the events of fifty users each, written by the tasks that hold them: users are stations, values air temperatures."""
+    folder = scratch(spark, "stations")
+    e = load(spark, sf_dir, "events").where("value is not null").withColumn("o", F.struct(F.date_format("ts", "yyyyMMddHHmmss").alias("t"), F.col("value").cast("string").alias("v")))
+    s = e.groupBy("user_id").agg(F.array_sort(F.collect_list("o")).alias("o"))
+    at = lambda c: F.transform("o", lambda x: x[c])
+    k = F.col("user_id")
+    observed = F.create_map(F.lit("date_time"), at("t"), F.lit("air_temp_set_1"), at("v"), F.lit("other_set_1"), at("v"))
+    position = F.when(k % 2 == 1, F.create_map(F.lit("air_temp"), F.create_map(F.lit("air_temp_set_1"), F.struct(F.lit("2.5").alias("position")))))
+    provider = F.when(k % 3 > 0, F.array(F.struct(F.lit("Bureau of Land Management").alias("name"))))
+    station = F.struct(F.concat(F.lit("S"), k.cast("string")).alias("STID"), F.lit('{"tricky" ]} \\').alias("NAME"), F.lit("UTC").alias("TIMEZONE"), provider.alias("PROVIDERS"), observed.alias("OBSERVATIONS"), position.alias("SENSOR_VARIABLES"))
+    grouped = s.groupBy(F.floor(k / 50).alias("g")).agg(F.collect_list(station).alias("STATION"))
+    content = F.to_json(F.struct(F.array(F.struct(F.lit("[").alias("note"))).alias("SUMMARY"), "STATION")).cast("binary")
+    files.write_files(grouped.select(F.concat(F.lit("f"), F.col("g").cast("string"), F.lit(".json")).alias("name"), content.alias("content")), folder)
+    return folder
+
+
 @query("""
-SELECT 'S' || n_nationkey AS station_id, v AS variable, count(*) AS n, round(sum(value), 6) AS total, max(minutes) AS last_minute FROM
- (SELECT n_nationkey, 'air_temperature' AS v, CAST(n_nationkey + k AS DOUBLE) AS value, 60.0 * k AS minutes FROM nation, range(4) t(k) UNION ALL
-  SELECT n_nationkey, 'wind_speed', CASE WHEN k <> 2 THEN CAST(k AS DOUBLE) END, 60.0 * k FROM nation, range(4) t(k)) GROUP BY 1, 2""")
+SELECT 'S' || user_id AS station_id, 'air_temperature' AS variable, count(*) AS n, round(sum(value), 6) AS total, round((epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts)))) / 60, 6) AS last_minute
+FROM events WHERE value IS NOT NULL GROUP BY user_id""")
 def i_station_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Station files of the weather service as long series in UTC; unknown variables stay out."""
-    found = []
-    for r in load(spark, sf_dir, "nation").select("n_nationkey").collect():
-        k = r[0]
-        observed = {"date_time": [f"2024010{1 + h // 24}{h % 24:02}0000" for h in range(22, 26)], "air_temp_set_1": [str(k + h) for h in range(4)], "wind_speed_set_1": ["0", "1", None, "3"], "other_set_1": ["9"] * 4}
-        found.append({"STID": f"S{k}", "TIMEZONE": "America/Los_Angeles", "PROVIDERS": [{"name": "Bureau of Land Management"}], "OBSERVATIONS": observed, "SENSOR_VARIABLES": {"air_temp": {"air_temp_set_1": {"position": "2.0"}}}})
-    path = put(spark, scratch(spark, "stations"), json.dumps({"STATION": found}))
-    series = stations.time_series(stations.read_stations(spark, path))
-    return series.groupBy("station_id", "variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("minutes").alias("last_minute"))
+    """Station files of the weather service, cut between stations, as long series in UTC; unknown variables stay out."""
+    series = stations.time_series(stations.scan_stations(spark, _station_files(spark, sf_dir), 1 << 20))
+    return series.groupBy("station_id", "variable").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.max("minutes"), 6).alias("last_minute"))
 
 
 @query("""
-SELECT 'S' || n_nationkey AS station_id, source, height, height_source FROM nation,
- (VALUES ('air_temp_set_1', 2.5, 'from_data'), ('wind_speed_set_1', 6.1, 'provider_default'), ('wind_gust_set_1', 6.1, 'provider_default')) t(source, height, height_source)""")
+SELECT DISTINCT 'S' || user_id AS station_id, 'air_temp_set_1' AS source, CASE WHEN user_id % 2 = 1 THEN 2.5 ELSE 2.0 END::DOUBLE AS height,
+ CASE WHEN user_id % 2 = 1 THEN 'from_data' WHEN user_id % 3 > 0 THEN 'provider_default' ELSE 'default' END AS height_source FROM events WHERE value IS NOT NULL""")
 def i_station_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor heights of station files: the file's own first, then the provider's usual one."""
-    found = []
-    for r in load(spark, sf_dir, "nation").select("n_nationkey").collect():
-        observed = {"date_time": ["20240101000000"], **{f"{v}_set_1": ["1"] for v in ("air_temp", "wind_speed", "wind_gust")}}
-        found.append({"STID": f"S{r[0]}", "TIMEZONE": "UTC", "PROVIDERS": [{"name": "Bureau of Land Management"}], "OBSERVATIONS": observed, "SENSOR_VARIABLES": {"air_temp": {"air_temp_set_1": {"position": "2.5"}}}})
-    sensors = stations.sensors_of(stations.read_stations(spark, put(spark, scratch(spark, "stations"), json.dumps({"STATION": found}))))
+    """Sensor heights of station files: the file's own first, then the provider's usual one, then the variable's."""
+    sensors = stations.sensors_of(stations.scan_stations(spark, _station_files(spark, sf_dir), 1 << 20))
     none = spark.createDataFrame([], "station_id string, source string, height double")
     defaults = stations.variable_table(spark).select("source", "default_height")
     return stations.sensor_heights(sensors, none, none, stations.provider_table(spark), defaults).select("station_id", "source", "height", "height_source")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberframe.functions import timefmt
+from emberframe.sources import json_split
 
 # Station variables (source name, standard name, unit, default sensor height in m).
 VARIABLES = (
@@ -60,6 +61,12 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_STATION).json(path, multiLine=True).select(F.inline("STATION"))
 
 
+def scan_stations(spark: SparkSession, path: str, split_bytes: int = json_split.SPLIT_BYTES) -> DataFrame:
+    """The rows of ``read_stations``, of files of any size: each is cut between its stations and read by many tasks. The files must lie where Python tasks reach them."""
+    kind = spark.createDataFrame([], _STATION).schema["STATION"].dataType.elementType
+    return json_split.read_elements(spark, path, "STATION", split_bytes).select(F.from_json("value", kind).alias("s")).select("s.*")
+
+
 def sensor_heights(sensors: DataFrame, trusted: DataFrame, history: DataFrame, providers: DataFrame, defaults: DataFrame) -> DataFrame:
     """sensors (station_id, provider, source, data_height) with height, height_source and trust.
 
