@@ -159,7 +159,14 @@ def dom(page: str) -> list[Node]:
             text = "".join(buffer)
             buffer.clear()
             if text.strip():
-                nodes[open_.node].runs.append((order, text))
+                node = nodes[open_.node]
+                if node.tag in ("#root", "html", "body"):  # text without an element of its own gets one
+                    loose = Node("p", open_.node, node.depth + 1, [], link=node.link, inline=node.inline)
+                    node.link = node.inline = 0
+                    node.children.append(len(nodes))
+                    nodes.append(loose)
+                    node = loose
+                node.runs.append((order, text))
                 order += 1
 
     def write(text: str) -> None:
@@ -462,6 +469,18 @@ def training_page(seed: int, things: int = 0) -> tuple[str, list[str]]:
             return "<table>" + "".join(f"<tr><td>{say(line(1, 3))}</td><td>{say(line(1, 4))}</td></tr>" for _ in range(r.randint(2, 3))) + "</table>"
         return noise() if k < 0.98 else f"<pre>{say(line(4, 10))}</pre>"
 
+    def plain_links() -> str:
+        between = r.choice((" / ", " | ", " ", " &middot; "))
+        return "<div>" + between.join(f'<a href="/{word()}">{line(1, 2)}</a>' for _ in range(r.randint(2, 6))) + "</div>"
+
+    def heading_again(loose: list[str]) -> str:
+        """A heading in front of loose blocks; its text comes first."""
+        if r.random() < 0.5:
+            return ""
+        t = line(1, 6)
+        text.insert(0, t)
+        return f"<h1>{t}</h1>"
+
     def noise() -> str:
         c = r.choice(BAD)
         return r.choice((
@@ -478,7 +497,7 @@ def training_page(seed: int, things: int = 0) -> tuple[str, list[str]]:
         return "".join(noise() for _ in range(r.randint(0, n)))
 
     head = f"<head><meta charset=\"utf-8\"><title>{line(2, 6)}</title>" + ("<style>p{margin:0}</style>" if r.random() < 0.7 else "") + ('<script>var t="</p>";track(0);</script>' if r.random() < 0.7 else "") + "</head>"
-    nav = r.choice((f"<nav><ul>{links(r.randint(3, 9))}</ul></nav>", f'<div class="{r.choice(("menu", "navbar", "nav"))}"><ul>{links(r.randint(3, 9))}</ul></div>', f'<nav>{links(r.randint(3, 8), "span")}</nav>', ""))
+    nav = r.choice((f"<nav><ul>{links(r.randint(3, 9))}</ul></nav>", f'<div class="{r.choice(("menu", "navbar", "nav"))}"><ul>{links(r.randint(3, 9))}</ul></div>', f'<nav>{links(r.randint(3, 8), "span")}</nav>', "", "", plain_links()))
     top = r.choice(("", "", f'<header><h1>{line(1, 3)}</h1><p>{line(2, 8)}</p></header>', f'<div class="header"><a href="/">{line(1, 3)}</a></div>'))
     tag, attr = r.choice((("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'), ("div", ' class="post-body entry"'), ("section", ' class="story"'), ("div", ' class="article-text"'), ("div", ' class="c12 x"'), ("div", "")))
     heading = f"<h1>{say(line(2, 8))}</h1>" if r.random() < 0.9 else ""
@@ -496,12 +515,24 @@ def training_page(seed: int, things: int = 0) -> tuple[str, list[str]]:
         body = f"<main>{body}</main>"
     side = r.choice(("", "", f'<aside><h3>{line(1, 2)}</h3><ul>{links(r.randint(2, 7))}</ul><p>{prose()}</p></aside>', f'<div class="sidebar"><div class="widget"><h3>{line(1, 2)}</h3><p>{prose()}</p></div></div>'))
     after = comments() if r.random() < 0.35 else ""
-    foot = r.choice((f"<footer>&copy; {line(2, 8)}</footer>", f'<footer><p>{prose()}</p><ul>{links(3)}</ul></footer>', f'<div class="footer">&copy; {line(2, 6)}</div>', ""))
-    if r.random() < 0.3:
+    foot = r.choice((f"<footer>&copy; {line(2, 8)}</footer>", f'<footer><p>{prose()}</p><ul>{links(3)}</ul></footer>', f'<div class="footer">&copy; {line(2, 6)}</div>', "", f"<div>{r.choice(('&copy;', 'Copyright', 'Copyright &copy;'))} {r.randint(1999, 2030)} {line(1, 4)}</div>", f"<div>{plain_links()}&copy; {line(1, 3)}</div>"))
+    if r.random() < 0.15:  # no container at all
+        text.clear()
+        loose = [say(prose() if r.random() < 0.7 else line(1, 8)) + r.choice(("", "<hr>")) if r.random() < 0.3 else thing() for _ in range(r.choice((1, 1, 2, 3, 6)))]
+        if r.random() < 0.2:  # a page of a few words
+            text.clear()
+            loose = [say(line(1, 3)) if r.random() < 0.3 else f"<p>{say(line(1, 3).capitalize())}{r.choice(('', '</p>'))}"]
+        body = heading_again(loose) + ("<div>" + "".join(loose) + "</div>" if r.random() < 0.2 else "".join(loose))
+        if r.random() < 0.5:
+            bare = r.choice(("", "<html><body>", "<!DOCTYPE html><html><head><title>t</title></head><body>"))
+            return bare + body + ("</body></html>" if bare else ""), text
+        after = side = ""
+    elif r.random() < 0.3:
         body = f'<div class="{r.choice(("wrapper", "container", "row", "page"))}">{side}{body}{after}</div>'
     else:
         body = (side + body if r.random() < 0.3 else body + side) + after
-    return f'<!DOCTYPE html><html lang="{r.choice(("en", "fr", "de"))}">{head}<body>{top}{nav}{chrome(2)}{body}{chrome(1)}{foot}</body></html>', text
+    around = "<div>" * r.choice((0, 0, 0, 0, 1, 2))
+    return f'<!DOCTYPE html><html lang="{r.choice(("en", "fr", "de"))}">{head}<body>{around}{top}{nav}{chrome(2)}{body}{chrome(1)}{foot}{around.replace("<", "</")}</body></html>', text
 
 
 def labelled_nodes(page: str, text: list[str]) -> tuple[list[Node], np.ndarray]:

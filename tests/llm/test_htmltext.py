@@ -111,3 +111,24 @@ def test_time_follows_length(forest):
         H.main_text([page], forest)
         assert time.process_time() - t < 30, page[:20]
     assert H.main_text(["<article>" + "<p>Some words of the text. And some more of it." * n + "</article>"], forest)[0].count("\n\n") == n - 1
+
+
+P = "The harvest festival returned to the valley this week after a break of three years."
+Q = "Organisers said that some four thousand visitors came on the first day, more than they had expected."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<p>{P}</p>", P), (P, P), ("<p>Hello.</p>", "Hello."), (f"<html><body>{P}</body></html>", P), (f"{P}<br>{Q}", f"{P} {Q}"), (f"{P}<hr>{Q}", f"{P}\n\n{Q}"),
+        (f"<html><body><p>{P}</p><p>Short one.</p></body></html>", f"{P}\n\nShort one."), (f"<html><body><h1>Title here</h1><p>{P}</p><p>{Q}</p></body></html>", f"Title here\n\n{P}\n\n{Q}"),
+        (f"<html><body><div><a href='/'>Home</a> / <a href='/a'>About us</a></div><div><h1>Harvest festival</h1><p>{P}</p><p>{Q}</p></div><div>&copy; 2024 Valley News</div></body></html>", f"Harvest festival\n\n{P}\n\n{Q}"),
+        (f"<body><div><div><div><a href=/>Home</a> | <a href=/x>Contact</a></div><div><p>{P}</p><p>{Q}</p></div><div>Copyright 2020 Somebody</div></div></div></body>", f"{P}\n\n{Q}"),
+        (f"<body><table><tr><td>{P}</td></tr><tr><td>{Q}</td></tr></table></body>", f"{P}\n\n{Q}"),
+        (f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>T one</h1><p>{P}</p></article><footer>c</footer></body>", f"T one\n\n{P}"),
+        ("<body><p>Вчера в городе открылась новая библиотека для детей.</p><p>Она работает каждый день до восьми часов.</p></body>", "Вчера в городе открылась новая библиотека для детей.\n\nОна работает каждый день до восьми часов."),
+    ],
+)
+def test_pages_the_generator_does_not_write(forest, page, want):
+    """Text that stands alone or without a container, containers without names, other scripts."""
+    assert H.main_text([page], forest) == [want]
