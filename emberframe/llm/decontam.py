@@ -3,11 +3,12 @@
 Containment of an item in a document is the share of the item's different word shingles that the
 document has. Items are partitioned by their number of shingles n (powers of two). A partition has its own
 sketch size, m = 2 floor((1 - t) N) + 1 for its largest size N, and every item is kept as the m least of its
-shingles under one random order (a bottom-m MinHash), those that fewer items share first. A document that holds at
+shingles in one order: those that fewer items share first, and by a random hash among these (a bottom-m MinHash whose order puts rare
+shingles first, as prefix filters do; a purely random order would fill sketches with headers that all items share). A document that holds at
 least t n of an item's shingles lacks at most n - t n of them, so at least m - (n - t n) of the sketch must be there: the
 threshold of sketch hits that the item's partition and size give. The search so finds every match however long the document, where
-banded signatures of whole documents would need thousands of hashes for an item of 30 words in a document of 20,000, and documents
-with too few shingles for a partition never meet it. Candidates are verified on the words themselves.
+banded signatures of whole documents would need thousands of hashes for an item of 30 words in a document of 20,000. A sent benchmark skips documents with
+fewer shingles than its least item needs. Candidates are verified on the words themselves.
 
 A benchmark of up to ``max_chars`` goes to the workers, and documents are read once. A larger one stays a table: documents send the shingles
 that pass a bit map of all sketches, and meet the items in two joins; documents are read twice whatever the benchmark's size.
@@ -16,6 +17,7 @@ that pass a bit map of all sketches, and meet the items in two joins; documents
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -229,6 +231,17 @@ def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float, shingle: in
     return found.select("t", *_NAMES)
 
 
+_INDEX: dict[str, Index] = {}
+
+
+def _index(name: str, items: list, threshold: float, shingle: int) -> Index:
+    """The index of a sent benchmark, built once in each worker; ``name`` tells benchmarks apart."""
+    if name not in _INDEX:
+        _INDEX.clear()
+        _INDEX[name] = Index(items, threshold, shingle)
+    return _INDEX[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5, max_chars: int = 8_000_000) -> DataFrame:
     """Pairs of a document and a benchmark item whose containment is ``threshold`` or more.
 
@@ -242,10 +255,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items = _small(benchmark, max_chars)
     if items is None:
         return _joined(docs, benchmark, threshold, shingle).select(*_NAMES)
-    sent = spark.sparkContext.broadcast(items)
+    sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value, threshold, shingle)
+        index = _index(name, sent.value, threshold, shingle)
         for batch in batches:
             rows = [(d, i, n, s, s / n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for i, n, s in index.search(t.as_py())]
             yield pa.RecordBatch.from_arrays(_pairs(rows), names=_NAMES)
@@ -263,10 +276,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         (name,) = spare(docs.columns, "_text_hash")
         found = _joined(docs, benchmark, threshold, shingle).select(F.col("t").alias(name)).distinct()
         return docs.withColumn(name, F.xxhash64(F.col("text").cast("string"))).join(found, name, "left_anti").select([f"`{c}`" for c in docs.columns])
-    at, sent = docs.columns.index("text"), spark.sparkContext.broadcast(items)
+    at, sent, name = docs.columns.index("text"), spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value, threshold, shingle)
+        index = _index(name, sent.value, threshold, shingle)
         for batch in batches:
             yield batch.filter(pa.array([not index.search(t.as_py()) for t in batch.column(at)], pa.bool_()))
 

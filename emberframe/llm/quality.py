@@ -154,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 60
     """Trains on samples of labelled documents and of others. None if the labels hold no two classes.
 
     A document with several labels takes the lowest. The labelled sample is sent to all tasks
-    (at most about ``labelled`` ids), so that documents are read in one pass without a shuffle.
+    (at most about ``labelled`` ids), so that documents are read in one pass. Rows are drawn, not ids: of the rows that share a drawn
+    id one is taken, and others are drawn one by one, so what reaches the driver is bounded however often an id stands.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
     n, total = known.count(), docs.count()
@@ -163,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = 6000, pool: int = 60
     draw = lambda name, share: F.pmod(F.xxhash64(F.lit(name), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share)) + 1
     rows = doc_rows(docs, "source", "lang").where("doc_id is not null")
     some = known.where(draw("labelled", labelled / n)).limit(2 * labelled)
-    mine = rows.join(F.broadcast(some), "doc_id").select("text", "source", "lang", "y")
-    others = rows.where(draw("pool", pool / max(1, total - n) if total > n else 0)).join(known.select("doc_id"), "doc_id", "left_anti")
+    drawn = rows.join(F.broadcast(some), "doc_id").withColumn("h", F.xxhash64("text", "source", "lang"))
+    mine = drawn.groupBy("doc_id").agg(F.min_by(F.struct("text", "source", "lang", "y"), "h").alias("r")).select("r.*")
+    others = rows.where(F.rand(6) < (min(1.0, pool / (total - n)) if total > n else 1.0)).join(known.select("doc_id"), "doc_id", "left_anti")
     both = mine.unionByName(others.select("text", "source", "lang", F.lit(None).cast("int").alias("y")))
     sample = Workspace(docs.sparkSession, "quality").save(both.mapInArrow(_features, "t binary, m binary, y int"), "sample")
     got = sorted(((r["y"], bytes(r["t"]), bytes(r["m"])) for r in sample.toLocalIterator()), key=lambda r: (-1 if r[0] is None else r[0], xxhash.xxh64_intdigest(r[1] + r[2])))

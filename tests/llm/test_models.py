@@ -263,3 +263,25 @@ def test_cross_entropy_tells_domains_apart(spark):
     ids = spark.createDataFrame([(i,) for i in range(1, 31, 2)], "doc_id long")
     got = {x.doc_id: x.ce_difference for x in lmscore.score(df, ids).collect()}
     assert max(got[i] for i in range(31, 60, 2)) < min(got[i] for i in range(0, 60, 2))
+
+
+def test_quality_samples_rows_of_one_id(spark, docs, monkeypatch):
+    """An id that stands on most rows brings one labelled row; the others are drawn one by one."""
+    held = []
+    monkeypatch.setattr(quality, "cotrain", lambda xt, xm, y, pt, pm, rounds: held.append((len(y), len(pt))))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null")
+    some = labels.orderBy("doc_id").first().doc_id
+    many = docs.crossJoin(spark.range(20).select(F.col("id").alias("k"))).withColumn("text", F.concat("text", F.col("k").cast("string")))
+    quality.fit(docs.unionByName(many.withColumn("doc_id", F.lit(some)).drop("k")), labels, labelled=6000, pool=300)
+    quality.fit(many.withColumn("doc_id", F.lit(-5).cast("long")).drop("k").unionByName(docs), labels, labelled=6000, pool=300)
+    known = labels.select("doc_id").distinct().join(docs, "doc_id").select("doc_id").distinct().count()
+    assert [h[0] for h in held] == [known, known] and all(h[1] < 450 for h in held) and held[1][1] > 200
+
+
+def test_benchmark_index_is_built_once_a_worker(monkeypatch):
+    from emberframe.llm import decontam
+
+    built = []
+    monkeypatch.setattr(decontam, "Index", lambda *a: built.append(a) or len(built))
+    monkeypatch.setattr(decontam, "_INDEX", {})
+    assert [decontam._index(n, [], 0.8, 5) for n in ("a", "a", "b", "b")] == [1, 1, 2, 2]
