@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, tzinfo
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 _DAY, _MINUTE, _SECOND, _ZONE = r"[0-9]{4}(?:-[0-9]{2}){2}", r"[0-9]{2}:[0-9]{2}", r":[0-9]{2}(?:[.][0-9]+)?", r"Z|[+-][0-9]{2}:[0-9]{2}"
@@ -26,6 +26,12 @@ def instant(local: Column, zone: Column, pattern: str = "yyyyMMddHHmmss") -> Col
     return F.to_utc_timestamp(F.to_timestamp(local, pattern), zone)
 
 
+def minutes_since_first(moment: Column, station: str, *order: str) -> Column:
+    """Minutes of a UTC moment since a station's first one, in the order given; a window over each station's own rows."""
+    at = F.unix_micros(moment.cast("timestamp"))
+    return (at - F.first(at).over(Window.partitionBy(station).orderBy(*order))) / 60e6
+
+
 def iso_with_offset(moment: Column, zone: Column) -> Column:
     """ISO text of a UTC moment in a zone, with that zone's offset."""
     local = F.from_utc_timestamp(moment, zone)

@@ -94,6 +94,14 @@ def check_completeness(df: DataFrame, model: Model) -> list[str]:
     return [p.std_name for p in model.params if p.std_name not in df.columns]
 
 
+def with_defaults(df: DataFrame, model: Model, fill: bool = False) -> DataFrame:
+    """df with every optional input of the model: those it lacks get their default, and with ``fill`` also missing values of those it has."""
+    optional = [p for p in model.params if p.default is not None]
+    new = {p.std_name: F.lit(float(p.default)) for p in optional if p.std_name not in df.columns}
+    held = {p.std_name: F.coalesce(F.nanvl(F.col(p.std_name).cast("double"), F.lit(None)), F.lit(float(p.default))) for p in optional if fill and p.std_name in df.columns}
+    return df.withColumns(new | held)
+
+
 def convert_units(df: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """The model's inputs in its units, by each column's metadata; other columns go, but for ``keep``."""
     inputs = [

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberframe.operators import provenance
+
 # Benchmark ids of each group (prefix, first, last, step) and groups of each scheme.
 _PERIODS = ("W1", "W2", "W3", "W4")
 _WEATHER = (("Air temperature", 1, 18), ("Relative humidity 10h", 73, 18), ("Wind speed", 145, 18), ("Wind direction", 217, 6), ("Fuel Moisture 10h", 241, 18))
@@ -85,6 +87,20 @@ def runnable(benchmarks: DataFrame, requirements: DataFrame, catalog: DataFrame)
     return benchmarks.join(missing, "requirement", "left_anti")
 
 
+def certified(card_rows: DataFrame, catalog: DataFrame, certificate: str, keys: DataFrame | None = None, payload_sha: str | None = None, strict: bool = False) -> DataFrame:
+    """Rows of cards (file_id and a card's columns) of files whose ``certificate`` is valid, with ``verification``, the level that their valid certificates give.
+
+    Files without the certificate, or with one that does not hold, have no rows; with ``strict`` they fail the query.
+    """
+    found = provenance.check_certificates(catalog, keys, payload_sha).where(F.col("certificate") == certificate).groupBy("file_id").agg(F.bool_and("valid").alias("_valid"))
+    levels = provenance.file_levels(catalog, keys, payload_sha).withColumnRenamed("level", "verification")
+    rows = card_rows.join(found, "file_id", "left").join(levels, "file_id", "left")
+    valid = F.coalesce("_valid", F.lit(False))
+    if strict:
+        valid = F.when(valid, valid).otherwise(F.raise_error(F.concat(F.lit("no valid certificate: "), F.col("file_id"))).cast("boolean"))
+    return rows.where(valid).drop("_valid")
+
+
 def markdown(card_rows: DataFrame, limit: int = 500) -> str:
     """A card of one model as a Markdown table; a card holds at most ``limit`` rows."""
     order = F.when(F.col("level") == "total", 0).when(F.col("level") == "group", 1).otherwise(2)

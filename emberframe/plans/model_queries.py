@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+
 from pyspark.sql import functions as F
 
 from emberframe.functions import physics, sensors, timefmt, units, wind
@@ -162,10 +162,9 @@ def p_range_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, 50.0::DOUBLE AS ignition_length, coalesce(CASE WHEN l_linenumber > 3 THEN l_quantity END, 300) AS air_temperature FROM lineitem")
 def p_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults of optional inputs, and of missing values."""
-    d = {p.std_name: p.default for p in models.REGISTRY["balbi"].params}
-    air = F.coalesce(F.when(F.col("l_linenumber") > 3, F.col("l_quantity")), F.lit(d["air_temperature"]))
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(d["ignition_length"]).alias("ignition_length"), air.alias("air_temperature"))
+    """Defaults of optional inputs that a table lacks, and of values that are missing."""
+    items = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") > 3, F.col("l_quantity")).alias("air_temperature"))
+    return models.with_defaults(items, models.REGISTRY["balbi"], fill=True).select("l_orderkey", "l_linenumber", "ignition_length", "air_temperature")
 
 
 _DESIGN = {"wind": (0.0, 10.0), "moisture": (2.0, 30.0), "slope": (0.0, 30.0)}
@@ -222,9 +221,8 @@ def d_model_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, event_id, round((epoch_us(ts) - first_value(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 60e6, 6) AS minutes FROM events""")
 def t_time_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minutes since a station's first observation."""
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    first = F.first(ts).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return load(spark, sf_dir, "events").select("user_id", "event_id", F.round((ts - first) / 60e6, 6).alias("minutes"))
+    minutes = timefmt.minutes_since_first(F.col("ts"), "user_id", "ts", "event_id")
+    return load(spark, sf_dir, "events").select("user_id", "event_id", F.round(minutes, 6).alias("minutes"))
 
 
 @query("""
@@ -295,7 +293,9 @@ def x_missing_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def v_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    """Digests of texts as of files."""
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.length("text").alias("length"), F.col("text").cast("binary").alias("content"))
+    return provenance.file_digests(texts).select(F.col("path").alias("doc_id"), "sha256")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'VL-C' WHEN doc_id % 3 > 0 THEN 'VL-B' WHEN doc_id % 5 > 0 THEN 'VL-A' ELSE 'VL-A+' END AS level FROM documents")

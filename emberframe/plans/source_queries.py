@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberframe.functions import timefmt, units
-from emberframe.operators import fuels, geometry, metrics, models, provenance, scorecard, sensitivity, standard
+from emberframe.functions import kpi, timefmt, units
+from emberframe.operators import fuels, geometry, metrics, models, provenance, scorecard, sensitivity, standard, workflows
 from emberframe.plans.metric_queries import query
 from emberframe.session import load, portable, scratch
 from emberframe.sources import files, geotiff, kml, rasters, stations, tables
@@ -188,6 +188,44 @@ def i_sidecar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.withColumn("key", F.when(F.col("key").isNull(), 7).otherwise(F.col("key"))).select("key", "fuel_height", "fuel_class")
 
 
+def _fuel_table(spark: SparkSession, sf_dir: str, columns: dict[str, str], name: str) -> str:
+    """Parts as a fuel table in CSV with a sidecar: standard names by the SQL of their values."""
+    folder = scratch(spark, name)
+    load(spark, sf_dir, "part").selectExpr("p_partkey", *[f"{v} AS c{i}" for i, v in enumerate(columns.values())]).orderBy("p_partkey").drop("p_partkey").coalesce(1).write.csv(f"{folder}/fuel", header=True)
+    meta = {f"c{i}": {"variable_name": n, "type": "float64", "unit": "1"} for i, n in enumerate(columns)}
+    return put(spark, f"{folder}/fuel.json", json.dumps({"data_path": f"{folder}/fuel", "metadata": meta}))
+
+
+_SIZES = {"fuel_load_dry_1h": "p_size", "fuel_load_dry_10h": "p_partkey % 7", "fuel_load_dry_100h": "p_partkey % 3"}
+
+
+@query("""
+WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) AS k, p_size AS a, p_partkey % 7 AS b, p_partkey % 3 AS c, p_partkey % 11 AS h, p_partkey % 5 AS w, 1000 + p_size AS s FROM part)
+SELECT CAST(k AS INT) AS fuel_class, CAST(a + b + c + h + w AS DOUBLE) AS fuel_load_dry_total, round((a * s + h * (s + 100.0) + w * (s - 100.0)) / (a + h + w), 6) AS savr, round(CAST(a + b + c AS DOUBLE) / (a + b + c + h + w), 6) AS dead FROM p""")
+def p_import_forty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fuel table of five size classes, imported with total load, mean surface-area ratio and dead share."""
+    savr = {"fuel_surface_area_volume_ratio_dead_1h": "1000 + p_size", "fuel_surface_area_volume_ratio_live_herb": "1100 + p_size", "fuel_surface_area_volume_ratio_live_woody": "900 + p_size"}
+    path = _fuel_table(spark, sf_dir, {**_SIZES, "fuel_load_dry_live_herb": "p_partkey % 11", "fuel_load_dry_live_woody": "p_partkey % 5", **savr}, "forty")
+    out = workflows.import_forty_classes(spark, path)
+    return out.select("fuel_class", "fuel_load_dry_total", F.round("fuel_surface_area_volume_ratio", 6).alias("savr"), F.round("fuel_load_dead_ratio", 6).alias("dead"))
+
+
+@query("""
+WITH p AS (SELECT row_number() OVER (ORDER BY p_partkey) AS k, CAST(p_size AS DOUBLE) AS a, p_partkey % 7 AS b, p_partkey % 3 AS c, p_partkey % 4 AS v FROM part)
+SELECT CAST(k AS INT) AS fuel_class, round((a + b + c) / (a + b + c + v), 6) AS dead, round(a / (a + b + c + v), 6) AS dead_1h FROM p""")
+def p_import_thirteen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fuel table with one live class: dead share of all size classes, and of the finest alone."""
+    path = _fuel_table(spark, sf_dir, {**_SIZES, "fuel_load_dry_live": "p_partkey % 4"}, "thirteen")
+    every, fine = (workflows.import_thirteen_classes(spark, path, only_1h).select("fuel_class", F.round("fuel_load_dead_ratio", 6).alias(n)) for only_1h, n in ((False, "dead"), (True, "dead_1h")))
+    return every.join(fine, "fuel_class")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY p_partkey) AS INT) AS fuel_class, CAST(p_size % 20 AS DOUBLE) AS building_length_side, CAST(p_partkey % 9 AS DOUBLE) AS building_length_separation FROM part")
+def p_import_urban(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of building classes, as it is."""
+    return workflows.import_urban_classes(spark, _fuel_table(spark, sf_dir, {"building_length_side": "p_size % 20", "building_length_separation": "p_partkey % 9"}, "urban"))
+
+
 def _station_files(spark: SparkSession, sf_dir: str) -> str:
     """Files of the weather service with the events of fifty users each, written by the tasks that hold them: users are stations, values air temperatures."""
     folder = scratch(spark, "stations")
@@ -290,6 +328,26 @@ def v_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(provenance.file_levels(changed, keys, sha), "file_id")
 
 
+@query("""
+WITH b AS (SELECT n_nationkey, 'f' || n_nationkey AS file_id, 100 * exp(-ln(2) * abs(avg(c_acctbal)) / 5000) AS s FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 1 GROUP BY 1, 2)
+SELECT file_id, 'benchmark' AS level, round(s, 6) AS score, CASE WHEN n_nationkey % 5 = 0 THEN 'VL-B' ELSE 'VL-C' END AS verification FROM b
+UNION ALL SELECT file_id, 'group', round(s, 6), CASE WHEN n_nationkey % 5 = 0 THEN 'VL-B' ELSE 'VL-C' END FROM b UNION ALL SELECT file_id, 'total', round(s, 6), CASE WHEN n_nationkey % 5 = 0 THEN 'VL-B' ELSE 'VL-C' END FROM b""")
+def s_certified_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score cards of the results that hold a valid certificate, with the level that their certificates give; other results have no card."""
+    files = _files(spark, sf_dir)
+    nation = F.substring("file_id", 2, 9).cast("int") % 5
+    names = F.explode(F.when(nation == 0, F.array(F.lit("benchmark-run-internal"), F.lit("obs-verified-obs-dataset"))).when(nation == 1, F.array(F.lit("obs-verified-obs-dataset"))).otherwise(F.array(F.lit("benchmark-run-internal"))))
+    wanted = files.select("file_id").distinct().select("file_id", names.alias("certificate"), F.lit("good").alias("key_id"), F.lit("Both").alias("signer"), F.lit("2024-01-02T00:00:00Z").alias("created_on"))
+    held = provenance.add_certificates(files, wanted)
+    keys = spark.createDataFrame([("good", "Both", False)], "key_id string, signer string, revoked boolean")
+    means = load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("b"))
+    scores = means.select(F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("file_id"), F.lit("balance").alias("benchmark"), kpi.symmetric_exponential(F.col("b"), 5000).alias("score"))
+    weights = spark.createDataFrame([("g", "balance", 1.0)], "group string, benchmark string, weight double")
+    scheme = spark.createDataFrame([("all", "g", 1.0)], "scheme string, group string, group_weight double")
+    card = scorecard.card(scores, weights, scheme, "file_id")
+    return scorecard.certified(card, held, "benchmark-run-internal", keys).select("file_id", "level", F.round("score", 6).alias("score"), "verification")
+
+
 @query("""
 SELECT path, nodes, CASE WHEN path = '/' THEN 'Author f0;Author f2;Author f1;Both;' END AS authors FROM
  (SELECT '/' AS path, 3 AS nodes UNION ALL SELECT '/points/s' || s_suppkey, 1 FROM supplier WHERE s_nationkey < 3)""")

@@ -134,3 +134,15 @@ def test_a_changed_value_breaks_the_certificate(spark):
     for value, valid in (("value", True), ("CASE WHEN position = 700 THEN value + 1e-12 ELSE value END AS value", False)):
         now = provenance.payload_digest(payload.repartition(3).selectExpr("file_id", "path", "position", value), "file_id", "path", position="position")
         assert [r.valid for r in provenance.check_certificates(provenance.with_payloads(held, now), payload_sha="payload_sha").collect()] == [valid]
+
+
+def test_cards_need_a_valid_certificate(spark):
+    from emberframe.operators import scorecard
+
+    held = provenance.add_certificate(catalog(spark, 1).unionByName(catalog(spark, 2)), "benchmark-run-internal", "k", "s", "2024-01-01T00:00:00Z")
+    broken = held.where("not (file_id = 'f2' and path = '/points')")
+    card = spark.createDataFrame([("f1", "total", "all", 50.0), ("f2", "total", "all", 60.0), ("f3", "total", "all", 70.0)], "file_id string, level string, name string, score double")
+    assert sorted((r.file_id, r.verification) for r in scorecard.certified(card, held, "benchmark-run-internal").collect()) == [("f1", "VL-C"), ("f2", "VL-C")]
+    assert [r.file_id for r in scorecard.certified(card, broken, "benchmark-run-internal").collect()] == ["f1"]
+    with pytest.raises(Exception, match="no valid certificate: f"):
+        scorecard.certified(card, broken, "benchmark-run-internal", strict=True).collect()
