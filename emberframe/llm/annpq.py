@@ -20,6 +20,7 @@ block reports a count for each of them and a spanning forest of its links: never
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from emberframe.llm.workspace import Workspace, components, partitions
 
 SLACK = 1e-6
+PIECE = 1 << 21
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -63,6 +65,14 @@ class Codebook:
     words: list[np.ndarray]
     cuts: list[int]
 
+    @functools.cached_property
+    def coarse_gaps(self) -> np.ndarray:
+        return np.sqrt(np.maximum(squared(self.coarse, self.coarse), 0))
+
+    @functools.cached_property
+    def second_gaps(self) -> np.ndarray:
+        return np.sqrt(np.maximum(squared(self.second, self.second), 0))
+
     def centre(self, lists: np.ndarray) -> np.ndarray:
         """Centroids of lists by number (coarse * number of second ones + second)."""
         return self.coarse[lists // len(self.second)] + self.second[lists % len(self.second)]
@@ -94,25 +104,34 @@ def fit(sample: np.ndarray, coarse: int, second: int = 1, subspaces: int = 8, wo
     return Codebook(first, rest, [kmeans(p, words, 8) for p in np.split(residual, cuts, axis=1)], cuts)
 
 
-def reachable(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest centroid of each vector, and which centroids may be nearest to a vector within reach of it."""
+def reachable(x: np.ndarray, centroids: np.ndarray, reach: float, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centroid of each vector, and which centroids may be nearest to a vector within reach of it; gaps: distances of the centroids."""
     d = squared(x, centroids)
     home, at = d.argmin(1), np.arange(len(x))
-    ok = d - d[at, home][:, None] <= 2 * reach * np.sqrt(squared(centroids, centroids))[home] + SLACK
+    ok = d - d[at, home][:, None] <= 2 * reach * gaps[home] + SLACK
     ok[at, home] = True
     return home, ok
 
 
 def probes(x: np.ndarray, book: Codebook, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Home list of each vector, and all lists that may hold vectors within reach of it."""
-    k = len(book.second)
-    home, ok = reachable(x, book.coarse, reach)
-    who, c = np.nonzero(ok)
-    second, below = reachable(x[who] - book.coarse[c], book.second, reach)
-    own = np.flatnonzero(c == home[who])
-    row, s = np.nonzero(below)
-    found = np.split(c[row] * k + s, np.searchsorted(who[row], np.arange(1, len(x))))
-    return home * k + second[own], found
+    """Home list of each vector, and all lists that may hold vectors within reach of it. Tables of distances hold PIECE numbers at a time."""
+    k, homes, found = len(book.second), [], []
+    for s in range(0, len(x), step := max(1, PIECE // len(book.coarse))):
+        part = x[s : s + step]
+        home, ok = reachable(part, book.coarse, reach, book.coarse_gaps)
+        who, c = np.nonzero(ok)
+        own, rows, lists = np.zeros(len(part), np.int64), [], []
+        for i in range(0, len(who), inner := max(1, PIECE // k)):
+            w, near = who[i : i + inner], c[i : i + inner]
+            second, below = reachable(part[w] - book.coarse[near], book.second, reach, book.second_gaps)
+            mine = near == home[w]
+            own[w[mine]] = second[mine]
+            row, t = np.nonzero(below)
+            rows.append(w[row])
+            lists.append(near[row] * k + t)
+        homes.append(home * k + own)
+        found += np.split(np.concatenate(lists), np.searchsorted(np.concatenate(rows), np.arange(1, len(part))))
+    return np.concatenate(homes), found
 
 
 def hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,12 +271,14 @@ def _links(ws: Workspace, nodes: DataFrame, book: Codebook, threshold: float, bl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(1))
-            unit = x / np.sqrt((x**2).sum(1))[:, None]
-            home, lists = probes(unit, sent.value, reach)
-            codes, err = sent.value.encode(unit - sent.value.centre(home))
-            new = [pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=["label", "v", "node", "mult", "home", "lists", "code", "err"])
+            for start in range(0, batch.num_rows, 256):  # a vector may probe thousands of lists
+                part = batch.slice(start, 256)
+                x = matrix(part.column(1))
+                unit = x / np.sqrt((x**2).sum(1))[:, None]
+                home, lists = probes(unit, sent.value, reach)
+                codes, err = sent.value.encode(unit - sent.value.centre(home))
+                new = [pa.array(home, pa.int64()), pa.array(lists, pa.list_(pa.int64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(err)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=["label", "v", "node", "mult", "home", "lists", "code", "err"])
 
     kind = dict(nodes.dtypes)["v"]
     placed = ws.save(nodes.select("label", "v", "node", "mult").mapInArrow(place, f"label string, v {kind}, node long, mult long, home long, lists array<long>, code binary, err double"), f"placed{d}")

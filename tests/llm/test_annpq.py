@@ -110,3 +110,30 @@ def test_screen_sends_few_vectors(spark):
         sent += len(entry)
         kept += int(annpq.wanted(book, 0.2, inside, unit[inside], entry, home[entry], codes[entry], err[entry]).sum())
     assert kept < 0.3 * sent
+
+
+def test_probes_in_pieces(monkeypatch):
+    """Small pieces give the same lists, and tables of distances stay small for a codebook of 200,000 lists."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    book = annpq.fit(x, 12, 9)
+    home, lists = annpq.probes(x, book, 0.2)
+    for piece in (1, 40, 1000):
+        monkeypatch.setattr(annpq, "PIECE", piece)
+        again = annpq.probes(x, book, 0.2)
+        assert (again[0] == home).all() and all((a == b).all() for a, b in zip(again[1], lists, strict=True))
+    monkeypatch.undo()
+    x = rng.normal(size=(256, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    peaks = []
+    for coarse, second in ((64, 16), (1024, 200)):
+        part = lambda n, scale: scale * rng.normal(size=(n, 64)) / 8
+        large = annpq.Codebook(part(coarse, 1.0), part(second, 0.7), book.words, book.cuts)
+        tracemalloc.start()
+        annpq.probes(x, large, 0.2)
+        peaks.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    assert peaks[1] < 250, peaks
