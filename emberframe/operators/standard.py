@@ -129,6 +129,15 @@ def merge_all(catalogs: list[DataFrame]) -> DataFrame:
     if len(catalogs) == 1:
         return catalogs[0]
     nodes = reduce(DataFrame.unionByName, [c.select(F.lit(i).alias("at"), "path", "kind", "dtype", "shape", "attrs", "file_id") for i, c in enumerate(catalogs)])
+    return _merged(nodes)
+
+
+def merge_files(catalog: DataFrame) -> DataFrame:
+    """``merge_all`` of the files that one catalog table holds, in the order of their ids: any number of files in one pass, without a list on the driver."""
+    return _merged(catalog.select(F.col("file_id").alias("at"), "path", "kind", "dtype", "shape", "attrs", "file_id"))
+
+
+def _merged(nodes: DataFrame) -> DataFrame:
     problems = root_problems(nodes.withColumn("file_id", F.concat_ws(":", "at", "file_id"))).take(5)
     if problems:
         raise ValueError(f"invalid datasets: {[tuple(p) for p in problems]}")

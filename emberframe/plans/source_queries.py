@@ -348,15 +348,28 @@ def s_certified_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorecard.certified(card, held, "benchmark-run-internal", keys).select("file_id", "level", F.round("score", 6).alias("score"), "verification")
 
 
-@query("""
-SELECT path, nodes, CASE WHEN path = '/' THEN 'Author f0;Author f2;Author f1;Both;' END AS authors FROM
- (SELECT '/' AS path, 3 AS nodes UNION ALL SELECT '/points/s' || s_suppkey, 1 FROM supplier WHERE s_nationkey < 3)""")
+_AUTHORS = "(SELECT string_agg(a, ';' ORDER BY a) FROM (SELECT 'Author f' || n_nationkey AS a FROM nation {} UNION ALL SELECT 'Both'))"
+
+
+def _merged_nodes(merged: DataFrame) -> DataFrame:
+    """A merged catalog's paths, units and, in order of their names, authors."""
+    names = F.array_sort(F.filter(F.split(F.element_at("attrs", "created_by"), ";"), lambda n: n != ""))
+    return merged.select("path", F.element_at("attrs", "units").alias("units"), F.array_join(names, ";").alias("authors"))
+
+
+@query(f"SELECT '/' AS path, NULL AS units, {_AUTHORS.format('')} AS authors UNION ALL SELECT '/points/s' || s_suppkey, 'm', NULL FROM supplier")
 def x_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three datasets merged at once: a node for each path, authors in turn."""
-    files = _files(spark, sf_dir)
-    merged = standard.merge_all([files.where(F.col("file_id") == f"f{k}") for k in range(3)])
-    nodes = F.when(F.col("path") == "/", 3).otherwise(1)
-    return merged.select("path", nodes.alias("nodes"), F.element_at("attrs", "created_by").alias("authors"))
+    """The datasets of all nations merged at once: a node for each path, every author once."""
+    return _merged_nodes(standard.merge_files(_files(spark, sf_dir)))
+
+
+@query(f"SELECT '/' AS path, NULL AS units, {_AUTHORS.format('WHERE n_nationkey < 2')} AS authors UNION ALL SELECT '/points/s' || s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'm' ELSE 'ft' END, NULL FROM supplier")
+def x_merge_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets, of the suppliers of even nations and of the others, checked and merged."""
+    files, nation = _files(spark, sf_dir), F.substring("file_id", 2, 9).cast("int")
+    side = lambda k: files.where((nation % 2 == k) & ((F.col("path") != "/") | (nation == k))).withColumn("file_id", F.lit(f"f{k}"))
+    right = side(1).withColumn("attrs", F.when(F.col("path") == "/", F.col("attrs")).otherwise(F.create_map(F.lit("units"), F.lit("ft"))))
+    return _merged_nodes(standard.merge_two(side(0), right))
 
 
 @query("SELECT 's' || s_suppkey AS name, CAST(s_nationkey AS DOUBLE) AS height, CASE WHEN s_nationkey % 2 = 0 THEN 'm' ELSE 'ft' END AS unit FROM supplier")

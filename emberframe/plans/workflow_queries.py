@@ -98,6 +98,20 @@ _contract("hamada_1", "k_hamada1", lambda c: {
     "building_length_side": 10 + c["slope"] / 2, "building_length_separation": 3 + c["height"], "wind_speed_u": c["wind"], "wind_speed_v": c["load"], "normal_spread_dir_x": F.lit(0.8), "normal_spread_dir_y": F.lit(0.6),
 })
 
+
+@query("SELECT l_orderkey, l_linenumber, round((0.1 + 0.02 * l_quantity) * (1 + CASE WHEN l_linenumber % 2 = 0 THEN 0.5 ELSE l_discount END), 6) AS ros FROM lineitem")
+def p_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of one's own: two inputs, one of them optional with a default, and a kernel of columns."""
+    mine = models.register(models.Model("linear", (models.Param("wind", "wind_speed", "m s-1", 0), models.Param("gain", "fuel_gain", "1", 0, 1, 0.5)), lambda wind, gain: (0.1 + 0.02 * wind) * (1 + gain)))
+    try:
+        items = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("wind_speed"), F.col("l_discount").alias("fuel_gain"))
+        even = F.col("l_linenumber") % 2 == 0
+        runs = [mine.apply(items.where(even).drop("fuel_gain")), mine.apply(items.where(~even)).drop("fuel_gain")]
+    finally:
+        del models.REGISTRY["linear"]
+    return runs[0].unionByName(runs[1]).select("l_orderkey", "l_linenumber", F.round(mine.output, 6).alias("ros"))
+
+
 _DAMAGE = ("No Damage", "Affected (1-9%)", "Major (26-50%)", "Destroyed (>50%)", "Inaccessible")
 
 
