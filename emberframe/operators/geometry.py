@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberframe.operators import overlay
-from emberframe.session import portable, scratch
+from emberframe.session import portable, saved
 
 portable(__name__)
 # Ellipsoid and parameters of the equal-area projections (standard parallels or latitude of origin, central meridian).
@@ -254,7 +254,7 @@ def stitched_rings(pieces: DataFrame, digits: int = 9, alone: int = 1 << 16) ->
     forward = F.when(F.col("a") < F.col("b"), 1).otherwise(-1)
     left = sides.groupBy(key, F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.sum(forward).alias("n")).where("n <> 0")
     left = left.select(key, F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("high")).alias("a"), F.when(F.col("n") > 0, F.col("high")).otherwise(F.col("low")).alias("b"))
-    left = _saved(left.withColumn("side", F.monotonically_increasing_id()), "outline")
+    left = saved(left.withColumn("side", F.monotonically_increasing_id()), "outline")
     sizes = left.groupBy(key).count()
     few, many = (left.join(sizes.where(c).select(key), key, "left_semi") for c in (F.col("count") <= alone, F.col("count") > alone))
 
@@ -281,13 +281,6 @@ def stitched_rings(pieces: DataFrame, digits: int = 9, alone: int = 1 << 16) ->
     return rings.select(key, "ring_id", (ring_signed_area(F.col("ring")) < 0).alias("hole"), "ring")
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a table of the shared scratch folder, which cuts its lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _ranked_rings(sides: DataFrame, key: str) -> DataFrame:
     """Rings of directed sides (key, a, b, side: a number of its own), by list ranking: key, ring_id, ring.
 
@@ -300,12 +293,12 @@ def _ranked_rings(sides: DataFrame, key: str) -> DataFrame:
     turn = F.pmod(angle(F.col("b"), F.col("a")) - angle(F.col("b"), F.col("to")), F.lit(2 * math.pi))
     ways = sides.join(after, [key, "b"]).groupBy("side").agg(F.min_by("next", turn).alias("next"))
     # each side knows the least of the ``step`` sides from itself on, and points to the one behind them
-    state, step = _saved(ways.select("side", "next", F.col("side").alias("least"), F.lit(0).cast("long").alias("far")), "ranks"), 1
+    state, step = saved(ways.select("side", "next", F.col("side").alias("least"), F.lit(0).cast("long").alias("far")), "ranks"), 1
     while True:
         on = state.select(F.col("side").alias("next"), F.col("next").alias("beyond"), F.col("least").alias("theirs"), F.col("far").alias("ahead"))
         closer = F.col("theirs") < F.col("least")
         new = state.join(on, "next").select("side", F.col("beyond").alias("next"), F.least("least", "theirs").alias("least"), F.when(closer, F.col("ahead") + step).otherwise(F.col("far")).alias("far"), closer.alias("changed"))
-        state, step = _saved(new, "ranks"), step * 2
+        state, step = saved(new, "ranks"), step * 2
         if not state.where("changed").limit(1).count():
             break
         state = state.drop("changed")

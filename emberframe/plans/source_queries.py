@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from emberframe.functions import kpi, timefmt, units
 from emberframe.operators import fuels, geometry, metrics, models, provenance, scorecard, sensitivity, standard, workflows
 from emberframe.plans.metric_queries import query
-from emberframe.session import load, portable, scratch
+from emberframe.session import load, portable, saved, scratch
 from emberframe.sources import files, geotiff, kml, rasters, stations, tables
 from emberframe.sources.geotiff import encode as encode_tiff
 
@@ -322,8 +322,10 @@ def v_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(nation == 2, "stranger").when(nation == 3, "old").otherwise("good").alias("key_id")
     names = F.explode(F.array(F.lit("benchmark-run-internal"), F.lit("obs-verified-obs-dataset"))).alias("certificate")
     wanted = files.select("file_id").distinct().select("file_id", names, key, F.lit("Both").alias("signer"), F.lit("2024-01-02T00:00:00Z").alias("created_on"))
-    held = provenance.with_payloads(provenance.add_certificates(files, wanted, sha), digests(later))
+    signed = saved(provenance.add_certificates(saved(files, "files"), wanted, sha), "signed")
+    held = provenance.with_payloads(signed, digests(later))
     changed = held.withColumn("attrs", F.when((nation == 1) & (F.col("path") == "/"), F.map_concat("attrs", F.create_map(F.lit("description"), F.lit("later")))).otherwise(F.col("attrs")))
+    changed = saved(changed, "changed")
     keys = spark.createDataFrame([("good", "Both", False), ("old", "Both", True)], "key_id string, signer string, revoked boolean")
     found = provenance.check_certificates(changed, keys, sha).where("certificate = 'benchmark-run-internal'").select("file_id", "reason")
     return found.join(provenance.file_levels(changed, keys, sha), "file_id")
