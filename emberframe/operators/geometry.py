@@ -122,11 +122,12 @@ def overlap_area(first: list[tuple[float, float]], second: list[tuple[float, flo
 def _shared(a: str, b: str) -> Column:
     """Area that two columns of simple rings share."""
 
-    def areas(first: pd.Series, second: pd.Series) -> pd.Series:
-        points = lambda ring: [(p["x"], p["y"]) for p in ring]
-        return pd.Series(overlay.shared_areas([(points(x), points(y)) for x, y in zip(first, second, strict=True)]))
+    def areas(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        side = lambda x, y: (np.concatenate(x.to_list()), np.concatenate(y.to_list()), x.map(len).to_numpy())
+        return pd.Series(overlay.shared_of(side(ax, ay), side(bx, by), len(ax)) if len(ax) else [])
 
-    return F.pandas_udf(areas, "double")(a, b)
+    along = lambda ring, c: F.transform(ring, lambda p: p[c].cast("double"))
+    return F.pandas_udf(areas, "double")(*[along(ring, c) for ring in (a, b) for c in ("x", "y")])
 
 
 def polygon_overlap(pairs: DataFrame, a: str = "ring_a", b: str = "ring_b", projection: str = "EPSG:5070") -> DataFrame:

@@ -97,24 +97,29 @@ def _crossed(edge: np.ndarray, turn: np.ndarray, second: np.ndarray, bottom: np.
     return out
 
 
-def ring_edges(points: np.ndarray, hole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Edges and turns of a ring (rows x, y) for ``sweep``: outer rings turn one way and holes the other, however they run."""
-    a, b = points, np.roll(points, -1, axis=0)
-    clockwise = (a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1]).sum() < 0
-    up = a[:, 1] < b[:, 1]
-    flat = a[:, 1] == b[:, 1]
-    low, high = np.where(up[:, None], a, b), np.where(up[:, None], b, a)
-    turn = np.where(up == (clockwise != hole), 1, -1)
-    return np.concatenate([low, high], axis=1)[~flat].T, turn[~flat]
+def ring_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rings' numbers, edges and turns for ``sweep``, of rings whose points follow each other; they turn one way, however they run."""
+    ends = np.cumsum(sizes)
+    ahead = np.arange(1, len(x) + 1)
+    ahead[ends[sizes > 0] - 1] = (ends - sizes)[sizes > 0]
+    ring = np.repeat(np.arange(len(sizes)), sizes)
+    clockwise = np.bincount(ring, x * y[ahead] - x[ahead] * y, len(sizes))[ring] < 0
+    up, steep = y < y[ahead], y != y[ahead]
+    low, high = np.where(up, np.arange(len(x)), ahead)[steep], np.where(up, ahead, np.arange(len(x)))[steep]
+    return ring[steep], np.stack([x[low], y[low], x[high], y[high]]), np.where(up == clockwise, 1, -1)[steep]
 
 
 def shared_areas(pairs: list[tuple[list, list]]) -> np.ndarray:
     """Areas that the two simple rings of each pair share; rings are lists of (x, y)."""
-    parts = [(i, s, *ring_edges(np.asarray(ring, float).reshape(-1, 2))) for i, pair in enumerate(pairs) for s, ring in enumerate(pair) if len(ring)]
-    if not parts:
-        return np.zeros(len(pairs))
-    group, second = (np.concatenate([np.full(p[2].shape[1], p[k]) for p in parts]) for k in (0, 1))
-    return sweep(group, second == 1, np.concatenate([p[2] for p in parts], axis=1), np.concatenate([p[3] for p in parts]), len(pairs))[:, 2]
+    sides = [[np.asarray(ring, float).reshape(-1, 2) for ring in side] for side in zip(*pairs, strict=True)] if pairs else [[], []]
+    flat = [(*(np.concatenate([r[:, k] for r in side]) if side else np.zeros(0) for k in (0, 1)), np.array([len(r) for r in side], np.int64)) for side in sides]
+    return shared_of(*flat, len(pairs))
+
+
+def shared_of(first: tuple, second: tuple, n: int) -> np.ndarray:
+    """Areas that rings share, number by number; each side is x and y of all points and the rings' sizes."""
+    (r, e, t), (s, f, u) = ring_edges(*first), ring_edges(*second)
+    return sweep(np.concatenate([r, s]), np.repeat([False, True], [len(r), len(s)]), np.concatenate([e, f], axis=1), np.concatenate([t, u]), n)[:, 2]
 
 
 def _edges(rings: DataFrame, key: list[str]) -> DataFrame:
