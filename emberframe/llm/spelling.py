@@ -37,12 +37,13 @@ def runs(text: str | None) -> list[str]:
 
 
 def thinned(doc_id: int | None, text: str | None, modulus: int) -> Counter:
-    """Counts of a document's runs; a run whose CRC-32 with the document's id ``modulus`` divides loses one letter."""
+    """Counts of a document's runs; a run whose CRC-32 with the document's id ``modulus`` divides loses one letter, and what is left of it no other."""
     count = Counter(runs(text))
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run in [r for r in count if zlib.crc32(r.encode(), start) % modulus == 0]:
+    # all leave before any arrives: what is left of one may be another of them
+    for run, n in [(r, count.pop(r)) for r in [*count] if zlib.crc32(r.encode(), start) % modulus == 0]:
         k = zlib.crc32(run.encode(), start) % len(run)
-        count[run[:k] + run[k + 1 :]] += count.pop(run)
+        count[run[:k] + run[k + 1 :]] += n
     return count
 
 

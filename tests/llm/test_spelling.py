@@ -110,3 +110,15 @@ def test_words_and_odd_rows(spark, monkeypatch):
         assert {r.word: r.n for r in spelling.word_counts(df).collect()} == want
     assert sorted(tuple(r) for r in spelling.groups(df).collect()) == brute(want)
     assert spelling.groups(df.limit(0)).count() == 0
+
+
+def test_a_run_loses_one_letter_only():
+    """What is left of a run may be a run of the same document that loses a letter too; it stays as it is."""
+    for doc_id in range(20_000):
+        start = zlib.crc32(f"{doc_id}:".encode())
+        hits = [a for a in ("a" * n for n in range(6, 40)) if zlib.crc32(a.encode(), start) % 97 == 0]
+        pair = next((a for a in hits if a[1:] in hits), None)
+        if pair:
+            break
+    for text in (f"{pair} {pair[1:]}", f"{pair[1:]} {pair}"):
+        assert spelling.thinned(doc_id, text, 97) == {pair[1:]: 1, pair[2:]: 1}
