@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one row of each group linked by five-word similarity of 0.8 or more: the smallest id (null last), then by hash of the text and of all columns.
 
     Rows count, not ids: rows without an id, and different texts under one id, stay unless their texts are near copies. Texts without a
-    word (null, empty, blank) are copies of each other. The links are those of ``neardup``: a SimHash distance of few bits misses
-    most pairs at similarity 0.8.
+    word (null, empty, blank) are copies of each other. Candidates are those of operator 4's SimHash pigeonring, and of MinHash bands for pairs beyond its
+    radius (a distance of few bits misses most pairs at similarity 0.8); links are checked on the shingles.
     """
     values = [v for f in docs.schema.fields for v in (hashable(F.col(f"`{f.name}`"), f.dataType), F.col(f"`{f.name}`").isNull())]
     one, two, words = spare(docs.columns, "_row", "_row2", "_words")

@@ -1,12 +1,12 @@
 """Near-duplicate groups: documents linked by a Jaccard similarity of word shingles of ``threshold`` or more.
 
-Candidates share a band of a MinHash signature (BANDS bands of ROWS values: a pair at similarity 0.8
-shares none with probability 7e-4, and less above); links are decided on the shingle sets themselves.
-SimHash with pigeonring serves distances of a few bits: pairs at similarity 0.8 differ in ten of 64 bits
-on average and in up to sixteen, and seventeen segments of four bits would be shared by nearly all pairs.
+Candidates come from operator 4's method first: SimHash fingerprints of the shingle sets, met by pigeonring. That serves distances of a
+few bits, and pairs at similarity 0.8 differ in ten of 64 bits on average and in up to sixteen, where seventeen segments of four bits
+would be shared by nearly all pairs. So pairs beyond its radius are found by bands of a MinHash signature as well (BANDS bands of ROWS values: a pair
+at similarity 0.8 shares none with probability 7e-4, and less above). Links are decided on the shingle sets themselves.
 
-Documents with equal sets are one node. Only the texts of nodes that share a band move, compressed. First every node meets
-the least node of each of its bands, in linear work however large the band. Bands whose nodes are all
+Documents with equal sets are one node. Only the texts of nodes that pigeonring joins or that share a band move, compressed. First every node meets
+those that pigeonring joins it to and the least node of each of its bands, in linear work however large the band. Bands whose nodes are all
 connected then are done. The nodes of the others meet in cells, where a pair that is connected already is skipped; large groups
 are cut into a triangle of block pairs.
 """
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberframe.llm import simhash
 from emberframe.llm.decontam import shingle_hashes, word_hashes
 from emberframe.llm.workspace import Workspace, components, partitions
 
@@ -133,6 +134,13 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float, shingle: int) -
         yield links()
 
 
+def ring_candidates(ws: Workspace, nodes: DataFrame) -> DataFrame:
+    """Pairs (node, b) to be checked among ``nodes`` (node, fp): nodes of equal fingerprints and those that pigeonring joins, each with the least of its set."""
+    alike = nodes.groupBy("fp").agg(F.min("node").alias("b"))
+    joined = simhash.links(ws, alike.select(F.col("b").alias("node"), "fp")).select(F.col("a").alias("node"), "b")
+    return nodes.join(alike, "fp").select("node", "b").where("node <> b").unionByName(joined).distinct()
+
+
 def grouped(docs: DataFrame, *names: str, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
     """The columns ``names`` of every row, and ``group``: equal where texts are connected by links.
 
@@ -152,10 +160,11 @@ def grouped(docs: DataFrame, *names: str, threshold: float = 0.8, shingle: int =
                 batch.column(len(names) + 1),
                 pa.array([xxhash.xxh64_intdigest(s.tobytes(), 5) - (1 << 63) for s in sets], pa.int64()),
                 pa.array([bands(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], names=[*own, "t", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], names=[*own, "t", "node", "bands", "fp"])
 
-    schema = T.StructType([*kept.fields, T.StructField("t", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.BinaryType())])
+    schema = T.StructType([*kept.fields, T.StructField("t", T.LongType()), T.StructField("node", T.LongType()), T.StructField("bands", T.BinaryType()), T.StructField("fp", T.LongType())])
     sets = ws.save(rows.mapInArrow(run, schema), "sets")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +177,12 @@ def grouped(docs: DataFrame, *names: str, threshold: float = 0.8, shingle: int =
     low = keyed.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("m")).where("b <> m").select("band", "b")
     shared = ws.save(keyed.join(low, "band").select("node", "band", "b").distinct(), "shared")
 
-    # the texts of one row for each node that shares a band
-    first = sets.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("t").alias("t"), F.min("bands").alias("bands"))
+    ring = ws.save(ring_candidates(ws, sets.where(F.length("bands") > 0).select("node", "fp").distinct()), "ring")
+    edges = shared.select("node", "b").where("node <> b").unionByName(ring).distinct()
+
+    # the texts of one row for each node that has a candidate
+    sharing = shared.select("node").unionByName(ring.select("node")).unionByName(ring.select(F.col("b").alias("node"))).distinct()
+    first = sets.join(sharing, "node").groupBy("node").agg(F.min("t").alias("t"), F.min("bands").alias("bands"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
@@ -179,7 +192,6 @@ def grouped(docs: DataFrame, *names: str, threshold: float = 0.8, shingle: int =
     packed = rows.select("text", "t").mapInArrow(pack, "t long, z binary")
     met = ws.save(packed.join(first, "t").groupBy("node").agg(F.min("z").alias("z"), F.min("bands").alias("bands")), "met")
 
-    edges = shared.select("node", "b").where("node <> b").distinct()
     sizes = edges.groupBy("b").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("n"))
     others = edges.join(sizes, "b").join(met, "node").select("b", F.pmod(F.xxhash64("node"), F.col("n")).alias("chunk"), F.lit(1).alias("side"), "node", "z")
     centres = sizes.join(met.select(F.col("node").alias("b"), "z"), "b")
@@ -213,6 +225,6 @@ def grouped(docs: DataFrame, *names: str, threshold: float = 0.8, shingle: int =
     )
     more = cells.mapInArrow(lambda b: _verify(b, threshold, shingle), "a long, b long")
     roots = components(ws, links.unionByName(more), "linked")
-    ws.drop("shared", "met", "stars", "open", "rest")
+    ws.drop("shared", "ring", "met", "stars", "open", "rest")
     named = [F.col(o).alias(c) for c, o in zip(names, own, strict=True)]
     return sets.select(*own, "node").join(roots, "node", "left").select(*named, F.coalesce("root", "node").alias("group"))

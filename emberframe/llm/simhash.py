@@ -30,6 +30,18 @@ WIDTH = BITS // SEGMENTS
 BLOCK = 8192
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the 64-bit hashes, as an unsigned number."""
+    counts, n = np.zeros(BITS, np.int64), len(h)
+    for i in range(0, n, 255 * 256):
+        bits = np.unpackbits(h[i : i + 255 * 256].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        whole = len(bits) // 255 * 255
+        if whole:
+            counts += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        counts += bits[whole:].sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Unsigned 64-bit SimHash of the whole text: A-Z lower-cased, words split at ASCII white space."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -41,14 +53,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     n = len(words) - k + 1
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, n, 255 * 256):
-        bits = np.unpackbits(h[i : i + 255 * 256].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        whole = len(bits) // 255 * 255
-        if whole:
-            counts += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        counts += bits[whole:].sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

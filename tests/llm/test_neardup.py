@@ -94,3 +94,27 @@ def test_rows_not_ids_decide(spark):
     want = sorted([(7, rows[0][1]), (7, other[0]), (7, other[1]), (None, other[2]), (None, other[3]), (8, other[4]), (None, other[5]), (9, None)], key=str)
     for part in (df, df.repartition(5), df.orderBy("text").coalesce(1)):
         assert sorted(((x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, part, "").collect()), key=str) == want
+
+
+def test_candidates_come_through_pigeonring(spark, monkeypatch):
+    """The stage asks operator 4's index: copies with one word in four hundred changed are candidates there, unlike texts are not."""
+    r = random.Random(14)
+    texts = {}
+    for i in range(20):
+        words = [f"w{r.randrange(4000)}" for _ in range(2000)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), edited(r, words, 1)
+    found = []
+    plain = neardup.ring_candidates
+
+    def spy(ws, nodes):
+        out = plain(ws, nodes)
+        found.append((nodes.collect(), [tuple(x) for x in out.collect()]))
+        return out
+
+    monkeypatch.setattr(neardup, "ring_candidates", spy)
+    groups = {x.doc_id: x.group for x in neardup.grouped(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id").collect()}
+    ((nodes, pairs),) = found
+    fp = {x.node: x.fp & (1 << 64) - 1 for x in nodes}
+    near = {(a, b) for a in fp for b in fp if b < a and (fp[a] ^ fp[b]).bit_count() <= 3}
+    assert len(fp) == 40 and len(near) >= 10 and {(max(p), min(p)) for p in pairs} == near
+    assert len(set(groups.values())) == 20 and all(groups[2 * i] == groups[2 * i + 1] for i in range(20))
