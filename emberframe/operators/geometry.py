@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberframe.operators import overlay
+from emberframe.operators.overlay import group_starts, whole_groups
 from emberframe.session import portable, saved
 
 portable(__name__)
@@ -194,49 +195,150 @@ def smooth(grid: DataFrame, sigma: float, grid_id: str = "grid_id", row: str = "
     return sent.groupBy(grid_id, "_tr", "_tc").applyInArrow(convolve, schema)
 
 
-def _cell_pieces(corners: list[tuple[float, float, float]], level: float) -> list[tuple[float, float]]:
-    """The part of a triangle where the value is at most level; values run linearly along its sides."""
-    out = []
-    for (ax, ay, av), (bx, by, bv) in zip(corners, corners[1:] + corners[:1], strict=True):
-        if av <= level:
-            out.append((ax, ay))
-        if (av <= level) != (bv <= level):
-            t = (level - av) / (bv - av)
-            out.append((ax + t * (bx - ax), ay + t * (by - ay)))
-    return out
+#: Cells of a tile's side, and rows of pixels or sides that a task works on at once.
+_TILE, _ROWS = 256, 1 << 18
 
 
-def filled_cells(grid: DataFrame, level: float, grid_id: str = "grid_id", row: str = "row", col: str = "col", x: str = "lon", y: str = "lat", value: str = "value") -> DataFrame:
+def _tiles(grid: DataFrame, grid_id: str, row: str, col: str, x: str, y: str, value: str) -> DataFrame:
+    """Pixels with a value (grid_id, tr, tc, row, col, x, y, v), sorted within partitions; a pixel is in every tile that holds a cell at one of its corners."""
+    known = grid.select(grid_id, F.col(row).cast("long").alias("row"), F.col(col).cast("long").alias("col"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v")).where("v is not null")
+    tile = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / _TILE), F.floor(F.col(c) / _TILE)))
+    order = [F.col(f"`{grid_id}`"), *map(F.col, ("tr", "tc"))]
+    return known.withColumn("tr", tile("row")).withColumn("tc", tile("col")).select(*order, "row", "col", "x", "y", "v").repartition(*order).sortWithinPartitions(*order, "row", "col")
+
+
+def _squares(rows: pa.Table, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of sorted pixels whose four corners are there once: the number of their tile, the place of their first corner, and x, y and v of corners in turn (3, 4, cells)."""
+    tile = np.cumsum(fresh) - 1
+    tr, tc, r, k = (rows.column(i).to_numpy() for i in range(1, 5))
+    r, k, side = r - tr * _TILE, k - tc * _TILE, _TILE + 1
+    key = (tile * side + r) * side + k
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    once = np.diff(np.append(first, len(key))) == 1
+    key = key[first]
+    corners = [np.flatnonzero((r[first] < _TILE) & (k[first] < _TILE))]
+    good = once[corners[0]]
+    for step in (1, side + 1, side):
+        at = np.minimum(np.searchsorted(key, key[corners[0]] + step), len(key) - 1)
+        good &= (key[at] == key[corners[0]] + step) & once[at]
+        corners.append(at)
+    at = first[np.stack(corners)[:, good]]
+    return tile[at[0]], at[0], np.stack([rows.column(i).to_numpy()[at] for i in (5, 6, 7)])
+
+
+def _pieces(corners: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Convex pieces of cells (x, y and v of corners in turn): each piece's cell and number of points, and x and y of all points.
+
+    Where a side crosses the level is worked out from its inner end, so that pieces on both sides of it have the very same point.
+    """
+    inside = corners[2] <= level
+    whole, cut = np.flatnonzero(inside.all(axis=0)), np.flatnonzero(inside.any(axis=0) & ~inside.all(axis=0))
+    x, y = (corners[i][:, whole].T.ravel() for i in (0, 1))
+    c = corners[:, :, cut]
+    centre = (c[:, 0] + c[:, 1] + c[:, 2] + c[:, 3]) / 4
+    # four triangles a cell: two corners and the centre
+    p = np.stack([c, np.roll(c, -1, axis=1), np.broadcast_to(centre[:, None], c.shape)], axis=1).reshape(3, 3, -1)
+    q = np.roll(p, -1, axis=1)
+    into, out = p[2] <= level, q[2] <= level
+    a, b = np.where(into, p, q), np.where(into, q, p)
+    with np.errstate(all="ignore"):
+        cross = a[:2] + (level - a[2]) / (b[2] - a[2]) * (b[:2] - a[:2])
+    points = np.stack([p[:2], cross], axis=2).reshape(2, 6, -1)
+    held = np.stack([into, into != out], axis=1).reshape(6, -1)
+    held &= held.sum(axis=0) >= 3
+    size = held.sum(axis=0)
+    cell = np.tile(cut, 4)
+    sizes = np.concatenate([np.full(len(whole), 4), size[size > 0]])
+    return np.concatenate([whole, cell[size > 0]]), sizes, np.concatenate([x, points[0].T[held.T]]), np.concatenate([y, points[1].T[held.T]])
+
+
+def _ahead(sizes: np.ndarray) -> np.ndarray:
+    """The place of the point after each one, of rings that follow each other."""
+    ends = np.cumsum(sizes)
+    ahead = np.arange(1, int(sizes.sum()) + 1)
+    ahead[ends - 1] = ends - sizes
+    return ahead
+
+
+def _signed_areas(sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    ahead = _ahead(sizes)
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), x * y[ahead] - x[ahead] * y, len(sizes)) / 2
+
+
+def _points(x: np.ndarray, y: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(x, pa.float64()), pa.array(y, pa.float64())], ["x", "y"])
+
+
+def _of_tiles(grid: DataFrame, level: float, make, schema: str, grid_id: str = "grid_id", row: str = "row", col: str = "col", x: str = "lon", y: str = "lat", value: str = "value") -> DataFrame:
+    """What ``make`` gives for the pieces of whole tiles: arguments are the pixels, the place of each piece's first corner, and ``_pieces``' sizes, x and y; rows begin with grid_id.
+
+    Pixels meet in tiles, so a raster of any size is spread over tasks; many small rasters are worked on at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, fresh in whole_groups(batches, 3, _ROWS):
+            _, at, corners = _squares(rows, fresh)
+            cell, sizes, px, py = _pieces(corners, level)
+            if len(cell):
+                yield make(rows, at[cell], sizes, px, py)
+
+    return _tiles(grid, grid_id, row, col, x, y, value).mapInArrow(run, f"`{grid_id}` {dict(grid.dtypes)[grid_id]}, {schema}")
+
+
+def filled_cells(grid: DataFrame, level: float, **columns: str) -> DataFrame:
     """The region where a raster's value is at most ``level``, as convex pieces: grid_id, row, col, ring.
 
     Every cell is four triangles about its centre (its mean value), so the pieces of neighbours meet
     without gaps, and their areas add up to the filled contour's area, holes left out. A cell
-    with a missing corner has no piece. Corners meet by a self-join on row and column, so a raster
-    of any size is spread over tasks.
+    with a missing corner, or one that is there twice, has no piece. ``columns`` names grid_id, row, col, x (lon), y (lat) and value where they differ.
     """
-    cells = grid.select(grid_id, row, col, x, y, F.nanvl(F.col(value).cast("double"), F.lit(None)).alias("v")).where("v is not null")
-    corner = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (0, 1) for dc in (0, 1)]))
-    spread = cells.withColumn("c", corner).select(grid_id, (F.col(row) - F.col("c.dr")).alias("r"), (F.col(col) - F.col("c.dc")).alias("k"), F.struct((F.col("c.dr") * 2 + F.col("c.dc")).alias("i"), F.col(x).alias("x"), F.col(y).alias("y"), "v").alias("p"))
-    squares = spread.groupBy(grid_id, "r", "k").agg(F.array_sort(F.collect_list("p")).alias("p")).where((F.size("p") == 4) & (F.array_min(F.transform("p", lambda s: s["v"])) <= level))
-
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for g, r, k, p in zip(f[grid_id], f["r"], f["k"], f["p"], strict=True):
-                q = [(s["x"], s["y"], s["v"]) for s in p]
-                ring = [q[0], q[1], q[3], q[2]]
-                if all(s[2] <= level for s in q):
-                    rows.append((g, r, k, [{"x": s[0], "y": s[1]} for s in ring]))
-                    continue
-                centre = tuple(sum(s[i] for s in ring) / 4 for i in range(3))
-                for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-                    part = _cell_pieces([a, b, centre], level)
-                    if len(part) >= 3:
-                        rows.append((g, r, k, [{"x": s[0], "y": s[1]} for s in part]))
-            yield pd.DataFrame(rows, columns=[grid_id, "row", "col", "ring"])
-
-    kind = dict(grid.dtypes)[grid_id]
-    return squares.mapInPandas(pieces, f"{grid_id} {kind}, row long, col long, ring array<struct<x:double,y:double>>")
+
+    def make(rows: pa.Table, at: np.ndarray, sizes: np.ndarray, px: np.ndarray, py: np.ndarray) -> pa.RecordBatch:
+        ring = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), _points(px, py))
+        own = [rows.column(i).take(pa.array(at)).combine_chunks() for i in (0, 3, 4)]
+        return pa.RecordBatch.from_arrays([*own, ring], names=[rows.column_names[0], "row", "col", "ring"])
+
+    return _of_tiles(grid, level, make, "row long, col long, ring array<struct<x:double,y:double>>", **columns)
+
+
+def _filled_sides(grid: DataFrame, level: float, digits: int, **columns: str) -> DataFrame:
+    """Sides (grid_id, a, b) of the pieces of ``filled_cells`` as ``_piece_sides`` gives them, but for those that cancel within a tile: they never leave its task."""
+
+    def make(rows: pa.Table, at: np.ndarray, sizes: np.ndarray, px: np.ndarray, py: np.ndarray) -> pa.RecordBatch:
+        area = np.repeat(_signed_areas(sizes, px, py), sizes)
+        ahead, px, py = _ahead(sizes), np.round(px, digits) + 0.0, np.round(py, digits) + 0.0
+        i, j = np.where(area < 0, ahead, np.arange(len(ahead))), np.where(area < 0, np.arange(len(ahead)), ahead)
+        keep = (area != 0) & ((px[i] != px[j]) | (py[i] != py[j]))
+        i, j = i[keep], j[keep]
+        at = np.repeat(at, sizes)[keep]
+        # rasters of this part by number: their rows follow each other
+        raster = (np.cumsum(group_starts(rows, 1)) - 1)[at]
+        forward = (px[i] < px[j]) | ((px[i] == px[j]) & (py[i] < py[j]))
+        low, high = np.where(forward, i, j), np.where(forward, j, i)
+        order = np.lexsort((py[high], px[high], py[low], px[low], raster))
+        fields = [v[order] for v in (raster, px[low], py[low], px[high], py[high])]
+        fresh = np.concatenate([[True], np.any([f[1:] != f[:-1] for f in fields], axis=0)]) if len(order) else np.zeros(0, bool)
+        n = np.bincount(np.cumsum(fresh) - 1, np.where(forward, 1, -1)[order], int(fresh.sum())).astype(np.int64)
+        first = np.flatnonzero(fresh)
+        # what is left more than once stays more than once
+        left = np.repeat(order[first], np.abs(n))
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(at[left])).combine_chunks(), *(_points(px[e], py[e]) for e in _ends(low[left], high[left], np.repeat(n, np.abs(n))))], names=[rows.column_names[0], "a", "b"])
+
+    return _of_tiles(grid, level, make, "a struct<x:double,y:double>, b struct<x:double,y:double>", **columns)
+
+
+def _ends(low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.where(n > 0, low, high), np.where(n > 0, high, low)
+
+
+def _piece_sides(pieces: DataFrame, digits: int) -> DataFrame:
+    """Directed sides (key, a, b) of pieces turned counter-clockwise."""
+    key = pieces.columns[0]
+    area = ring_signed_area(F.col("ring"))
+    turned = F.when(area < 0, F.reverse("ring")).otherwise(F.col("ring"))
+    snapped = F.transform(turned, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+    ahead = F.concat(F.slice("r", 2, F.size("r") - 1), F.slice("r", 1, 1))
+    return pieces.where(area != 0).select(key, snapped.alias("r")).select(key, F.explode(F.arrays_zip(F.col("r").alias("a"), ahead.alias("b"))).alias("s")).select(key, "s.a", "s.b").where("a <> b")
 
 
 def stitched_rings(pieces: DataFrame, digits: int = 9, alone: int = 1 << 16) -> DataFrame:
@@ -246,23 +348,24 @@ def stitched_rings(pieces: DataFrame, digits: int = 9, alone: int = 1 << 16) ->
     left; where outlines touch in a point they part there. Rasters whose outline has at most ``alone`` sides are followed in a task each; longer
     outlines are ranked by pointer doubling over all tasks. Outer rings run counter-clockwise, holes clockwise; ring_id tells a raster's rings apart.
     """
-    key = pieces.columns[0]
-    area = ring_signed_area(F.col("ring"))
-    turned = F.when(area < 0, F.reverse("ring")).otherwise(F.col("ring"))
-    snapped = F.transform(turned, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
-    ahead = F.concat(F.slice("r", 2, F.size("r") - 1), F.slice("r", 1, 1))
-    sides = pieces.where(area != 0).select(key, snapped.alias("r")).select(key, F.explode(F.arrays_zip(F.col("r").alias("a"), ahead.alias("b"))).alias("s")).select(key, "s.a", "s.b").where("a <> b")
+    return _stitched(_piece_sides(pieces, digits), alone)
+
+
+def _stitched(sides: DataFrame, alone: int = 1 << 16) -> DataFrame:
+    """Rings of directed sides (key, a, b)."""
+    key = sides.columns[0]
     forward = F.when(F.col("a") < F.col("b"), 1).otherwise(-1)
     left = sides.groupBy(key, F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.sum(forward).alias("n")).where("n <> 0")
     left = left.select(key, F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("high")).alias("a"), F.when(F.col("n") > 0, F.col("high")).otherwise(F.col("low")).alias("b"))
     left = saved(left.withColumn("side", F.monotonically_increasing_id()), "outline")
-    sizes = left.groupBy(key).count()
-    few, many = (left.join(sizes.where(c).select(key), key, "left_semi") for c in (F.col("count") <= alone, F.col("count") > alone))
+    large = left.groupBy(key).count().where(F.col("count") > alone).select(key)
+    some = bool(large.limit(1).count())
+    few = left.join(large, key, "left_anti") if some else left
 
-    def follow(f: pd.DataFrame) -> pd.DataFrame:
+    def follow(ends: Iterator[tuple[float, float, float, float]]) -> list[list[tuple]]:
         out: dict[tuple, list] = {}
-        for a, b in zip(f["a"], f["b"], strict=True):
-            out.setdefault((a["x"], a["y"]), []).append((b["x"], b["y"]))
+        for ax, ay, bx, by in ends:
+            out.setdefault((ax, ay), []).append((bx, by))
         rings = []
         for start in sorted(out):
             while out[start]:
@@ -275,10 +378,22 @@ def stitched_rings(pieces: DataFrame, digits: int = 9, alone: int = 1 << 16) ->
                     ring.append(at)
                     before, at = at, ways.pop(0)
                 rings.append(ring)
-        return pd.DataFrame([(f[key].iloc[0], i, [{"x": x, "y": y} for x, y in ring]) for i, ring in enumerate(rings)], columns=[key, "ring_id", "ring"])
-
-    short = few.groupBy(key).applyInPandas(follow, f"`{key}` {dict(pieces.dtypes)[key]}, ring_id long, ring array<struct<x:double,y:double>>")
-    rings = short.unionByName(_ranked_rings(many, key)) if sizes.where(F.col("count") > alone).limit(1).count() else short
+        return rings
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, fresh in whole_groups(batches, 1, _ROWS):
+            first = np.flatnonzero(fresh)
+            ends = [rows.column(i).to_numpy() for i in range(1, 5)]
+            found = [follow(zip(*(e[i:j].tolist() for e in ends), strict=True)) for i, j in zip(first, [*first[1:], len(fresh)], strict=True)]
+            own = np.repeat(first, [len(f) for f in found])
+            flat = np.array([p for f in found for ring in f for p in ring], float).reshape(-1, 2)
+            offsets = np.concatenate([[0], np.cumsum([len(ring) for f in found for ring in f])])
+            ids = np.concatenate([np.arange(len(f)) for f in found])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(own)).combine_chunks(), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _points(flat[:, 0], flat[:, 1]))], names=[key, "ring_id", "ring"])
+
+    flat = few.select(key, *[F.col(f"{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"]).repartition(key).sortWithinPartitions(key)
+    short = flat.mapInArrow(run, f"`{key}` {dict(sides.dtypes)[key]}, ring_id long, ring array<struct<x:double,y:double>>")
+    rings = short.unionByName(_ranked_rings(left.join(large, key, "left_semi"), key)) if some else short
     return rings.select(key, "ring_id", (ring_signed_area(F.col("ring")) < 0).alias("hole"), "ring")
 
 
@@ -312,7 +427,7 @@ def _ranked_rings(sides: DataFrame, key: str) -> DataFrame:
 
 def filled_rings(grid: DataFrame, level: float, sigma: float = 0.0, **columns: str) -> DataFrame:
     """Rings with holes of the region where a raster, smoothed if ``sigma`` is above 0, is at most ``level``."""
-    return stitched_rings(filled_cells(smooth(grid, sigma) if sigma > 0 else grid, level, **columns))
+    return _stitched(_filled_sides(smooth(grid, sigma) if sigma > 0 else grid, level, 9, **columns))
 
 
 def joined_grids(first: DataFrame, second: DataFrame, *key: str, value: str = "value") -> DataFrame:
@@ -330,9 +445,16 @@ def joined_grids(first: DataFrame, second: DataFrame, *key: str, value: str = "v
 
 def filled_area(grid: DataFrame, level: float, **columns: str) -> DataFrame:
     """Area of the filled contour of each raster, in the units of its coordinates."""
-    pieces = filled_cells(grid, level, **columns)
-    key = pieces.columns[0]
-    return pieces.groupBy(key).agg(F.sum(ring_area(F.col("ring"))).alias("area"))
+
+    def make(rows: pa.Table, at: np.ndarray, sizes: np.ndarray, px: np.ndarray, py: np.ndarray) -> pa.RecordBatch:
+        raster = (np.cumsum(group_starts(rows, 1)) - 1)[at]
+        n, order = int(raster.max()) + 1, np.argsort(raster, kind="stable")
+        area, there = np.bincount(raster, np.abs(_signed_areas(sizes, px, py)), n), np.unique(raster[order], return_index=True)
+        own = rows.column(0).take(pa.array(at[order][there[1]])).combine_chunks()
+        return pa.RecordBatch.from_arrays([own, pa.array(area[there[0]])], names=[rows.column_names[0], "area"])
+
+    parts = _of_tiles(grid, level, make, "area double", **columns)
+    return parts.groupBy(parts.columns[0]).agg(F.sum("area").alias("area"))
 
 
 def filled_overlap(first: DataFrame, second: DataFrame, level: float, projection: str | None = None, **columns: str) -> DataFrame:

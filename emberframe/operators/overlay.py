@@ -153,6 +153,41 @@ def _strips(edges: DataFrame, key: list[str]) -> DataFrame:
     return strips.select(*key, "strip", "second", "turn", at(bottom).alias("x0"), bottom.alias("y0"), at(top).alias("x1"), top.alias("y1"))
 
 
+def group_starts(rows: pa.Table, k: int) -> np.ndarray:
+    """Which rows begin a group: those unlike the row before in one of the first k columns; nulls are alike."""
+    fresh = np.ones(rows.num_rows, bool)
+    if rows.num_rows > 1:
+        fresh[1:] = False
+        for i in range(k):
+            c = rows.column(i)
+            a, b = c.slice(1), c.slice(0, rows.num_rows - 1)
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))  # noqa: FBT003
+            fresh[1:] |= ~same.to_numpy()
+    return fresh
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], k: int, rows_at_once: int = 1) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole groups, of some ``rows_at_once`` rows or one group's, and which of their rows begin a group."""
+    held: list[pa.RecordBatch] = []
+    n, least = 0, rows_at_once
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        rows = pa.Table.from_batches(held)
+        fresh = group_starts(rows, k)
+        last = int(np.flatnonzero(fresh)[-1]) if n else 0
+        if last:  # the last group may go on in the next batch
+            yield rows.slice(0, last), fresh[:last]
+            held = rows.slice(last).combine_chunks().to_batches()
+            n = rows.num_rows - last
+        # a group longer than that is looked at again once it has doubled
+        least = max(rows_at_once, 2 * n if n >= rows_at_once else 0)
+    if held and (rows := pa.Table.from_batches(held)).num_rows:
+        yield rows, group_starts(rows, k)
+
+
 def overlay(rings: DataFrame, *key: str) -> DataFrame:
     """Areas of two layers of each key: area_a, area_b, area_both, area_union, jaccard, dice, in the units of the coordinates.
 
@@ -165,8 +200,6 @@ def overlay(rings: DataFrame, *key: str) -> DataFrame:
     k = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
         def areas(rows: pa.Table, fresh: np.ndarray) -> pa.RecordBatch:
             first = np.flatnonzero(fresh)
             edge = np.stack([rows.column(k + 3 + i).to_numpy() for i in range(4)])
@@ -174,27 +207,8 @@ def overlay(rings: DataFrame, *key: str) -> DataFrame:
             own = rows.select(range(k)).take(pa.array(first))
             return pa.Table.from_arrays([*own.columns, *(pa.array(got[:, i]) for i in range(3))], names=[*keys, "a", "b", "both"]).combine_chunks().to_batches()[0]
 
-        def starts(rows: pa.Table) -> np.ndarray:
-            fresh = np.ones(rows.num_rows, bool)
-            if rows.num_rows > 1:
-                fresh[1:] = False
-                for i in range(k + 1):
-                    c = rows.column(i)
-                    a, b = c.slice(1), c.slice(0, rows.num_rows - 1)
-                    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))  # noqa: FBT003
-                    fresh[1:] |= ~same.to_numpy()
-            return fresh
-
-        for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held)
-            fresh = starts(rows)
-            last = int(np.flatnonzero(fresh)[-1]) if rows.num_rows else 0
-            if last:  # the last group may go on in the next batch
-                yield areas(rows.slice(0, last), fresh[:last])
-                held = rows.slice(last).combine_chunks().to_batches()
-        if held and (rows := pa.Table.from_batches(held)).num_rows:
-            yield areas(rows, starts(rows))
+        for rows, fresh in whole_groups(batches, k + 1):
+            yield areas(rows, fresh)
 
     types = dict(rings.dtypes)
     parts = strips.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), "a double, b double, both double"]))

@@ -110,3 +110,27 @@ def test_resample_between_unlike_spacings(spark):
                 v = a[np.abs(y0 + (np.arange(a.shape[0]) + 0.5) * dy - y).argmin(), np.abs(x0 + (np.arange(a.shape[1]) + 0.5) * dx - x).argmin()]
                 want = None if np.isnan(v) else v
             assert got[name] == want
+
+
+def test_filled_pieces_meet_in_tiles(spark, monkeypatch):
+    """Tiles of any size give the same area and rings; a pixel that is there twice or missing leaves its four cells out; sides inside a tile are not sent."""
+    r = np.random.default_rng(3)
+    v = r.random((23, 19)) + np.hypot(*np.mgrid[-1:1:23j, -1:1:19j])
+    rows = [(g, i - 2, j - 3, float(j), float(-i if g == "b" else i), float(v[i, j])) for g in "ab" for i in range(23) for j in range(19) if (i, j) != (9, 9)]
+    rows += [r for r in rows if (r[1] + 2, r[2] + 3) == (4, 4)]
+    grid = spark.createDataFrame(rows, "grid_id string, row int, col int, lon double, lat double, value double")
+    found = []
+    for tile in (256, 5, 1):
+        monkeypatch.setattr(geometry, "_TILE", tile)
+        area = {x.grid_id: x.area for x in geometry.filled_area(grid, 0.9).collect()}
+        rings = geometry.filled_rings(grid, 0.9)
+        plain = geometry.stitched_rings(geometry.filled_cells(grid, 0.9))
+        rings, plain = (sorted((x.grid_id, x.hole, sorted((round(p.x, 6), round(p.y, 6)) for p in x.ring)) for x in t.collect()) for t in (rings, plain))
+        assert rings == plain and len(rings) > 6
+        found.append((rings, {k: round(a, 9) for k, a in area.items()}))
+        sides = geometry._filled_sides(grid, 0.9, 9).count()
+        if tile == 256:
+            assert sides == sum(len(p) for *_, p in rings)
+    assert found[0] == found[1] == found[2]
+    cells = {(x.row, x.col) for x in geometry.filled_cells(grid, 9.0).where("grid_id = 'a'").collect()}
+    assert len(cells) == 22 * 18 - 8
