@@ -73,20 +73,32 @@ def damage_burnt(damage: Column) -> Column:
     return F.when(damage.startswith("Inaccessible"), None).when(damage.isNotNull(), damage.startswith("Major") | damage.startswith("Destroyed"))
 
 
+#: Grid points of a box that a row of ``nearest_cell`` holds at once, or some more.
+_BUNDLE = 256
+
+
 def nearest_cell(points: DataFrame, grid: DataFrame, size: float, point_id: str = "point_id", x: str = "x", y: str = "y") -> DataFrame:
-    """points and the value of the nearest grid point within ``size``: an equi-join on boxes of that size.
+    """points and the value of the nearest grid point within ``size``: an equi-join on boxes of that size; of equally near ones the least (x, y, value).
 
-    Points fall into one box, grid points into nine, so near pairs always meet; the nearest wins by
-    an aggregate. Points without a grid point within ``size`` have NULL.
+    Points fall into one box, grid points into nine, so near pairs always meet. A box's grid points come in bundles of _BUNDLE at most, and each point
+    picks the nearest of a bundle where it meets it, so what is left to be grouped is a row for each point and bundle. Points without a grid point
+    within ``size`` have NULL.
     """
     box = lambda c: F.floor(F.col(c) / size).cast("long")
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    g = grid.select(F.col(x).alias("gx"), F.col(y).alias("gy"), "value", box(x).alias("bx"), box(y).alias("by")).withColumn("n", near)
-    g = g.select("gx", "gy", "value", (F.col("bx") + F.col("n.i")).alias("bx"), (F.col("by") + F.col("n.j")).alias("by"))
-    p = points.withColumn("bx", box(x)).withColumn("by", box(y))
-    d2 = (F.col("gx") - F.col(x)) * (F.col("gx") - F.col(x)) + (F.col("gy") - F.col(y)) * (F.col("gy") - F.col(y))
-    best = p.join(g, ["bx", "by"]).where(d2 <= size * size).groupBy(point_id).agg(F.min(F.struct(d2.alias("d2"), "gx", "gy", "value")).alias("b"))
-    return points.join(best.select(point_id, F.col("b.value").alias("value"), F.sqrt("b.d2").alias("distance")), point_id, "left")
+    known = grid.select(F.col(x).alias("gx"), F.col(y).alias("gy"), "value", box(x).alias("hx"), box(y).alias("hy"))
+    # grid points of a box are dealt to as many bundles as they fill
+    filled = known.groupBy("hx", "hy").agg(F.ceil(F.count("*") / _BUNDLE).alias("parts"))
+    dealt = known.join(filled, ["hx", "hy"]).withColumn("part", F.pmod(F.xxhash64("gx", "gy", "value"), F.col("parts")))
+    g = dealt.groupBy("hx", "hy", "part").agg(F.collect_list(F.struct("gx", "gy", "value")).alias("bundle")).withColumn("n", near)
+    g = g.select((F.col("hx") + F.col("n.i")).alias("_bx"), (F.col("hy") + F.col("n.j")).alias("_by"), "bundle")
+    p = points.select(F.col(point_id).alias("_id"), F.col(x).alias("_px"), F.col(y).alias("_py"), box(x).alias("_bx"), box(y).alias("_by"))
+    d2 = lambda v: (v["gx"] - F.col("_px")) * (v["gx"] - F.col("_px")) + (v["gy"] - F.col("_py")) * (v["gy"] - F.col("_py"))
+    # least distances first: only equally near grid points become rows of their own
+    met = p.join(g, ["_bx", "_by"]).withColumn("_m", F.array_min(F.transform("bundle", d2))).where(F.col("_m") <= size * size)
+    least = F.array_min(F.filter("bundle", lambda v: d2(v) == F.col("_m")))
+    best = met.select("_id", F.struct(F.col("_m").alias("d2"), least.alias("g")).alias("b")).groupBy("_id").agg(F.min("b").alias("b"))
+    return points.join(best.select(F.col("_id").alias(point_id), F.col("b.g.value").alias("value"), F.sqrt("b.d2").alias("distance")), point_id, "left")
 
 
 def resample(target: DataFrame, source: DataFrame, *key: str, value: str = "value", to_source: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:

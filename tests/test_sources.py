@@ -94,3 +94,24 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     want = {(r.window_start, r.event_type): (round(r.kpi, 9), r.n) for r in call(base).collect()}
     got = {(r.window_start, r.event_type): (round(r.kpi, 9), r.n) for r in out.collect()}
     assert got and all(want[k] == v for k, v in got.items())
+
+
+def test_nearest_cell_groups_points_not_pairs(spark, monkeypatch):
+    """One row for each point and bundle is grouped, whatever a box holds; ties go to the least place, repeated ids share what is nearest."""
+    import random
+
+    r = random.Random(5)
+    grid = [(float(r.randrange(9)), float(r.randrange(9)), float(r.randrange(4))) for _ in range(150)] + [(-0.5, -0.5, None)]
+    points = [(i % 60, r.uniform(-3, 11), r.uniform(-3, 11)) for i in range(70)] + [(60, 4.5, 4.5), (61, 50.0, 0.0), (62, None, 1.0)]
+    g, p = spark.createDataFrame(grid, "x double, y double, value double"), spark.createDataFrame(points, "point_id int, x double, y double")
+    want = {}
+    for i in {i for i, *_ in points}:
+        near = [((x - px) ** 2 + (y - py) ** 2, x, y, (v is not None, v or 0)) for k, px, py in points if k == i and px is not None for x, y, v in grid]
+        near = min((n for n in near if n[0] <= 2.25), default=None)
+        want[i] = (near[3][1] if near and near[3][0] else None, round(near[0] ** 0.5, 9) if near else None)
+    for bundle in (256, 3):
+        monkeypatch.setattr(rasters, "_BUNDLE", bundle)
+        out = rasters.nearest_cell(p, g, 1.5)
+        got = out.collect()
+        assert len(got) == len(points) and {(x.point_id, x.value, x.distance and round(x.distance, 9)) for x in got} == {(i, *v) for i, v in want.items()}
+    assert "array_min" in out._jdf.queryExecution().toString()
