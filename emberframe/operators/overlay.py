@@ -21,6 +21,8 @@ from emberframe.session import portable
 portable(__name__)
 #: Edges of a strip, edges in slabs that are swept at once, and strips of one shape at most.
 EDGES, AT_ONCE, STRIPS = 4096, 1 << 20, 1024
+#: Edges that begin or end in a band of ``pruned``.
+LEAF = 48
 
 
 def _x(y: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -97,6 +99,67 @@ def _crossed(edge: np.ndarray, turn: np.ndarray, second: np.ndarray, bottom: np.
     return out
 
 
+def pruned(edge: np.ndarray, second: np.ndarray, turn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Edges of one group cut into bands whose areas add up to the group's, without those that lie deep inside their layer (edge, second, turn of each band).
+
+    A band is halved while more than LEAF edges begin or end in it. Of the edges that run through it, a layer's are taken together where the layer is at least one turn deeper than
+    the others could take away: there it is full, whatever they do. What they turn is added to the last of them. So where many parts lie on
+    each other the work follows the number of edges, not that of all edges beside each other at every height.
+    """
+    todo = [(edge[1].min(), edge[3].max(), edge, second, turn)]
+    while todo:
+        lo, hi, e, s, t = todo.pop()
+        at = lambda y, e=e: np.where(y == e[1], e[0], np.where(y == e[3], e[2], _x(y, e)))
+        bottom, top = np.maximum(e[1], lo), np.minimum(e[3], hi)
+        e = np.stack([at(bottom), bottom, at(top), top])
+        through = (bottom == lo) & (top == hi)
+        keep = np.ones(len(s), bool)
+        t = t.copy()
+        for layer in (False, True):
+            own = np.flatnonzero(through & (s == layer))
+            away = -np.minimum(t[~through & (s == layer)], 0).sum()
+            own = own[np.lexsort((e[2, own], e[0, own]))]
+            if len(own) < 3 or (np.diff(e[2, own]) < 0).any():
+                continue
+            full = np.cumsum(t[own]) > away
+            inner = np.flatnonzero(full[1:-1] & full[:-2]) + 1  # full on both sides
+            if len(inner):
+                # the next edge that stays takes over what those before it turn
+                stays = np.ones(len(own), bool)
+                stays[inner] = False
+                run = np.cumsum(t[own])[stays]
+                t[own[stays]] = np.diff(run, prepend=0)
+                keep[own[inner]] = False
+        ends = np.unique(np.concatenate([bottom[bottom > lo], top[top < hi]]))
+        e, s, t = e[:, keep], s[keep], t[keep]
+        if len(ends) < 2 or (~through).sum() <= LEAF:
+            yield e, s, t
+            continue
+        middle = ends[len(ends) // 2]
+        for a, b in ((lo, middle), (middle, hi)):
+            part = (e[1] < b) & (e[3] > a)
+            if part.any():
+                todo.append((a, b, e[:, part], s[part], t[part]))
+
+
+def pruned_sweep(group: np.ndarray, second: np.ndarray, edge: np.ndarray, turn: np.ndarray, groups: int) -> np.ndarray:
+    """``sweep`` of edges sorted by group, where groups of many edges are pruned first."""
+    size = np.bincount(group, minlength=groups)
+    ends, of, parts = np.cumsum(size), [], []
+    for g in np.flatnonzero(size > 8 * LEAF).tolist():
+        i, j = ends[g] - size[g], ends[g]
+        for part in pruned(edge[:, i:j], second[i:j], turn[i:j]):
+            of.append(g)
+            parts.append(part)
+    small = size[group] <= 8 * LEAF
+    if not parts:
+        return sweep(group, second, edge, turn, groups)
+    band = np.repeat(np.arange(len(parts)) + groups, [len(p[1]) for p in parts])
+    got = sweep(np.concatenate([group[small], band]), np.concatenate([second[small], *(p[1] for p in parts)]), np.concatenate([edge[:, small], *(p[0] for p in parts)], axis=1), np.concatenate([turn[small], *(p[2] for p in parts)]), groups + len(parts))
+    np.add.at(got, np.array(of), got[groups:])
+    return got[:groups]
+
+
 def ring_edges(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rings' numbers, edges and turns for ``sweep``, of rings whose points follow each other; they turn one way, however they run."""
     ends = np.cumsum(sizes)
@@ -203,7 +266,7 @@ def overlay(rings: DataFrame, *key: str) -> DataFrame:
         def areas(rows: pa.Table, fresh: np.ndarray) -> pa.RecordBatch:
             first = np.flatnonzero(fresh)
             edge = np.stack([rows.column(k + 3 + i).to_numpy() for i in range(4)])
-            got = sweep(np.cumsum(fresh) - 1, rows.column(k + 1).to_numpy(), edge, rows.column(k + 2).to_numpy(), len(first))
+            got = pruned_sweep(np.cumsum(fresh) - 1, rows.column(k + 1).to_numpy(), edge, rows.column(k + 2).to_numpy(), len(first))
             own = rows.select(range(k)).take(pa.array(first))
             return pa.Table.from_arrays([*own.columns, *(pa.array(got[:, i]) for i in range(3))], names=[*keys, "a", "b", "both"]).combine_chunks().to_batches()[0]
 

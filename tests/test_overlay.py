@@ -142,3 +142,28 @@ def test_rings_meet():
     assert meets([(1, 1), (2, 1), (1, 2)]) and meets([(-9, -9), (9, -9), (9, 9), (-9, 9)])  # one inside the other
     assert meets([(4, 4), (5, 4), (5, 5)]) and meets([(4, 1), (6, 1), (6, 3)]) and meets([(2, 4), (2, 9), (1, 9)])  # corner, side, point on a side
     assert not meets([(4.1, 0), (5, 0), (5, 9)]) and not meets([(5, 5), (6, 5), (5, 6)])
+
+
+def test_pruned_bands_have_the_areas_of_the_whole():
+    """Boxes, triangles and holes on each other: bands without deep edges give the same areas, from far fewer edges beside each other."""
+    r = np.random.default_rng(2)
+    for holes, corners in ((0, 4), (40, 4), (0, 3), (40, 3)):
+        n = 1200
+        low, size = r.random((n, 2)) * 100, r.random((n, 2)) * 12 + 4
+        if corners == 4:
+            x, y = (np.stack([low[:, k] + size[:, k] * c for c in part], axis=1).ravel() for k, part in ((0, (0, 1, 1, 0)), (1, (0, 0, 1, 1))))
+        else:
+            x, y = (np.stack([low[:, k] + size[:, k] * r.random(n) for _ in range(3)], axis=1).ravel() for k in (0, 1))
+        ring, edge, turn = overlay.ring_edges(x, y, np.full(n, corners))
+        turn = np.where(ring < holes, -turn, turn)
+        second = ring % 3 == 0
+        zero = np.zeros(len(ring), np.int64)
+        want = overlay.sweep(zero, second, edge, turn, 1)
+        assert overlay.pruned_sweep(zero, second, edge, turn, 1)[0] == pytest.approx(want[0], rel=1e-9)
+        work = lambda e: np.subtract(*(np.searchsorted(np.unique(e[[1, 3]]), e[i]) for i in (3, 1))).sum()
+        parts = list(overlay.pruned(edge, second, turn))
+        if corners == 4:
+            deep = [np.concatenate([v] * 8, axis=-1) for v in (edge, second, turn)]
+            deep[0] = deep[0] + np.repeat(r.random(8), edge.shape[1]) * [[1], [0], [1], [0]] + np.repeat(r.random(8), edge.shape[1]) * [[0], [1], [0], [1]]
+            eight = sum(work(e) for e, *_ in overlay.pruned(*deep))
+            assert eight < 0.1 * work(deep[0]) and len(parts) > 10
