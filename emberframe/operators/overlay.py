@@ -353,7 +353,29 @@ def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def layer_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """Pairs of polygons of two layers that share an area, with area_a, area_b, area_both, area_union, jaccard and dice."""
+    """Pairs of polygons of two layers that share an area, with area_a, area_b, area_both, area_union, jaccard and dice.
+
+    Where the two rings of a pair have EDGES points at most they are swept where they meet, many pairs at once; pairs of longer rings go through ``overlay``.
+    """
     pairs = spatial_join(left, right, left_id, right_id, exact=False)
-    sides = [pairs.join(d.select(i, "ring"), i).select(left_id, right_id, F.lit(s).alias("side"), F.lit(False).alias("hole"), "ring") for d, i, s in ((left, left_id, "a"), (right, right_id, "b"))]
-    return overlay(sides[0].unionByName(sides[1]), left_id, right_id).where("area_both > 0")
+    both = pairs
+    for d, i, n in ((left, left_id, "_a"), (right, right_id, "_b")):
+        both = both.join(d.select(i, F.col("ring").alias(n)), i)
+
+    @F.pandas_udf("area_a double, area_b double, area_both double")
+    def areas(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.DataFrame:
+        side = lambda x, y: ring_edges(np.concatenate(x.to_list()), np.concatenate(y.to_list()), x.map(len).to_numpy())
+        (r, e, t), (s, f, u) = (side(ax, ay), side(bx, by)) if len(ax) else [(np.zeros(0, np.int64), np.zeros((4, 0)), np.zeros(0, np.int64))] * 2
+        got = sweep(np.concatenate([r, s]), np.repeat([False, True], [len(r), len(s)]), np.concatenate([e, f], axis=1), np.concatenate([t, u]), len(ax))
+        return pd.DataFrame(got, columns=["area_a", "area_b", "area_both"])
+
+    along = lambda ring, c: F.transform(ring, lambda p: p[c].cast("double"))
+    small = F.size("_a") + F.size("_b") <= EDGES
+    swept = both.where(small).select(left_id, right_id, areas(*[along(F.col(ring), c) for ring in ("_a", "_b") for c in "xy"]).alias("v")).select(left_id, right_id, "v.*")
+    union = F.col("area_a") + F.col("area_b") - F.col("area_both")
+    out = with_scores(swept.withColumn("area_union", union))
+    # one number a layer: the longest ring
+    if sum(d.agg(F.max(F.size("ring"))).first()[0] or 0 for d in (left, right)) > EDGES:
+        sides = [both.where(~small).select(left_id, right_id, F.lit(s).alias("side"), F.lit(False).alias("hole"), F.col(n).alias("ring")) for n, s in (("_a", "a"), ("_b", "b"))]
+        out = out.unionByName(overlay(sides[0].unionByName(sides[1]), left_id, right_id))
+    return out.where("area_both > 0")

@@ -167,3 +167,25 @@ def test_pruned_bands_have_the_areas_of_the_whole():
             deep[0] = deep[0] + np.repeat(r.random(8), edge.shape[1]) * [[1], [0], [1], [0]] + np.repeat(r.random(8), edge.shape[1]) * [[0], [1], [0], [1]]
             eight = sum(work(e) for e, *_ in overlay.pruned(*deep))
             assert eight < 0.1 * work(deep[0]) and len(parts) > 10
+
+
+def test_layer_overlap_sweeps_pairs_where_they_meet(spark, monkeypatch):
+    """Sides of short rings are not dealt out again; long rings go through strips, with the same areas."""
+    r = random.Random(6)
+
+    def layer(name, n):
+        rows = []
+        for i in range(n):
+            x, y, w, h = r.uniform(0, 20), r.uniform(0, 20), r.uniform(1, 4), r.uniform(1, 4)
+            ring = [(x, y), (x + w, y + h / 3), (x + w, y + h), (x, y + h / 2)]
+            rows.append((i, ring[::-1] if i % 2 else ring))
+        return spark.createDataFrame(rows, f"{name} int, ring array<struct<x:double,y:double>>")
+
+    a, b = layer("p", 40), layer("q", 50)
+    got = []
+    for edges in (4096, 7):
+        monkeypatch.setattr(overlay, "EDGES", edges)
+        out = overlay.layer_overlap(a, b, "p", "q")
+        got.append(sorted(tuple(round(v, 9) for v in x) for x in out.collect()))
+        assert ("Generate explode(arrays_zip" in out._jdf.queryExecution().optimizedPlan().toString()) == (edges == 7)
+    assert got[0] == got[1] and len(got[0]) > 40 and out.columns == ["p", "q", "area_a", "area_b", "area_both", "area_union", "jaccard", "dice"]
