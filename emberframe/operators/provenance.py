@@ -64,29 +64,38 @@ def payload_slabs(payload: DataFrame, *by: str, position: str | None = None, row
     rows means nothing: rows are put in 65,536 slabs by their own hash, repeated ones once with their number. Rows are hashed where they are
     read; only hashes are shuffled.
     """
-    row = F.sha2(_row_text(payload, [c for c in payload.columns if c not in by]), 256)
-    if position:
-        at = F.col(position).cast("long")
-        hashed = payload.select(*by, F.floor(at / rows).alias("slab"), at.alias("at"), row.alias("row"), F.lit(1).cast("long").alias("n"))
-    else:
-        hashed = payload.select(*by, row.alias("row")).groupBy(*by, "row").agg(F.count("*").alias("n"))
-        hashed = hashed.select(*by, F.conv(F.substring("row", 1, 4), 16, 10).cast("long").alias("slab"), F.lit(0).cast("long").alias("at"), F.concat("row", F.lit("x"), F.col("n").cast("string")).alias("row"), "n")
-    return _joined(hashed.groupBy(*by, "slab"), "at", "row")
+    return _slabs(payload, by, position, rows, 1024).select(*by, "slab", "n", "digest")
 
 
-def _joined(groups, at: str, text: str) -> DataFrame:
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(text).alias("t")))), lambda s: F.concat(s["a"].cast("string"), F.lit(":"), s["t"]))
+def _slabs(payload: DataFrame, by: tuple[str, ...], position: str | None, rows: int, fan: int) -> DataFrame:
+    """``payload_slabs`` with the node above each and ``_deal``, the node's hash. Rows with positions are dealt out by it, as binary hashes: a sparse payload has
+    about as many slabs as rows, and so joins them where they arise. (One hash, as Spark drops constant columns of ``by`` from what it groups by.)"""
+    row = F.sha2(_row_text(payload, [c for c in payload.columns if c not in by]), 256)
+    slab, node = F.floor(F.col("at") / rows), F.floor(F.col("slab") / fan)
+    if position:
+        deal = F.xxhash64(*by, F.floor(slab / fan))
+        hashed = payload.select(*by, F.col(position).cast("long").alias("at"), F.unhex(row).alias("row")).repartition(deal)
+        hashed = hashed.select("*", deal.alias("_deal"), slab.alias("slab"), F.lit(1).cast("long").alias("n")).withColumn("_node", node)
+        return _joined(hashed.groupBy(*by, "_deal", "_node", "slab"), "at", "row", binary=True)
+    hashed = payload.select(*by, row.alias("row")).groupBy(*by, "row").agg(F.count("*").alias("n"))
+    hashed = hashed.select(*by, F.conv(F.substring("row", 1, 4), 16, 10).cast("long").alias("slab"), F.lit(0).cast("long").alias("at"), F.concat("row", F.lit("x"), F.col("n").cast("string")).alias("row"), "n").withColumn("_node", node)
+    return _joined(hashed.groupBy(*by, F.xxhash64(*by, "_node").alias("_deal"), "_node", "slab"), "at", "row")
+
+
+def _joined(groups, at: str, text: str, binary: bool = False) -> DataFrame:
+    written = (lambda c: F.lower(F.hex(c))) if binary else lambda c: c
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(text).alias("t")))), lambda s: F.concat(s["a"].cast("string"), F.lit(":"), written(s["t"])))
     return groups.agg(F.sum("n").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
 
 
 def payload_digest(payload: DataFrame, *by: str, position: str | None = None, rows: int = 4096, fan: int = 1024) -> DataFrame:
     """by, payload_rows and payload_sha: the root of a Merkle tree over ``payload_slabs``, three levels of ``fan`` high.
 
-    Every level is one aggregate of at most ``fan`` hashes a node, so no task holds more of a payload than a slab's hashes. The
-    names of columns and their types count too. A payload without rows has no digest.
+    Every level is one aggregate of at most ``fan`` hashes a node, so no task holds more of a payload at once than a slab's hashes; with positions the
+    lowest two share one shuffle. The names of columns and their types count too. A payload without rows has no digest.
     """
-    tree = payload_slabs(payload, *by, position=position, rows=rows)
-    for _ in range(3):
+    tree = _joined(_slabs(payload, by, position, rows, fan).withColumn("at", F.col("slab")).groupBy(*by, "_deal", "_node"), "at", "digest").withColumnRenamed("_node", "slab")
+    for _ in range(2):
         tree = _joined(tree.withColumn("at", F.col("slab")).withColumn("slab", F.floor(F.col("slab") / fan)).groupBy(*by, "slab"), "at", "digest")
     kinds = ";".join(f"{n} {t}" for n, t in sorted(payload.dtypes) if n not in by)
     whole = _joined(tree.withColumn("at", F.col("slab")).groupBy(*by), "at", "digest")

@@ -1,6 +1,7 @@
 """Payload digests and merging with payloads."""
 
 import hashlib
+import re
 
 import pytest
 
@@ -41,6 +42,32 @@ def test_the_tree_by_hand(spark):
         assert [(r.file_id, r.path, r.payload_rows, r.payload_sha) for r in got] == [("f", "/a", 100, want)]
 
 
+def test_a_sparse_payload_is_the_same_tree_and_its_rows_are_shuffled_once(spark):
+    """Nearly every row is a slab of its own: the lowest two levels share one shuffle, of hashes as bytes."""
+    data = [(f, path, p * 37, *rest) for f, path, p, *rest in rows(60)]
+    digest = provenance.payload_digest(spark.createDataFrame(data, SCHEMA).repartition(4), "file_id", "path", position="position", rows=8, fan=3)
+    assert [r.payload_sha for r in digest.collect()] == [plain(data, 8, 3)]
+    sparse = spark.range(1000).selectExpr("'f' AS file_id", "'/a' AS path", "id * 5000 AS position", "id AS value")
+    text = provenance.payload_digest(sparse, "file_id", "path", position="position")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 4 and "unhex(sha2(" in text
+
+
+def test_rows_are_not_dealt_out_by_file(spark, sf_dir, monkeypatch):
+    """v_certificates changes one value of a file without joining all rows of payloads by file, of which there are 25 however many rows there are."""
+    from emberframe.plans import source_queries
+
+    plans, save = {}, source_queries.saved
+    monkeypatch.setattr(source_queries, "saved", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or save(df, name))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = source_queries.v_certificates(spark, sf_dir).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r.reason for r in found} >= {"", "unknown key", "revoked key", "digest differs"}
+    assert not re.search(r"SortMergeJoin \[file_id#\d+\], \[file_id#\d+\]", plans["changed"]) and "BroadcastHashJoin [l_suppkey" in plans["changed"]
+
+
 @pytest.mark.parametrize("position", ["position", None])
 def test_any_change_shows_and_is_found(spark, position):
     data = rows(60)
