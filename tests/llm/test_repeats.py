@@ -112,6 +112,22 @@ def test_inner_keys_with_many_classes_are_dealt_out(spark, monkeypatch):
         assert got(df, 400) == brute(docs, 400)
 
 
+def test_strings_repeated_in_one_part_reach_the_others(spark, monkeypatch):
+    """Strings of three and more places, of which one part may hold several and another only one."""
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = word(330)
+    docs = []
+    for i in range(8):
+        front, back = word(150), word(150)
+        docs += [(10 * i + j, f"{word(60 + j)}{front[-40 - 9 * j:]}{passage}{back[: 60 + 11 * j]}{word(90)}") for j in range(5)]
+        docs += [(10 * i + 9, docs[-1][1])]
+    df = spark.createDataFrame([(*d, 0, "") for d in docs], SCHEMA)
+    for part in (4096, 3):
+        monkeypatch.setattr(repeats, "PART", part)
+        assert got(df, 400) == brute(docs, 400)
+
+
 def test_triggers_are_local():
     import numpy as np
 
